@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from . import common, windows
 
 
+#: Bytes of text whose candidate suffixes, which may be all of them, are held at once.
+CANDIDATE_BYTES = 2 << 20
+
+
 def difference_cover(r: int) -> tuple[int, np.ndarray]:
     """Colbourn and Ling's cover: period 24 r^2 + 36 r + 13 with 6 r + 4 members."""
     steps = [1] * r + [r + 1] + [2 * r + 1] * r + [4 * r + 3] * (2 * r + 1) + [2 * r + 2] * (r + 1) + [1] * r
@@ -71,7 +75,7 @@ def _candidates(length: int, buckets: int):
             raw, at = common.texts(batch.column("text"))
             data, tid = np.frombuffer(raw, np.uint8), batch.column("tid").to_numpy(zero_copy_only=False)
             found = batch.column("pos")
-            for i, j in windows.chunks(batch):
+            for i, j in windows.chunks(batch, CANDIDATE_BYTES):
                 doc, pos = [], []
                 for k in range(i, j):
                     n, hits = int(at[k + 1] - at[k]) - length + 1, found[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -123,6 +127,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     columns are ignored; an empty table gives an empty result. Texts are told apart by a 64-bit hash.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tid", F.xxhash64("text"))
     small = common.written(rows.select("did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))

@@ -11,7 +11,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
@@ -159,7 +158,12 @@ def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES):
         i = j
 
 
-def _found(mode: str):
+PLACED = "part int, tid binary, counts binary, steps binary"
+
+
+def _found(mode: str, parts: int):
+    """The repeated windows of a bucket, packed into a row for each part of the texts."""
+
     def bucket(key, rows):
         tid, did, pos, prints, known, ktid, kpos = [], [], [], [], [], [], []
         for r in rows.select(["tid", "did", "counts", "steps", "prints", "known", "ktid", "kcounts", "ksteps"]).to_batches():
@@ -189,26 +193,52 @@ def _found(mode: str):
                 some |= np.minimum.reduceat(p, start) != np.maximum.reduceat(p, start)
             hit = np.repeat(some, size) & ~known[order]
         order = order[hit]
-        tid, pos = np.r_[tid[order], ktid], np.r_[pos[order], kpos]
-        order = np.lexsort((pos, tid))
+        tid, pos = _once(np.r_[tid[order], ktid], np.r_[pos[order], kpos])
+        part = tid % parts
+        order = np.argsort(part, kind="stable")
         tid, pos = tid[order], pos[order]
-        fresh = np.r_[True, (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])] if len(tid) else np.zeros(0, bool)
-        tid, pos = tid[fresh], pos[fresh]
-        first = np.flatnonzero(np.r_[True, tid[1:] != tid[:-1]]) if len(tid) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(tid)].astype(np.int32)), pa.array(pos.astype(np.int32)))
-        return pa.table({"tid": pa.array(tid[first]), "pos": lists})
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        out = []
+        for p in np.flatnonzero(np.diff(edges)):
+            t, counts, steps = _steps(tid[edges[p] : edges[p + 1]], pos[edges[p] : edges[p + 1]])
+            out.append((int(p), t.tobytes(), counts.astype(np.uint32).tobytes(), steps))
+        names = ("part", "tid", "counts", "steps")
+        return pa.table({n: pa.array(x, pa.int32() if n == "part" else pa.binary()) for n, x in zip(names, zip(*out) if out else [()] * 4)})
 
     return bucket
 
 
+def _once(tid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by text and position, each once."""
+    order = np.lexsort((pos, tid))
+    tid, pos = tid[order], pos[order]
+    fresh = np.r_[True, (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])] if len(tid) else np.zeros(0, bool)
+    return tid[fresh], pos[fresh]
+
+
+def _gathered(key, rows):
+    tid, pos = [], []
+    for r in rows.select(["tid", "counts", "steps"]).to_batches():
+        for t, c, s in zip(*(x.to_pylist() for x in r.columns)):
+            c = np.frombuffer(c, np.uint32).astype(np.int64)
+            tid.append(np.repeat(np.frombuffer(t, np.int64), c))
+            pos.append(_positions(c, s))
+    tid, pos = _once(np.concatenate(tid), np.concatenate(pos))
+    first = np.flatnonzero(np.r_[True, tid[1:] != tid[:-1]]) if len(tid) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(tid)].astype(np.int32)), pa.array(pos.astype(np.int32)))
+    return pa.table({"tid": pa.array(tid[first]), "pos": lists})
+
+
 def repeated(packed_rows: DataFrame, mode: str) -> DataFrame:
     """(tid, pos array<int>), one row for each text with repeated windows, from rows of `rows_for_buckets`.
 
     A bucket holds a share of all fingerprints, whatever the documents: a text or passage that a third of
-    the rows hold spreads over the buckets, and comes once from each chunk.
+    the rows hold spreads over the buckets, and comes once from each chunk. What is found goes back packed,
+    a row for each bucket and part of the texts, so rows do not grow with texts times buckets.
     """
-    hits = packed_rows.groupBy("bucket").applyInArrow(_found(mode), "tid long, pos array<int>")
-    return hits.groupBy("tid").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    parts = common.partitions(packed_rows.sparkSession)
+    hits = packed_rows.groupBy("bucket").applyInArrow(_found(mode, parts), PLACED)
+    return hits.groupBy("part").applyInArrow(_gathered, "tid long, pos array<int>")
 
 
 def runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
