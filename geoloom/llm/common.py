@@ -90,6 +90,19 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[memoryview, list[int]]:
     return raw, at - at[0]
 
 
+#: Bytes of an Arrow batch that a task is handed at once, set unless the session has a lower one.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Python workers small: texts may be long, and a worker holds a batch and what it makes of it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = str(spark.conf.get(key, "64m")).lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(size[-1:], 0)
+    if not size[:-1].isdigit() or int(size.rstrip("kmg")) << unit > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(path: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 

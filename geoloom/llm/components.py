@@ -19,6 +19,12 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether every node has one smaller node, which has none: the forest is one star for each component."""
+    n = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (n or 0) <= 1 and edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (u, v), which are long; label is the smallest node of its component.
 
@@ -26,15 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     on one node with its minimum, so a node with very many neighbours is dealt out by skew handling.
     """
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null").distinct()
-    now, before = common.written(edges.where("u != v").distinct()), None
-    while True:
+    now = common.written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _done(now):
         first = _stars(now, True)
         after = _stars(first, False)
         for x in (first, now):
             common.dropped(x)
         now = after
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / 1e6)).first())
-        if state == before:
-            break
-        before = state
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -160,6 +160,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10,
 
 
 def _found(rows: DataFrame, benchmark: DataFrame, length: int, item: str, item_text: str, with_text: bool = False) -> DataFrame:
+    common.bounded_batches(rows.sparkSession)
     kind = rows.schema["row"].dataType.simpleString() + ", text string" * with_text
     blocks = list(_blocks(benchmark, item, item_text))
     return rows.mapInArrow(_looked_up(blocks, length, with_text), f"row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, matches array<struct<item_id:string,start:long,item_start:long,words:long>>")

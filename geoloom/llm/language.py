@@ -216,6 +216,7 @@ def _grams(batches):
 
 
 def _apply(rows: DataFrame, sent, with_text: bool = False) -> DataFrame:
+    common.bounded_batches(rows.sparkSession)
     kind = rows.schema["row"].dataType.simpleString() + ", text string" * with_text
     return rows.mapInArrow(_scored(sent, with_text), f"row {kind}, lang_pred string, score double, entropy double, n_letters long, rejected boolean")
 

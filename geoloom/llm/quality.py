@@ -146,6 +146,7 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
 
 
 def measured(docs: DataFrame, key: str, text: str, stratum: str, repeat: int = 8) -> DataFrame:
+    common.bounded_batches(docs.sparkSession)
     row = F.struct(F.col(key).alias("did"), F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("n")).alias("stratum"))
     kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
     out = docs.select(row.alias("row"), F.col(text).alias("text")).mapInArrow(_features(repeat), f"row {kind}, " + ", ".join(f"{x} long" for x in _NAMES))

@@ -161,6 +161,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     A null or empty text holds none (spans ''); repeated rows, null keys and very long texts are like any others;
     other columns are ignored; an empty table gives an empty result. One pass, no shuffle.
     """
+    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("did"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["did"]
     return rows.mapInArrow(_scanned(False), f"did {kind}, {_FOUND}").withColumnRenamed("did", key)
@@ -168,6 +169,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, same columns, with each secret in `text` replaced by [secret]; rows without one are unchanged."""
+    common.bounded_batches(docs.sparkSession)
     rows = common.apart(docs, text)
     kind = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(_scanned(True), f"row {kind}, text string, {_FOUND}, redacted string")
