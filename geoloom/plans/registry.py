@@ -19,8 +19,12 @@ def register(sql: str | None = None):
 
 
 def queries() -> dict:
+    from geoloom.plans import all_queries
+
+    all_queries()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _SQL
