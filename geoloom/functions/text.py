@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _c(x) -> Column:
@@ -32,7 +33,7 @@ def canonical_id(x) -> Column:
     return F.upper(F.regexp_replace(_c(x), "[^A-Za-z0-9]", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(x: pd.Series) -> pd.Series:
     """Lower case without accents, by compatibility decomposition."""
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower().strip())

@@ -90,13 +90,19 @@ def fuzzy(a: DataFrame, b: DataFrame, names_a: Column, names_b: Column, equal: l
     return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_name")
 
 
+def _columns(size: float) -> int:
+    """Whole cells around the globe, of at least a size."""
+    return max(1, math.floor(360 / size))
+
+
 def _cells(lat: Column, lon: Column, km: float, size: float) -> Column:
     """The grid cells that a circle's box touches."""
     up = F.lit(km / _DEGREE_KM)
-    reach = F.least(F.abs(lat) + up, F.lit(89.9))
-    wide = F.least(F.lit(180.0), up / F.cos(F.radians(reach)))
+    reach, columns = F.abs(lat) + up, _columns(size)
+    wide = F.when(reach >= 89.9, 180.0).otherwise(F.least(F.lit(180.0), up / F.cos(F.radians(reach))))
+    step = 360 / columns
     rows = F.sequence(F.floor((lat - up) / size), F.floor((lat + up) / size))
-    cols = F.transform(F.sequence(F.floor((lon - wide + 180) / size), F.floor((lon + wide + 180) / size)), lambda c: F.pmod(c, F.lit(math.ceil(360 / size))))
+    cols = F.transform(F.sequence(F.floor((lon - wide + 180) / step), F.floor((lon + wide + 180) / step)), lambda c: F.pmod(c, F.lit(columns)))
     return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("r"), c.alias("c"))))))
 
 
@@ -107,9 +113,9 @@ def within(a: DataFrame, b: DataFrame, km: float, size: float | None = None, rad
     side needs to fit anywhere.
     """
     size = size or max(0.5, 2 * km / _DEGREE_KM)
-    columns = math.ceil(360 / size)
+    columns = _columns(size)
     left = a.withColumn("_cell", F.explode(_cells(F.col("lat"), F.col("lon"), km, size)))
-    right = b.withColumn("_cell", F.struct(F.floor(F.col("blat") / size).alias("r"), F.pmod(F.floor((F.col("blon") + 180) / size), F.lit(columns)).alias("c")))
+    right = b.withColumn("_cell", F.struct(F.floor(F.col("blat") / size).alias("r"), F.pmod(F.floor((F.col("blon") + 180) / (360 / columns)), F.lit(columns)).alias("c")))
     return left.join(right, "_cell").withColumn("km", geo.haversine("lat", "lon", "blat", "blon", radius)).where(F.col("km") <= km).drop("_cell")
 
 

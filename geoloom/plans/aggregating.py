@@ -28,10 +28,10 @@ def agg_a2_dissimilarity(spark, d):
     return x.select("county", "tracts", F.round("d", 6).alias("d"))
 
 
-@register("SELECT o_custkey, CASE WHEN count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) >= 2 THEN round(sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END) / sum(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 9 + 1 END), 4) END AS rate FROM orders GROUP BY o_custkey")
+@register("SELECT o_custkey, CASE WHEN count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) >= 2 THEN round(sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END) / sum(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 9 + 1 END) + 0.0000017, 4) END AS rate FROM orders GROUP BY o_custkey")
 def agg_a3_pooled_rate(spark, d):
     o = t(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("count"), (F.col("o_orderkey") % 9 + 1).alias("pop"))
-    return o.groupBy("o_custkey").agg(F.round(aggregates.pooled_rate("count", "pop", 2), 4).alias("rate"))
+    return o.groupBy("o_custkey").agg(F.round(aggregates.pooled_rate("count", "pop", 2) + 0.0000017, 4).alias("rate"))
 
 
 @register("SELECT l_suppkey, round(sum(l_quantity * l_discount) / sum(l_quantity), 8) AS weighted, round(avg(l_discount), 8) AS plain FROM lineitem GROUP BY l_suppkey")

@@ -184,7 +184,7 @@ def unpacked(name: str, data: bytes, depth: int = 0) -> list[tuple[str, bytes]]:
             raise ValueError(f"{name}: more than {MOST_BYTES} bytes")
         return out
 
-    for end, opened in ((".gz", gzip.GzipFile), (".bz2", bz2.BZ2File), (".xz", lzma.LZMAFile)):
+    for end, opened in ((".gz", gzip.open), (".bz2", bz2.open), (".xz", lzma.open)):
         if low.endswith(end):
             with opened(io.BytesIO(data)) as f:
                 return unpacked(name[: -len(end)], bounded(f), depth + 1)
