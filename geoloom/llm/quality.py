@@ -105,17 +105,16 @@ def least_rejections(n: int, p: float, level: float) -> int:
     return int(np.searchsorted(np.logaddexp.accumulate(logs), math.log(level), "right")) - 1
 
 
-def _selected(alpha: float, delta: float):
-    """For one stratum and rule: the strictest cutoff that the tests in sequence allow."""
+def _selected(alpha: float, level: float):
+    """For one stratum and rule: the strictest cutoff that the tests in sequence allow, each at a level."""
 
     def selected(rows: pd.DataFrame) -> pd.DataFrame:
-        tests = int(rows["tests"].iloc[0])
         held, tried = rows[~rows["tried"]], rows[rows["tried"]]
         count = lambda part, quality: np.bincount(part.loc[part["quality"] == quality, "step"], part.loc[part["quality"] == quality, "n"], STEPS + 1)[::-1].cumsum()
         good, n = count(held, 1), int(held.loc[held["quality"] == 1, "n"].sum())
         gain = count(tried, 0) / max(1, count(tried, 0)[-1]) - count(tried, 1) / max(1, count(tried, 1)[-1])
         worth = np.flatnonzero(gain[:STEPS] > 0)  # index i is the cutoff (STEPS - i) / STEPS
-        most, best = least_rejections(n, alpha / len(RULES), delta / tests), -1
+        most, best = least_rejections(n, alpha / len(RULES), level), -1
         for i in worth:
             if good[i] > most:
                 break
@@ -140,9 +139,9 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
     """
     long = labelled.select("id", "stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.floor(F.col(r) * STEPS).cast("int").alias("step")) for r in RULES))).alias("s"))
     tried = F.pmod(F.xxhash64("id", F.lit("tried")), F.lit(100)) < int(100 * TRIED)
-    counts = long.groupBy("stratum", "s.rule", "s.step", "quality", tried.alias("tried")).agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.select("stratum", "rule").distinct().agg(F.count(F.lit(1)).alias("tests"))
-    return counts.crossJoin(F.broadcast(groups)).groupBy("stratum", "rule").applyInPandas(_selected(alpha, delta), _CUTOFFS)
+    counts = common.written(long.groupBy("stratum", "s.rule", "s.step", "quality", tried.alias("tried")).agg(F.count(F.lit(1)).alias("n")))
+    tests = max(1, counts.select("stratum", "rule").distinct().count())
+    return counts.groupBy("stratum", "rule").applyInPandas(_selected(alpha, delta / tests), _CUTOFFS)
 
 
 def measured(docs: DataFrame, key: str, text: str, stratum: str, repeat: int = 8) -> DataFrame:
