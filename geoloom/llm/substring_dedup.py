@@ -158,8 +158,8 @@ def remove_seen(docs: DataFrame, length: int = 13, key: str = "doc_id", text: st
     rows = rows.withColumn("tid", F.xxhash64("text"))
     small = common.written(rows.mapInArrow(_whole, "did long, tid long, n_words long, whole string"))
     texts = small.groupBy("tid").agg(F.min("did").alias("first"))
-    found, reached = _survivors(rows, texts, length, common.partitions(spark))
-    starts = common.written(windows.repeated(reached.mapInArrow(_doubled(length, common.partitions(spark)), windows.PACKED), "later").withColumnRenamed("pos", "starts"))
+    found, reached = _survivors(rows, texts, length, windows.buckets(spark))
+    starts = common.written(windows.repeated(reached.mapInArrow(_doubled(length, windows.buckets(spark)), windows.PACKED), "later").withColumnRenamed("pos", "starts"))
     cut = common.written(reached.join(starts, "tid").select("tid", "text", "starts").mapInArrow(_cut(length), "tid long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"))
     for x in (found, reached, starts):
         common.dropped(x)
@@ -195,7 +195,7 @@ def repeat_lengths(docs: DataFrame, length: int = 13, key: str = "doc_id", text:
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tid", F.xxhash64("text"))
     texts = rows.groupBy("tid").agg(F.min("did").alias("first"))
-    buckets = common.partitions(spark)
+    buckets = windows.buckets(spark)
     found, reached = _survivors(rows, texts, length, buckets)
     level = common.written(windows.repeated(reached.mapInArrow(_all_shared(length, buckets), windows.PACKED), "shared"))
     lasting, n = level.select("tid", F.lit(length).cast("long").alias("longest")), length

@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     rows = rows.withColumn("tid", F.xxhash64("text"))
     small = common.written(rows.select("did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
     texts = small.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first"))
-    buckets = common.partitions(spark)
+    buckets = windows.buckets(spark)
 
     sample = common.written(windows.repeated(rows.select("tid", "text").mapInArrow(_sampled(length, buckets), windows.PACKED), "repeat"))
     wanted = texts.join(sample, "tid")

@@ -167,23 +167,27 @@ def _found(mode: str, parts: int):
     def bucket(key, rows):
         tid, did, pos, prints, known, ktid, kpos = [], [], [], [], [], [], []
         for r in rows.select(["tid", "did", "counts", "steps", "prints", "known", "ktid", "kcounts", "ksteps"]).to_batches():
-            for t, d, c, s, p, k, kt, kc, ks in zip(*(x.to_pylist() for x in r.columns)):
+            for row in zip(*r.columns):
+                t, d, c, s, p, k, kt, kc, ks = (x.as_py() for x in row)
                 c, kc = np.frombuffer(c, np.uint32).astype(np.int64), np.frombuffer(kc, np.uint32).astype(np.int64)
                 tid.append(np.repeat(np.frombuffer(t, np.int64), c))
-                did.append(np.repeat(np.frombuffer(d, np.int64), c))
-                pos.append(_positions(c, s))
+                if mode == "later":
+                    did.append(np.repeat(np.frombuffer(d, np.int64), c))
+                pos.append(_positions(c, s).astype(np.int32))
                 prints.append(np.frombuffer(p, np.uint64))
                 known.append(np.unpackbits(np.frombuffer(k, np.uint8), count=int(c.sum())).astype(bool))
                 ktid.append(np.repeat(np.frombuffer(kt, np.int64), kc))
-                kpos.append(_positions(kc, ks))
-        tid, did, pos, prints, known, ktid, kpos = map(np.concatenate, (tid, did, pos, prints, known, ktid, kpos))
+                kpos.append(_positions(kc, ks).astype(np.int32))
+        tid, pos, prints, known, ktid, kpos = map(np.concatenate, (tid, pos, prints, known, ktid, kpos))
         order = np.argsort(prints, kind="stable")
         s = prints[order]
+        del prints
         start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(s)])
         if not len(s):
             hit = np.zeros(0, bool)
         elif mode == "later":
+            did = np.concatenate(did)
             hit = did[order] > np.repeat(np.minimum.reduceat(did[order], start), size)
         else:
             t = tid[order]
@@ -229,6 +233,14 @@ def _gathered(key, rows):
     return pa.table({"tid": pa.array(tid[first]), "pos": lists})
 
 
+#: Buckets of fingerprints for each shuffle partition; a task sorts one of them at a time.
+BUCKETS = 3
+
+
+def buckets(spark) -> int:
+    return BUCKETS * common.partitions(spark)
+
+
 def repeated(packed_rows: DataFrame, mode: str) -> DataFrame:
     """(tid, pos array<int>), one row for each text with repeated windows, from rows of `rows_for_buckets`.
 
