@@ -126,9 +126,9 @@ def scan_text(text: bytes, templates: Templates, least: float) -> list[tuple[str
     """(template, coverage, start, end) in words of each stretch of text that covers a template well enough."""
     get = templates.numbers.get
     ids = np.array([get(w, 0) for w in _WORD.findall(text)], np.int64)
-    out = []
+    every = []
     for name, template, held in zip(templates.names, templates.words, templates.held):
-        found: list[tuple[float, int, int]] = []
+        found = []
         for a, b in _stretches(ids, template, held, least):
             part = ids[a:b].tolist()
             todo = [(0, len(part))]
@@ -137,16 +137,16 @@ def scan_text(text: bytes, templates: Templates, least: float) -> list[tuple[str
                 matches = _within(align(part[lo:hi], template), len(template))
                 if len(matches) >= least * len(template):
                     s, e = lo + matches[0][0], lo + matches[-1][0] + 1
-                    found.append((len(matches) / len(template), a + s, a + e))
+                    found.append((len(matches), len(matches) / len(template), a + s, a + e))
                     todo += [(lo, s), (e, hi)]
                 elif hi - lo > 2 * len(template):
                     step = len(template)  # repeated copies hide each other's unique words: look closer
                     todo += [(x, min(hi, x + 2 * step)) for x in range(lo, hi - step, step)]
-        last = -1
-        for c, s, e in sorted(set(found), key=lambda x: (x[1], -x[0])):
-            if s >= last:
-                out.append((name, c, s, e))
-                last = e
+        every += [(-n, -c, name, x, y) for n, c, x, y in set(found)]
+    out: list[tuple[str, float, int, int]] = []
+    for _, c, name, x, y in sorted(every):  # the template with most words in a place takes it
+        if all(y <= s or e <= x for _, _, s, e in out):
+            out.append((name, -c, x, y))
     return out
 
 
@@ -179,7 +179,8 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, least: float = 0.
 
     spans lists every stretch that covers a template at least to `least` (license, coverage, start and end in words of
     letters, digits and characters beyond ASCII, case folded); license and coverage are those of the best one (of equal
-    ones the longer, then the later name), else null and 0. Two templates may cover the same words. A null or empty
+    ones the longer, then the later name), else null and 0. Of templates that cover the same words the one that
+    matches most of them is listed. A null or empty
     text has none; repeated rows, null keys and very long texts are like any others; other columns are ignored.
     One pass, no shuffle; the templates are sent to the executors.
     """

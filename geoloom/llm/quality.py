@@ -169,7 +169,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     rows = common.written(scores(rows.withColumn("base_failed", failed)))
     marks = labels.select(F.col(key).alias("did"), F.col(label).cast("int").alias("quality")).where("quality in (0, 1)")
     labelled = rows.where("not base_failed").join(marks, "did").select(F.col("did").alias("id"), "stratum", "quality", *RULES)
-    found = common.written(cutoffs(labelled, alpha, delta).where("not isnan(cutoff)").groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")))
+    found = common.written(cutoffs(labelled, alpha, delta).where("cutoff is not null and not isnan(cutoff)").groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")))
     limits = found.select("stratum", *(F.col(r).alias(f"{r}_cutoff") for r in RULES))
     out = rows.join(common.small_side(limits, 10_000), "stratum", "left")
     by = F.filter(F.array(*(F.when(F.floor(F.col(r) * STEPS) / STEPS >= F.col(f"{r}_cutoff"), r) for r in RULES)), lambda x: x.isNotNull())
