@@ -145,8 +145,24 @@ class _Scorer:
             self.table[n : n + len(some), -1] = size
             self.places.update(zip(some, range(n, n + len(some))))
 
-    def sums(self, words: list[str]) -> np.ndarray:
-        counts = Counter(words)
+    def ready(self, texts, together: int = 1 << 20):
+        """The words of each text; the new words of about so many characters of text are scored at once."""
+        held, size = [], 0
+        for text in texts:
+            text = text.as_py()
+            held.append(Counter(_words(text)))
+            size += len(text or "")
+            if size >= together:
+                yield from self._known(held)
+                held, size = [], 0
+        yield from self._known(held)
+
+    def _known(self, held: list[Counter]):
+        if self.models:
+            self.add(set().union(*held))
+        return held
+
+    def sums(self, counts: Counter) -> np.ndarray:
         self.add(counts.keys() - self.places.keys())
         if len(counts) > 300_000:  # more than are kept
             out = np.zeros(len(self.models) + 1)
@@ -176,8 +192,7 @@ def _scored(sent, with_text: bool):
         scorer = _KEPT[identifier.name]
         for batch in batches:
             out = []
-            for text in batch.column("text"):
-                words = _words(text.as_py())
+            for words in scorer.ready(batch.column("text")):
                 if not words or not identifier.langs:
                     out.append(("und", 0.0, None, 0, True))
                     continue
@@ -185,7 +200,7 @@ def _scored(sent, with_text: bool):
                 entropy = -sums[:-1] / sums[-1]
                 k = int(entropy.argmin())
                 score = 1 / np.exp(-SHARPNESS * (entropy - entropy[k])).sum()
-                letters = int(sums[-1]) - len(words)
+                letters = int(sums[-1]) - words.total()
                 limit = identifier.limits.get((identifier.langs[k], _length_class(letters)), math.inf)
                 out.append((identifier.langs[k], float(score), float(entropy[k]), letters, bool(entropy[k] > limit)))
             cols = list(zip(*out)) if out else [()] * 5
