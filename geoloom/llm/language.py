@@ -22,8 +22,9 @@ from . import common, windows
 
 #: Characters of an n-gram; texts that train and texts that calibrate, for each language, about (chosen by a hash).
 ORDER, TRAINED_ON, CALIBRATED_ON = 5, 1500, 1500
-#: Share of a language's own texts that calibration lets be rejected, and what is added to each limit.
-REJECTED, SLACK = 0.001, 1.25
+#: Share of a language's own texts that calibration lets be rejected; by what each limit is raised, and by what where
+#: there are too few texts to show such a share.
+REJECTED, SLACK, SLACK_OF_FEW = 0.002, 1.25, 1.7
 #: Letters from which on a text is of the next length class.
 LENGTHS = (40, 200, 1000)
 #: How sharply the score falls with the nats a character that another language is behind.
@@ -44,12 +45,15 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text[at[:, None] + np.arange(ORDER)], size
 
 
+_TIMES = windows._mixed(np.arange(101, 101 + ORDER, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def _hashes(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row."""
-    h = np.full(len(codes), 0x9E3779B97F4A7C15, np.uint64)
+    h = np.zeros(len(codes), np.uint64)
     for k in range(codes.shape[1]):
-        h = windows._mixed((h ^ codes[:, k].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93))
-    return h
+        h += codes[:, k] * _TIMES[k]
+    return windows._mixed(h)
 
 
 class Model:
@@ -119,7 +123,7 @@ class Identifier:
 
 
 class _Scorer:
-    """Scores words once and keeps them; texts are sums over their words."""
+    """Scores n-grams and words once and keeps them; texts are sums over their words."""
 
     def __init__(self, identifier: Identifier):
         self.models = identifier.models
@@ -128,9 +132,23 @@ class _Scorer:
     def clear(self):
         self.places: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(self.models) + 1))
+        self.grams, self.scores = np.zeros(0, np.uint64), np.zeros((0, len(self.models)))
+
+    def _scores(self, codes: np.ndarray) -> np.ndarray:
+        """Log probabilities of each row by each model; those of n-grams that came before are looked up."""
+        grams, first, which = np.unique(_hashes(codes), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.grams, grams)
+        known = self.grams[np.minimum(at, len(self.grams) - 1)] == grams if len(self.grams) else np.zeros(len(grams), bool)
+        if not known.all():
+            new = codes[first[~known]]
+            keys = np.r_[self.grams, grams[~known]]
+            order = np.argsort(keys)
+            self.grams, self.scores = keys[order], np.r_[self.scores, np.stack([m.log_p(new) for m in self.models], axis=1)][order]
+            at = np.searchsorted(self.grams, grams)
+        return self.scores[at][which]
 
     def add(self, words):
-        if len(self.places) + len(words) > 400_000:
+        if len(self.places) + len(words) > 400_000 or len(self.grams) > 1_000_000:
             self.clear()
         new = [w for w in words if w not in self.places]
         for i in range(0, len(new), 20_000):
@@ -140,8 +158,7 @@ class _Scorer:
             n = len(self.places)
             while len(self.table) < n + len(some):
                 self.table = np.r_[self.table, np.zeros_like(self.table)]
-            for k, m in enumerate(self.models):
-                self.table[n : n + len(some), k] = np.add.reduceat(m.log_p(codes), begin)
+            self.table[n : n + len(some), :-1] = np.add.reduceat(self._scores(codes), begin)
             self.table[n : n + len(some), -1] = size
             self.places.update(zip(some, range(n, n + len(some))))
 
@@ -265,8 +282,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     for x, n, e in zip(*(c.to_pylist() for c in held.columns)):
         groups.setdefault((x, _length_class(n)), []).append(e)
     for group, e in groups.items():
-        rank = math.ceil((len(e) + 1) * (1 - REJECTED))  # beyond the sample: its largest, with the slack
-        identifier.limits[group] = sorted(e)[min(rank, len(e)) - 1] * SLACK
+        rank = math.ceil((len(e) + 1) * (1 - REJECTED))
+        identifier.limits[group] = sorted(e)[rank - 1] * SLACK if rank <= len(e) else max(e) * SLACK_OF_FEW
     return spark.sparkContext.broadcast(identifier)
 
 
