@@ -180,7 +180,7 @@ class _Scorer:
         return held
 
     def sums(self, counts: Counter) -> np.ndarray:
-        self.add(counts.keys() - self.places.keys())
+        self.add([w for w in counts if w not in self.places])
         if len(counts) > 300_000:  # more than are kept
             out = np.zeros(len(self.models) + 1)
             items = list(counts.items())
