@@ -228,6 +228,11 @@ def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "do
     other; a null key never names a class that has another. Other columns are ignored; an empty table gives an empty
     result. Sets and n-grams are told apart by 64-bit hashes.
     """
+    return _grouped(docs, n, similarity, key, text).drop("label")
+
+
+def _grouped(docs: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
+    """The rows of `similar` with the label of their group, which no other group has (null: a text without words)."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -278,27 +283,29 @@ def _linked(spark, signed, reps, texts, n, similarity, key):
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("m") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("m", F.lit(1)).cast("long").alias("n_copies"),
         "tid",
+        "label",
     )
 
 
 def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, same columns, with one row of each group of linked texts: that with the smallest key.
 
-    Rows without words all stay. Of rows that repeat key and text, one stays.
+    Rows without words all stay. Of rows that repeat key and text, one stays; of a group's texts with one key or only
+    null keys, that with the smallest hash. Groups are told apart by their label: keys may repeat or be null.
     """
-    found = similar(docs, n, similarity, key, text).select(F.col(key).alias("did"), "tid", "class_id", "n_links")
+    found = _grouped(docs, n, similarity, key, text).select(F.col(key).alias("did"), "tid", "class_id", "label")
     stays = found.where(F.col("did").eqNullSafe(F.col("class_id")))
-    first = common.written(stays.groupBy("class_id", "tid").agg(F.count(F.lit(1)).alias("rows"), F.max("n_links").alias("n_links")))
-    one = first.groupBy("class_id").agg(F.min("tid").alias("tid"), F.max("n_links").alias("linked"))
-    held = first.join(one.select(F.col("class_id").alias("c"), F.col("tid").alias("t"), "linked"), F.col("class_id").eqNullSafe(F.col("c")))
-    held = held.where((F.col("tid") == F.col("t")) | (F.col("linked") == 0)).select("class_id", F.col("tid").alias("_tid"), "rows", "linked")
+    first = common.written(stays.groupBy("label", "class_id", "tid").agg(F.count(F.lit(1)).alias("rows")))
+    one = first.where("label is not null").groupBy("label", "class_id").agg(F.min(F.struct("tid", "rows")).alias("c"))
+    one = one.select("class_id", F.col("c.tid").alias("_tid"), "c.rows", F.lit(True).alias("worded"))
+    held = one.unionByName(first.where("label is null").select("class_id", F.col("tid").alias("_tid"), "rows", F.lit(False).alias("worded")))
     own = docs.withColumn("_tid", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = _matched(own, held, key)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = kept.where("_rows = 1 or _linked = 0").select(*columns)
-    return single.unionByName(kept.where("_rows > 1 and _linked > 0").select(*columns, "_tid").dropDuplicates([key, "_tid"]).select(*columns))
+    single = kept.where("_rows = 1 or not _worded").select(*columns)
+    return single.unionByName(kept.where("_rows > 1 and _worded").select(*columns, "_tid").dropDuplicates([key, "_tid"]).select(*columns))
 
 
 def _matched(own: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    other = held.select(F.col("class_id").alias("_class"), F.col("_tid").alias("_t"), F.col("rows").alias("_rows"), F.col("linked").alias("_linked"))
+    other = held.select(F.col("class_id").alias("_class"), F.col("_tid").alias("_t"), F.col("rows").alias("_rows"), F.col("worded").alias("_worded"))
     return own.join(other, (own["_tid"] == other["_t"]) & own[key].cast("long").eqNullSafe(other["_class"]))

@@ -105,6 +105,15 @@ def test_jaccard_join(corpus, empty):
     assert sorted(r[0] for r in kept.where(worded).select("doc_id").collect()) == sorted(classes)
 
 
+def test_keep_one_null_and_repeated_keys(spark):
+    """Groups that share a key, or have none, are told apart: each keeps one row, linked or not."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, a), (None, b), (None, a + " more"), (5, c), (5, d), (9, d), (5, e), (5, e), (None, ""), (None, ""), (5, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(k, t[0] if t else t) for k, t in map(tuple, kept.collect())]
+    assert sorted(got, key=str) == sorted([(None, "a"), (None, "b"), (5, "c"), (5, "d"), (5, "e"), (None, ""), (None, ""), (5, None)], key=str)
+
+
 def test_jaccard_join_large_group(spark, monkeypatch):
     """A group of near copies over several blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
