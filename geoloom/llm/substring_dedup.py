@@ -157,7 +157,7 @@ def remove_seen(docs: DataFrame, length: int = 13, key: str = "doc_id", text: st
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tid", F.xxhash64("text"))
     small = common.written(rows.mapInArrow(_whole, "did long, tid long, n_words long, whole string"))
-    texts = small.groupBy("tid").agg(F.min("did").alias("first"))
+    texts = _texts(small)
     found, reached = _survivors(rows, texts, length, windows.buckets(spark))
     starts = common.written(windows.repeated(reached.mapInArrow(_doubled(length, windows.buckets(spark)), windows.PACKED), "later").withColumnRenamed("pos", "starts"))
     cut = common.written(reached.join(starts, "tid").select("tid", "text", "starts").mapInArrow(_cut(length), "tid long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"))
@@ -166,7 +166,7 @@ def remove_seen(docs: DataFrame, length: int = 13, key: str = "doc_id", text: st
 
     whole = (F.col("did") > F.col("first")) & (F.col("n_words") >= length)
     nothing = F.array().cast("array<struct<start:long,end:long>>")
-    return small.join(texts.join(cut, "tid", "left"), "tid").select(
+    return small.join(texts.select("tid", "first").join(cut, "tid", "left"), "tid").select(
         F.when(F.col("did") != _NULL, F.col("did")).alias(key),
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -175,12 +175,22 @@ def remove_seen(docs: DataFrame, length: int = 13, key: str = "doc_id", text: st
     )
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """Each text's smallest key and the number of rows that hold the text under it: (tid, first, n_first)."""
+    counted = rows.groupBy("tid", "did").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("tid").agg(F.min("did").alias("first"), F.min_by("n", "did").alias("n_first"))
+
+
 def _survivors(rows: DataFrame, texts: DataFrame, length: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Half windows that a second text repeats, by text; and the texts that hold some."""
+    """Half windows that a second text repeats, by text; and the texts that hold some, each once."""
     found = common.written(windows.repeated(rows.select("tid", "text").mapInArrow(_halves(length, buckets), windows.PACKED), "shared"))
     wanted = texts.join(found, "tid")
-    reached = rows.join(wanted, "tid").where(F.col("did") == F.col("first")).select("tid", "did", "text", "pos")
-    return found, common.written(reached)
+    reached = common.written(rows.join(wanted, "tid").where(F.col("did") == F.col("first")).select("tid", "did", "text", "pos", "n_first"))
+    # only rows that repeat are dealt out again, combined before that; most texts have none
+    once = reached.where("n_first > 1").dropDuplicates(["tid"])
+    unique = reached.where("n_first = 1").unionByName(once).drop("n_first")
+    unique._written_at = reached._written_at
+    return found, unique
 
 
 def repeat_lengths(docs: DataFrame, length: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,7 +204,7 @@ def repeat_lengths(docs: DataFrame, length: int = 13, key: str = "doc_id", text:
     common.bounded_batches(spark)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tid", F.xxhash64("text"))
-    texts = rows.groupBy("tid").agg(F.min("did").alias("first"))
+    texts = _texts(rows)
     buckets = windows.buckets(spark)
     found, reached = _survivors(rows, texts, length, buckets)
     level = common.written(windows.repeated(reached.mapInArrow(_all_shared(length, buckets), windows.PACKED), "shared"))

@@ -86,6 +86,16 @@ def test_substring_dedup(corpus, empty):
     assert substring_dedup.remove_seen(empty).count() == 0
 
 
+def test_substring_dedup_repeated_rows(spark):
+    """Rows that repeat, with a key or without one, give one row each when they share a window with an earlier text."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    for key in (5, None):
+        rows = [(1, "one " + passage), *[(key, passage + " two")] * 3, (9, "x " + passage + " nine")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = listed(substring_dedup.remove_seen(df), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == sorted(brute.seen_before(rows, 13), key=str)
+
+
 def test_substring_lengths(spark):
     w = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(["x"] + w[20:80] + ["y"])), (3, "nothing shared")], "doc_id long, text string")
