@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
-Each rule scores a text; a cutoff rejects what scores at or above it. On labelled texts that no other step has used,
-an exact binomial test asks for each stratum and cutoff whether the share of good texts that it rejects is below the
-allowed one. Cutoffs are tested from the most lenient on and the first that fails ends the sequence, so testing many
-costs nothing; the strata and rules share the error probability (Bonferroni) and the rules of a stratum share the
-allowed rate, so that with probability 1 - DELTA no stratum loses more than ALPHA of its good texts.
+Each rule scores a text; a cutoff rejects what scores at or above it. Labelled texts that only try out cutoffs give
+each stratum one path, on which the rules' cutoffs become stricter one step at a time. On labelled texts that no other
+step has used, an exact binomial test asks for each place of the path whether the share of good texts that any rule
+rejects is below the allowed one. The first place that fails ends the sequence, so testing many costs nothing. The
+error probability is shared by the strata that are tested, and by rules within them, so that with probability
+1 - DELTA no stratum loses more than ALPHA of its good texts. Which strata are tested follows from their paths and
+their numbers of good texts alone, not from what the tests would find.
 """
 
 from __future__ import annotations
@@ -105,43 +107,115 @@ def least_rejections(n: int, p: float, level: float) -> int:
     return int(np.searchsorted(np.logaddexp.accumulate(logs), math.log(level), "right")) - 1
 
 
-def _selected(alpha: float, level: float):
-    """For one stratum and rule: the strictest cutoff that the tests in sequence allow, each at a level."""
+def _path(rows: pd.DataFrame) -> pd.DataFrame:
+    """For one stratum: moves in their order, rule * STEPS + i for the cutoff (STEPS - i) / STEPS, from the tried counts.
 
-    def selected(rows: pd.DataFrame) -> pd.DataFrame:
-        held, tried = rows[~rows["tried"]], rows[rows["tried"]]
-        count = lambda part, quality: np.bincount(part.loc[part["quality"] == quality, "step"], part.loc[part["quality"] == quality, "n"], STEPS + 1)[::-1].cumsum()
-        good, n = count(held, 1), int(held.loc[held["quality"] == 1, "n"].sum())
-        gain = count(tried, 0) / max(1, count(tried, 0)[-1]) - count(tried, 1) / max(1, count(tried, 1)[-1])
-        worth = np.flatnonzero(gain[:STEPS] > 0)  # index i is the cutoff (STEPS - i) / STEPS
-        most, best = least_rejections(n, alpha / len(RULES), level), -1
-        for i in worth:
-            if good[i] > most:
+    Each rule moves along the hull of what it rejects of bad and good texts, as long as it gains more bad ones; the
+    rules' moves are merged by that ratio.
+    """
+    tried, moves = rows[rows["tried"]], []
+    for r, rule in enumerate(RULES):
+        mine = tried[tried["rule"] == rule]
+        count = lambda quality: np.bincount(mine.loc[mine["quality"] == quality, "step"], mine.loc[mine["quality"] == quality, "n"], STEPS + 1)[::-1].cumsum()  # noqa: E731, B023
+        bad, good = count(0), count(1)
+        unseen = np.arange(1, STEPS + 1) / (STEPS * max(1, good[-1]))  # each step may reject good texts that were not tried
+        bad, good = (x[:STEPS] / max(1, x[-1]) for x in (bad, good))
+        at, b, g = -1, 0.0, 0.0
+        while at < STEPS - 1:
+            more, lost = bad[at + 1 :] - b, good[at + 1 :] - g
+            ratio = more / (lost + unseen[: len(more)])
+            j = int(ratio.argmax())
+            if more[j] <= lost[j]:
                 break
-            best = i
-        out = rows[["stratum", "rule"]].iloc[:1].copy()
-        out["cutoff"] = (STEPS - best) / STEPS if best >= 0 else np.nan
-        out["n_good"], out["n_false"] = n, int(good[best]) if best >= 0 else 0
-        out["bound"] = alpha / len(RULES)
-        return out
+            moves += [(-ratio[j], r, i) for i in range(at + 1, at + 2 + j)]
+            at += 1 + j
+            b, g = bad[at], good[at]
+    out = rows[["stratum"]].iloc[:1].copy()
+    out["moves"] = [[r * STEPS + i for _, r, i in sorted(moves)]]
+    return out
+
+
+def _strictest(moves, upto: int) -> list[int]:
+    """Each rule's index i after the first moves (-1: no cutoff)."""
+    best = [-1] * len(RULES)
+    for m in moves[:upto]:
+        best[m // STEPS] = max(best[m // STEPS], int(m) % STEPS)
+    return best
+
+
+def _reached(batches):
+    """For each stratum, rule and step of a score: after how many moves the rule rejects it (null: never)."""
+    for rows in batches:
+        out = []
+        for moves in rows["moves"]:
+            at = [[None] * (STEPS + 1) for _ in RULES]
+            for k, m in enumerate(moves, 1):
+                r, i = divmod(int(m), STEPS)
+                for step in range(STEPS - i, STEPS + 1):
+                    at[r][step] = k if at[r][step] is None else at[r][step]
+            out.append(at)
+        yield pd.DataFrame({"stratum": rows["stratum"], "reached": out})
+
+
+def _tested(alpha: float, least: int, level: float):
+    """The strictest place of each stratum's path that the tests in sequence allow; none with fewer good texts than least."""
+
+    def tested(batches):
+        for rows in batches:
+            out = []
+            for stratum, moves, n, held in rows[["stratum", "moves", "n_good", "held"]].itertuples(index=False):
+                good = np.zeros(len(moves) + 1, np.int64)
+                for h in held if held is not None else ():
+                    good[h["at"]] = h["n"]
+                good, best = good.cumsum(), 0
+                if n >= least and len(moves):
+                    best = max(0, int(np.searchsorted(good, least_rejections(n, alpha, level), "right")) - 1)
+                for rule, i in zip(RULES, _strictest(moves, best)):
+                    out.append((stratum, rule, (STEPS - i) / STEPS if i >= 0 else None, n, int(good[best]) if best else 0, alpha))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _CUTOFFS.split(", ")])
 
-    return selected
+    return tested
 
 
 _CUTOFFS = "stratum string, rule string, cutoff double, n_good long, n_false long, bound double"
 
 
+def _shared_level(numbers: dict[int, int], alpha: float, delta: float) -> tuple[int, float]:
+    """(good texts that a tested stratum has at least, level of its test) from how many strata have which number.
+
+    Of strata by descending number, as many are tested as could all pass when they share delta with the rules.
+    """
+    found, strata = (1 << 62, 0.0), 0
+    for n in sorted(numbers, reverse=True):
+        strata += numbers[n]
+        level = delta / (strata * len(RULES))
+        if n * math.log1p(-alpha) <= math.log(level):
+            found = n, level
+    return found
+
+
 def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff, n_good, n_false, bound) from (id, stratum, quality, scores of each rule).
 
-    A null cutoff means that none is shown to be safe: the rule then rejects nothing in that stratum. Only counts by
-    stratum, rule and step are gathered, so no group holds more than 4 * (STEPS + 1) rows.
+    A null cutoff means that none is shown to be safe: the rule then rejects nothing in that stratum. n_good are the
+    stratum's good texts of the holdout, n_false those of them that its rules reject together. Only counts by stratum,
+    rule and step, or place of the path, are gathered, so no group holds more than 4 * len(RULES) * (STEPS + 1) rows.
     """
-    long = labelled.select("id", "stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.floor(F.col(r) * STEPS).cast("int").alias("step")) for r in RULES))).alias("s"))
     tried = F.pmod(F.xxhash64("id", F.lit("tried")), F.lit(100)) < int(100 * TRIED)
-    counts = common.written(long.groupBy("stratum", "s.rule", "s.step", "quality", tried.alias("tried")).agg(F.count(F.lit(1)).alias("n")))
-    tests = max(1, counts.select("stratum", "rule").distinct().count())
-    return counts.groupBy("stratum", "rule").applyInPandas(_selected(alpha, delta / tests), _CUTOFFS)
+    steps = F.array(*(F.floor(F.col(r) * STEPS).cast("int") for r in RULES))
+    rows = labelled.select("stratum", F.col("quality").cast("int").alias("quality"), tried.alias("tried"), steps.alias("steps"))
+    long = rows.select("stratum", "quality", "tried", F.explode(F.arrays_zip(F.array(*map(F.lit, RULES)).alias("rule"), F.col("steps").alias("step"))).alias("s"))
+    counts = long.groupBy("stratum", "s.rule", "s.step", "quality", "tried").agg(F.count(F.lit(1)).alias("n"))
+    paths = common.written(counts.groupBy("stratum").applyInPandas(_path, "stratum string, moves array<int>"))
+    reached = paths.mapInPandas(_reached, "stratum string, reached array<array<int>>")
+    held = rows.where("quality = 1 and not tried").join(common.small_side(common.written(reached), 1000), "stratum")
+    at = F.array_min(F.zip_with("reached", "steps", lambda r, s: F.get(r, s)))
+    places = held.groupBy("stratum", at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    places = places.groupBy("stratum").agg(F.sum("n").alias("n_good"), F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("held"))
+    judged = common.written(paths.join(places, "stratum", "left").withColumn("n_good", F.coalesce("n_good", F.lit(0)).cast("long")))
+    most = math.ceil(math.log(1e-18) / math.log1p(-alpha))  # with more good texts a stratum passes however many share delta
+    numbers = judged.where(F.size("moves") > 0).groupBy(F.least("n_good", F.lit(most)).alias("n")).agg(F.count(F.lit(1)).alias("strata")).collect()
+    return judged.mapInPandas(_tested(alpha, *_shared_level({x.n: x.strata for x in numbers}, alpha, delta)), _CUTOFFS)
 
 
 def measured(docs: DataFrame, key: str, text: str, stratum: str, repeat: int = 8) -> DataFrame:

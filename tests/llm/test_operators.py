@@ -207,6 +207,18 @@ def test_quality_cutoffs_hold(spark):
     assert all(x.cutoff is None or x.cutoff != x.cutoff for k, x in found.items() if k[0] == "small" or k[1] != "symbols")
 
 
+def test_quality_cutoffs_of_many_strata(spark):
+    """About 600 good texts in each of 20 strata suffice, and rules share the allowed rate as one rejection."""
+    r = random.Random(4)
+    score = lambda bad: min(1.0, abs(r.gauss(0.8 if bad else 0.1, 0.05)))
+    rows = [(i, f"s{i % 20}", q := int(r.random() < 0.7), score(q == 0 and i % 3), score(q == 0 and i % 3 == 0), 0.0, 0.0, 0.0) for i in range(17000)]
+    df = spark.createDataFrame(rows, "id long, stratum string, quality int, " + ", ".join(f"{x} double" for x in quality.RULES))
+    found = {(x.stratum, x.rule): x for x in quality.cutoffs(df).collect()}
+    assert len(found) == 100 and all(x.n_false <= x.bound * x.n_good for x in found.values())
+    assert all(0.2 < found[f"s{k}", rule].cutoff < 0.8 for k in range(20) for rule in quality.RULES[:2])
+    assert all(x.cutoff is None or x.cutoff != x.cutoff for (_, rule), x in found.items() if rule not in quality.RULES[:2])
+
+
 @pytest.fixture(scope="module")
 def identifier(spark):
     return queries.identifier(spark, SF)
