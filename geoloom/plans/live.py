@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -58,14 +59,27 @@ def stream_st17_generation(spark, d):
     return live.newest_generation(f).select("seq")
 
 
+def _shared(spark) -> str:
+    """spark.checkpoint.dir, or a new folder where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (found or tempfile.mkdtemp(prefix="spark-checkpoint-")).rstrip("/")
+
+
 def _stream(spark, d, build, mode: str):
-    """Run a stream over the whole table and return what it wrote."""
+    """Run a stream over the whole table and return what it wrote, as Parquet in the folder that executors share."""
     schema = t(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
     rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "event_id", "user_id")
-    name = f"live_{uuid.uuid4().hex}"
-    build(rows).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = f"{_shared(spark)}/streams/{uuid.uuid4().hex}"
+    out, made = f"{folder}/out", build(rows)
+    writer = made.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        spark.createDataFrame([], made.schema).write.parquet(out)  # stays if no batch comes
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    else:
+        writer = writer.format("parquet").option("path", out)
+    writer.start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
 
 
 @register("SELECT CAST(epoch_us(ts) // 86400000000 * 86400000 AS BIGINT) AS from_ms, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")

@@ -340,3 +340,14 @@ def test_linked_lines_and_identity(spark):
     x = spark.createDataFrame([("road", 464), ("road", 700)], "street string, num int")
     y = spark.createDataFrame([("road", 451, 521)], "street string, lo int, hi int")
     assert [r.num for r in joins.interval(x, y, ["street"], "num", "lo", "hi", 50).collect()] == [464]
+
+
+def test_streams_write_to_the_shared_folder(spark):
+    """Streams leave no rows on the driver: output and checkpoint lie below spark.checkpoint.dir."""
+    from geoloom.plans import live as plans
+    from tests.compare import SF
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    for query in (plans.stream_st5_no_repeats, plans.stream_st13_daily):
+        files = query(spark, SF).inputFiles()
+        assert files and all(f"{shared}/streams/" in f for f in files)
