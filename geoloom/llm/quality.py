@@ -6,7 +6,8 @@ step has used, an exact binomial test asks for each place of the path whether th
 rejects is below the allowed one. The first place that fails ends the sequence, so testing many costs nothing. The
 error probability is shared by the strata that are tested, and by rules within them, so that with probability
 1 - DELTA no stratum loses more than ALPHA of its good texts. Which strata are tested follows from their paths and
-their numbers of good texts alone, not from what the tests would find.
+their numbers of good texts alone, not from what the tests would find. Sources with too few good labels for a test of
+their own form one stratum together, and the bound holds for that stratum as a whole.
 """
 
 from __future__ import annotations
@@ -201,7 +202,7 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
     stratum's good texts of the holdout, n_false those of them that its rules reject together. Only counts by stratum,
     rule and step, or place of the path, are gathered, so no group holds more than 4 * len(RULES) * (STEPS + 1) rows.
     """
-    tried = F.pmod(F.xxhash64("id", F.lit("tried")), F.lit(100)) < int(100 * TRIED)
+    tried = _tried()
     steps = F.array(*(F.floor(F.col(r) * STEPS).cast("int") for r in RULES))
     rows = labelled.select("stratum", F.col("quality").cast("int").alias("quality"), tried.alias("tried"), steps.alias("steps"))
     long = rows.select("stratum", "quality", "tried", F.explode(F.arrays_zip(F.array(*map(F.lit, RULES)).alias("rule"), F.col("steps").alias("step"))).alias("s"))
@@ -218,6 +219,26 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
     return judged.mapInPandas(_tested(alpha, *_shared_level({x.n: x.strata for x in numbers}, alpha, delta)), _CUTOFFS)
 
 
+#: The stratum of all sources with too few good labels.
+POOLED = "p"
+
+
+def least_labels(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good texts of the holdout that a stratum needs to pass at all when so many strata share delta with the rules."""
+    return math.ceil(math.log(delta / (strata * len(RULES))) / math.log1p(-alpha))
+
+
+def own_strata(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, own) of the strata of labelled with enough good holdout labels for a test, if as many as there are were tested."""
+    good = labelled.where("quality = 1").groupBy("stratum").agg(F.count(F.when(~_tried(), 1)).alias("n"))
+    good = common.written(good)
+    return good.where(F.col("n") >= least_labels(good.count() + 1, alpha, delta)).select("stratum", F.lit(True).alias("own"))
+
+
+def _tried() -> F.Column:
+    return F.pmod(F.xxhash64("id", F.lit("tried")), F.lit(100)) < int(100 * TRIED)
+
+
 def measured(docs: DataFrame, key: str, text: str, stratum: str, repeat: int = 8) -> DataFrame:
     common.bounded_batches(docs.sparkSession)
     row = F.struct(F.col(key).alias("did"), F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("n")).alias("stratum"))
@@ -234,20 +255,23 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     kept, and rejected_by (the rules whose cutoff for the stratum the text reaches; see `cutoffs`).
 
     labels: (key, label), 1 good and 0 bad. Labels that are null or have no text count for nothing; a key with several
-    labels or several texts counts once for each pair. Only texts that pass the base rules calibrate. A null text has
-    no words and so fails; a null stratum is a stratum of its own; repeated rows are judged alike; other columns are
-    ignored; empty tables give an empty result or reject nothing.
+    labels or several texts counts once for each pair. Only texts that pass the base rules calibrate. Sources with too
+    few good labels (`own_strata`) are judged together, as one stratum. A null text has no words and so fails; a null
+    source is a source of its own; repeated rows are judged alike; other columns are ignored; empty tables give an empty
+    result or reject nothing.
     """
     rows = measured(docs, key, text, stratum)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = common.written(scores(rows.withColumn("base_failed", failed)))
     marks = labels.select(F.col(key).alias("did"), F.col(label).cast("int").alias("quality")).where("quality in (0, 1)")
     labelled = rows.where("not base_failed").join(marks, "did").select(F.col("did").alias("id"), "stratum", "quality", *RULES)
+    labelled = common.written(labelled)
+    own = common.small_side(common.written(own_strata(labelled, alpha, delta)), 10_000)
+    pooled = lambda df: df.join(own, "stratum", "left").withColumn("stratum", F.when(F.col("own"), F.col("stratum")).otherwise(POOLED)).drop("own")
+    rows, labelled = pooled(rows), pooled(labelled)
     found = common.written(cutoffs(labelled, alpha, delta).where("cutoff is not null and not isnan(cutoff)").groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")))
     limits = found.select("stratum", *(F.col(r).alias(f"{r}_cutoff") for r in RULES))
     out = rows.join(common.small_side(limits, 10_000), "stratum", "left")
     by = F.filter(F.array(*(F.when(F.floor(F.col(r) * STEPS) / STEPS >= F.col(f"{r}_cutoff"), r) for r in RULES)), lambda x: x.isNotNull())
     out = out.withColumn("rejected_by", by)
     return out.select(F.col("did").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
-
-

@@ -95,6 +95,17 @@ def features(text, window=8):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dups, len(inside)
 
 
+def scores(text):
+    """The five shares that the quality rules judge by."""
+    t = text or ""
+    n, chars, symbols, dups, repeated = features(t)
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = sum(1 for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+    share = lambda a, b: min(1.0, a / b) if b else 0.0
+    short, long = sum(len(w.encode()) <= 1 for w in words), sum(len(w.encode()) > 30 for w in words)
+    return share(symbols, chars), share(dups, lines), share(repeated, n), share(short, n), share(long, n)
+
+
 def secrets(text):
     t = text or ""
     assign = [("assign", m.start(), m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]

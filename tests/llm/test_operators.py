@@ -219,6 +219,34 @@ def test_quality_cutoffs_of_many_strata(spark):
     assert all(x.cutoff is None or x.cutoff != x.cutoff for (_, rule), x in found.items() if rule not in quality.RULES[:2])
 
 
+def test_quality_small_sources_are_pooled(spark):
+    """On a table whose sources have few labels, together they get cutoffs; kept is what plain scores and those cutoffs say."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    scored = {r.doc_id: brute.scores(r.text) for r in docs.collect()}
+    failed = {k: got[k].base_failed for k in got}
+    rows = [(k, quality.POOLED, q, *map(float, scored[k])) for k, q in marks.items() if not failed[k] and q in (0, 1)]
+    df = spark.createDataFrame(rows, "id long, stratum string, quality int, " + ", ".join(f"{x} double" for x in quality.RULES))
+    limits = {x.rule: x.cutoff for x in quality.cutoffs(df).collect() if x.cutoff is not None and x.cutoff == x.cutoff}
+    assert limits
+    want = {k: not failed[k] and not any(int(s * quality.STEPS) / quality.STEPS >= limits.get(r, 9) for r, s in zip(quality.RULES, scored[k])) for k in got}
+    assert {k: r.kept for k, r in got.items()} == want
+    good = [k for k, q in marks.items() if q == 1 and not failed[k]]
+    bad = [k for k, q in marks.items() if q == 0 and not failed[k]]
+    assert sum(not want[k] for k in good) <= quality.ALPHA * len(good) and sum(not want[k] for k in bad) > 0.5 * len(bad)
+
+
+def test_quality_own_strata(spark):
+    """A stratum stands alone from the number of good holdout labels that lets it pass with all others tested."""
+    rows = [(i, "large", 1) for i in range(2000)] + [(9000 + i, "small", 1) for i in range(50)] + [(19000 + i, "bad", 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, stratum string, quality int")
+    assert [r.stratum for r in quality.own_strata(df).collect()] == ["large"]
+    n = quality.least_labels(3)
+    assert quality.tail(0, n, quality.ALPHA) <= quality.DELTA / (3 * len(quality.RULES)) < quality.tail(0, n - 1, quality.ALPHA)
+
+
 @pytest.fixture(scope="module")
 def identifier(spark):
     return queries.identifier(spark, SF)
@@ -331,6 +359,22 @@ def test_mixing(corpus, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_takes_whole_rows(spark, corpus, empty):
+    """The taken rows keep their texts; null keys, repeated rows and clashing names are told apart."""
+    rows, df = corpus
+    got = mixing.take(df.withColumn("size", F.lit("clash")))
+    assert got.columns == [*df.columns, "size", "source_size", "target", "repeats", "taken"]
+    want = mixing.mix(df).where("taken > 0")
+    same = ("size", "source_size", "repeats", "taken")
+    assert listed(got, *same) == listed(want, *same)
+    texts = sorted((t or "" for _, t in rows))
+    for r in got.collect():
+        assert r.text in texts and len(brute.WORD.findall(r.text.encode())) == r.size and r.row == "clash"
+    many = spark.createDataFrame([(1, "a b c", "x")] * 7 + [(None, "a b c", "x")] * 5 + [(2, None, None), (3, "", "y"), (4, "d e", None)], "doc_id long, text string, source string")
+    assert listed(mixing.take(many), "doc_id", "taken") == listed(mixing.mix(many).where("taken > 0"), "doc_id", "taken")
+    assert mixing.take(empty).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_knapsack(seed):
     r = random.Random(seed)
@@ -389,7 +433,7 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_pipeline(spark):
-    """run() against its stages on plain versions."""
+    """run() against its stages on plain versions, texts included."""
     import corpus_pipeline
 
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -401,7 +445,32 @@ def test_pipeline(spark):
     rows = [r for r, o in zip(rows, brute.overlap(rows, bench)) if o[2] == 0]
     rows = [(k, secrets._redacted(t, secrets.find(t))) for k, t in rows]
     df = spark.createDataFrame([(k, t, docs[k].source) for k, t in rows], "doc_id long, text string, source string")
-    want = mixing.mix(df).where("taken > 0").select("doc_id", "size", "target", "taken")
+    want = mixing.mix(df).where("taken > 0").join(df.select("doc_id", "text"), "doc_id")
     got = corpus_pipeline.run(spark, SF)
-    assert listed(got, "doc_id", "size", "target", "taken") == listed(want, "doc_id", "size", "target", "taken")
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+    columns = ("doc_id", "size", "target", "repeats", "taken", "text")
+    assert listed(got, *columns) == listed(want, *columns)
+    assert got.where("n_chars != length(text)").count() == 0
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and clashing rows pass the stages; an empty table gives an empty result."""
+    import corpus_pipeline
+
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.where("lang = 'en' and length(text) > 300").orderBy("doc_id").limit(3).collect()
+    odd = [(None, None, None, None, None), (9001, "", "en", "src0", 0), (9002, " 12 ", None, None, 4), *[(None, first[0].text + " more", "en", None, 9)] * 3, *[tuple(first[1])] * 2]
+    every = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("row", F.lit("clash")).withColumn("pos", F.lit(1))
+    now = every
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == every.columns, name
+    out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    got = out.collect()
+    assert out.columns == [*every.columns, "size", "source_size", "target", "repeats", "taken"] and got
+    assert all(r.text and r.row == "clash" for r in got)
+    texts = [r.text for r in got]
+    assert len(set(texts)) == len(texts)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, every.limit(0), str(tmp_path)).count() == 0, name
