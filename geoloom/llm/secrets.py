@@ -1,8 +1,9 @@
 """Secrets in texts: patterns, and candidates that only count once their structure is confirmed.
 
-Encoded candidates (base64, base64url, hex) are decoded first. A key must parse: DER nests lengths that must end
-exactly where the outer one ends, an OpenSSH blob is a chain of length-prefixed fields behind a magic word, a signed
-token has a JSON header that names an algorithm and a JSON payload.
+Encoded candidates (base64, base64url, hex; also wrapped over lines) are decoded first, at every alignment of the run.
+A key must then parse somewhere in what is decoded: DER nests lengths that must end exactly where the outer one ends, an
+OpenSSH blob is a chain of length-prefixed fields behind a magic word, a signed token has a JSON header that names an
+algorithm and a JSON payload. Public keys and certificates parse as well, but are no secrets.
 """
 
 from __future__ import annotations
@@ -28,10 +29,19 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_KEY64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_KEYHEX = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+#: Runs of either alphabet, over line breaks between parts of 16 characters and more.
+_KEY64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
+_KEYHEX = re.compile(r"[0-9a-fA-F]{32,}(?:[ \t]*(?:\r?\n|\\n)[ \t]*[0-9a-fA-F]{16,})*(?:[ \t]*(?:\r?\n|\\n)[ \t]*[0-9a-fA-F]+)?")
+_DIGITS = re.compile(r"[A-Za-z0-9+/_-]")
 _WORDS = ("passw", "secret", "token", "api_key", "apikey")
 
+_OPENSSH = b"openssh-key-v1\0"
+_BEGINS = re.compile(rb"\x30[\x16-\x7f\x81-\x84]|" + re.escape(_OPENSSH), re.S)
+#: Identifiers of password-based encryption (PKCS #5 and PKCS #12) begin so.
+_SEALED = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+#: Bytes that a key has at least.
+_LEAST = 24
+
 
 def _decoded64(text: str) -> bytes | None:
     text = re.sub(r"\s|\\n", "", text).replace("-", "+").replace("_", "/").rstrip("=")
@@ -43,34 +53,54 @@ def _decoded64(text: str) -> bytes | None:
         return None
 
 
+def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, where the content begins, where it ends) of the DER element at a place; None if its length does not fit."""
+    if at + 2 > end:
+        return None
+    tag, n, at = data[at], data[at + 1], at + 2
+    if n & 0x80:
+        width = n & 0x7F
+        if not 0 < width <= 4 or at + width > end:
+            return None
+        n, at = int.from_bytes(data[at : at + width], "big"), at + width
+    return (tag, at, at + n) if at + n <= end else None
+
+
 def _der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of the elements that fill data exactly; None if a length does not fit."""
     out, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
+        found = _element(data, at, len(data))
+        if not found:
             return None
-        tag, n, at = data[at], data[at + 1], at + 2
-        if n & 0x80:
-            width = n & 0x7F
-            if not 0 < width <= 4 or at + width > len(data):
-                return None
-            n, at = int.from_bytes(data[at : at + width], "big"), at + width
-        if at + n > len(data):
-            return None
-        out.append((tag, data[at : at + n]))
-        at += n
+        tag, begin, at = found
+        out.append((tag, data[begin:at]))
     return out
 
 
+def _ssh_end(data: bytes, at: int) -> int | None:
+    """Where the OpenSSH private key that begins at a place ends: names, options, public keys and the private block."""
+    at, fields = at + len(_OPENSSH), 0
+    while fields < 3:  # cipher, key derivation, its options
+        if at + 4 > len(data):
+            return None
+        at, fields = at + 4 + int.from_bytes(data[at : at + 4], "big"), fields + 1
+    if at + 4 > len(data):
+        return None
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(min(keys, 16) + 1):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if 0 < keys <= 16 and at <= len(data) else None
+
+
 def is_key(data: bytes | None) -> bool:
-    """Whether decoded bytes are a private or public key structure: nested DER, or OpenSSH's fields."""
-    if not data or len(data) < 24:
+    """Whether decoded bytes are, as a whole, a private key structure: nested DER, or OpenSSH's fields."""
+    if not data or len(data) < _LEAST:
         return False
-    if data.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 0
-        while at + 4 <= len(data) and fields < 3:
-            at, fields = at + 4 + int.from_bytes(data[at : at + 4], "big"), fields + 1
-        return fields == 3 and at + 4 <= len(data)
+    if data.startswith(_OPENSSH):
+        return _ssh_end(data, 0) == len(data)
     if data[0] != 0x30:
         return False
     outer = _der_items(data)
@@ -80,10 +110,54 @@ def is_key(data: bytes | None) -> bool:
     if not inner or len(inner) < 2:
         return False
     tags = [t for t, _ in inner]
-    nested = [x for t, x in inner if t in (0x30, 0xA0, 0xA1)]
-    if any(_der_items(x) is None for x in nested):
+    if any(_der_items(x) is None for t, x in inner if t in (0x30, 0xA0, 0xA1)):
         return False
-    return tags[0] == 0x02 and (len(inner) >= 8 and set(tags) == {0x02} or 0x04 in tags) or tags[:2] == [0x30, 0x03] or tags == [0x30, 0x04]
+    if tags == [0x30, 0x04]:  # encrypted: an algorithm, named by an identifier, and the sealed key
+        named = _der_items(inner[0][1])
+        return bool(named) and named[0][0] == 0x06 and named[0][1].startswith(_SEALED)
+    if tags[0] != 0x02 or len(inner[0][1]) != 1 or inner[0][1][0] > 1:
+        return False  # the others begin with a version
+    return len(inner) >= 6 and set(tags) == {0x02} or 0x04 in tags[1:3]
+
+
+def _keys_in(data: bytes) -> list[tuple[int, int]]:
+    """[begin, end) of the keys within decoded bytes."""
+    out, at = [], 0
+    while m := _BEGINS.search(data, at):
+        begin = m.start()
+        if m[0] == _OPENSSH:
+            end = _ssh_end(data, begin)
+        else:
+            found = _element(data, begin, len(data))
+            end = found and found[2]
+        if end and is_key(data[begin:end]):
+            out.append((begin, end))
+            at = end
+        else:
+            at = begin + 1
+    return out
+
+
+def _encoded(run: re.Match, hexed: bool) -> list[tuple[int, int]]:
+    """[start, end) in the text of the keys that a run encodes, whatever stands before and behind them in it."""
+    places = [run.start() + m.start() for m in _DIGITS.finditer(run[0].replace("\\n", "\n\n"))]
+    text = re.sub(r"[^A-Za-z0-9+/_-]", "", run[0].replace("\\n", "")).replace("-", "+").replace("_", "/")
+    per, bits = (2, 4) if hexed else (4, 6)
+    out: list[tuple[int, int]] = []
+    for phase in range(per):
+        part = text[phase:]
+        if hexed:
+            data = bytes.fromhex(part[: len(part) // 2 * 2])
+        else:
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+        for a, b in _keys_in(data):
+            if hexed or not (8 * a) % 6:  # another phase has the key that begins within a digit
+                first, last = phase + 8 * a // bits, phase + -(-8 * b // bits)
+                start, end = places[first], run.end() if last == len(text) else places[last - 1] + 1
+                if all(end <= x or y <= start for x, y in out):
+                    out.append((start, end))
+    return out
 
 
 def is_token(text: str) -> bool:
@@ -109,8 +183,8 @@ def find(text: str) -> list[tuple[int, int, int]]:
     if max(map(len, text.split()), default=0) >= 32:
         out += [(m.start(), 2, m.end()) for m in _HEX_RUN.finditer(text)]
         out += [(m.start(), 4, m.end()) for m in _TOKEN.finditer(text) if is_token(m[0])] if "eyJ" in text else []
-        out += [(m.start(), 5, m.end()) for m in _KEY64.finditer(text) if is_key(_decoded64(m[0]))]
-        out += [(m.start(), 6, m.end()) for m in _KEYHEX.finditer(text) if is_key(bytes.fromhex(m[0]))]
+        out += [(a, 5, b) for m in _KEY64.finditer(text) for a, b in _encoded(m, False)]
+        out += [(a, 6, b) for m in _KEYHEX.finditer(text) for a, b in _encoded(m, True)]
     if "PRIVATE KEY-----" in text:
         out += [(m.start(), 3, m.end()) for m in _PEM.finditer(text) if is_key(_decoded64(m[2]))]
     return sorted(out)
@@ -157,7 +231,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Secrets of each text: a row (key, n_assign, n_access, n_hex, n_confirmed, base_sha256, spans) for each row.
 
     spans lists kind:start:end (code points, end exclusive) by start, then by the order of `KINDS`, comma-joined;
-    base_sha256 is the digest of that list for the first three kinds alone; n_confirmed counts the other kinds.
+    base_sha256 is the digest of that list for the first three kinds alone; n_confirmed counts the other kinds. Of
+    encoded keys that overlap in a run, that of the first alignment is listed.
     A null or empty text holds none (spans ''); repeated rows, null keys and very long texts are like any others;
     other columns are ignored; an empty table gives an empty result. One pass, no shuffle.
     """
@@ -168,7 +243,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, same columns, with each secret in `text` replaced by [secret]; rows without one are unchanged."""
+    """docs, same columns, with each secret in `text` replaced by [secret]; rows without one, and nulls, are unchanged."""
     common.bounded_batches(docs.sparkSession)
     rows = common.apart(docs, text)
     kind = rows.schema["row"].dataType.simpleString()

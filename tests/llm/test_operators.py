@@ -309,6 +309,32 @@ def test_secrets(corpus, empty):
     assert red.where("text like '%[secret]%'").count() == 5 and red.where("text like '%PRIVATE%'").count() == 0
 
 
+def _spki():
+    return _der(0x30, _der(0x30, _der(6, bytes([0x2A, 0x86, 0x48, 0x86, 0xF7, 0x0D, 1, 1, 1])) + _der(5, b"")) + _der(3, b"\0" + _der(0x30, _der(2, b"\1" * 129) + _der(2, b"\1\0\1"))))
+
+
+def test_keys_at_any_alignment():
+    """A key counts wherever it begins in a run, in either base64 alphabet, wrapped or not; public keys never do."""
+    ec = _der(0x30, _der(2, b"\1") + _der(4, bytes(range(100, 132))) + _der(0xA0, _der(6, bytes([0x2A, 0x86, 0x48, 0xCE, 0x3D, 3, 1, 7]))))
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"q" * 136))
+    kinds = lambda text: {secrets.KINDS[k] for _, k, _ in secrets.find(text)}
+    for key in (RSA, ec, ssh):
+        plain, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("=")
+        for before in ("", "a", "bc", "key/", "x+9-_"):
+            for text in (before + plain, before + url):
+                assert "key64" in kinds(text)
+                a, b = next((a, b) for a, k, b in secrets.find(text) if k == 5)
+                assert secrets.is_key(secrets._decoded64(text[a:b])) and a == len(before)
+        lines = "\n".join(plain[i : i + 64] for i in range(0, len(plain), 64))
+        a, b = next((a, b) for a, k, b in secrets.find("some words\n" + lines + "\nmore") if k == 5)
+        assert (a, b) == (11, 11 + len(lines))
+        for before in ("", "f"):
+            assert "keyhex" in kinds(before + key.hex()) and "keyhex" in kinds((before + key.hex()).upper())
+    public = _spki()
+    for text in (base64.b64encode(public).decode(), public.hex(), base64.b64encode(b"openssh-key-v1\0" + bytes(60)).decode()):
+        assert not kinds(text) & {"key64", "keyhex", "pem"}
+
+
 @pytest.mark.parametrize("change", [lambda d: d[:-1], lambda d: d + b"\0", lambda d: b"\x31" + d[1:], lambda d: d[:4] + b"\x04" + d[5:]])
 def test_broken_keys_are_none(change):
     assert secrets.is_key(RSA) and not secrets.is_key(change(RSA))
