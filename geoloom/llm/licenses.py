@@ -3,7 +3,7 @@
 A template is aligned with a stretch of text: words that occur once in either are anchors, the longest increasing
 subsequence of their places is kept, and the gaps between kept anchors are aligned the same way until nothing unique
 is left; equal words right before and after a match belong to it. Coverage is the share of the template's words so
-matched.
+matched; the words that identify a license must all be among them.
 """
 
 from __future__ import annotations
@@ -18,20 +18,60 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Texts of public license notices.
+#: Texts of public license notices, by the name that is reported (what follows a space tells apart the
+#: wordings of one license). Words in [] identify the license: a stretch that misses one of them is no match.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "Apache-2.0": "Licensed under the [Apache] License, Version [2.0].",
+    "Apache-2.0 notice": "Licensed under the [Apache] License, Version [2.0] (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "Apache-2.0 short notice": "Licensed under the [Apache] License, Version [2.0] (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "BSD": "Released under the [BSD] License.",
+    "BSD-2-Clause": "Released under the [BSD] [2]-[Clause] License.",
+    "BSD-3-Clause": "Released under the [BSD] [3]-[Clause] License.",
+    "BSD-2-Clause text": "[Redistribution] and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following [disclaimer]. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause text": "[Redistribution] and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following [disclaimer]. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. [Neither] the name of the copyright holder nor the names of its contributors may be used to [endorse] or [promote] products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC": "Released under the [ISC] License.",
+    "ISC text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice [appear] in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER [TORTIOUS] ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "GPL notice": "This program is free software: you can redistribute it and/or modify it under the terms of the [GNU] [General] [Public] License as published by the Free Software Foundation, either version [{v}] of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL short notice": "This program is free software: you can redistribute it and/or modify it under the terms of the [GNU] [General] [Public] License as published by the Free Software Foundation, either version [{v}] of the License, or (at your option) any later version.",
+    "GPL": "This work is licensed under the [GNU] [General] [Public] License, version [{v}].",
+    "LGPL": "This work is licensed under the [GNU] [Lesser] [General] [Public] License, version [{v}].",
+    "LGPL short notice": "This library is free software; you can redistribute it and/or modify it under the terms of the [GNU] [Lesser] [General] [Public] License as published by the Free Software Foundation; either version [{v}] of the License, or (at your option) any later version.",
+    "AGPL": "This work is licensed under the [GNU] [Affero] [General] [Public] License, version [{v}].",
+    "AGPL short notice": "This program is free software: you can redistribute it and/or modify it under the terms of the [GNU] [Affero] [General] [Public] License as published by the Free Software Foundation, either version [{v}] of the License, or (at your option) any later version.",
+    "MIT": "Released under the [MIT] License.",
+    "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, [sublicense], and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MIT grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, [sublicense], and/or sell copies of the Software",
+    "MPL-2.0": "Released under the [Mozilla] Public License, Version [2.0].",
+    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the [Mozilla] Public License, v. [2.0]. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the [public] [domain]. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to [alter] it and redistribute it freely, subject to the following restrictions",
 }
+#: The versions of the GNU licenses, and the kinds and versions of the Creative Commons ones.
+GNU_VERSIONS = {"GPL": ("1", "2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+CC_KINDS = {"BY": "Attribution", "BY-SA": "Attribution ShareAlike", "BY-NC": "Attribution NonCommercial", "BY-ND": "Attribution NoDerivatives", "BY-NC-SA": "Attribution NonCommercial ShareAlike", "BY-NC-ND": "Attribution NonCommercial NoDerivatives"}
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def templates() -> dict[str, str]:
+    """The templates with those of each version and kind written out, and each license's short identifier line."""
+    out = {}
+    for name, text in TEMPLATES.items():
+        license, _, wording = name.partition(" ")
+        for v in GNU_VERSIONS.get(license, ("",)):
+            full = f"{license}-{v if '.' in v else v + '.0'}" if v else license
+            out[f"{full} {wording}".strip()] = text.format(v=v) if v else text
+    marked = lambda words: " ".join(f"[{w}]" for w in re.split(r"[ -]", words))
+    for kind, words in CC_KINDS.items():
+        for v in CC_VERSIONS:
+            out[f"CC-{kind}-{v}"] = f"Licensed under [CC] {marked(kind)} [{v}]."
+            out[f"CC-{kind}-{v} name"] = f"This work is licensed under a Creative [Commons] {marked(words)} [{v}] International License."
+    for license in sorted({name.split(" ")[0] for name in out}):
+        out[f"{license} identifier"] = f"[SPDX] License [Identifier] {marked(license)}"
+    return out
+
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+(?:\.[0-9]+)*")
+_MARKED = re.compile(rb"\[([0-9a-z\x80-\xff]+(?:\.[0-9]+)*)\]|([0-9a-z\x80-\xff]+(?:\.[0-9]+)*)")
 
 
 def _unique(words, lo: int, hi: int) -> dict[int, int]:
@@ -84,11 +124,21 @@ def align(text, template) -> list[tuple[int, int]]:
 
 
 class Templates:
+    """Templates as numbers of words; `needed` are the places and `marks` the numbers of the words that identify each."""
+
     def __init__(self, texts: dict[str, str]):
-        words = {k: _WORD.findall(t.lower().encode()) for k, t in sorted(texts.items()) if t}
-        self.names = [k for k, w in words.items() if w]
-        self.numbers = {w: n for n, w in enumerate(sorted({w for ws in words.values() for w in ws}), 1)}
-        self.words = [[self.numbers[w] for w in words[k]] for k in self.names]
+        names, words, needed = [], [], []
+        for name, text in sorted(texts.items()):
+            found = [(m[1] or m[2]) for m in _MARKED.finditer((text or "").lower().encode())]
+            if found:
+                names.append(name)
+                words.append(found)
+                needed.append({i for i, m in enumerate(_MARKED.finditer(text.lower().encode())) if m[1]})
+        self.names = names
+        self.numbers = {w: n for n, w in enumerate(sorted({w for ws in words for w in ws}), 1)}
+        self.words = [[self.numbers[w] for w in ws] for ws in words]
+        self.needed = needed
+        self.marks = [{ws[i] for i in need} for ws, need in zip(self.words, needed)]
         self.held = [np.bincount(ws, minlength=len(self.numbers) + 1) for ws in self.words]
 
 
@@ -126,8 +176,11 @@ def scan_text(text: bytes, templates: Templates, least: float) -> list[tuple[str
     """(template, coverage, start, end) in words of each stretch of text that covers a template well enough."""
     get = templates.numbers.get
     ids = np.array([get(w, 0) for w in _WORD.findall(text)], np.int64)
+    present = set(np.unique(ids).tolist())
     every = []
-    for name, template, held in zip(templates.names, templates.words, templates.held):
+    for name, template, held, needed, marks in zip(templates.names, templates.words, templates.held, templates.needed, templates.marks):
+        if not marks <= present:
+            continue
         found = []
         for a, b in _stretches(ids, template, held, least):
             part = ids[a:b].tolist()
@@ -135,7 +188,7 @@ def scan_text(text: bytes, templates: Templates, least: float) -> list[tuple[str
             while todo:
                 lo, hi = todo.pop()
                 matches = _within(align(part[lo:hi], template), len(template))
-                if len(matches) >= least * len(template):
+                if len(matches) >= least * len(template) and needed <= {j for _, j in matches}:
                     s, e = lo + matches[0][0], lo + matches[-1][0] + 1
                     found.append((len(matches), len(matches) / len(template), a + s, a + e))
                     todo += [(lo, s), (e, hi)]
@@ -146,7 +199,7 @@ def scan_text(text: bytes, templates: Templates, least: float) -> list[tuple[str
     out: list[tuple[str, float, int, int]] = []
     for _, c, name, x, y in sorted(every):  # the template with most words in a place takes it
         if all(y <= s or e <= x for _, _, s, e in out):
-            out.append((name, -c, x, y))
+            out.append((name.split(" ")[0], -c, x, y))
     return out
 
 
@@ -156,14 +209,15 @@ _SPAN = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start
 def _scanned(sent, least: float):
     def scanned(batches):
         templates = sent.value
-        common_words = sorted(templates.numbers)
-        marks = [w for w in common_words if len(w) >= 3]
+        numbered = {n: w for w, n in templates.numbers.items()}
+        # each template needs one of its rarest words: a text without any of them holds none
+        marks = sorted({max((numbered[n] for n in (need or set(words))), key=len) for need, words in zip(templates.marks, templates.words)}) if all(templates.marks) else None
         for batch in batches:
             raw, at = common.texts(batch.column("text"))
             out = []
             for k in range(batch.num_rows):
                 text = bytes(raw[at[k] : at[k + 1]]).lower()
-                found = scan_text(text, templates, least) if any(m in text for m in marks) else []
+                found = scan_text(text, templates, least) if marks is None or any(m in text for m in marks) else []
                 found.sort(key=lambda x: (x[2], x[3], x[0]))
                 best = max(found, key=lambda x: (x[1], x[3] - x[2], x[0]), default=None)
                 out.append((best and best[0], best[1] if best else 0.0, len(found), [dict(zip(("license", "coverage", "start", "end"), x)) for x in found]))
@@ -179,15 +233,17 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, least: float = 0.
 
     spans lists every stretch that covers a template at least to `least` (license, coverage, start and end in words of
     letters, digits and characters beyond ASCII, case folded); license and coverage are those of the best one (of equal
-    ones the longer, then the later name), else null and 0. Of templates that cover the same words the one that
-    matches most of them is listed. A null or empty
-    text has none; repeated rows, null keys and very long texts are like any others; other columns are ignored.
-    One pass, no shuffle; the templates are sent to the executors.
+    ones the longer, then the later name), else null and 0. A stretch that misses a word in [] of the template is none,
+    so a near name or another version is not taken for it; of templates that cover the same words the one that matches
+    most of them is listed. texts: templates by name, what follows a space in a name is not reported (default:
+    `templates()`). A null or empty text has none; repeated rows, null keys and very long texts are like any others;
+    other columns are ignored, also such that bear the result's names; an empty table gives an empty result. One pass,
+    no shuffle; the templates are sent to the executors.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.select(F.col(key).alias("did"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["did"]
-    sent = spark.sparkContext.broadcast(Templates(TEMPLATES if texts is None else texts))
+    sent = spark.sparkContext.broadcast(Templates(templates() if texts is None else texts))
     out = rows.mapInArrow(_scanned(sent, least), f"did {kind}, license string, coverage double, n_spans long, spans array<struct<license:string,coverage:double,start:long,end:long>>")
     return out.withColumnRenamed("did", key)

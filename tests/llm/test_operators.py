@@ -431,19 +431,57 @@ def test_targets(spark):
     assert all(abs(got[k] - capped.get(k, level * w)) < 1e-9 for k, w in weights.items())
 
 
+def _plain(template):
+    return template.replace("[", "").replace("]", "")
+
+
 def test_licenses(spark, empty):
-    mit = licenses.TEMPLATES["MIT-notice"]
+    mit = _plain(licenses.TEMPLATES["MIT text"])
     filler = " ".join(f"w{i}" for i in range(300))
     rows = [(1, filler + " Released under the MIT License. " + filler), (2, mit + " " + filler + " " + mit), (3, mit.replace("software", "program", 1).upper()), (4, None), (5, ""), (6, "the of and to any person obtaining"), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (7, filler * 20)]
-    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("not (doc_id = 7 and n_spans = 0)").collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash")).withColumn("did", F.lit(0))
+    out = {r.doc_id: r for r in licenses.scan(df).where("not (doc_id = 7 and n_spans = 0)").collect()}
     assert out[1].license == "MIT" and out[1].coverage == 1 and out[1].spans[0]["start"] == 300
-    assert out[2].license == "MIT-notice" and [s["license"] for s in out[2].spans] == ["MIT-notice"] * 2
-    assert out[3].license == "MIT-notice" and 0.9 < out[3].coverage < 1
+    assert out[2].license == "MIT" and [s["license"] for s in out[2].spans] == ["MIT"] * 2
+    assert out[3].license == "MIT" and 0.9 < out[3].coverage < 1
     assert out[4].n_spans == out[5].n_spans == out[6].n_spans == 0
     assert {s["license"] for s in out[7].spans} == {"CC-BY-NC-4.0", "MIT"}
     assert licenses.scan(empty).count() == 0 and licenses.scan(empty, {}).count() == 0
 
 
+def test_licenses_planted(spark):
+    """Every template, whole or with words lost, among words that none has: found where it was put, and nothing else."""
+    r = random.Random(8)
+    known = licenses.templates()
+    word = lambda: f"w{r.randrange(500)}"
+    rows, want = [], []
+    for i, (name, text) in enumerate(sorted(known.items())):
+        parts = [(m[1] or m[2]).decode() for m in licenses._MARKED.finditer(text.encode().lower())]
+        needed = {k for k, m in enumerate(licenses._MARKED.finditer(text.encode().lower())) if m[1]}
+        loose = [k for k in range(1, len(parts) - 1) if k not in needed]
+        kind, coverage = i % 3, 1.0
+        if kind == 1 and len(parts) >= 10:  # a few words are others
+            gone = r.sample(loose, len(parts) // 20 + 1)
+            parts = [word() if k in gone else x for k, x in enumerate(parts)]
+            coverage = 1 - len(gone) / len(parts)
+        before, after = ([word() for _ in range(r.randrange(1, 400))] for _ in range(2))
+        rows.append((i, " ".join(before + parts + after)))
+        want.append((i, name.split(" ")[0], round(coverage, 9), len(before), len(before) + len(parts)))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.inline("spans"))
+    got = sorted((x.doc_id, x.license, round(x.coverage, 9), x.start, x.end) for x in found.collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("text, license", [
+    ("Released under the BSD License.", "BSD"), ("Released under the ISC License.", "ISC"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("CC BY-ND 4.0.", None),
+    ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), ("GNU General Public License, version 2", None), ("Creative Commons Attribution 3.0", None), ("This work is licensed under a Creative Commons Attribution 3.0 International License.", "CC-BY-3.0"),
+    ("Licensed under the Apache License, Version 1.1.", None), ("Licensed under CC BY-NC-SA 2.5.", "CC-BY-NC-SA-2.5"), ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"), ("the MIT students were released under the license", None),
+])
+def test_near_licenses(text, license):
+    found = licenses.scan_text(text.lower().encode(), licenses.Templates(licenses.templates()), 0.8)
+    assert [x[0] for x in found] == ([license] if license else [])
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_alignment_is_a_common_subsequence(seed):
     r = random.Random(seed)
