@@ -194,7 +194,11 @@ class _Scorer:
 
 
 def _words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, which are what str.isalpha says: re's word characters also hold numbers that are no digits."""
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 _KEPT: dict = {}
@@ -292,8 +296,9 @@ def identify(docs: DataFrame, sent, key: str = "doc_id", text: str = "text") ->
 
     lang_pred is a learned language, or und (rejected, score 0) if the text is null or has no letter or nothing was
     learned; score is the model's confidence in it, 0 to 1; entropy the cross-entropy in nats a character; rejected
-    whether that is above the calibrated limit. Repeated rows, null keys and very long texts are like any others; other
-    columns are ignored. One pass, no shuffle.
+    whether that is above the calibrated limit. Letters are what str.isalpha says. Of languages with equal cross-entropy the
+    first by name is taken. Repeated rows, null keys and very long texts are like any others; other columns are ignored;
+    an empty table gives an empty result. One pass, no shuffle.
     """
     out = _apply(docs.select(F.struct(F.col(key).alias("did")).alias("row"), F.col(text).alias("text")), sent)
     return out.select(F.col("row.did").alias(key), "lang_pred", "score", "entropy", "n_letters", "rejected")
