@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import common, windows
 
-#: Bytes of item texts that are sent to the executors at once; a larger benchmark is looked up in several such blocks.
-MOST_SENT = 64 << 20
+#: Windows of item texts in a block that is sent to the executors; a larger benchmark is looked up block after block.
+MOST_SENT = 1_000_000
 
 #: Lower-cases A-Z; all of ASCII that is no digit or letter becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -41,15 +41,27 @@ class Tests:
         size = len(self.numbers) + 1
         pairs = [x[:-1] * size + x[1:] for x in self.items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        places: dict[bytes, list[tuple[int, int]]] = {}
+        keys, item, place = [], [], []
+        width = 4 * length
         for k, x in enumerate(self.items):
             n = min(length, len(x))
-            for j in range(len(x) - n + 1):
-                places.setdefault(x[j : j + n].astype(">u4").tobytes(), []).append((k, j))
-        self.places = sorted(places.items())
-        width = 4 * length
-        self.low = np.array([k for k, _ in self.places], f"S{width}")
-        self.high = np.array([k + b"\xff" * (width - len(k)) for k, _ in self.places], f"S{width}")
+            rows = np.zeros((len(x) - n + 1, length), ">u4")
+            rows[:, :n] = np.lib.stride_tricks.sliding_window_view(x, n)
+            keys.append(np.ascontiguousarray(rows).view(f"S{width}").ravel())
+            item.append(np.full(len(rows), k, np.int32))
+            place.append(np.arange(len(rows), dtype=np.int32))
+        keys = np.concatenate(keys) if keys else np.zeros(0, f"S{width}")
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        #: Where each distinct window begins among all of them, and of each the item and the place in it.
+        self.begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.ends = np.r_[self.begins[1:], len(keys)].astype(np.int64)
+        self.item, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int32) for x in (item, place))
+        self.low = keys[self.begins]
+        self.sizes = np.array([-(-len(k) // 4) for k in self.low.tolist()], np.int64)
+        high = self.low.copy().view(np.uint8).reshape(-1, width)
+        high[np.arange(width) >= 4 * self.sizes[:, None]] = 255
+        self.high = high.view(f"S{width}").ravel()
 
 
 def _shard(words: list[list[bytes]], tests: Tests):
@@ -61,7 +73,7 @@ def _shard(words: list[list[bytes]], tests: Tests):
     for b, w in zip(begin.tolist(), words):
         ids[b : b + len(w)] = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
     hit, found = np.zeros(len(ids) + 1, np.int32), {}
-    if not tests.places:
+    if not len(tests.low):
         return hit, begin, found
     pair = np.isin(ids[:-1] * (len(tests.numbers) + 1) + ids[1:], tests.pairs) if tests.least > 1 else ids[:-1] > 0
     need = max(1, tests.least - 1)
@@ -75,8 +87,8 @@ def _shard(words: list[list[bytes]], tests: Tests):
     suffixes, keys = at[order], keys[order]
     first, last = np.searchsorted(keys, tests.low, "left"), np.searchsorted(keys, tests.high, "right")
     for k in np.flatnonzero(last > first):
-        key, places = tests.places[k]
-        n = len(key) // 4
+        n, spread = int(tests.sizes[k]), slice(tests.begins[k], tests.ends[k])
+        places = list(zip(tests.item[spread].tolist(), tests.place[spread].tolist()))
         for p in suffixes[first[k] : last[k]].tolist():
             hit[p] += 1
             hit[p + n] -= 1
@@ -98,44 +110,45 @@ def _shard(words: list[list[bytes]], tests: Tests):
 
 
 _MATCH = pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())])
+_MATCHES = "array<struct<item_id:string,start:long,item_start:long,words:long>>"
+
 
+def _looked_up(block, length: int):
+    """Look a block up; mask has a bit for each word that is hit so far, matches the longest match of each item found."""
 
-def _looked_up(blocks, length: int, with_text: bool):
     def looked_up(batches):
-        tests = [Tests(b.value, length) for b in blocks] if len(blocks) == 1 else None
+        tests = Tests(block.value, length)
         for batch in batches:
             raw, at = common.texts(batch.column("text"))
+            earlier = list(zip(batch.column("mask"), batch.column("matches"))) if "mask" in batch.schema.names else None
             out = []
             for i, j in windows.chunks(batch):
                 words = [words_of(bytes(raw[at[k] : at[k + 1]])) for k in range(i, j)]
-                total = None
-                matches: list[dict] = [{} for _ in words]
-                for test in tests or (Tests(b.value, length) for b in blocks):
-                    hit, begin, found = _shard(words, test)
-                    total = hit if total is None else total + hit
-                    for k, best in found.items():
-                        matches[k].update((test.ids[item], m) for item, m in best.items())
+                total, begin, found = _shard(words, tests)
                 covered = np.cumsum(total) > 0
                 for k, w in enumerate(words):
                     mine = covered[begin[k] : begin[k] + len(w)]
-                    ids = sorted(matches[k])
-                    out.append((len(w), int(mine.sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), [dict(zip(("item_id", "start", "item_start", "words"), (x, *matches[k][x]))) for x in ids]))
-            cols = list(zip(*out)) if out else [()] * 5
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(_MATCH)]
-            own = ["row", "text"] if with_text else ["row"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in own), *(pa.array(c, t) for c, t in zip(cols, kinds))], [*own, "n_words", "n_hit", "n_items", "items_sha256", "matches"])
+                    matches = {tests.ids[item]: m for item, m in found.get(k, {}).items()}
+                    if earlier:
+                        mask, held = earlier[i + k]
+                        mine = mine | np.unpackbits(np.frombuffer(mask.as_py(), np.uint8), count=len(w)).astype(bool)
+                        matches |= {m["item_id"]: (m["start"], m["item_start"], m["words"]) for m in held.as_py()}
+                    ids = sorted(matches)
+                    listed = [dict(zip(("item_id", "start", "item_start", "words"), (x, *matches[x]))) for x in ids]
+                    out.append((len(w), int(mine.sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), np.packbits(mine).tobytes(), listed))
+            cols = list(zip(*out)) if out else [()] * 6
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.list_(_MATCH)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["row", "text", "n_words", "n_hit", "n_items", "items_sha256", "mask", "matches"])
 
     return looked_up
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str):
-    """Item blocks of at most MOST_SENT bytes, each gathered and sent by itself."""
+def _items(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, int]:
+    """(block, i, t) of the items, dealt by a hash of the id into blocks of about MOST_SENT words at most, and how many."""
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null and i is not null")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-2 * size // MOST_SENT))
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    n_words = F.size(F.split("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    n = max(1, -(-(items.agg(F.sum(n_words)).first()[0] or 0) // MOST_SENT))
+    return items.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n))), n
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -146,8 +159,9 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: s
     n_items (items with occurring windows), items_sha256 (of their ids, sorted as strings, comma-joined), matches (for
     each such item its longest verbatim match: item_id, start and item_start in words, words) and contaminated.
     A null or empty text has no words; items without words or with a null id are none; items that repeat count once by
-    id. Repeated rows, null keys and very long texts are like any others; other columns are ignored. One pass over
-    docs, no shuffle; the benchmark is sent in blocks of bounded size.
+    id. Repeated rows, null keys and very long texts are like any others; other columns are ignored, also such that bear
+    the result's names; an empty table of docs gives an empty result, one of items no hits. One pass over docs for each
+    block of the benchmark, no shuffle; one block is in memory at a time, in the driver and in a task.
     """
     found = _found(docs.select(F.struct(F.col(key).alias("did")).alias("row"), F.col(text).alias("text")), benchmark, length, item, item_text)
     return found.select(F.col("row.did").alias(key), "n_words", "n_hit", "n_items", "items_sha256", "matches", (F.col("n_hit") > 0).alias("contaminated"))
@@ -155,12 +169,21 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: s
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs, same columns, without the rows that hold a window of a benchmark item."""
-    found = _found(common.apart(docs, text), benchmark, length, item, item_text, with_text=True)
+    found = _found(common.apart(docs, text), benchmark, length, item, item_text)
     return common.together(found.where("n_hit = 0"), docs.columns, text)
 
 
-def _found(rows: DataFrame, benchmark: DataFrame, length: int, item: str, item_text: str, with_text: bool = False) -> DataFrame:
-    common.bounded_batches(rows.sparkSession)
-    kind = rows.schema["row"].dataType.simpleString() + ", text string" * with_text
-    blocks = list(_blocks(benchmark, item, item_text))
-    return rows.mapInArrow(_looked_up(blocks, length, with_text), f"row {kind}, n_words long, n_hit long, n_items long, items_sha256 string, matches array<struct<item_id:string,start:long,item_start:long,words:long>>")
+def _found(rows: DataFrame, benchmark: DataFrame, length: int, item: str, item_text: str) -> DataFrame:
+    spark = rows.sparkSession
+    common.bounded_batches(spark)
+    out = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, n_hit long, n_items long, items_sha256 string, mask binary, matches {_MATCHES}"
+    items, n = _items(benchmark, item, item_text)
+    for b in range(n):
+        block = spark.sparkContext.broadcast([tuple(r) for r in items.where(F.col("block") == b).select("i", "t").collect()])
+        found = rows.mapInArrow(_looked_up(block, length), out)
+        if b == n - 1:
+            return found
+        # the next block is looked up in what this one leaves; then neither it nor the table before is needed
+        before, rows = rows, common.written(found.select("row", "text", "mask", "matches"))
+        common.dropped(before)
+        block.destroy()
