@@ -10,8 +10,8 @@ from .common import table
 
 #: The rules of the URL contract.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Hosts that the URL filter blocks where no rule fits.
-BLOCKED_HOSTS = ("adult-x.example.com", "adult-x.example.net", "adult-x.example.org", "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org", "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org")
+#: Names of trades whose hosts the URL filter lists as blocked, for what no rule fits.
+BLOCKED_NAMES = ("adult", "ads", "bets", "casino", "pills", "spam")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(sf_dir, "documents", spark)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def url_rules(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The contract's rules, and after them the list of hosts that Spark derives from the pages."""
+    rules = spark.createDataFrame([(0, *x) for x in URL_RULES], "layer int, key string, verdict string")
+    return rules.unionByName(urls.hosts_named(pages, BLOCKED_NAMES).withColumn("layer", F.lit(1)))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = urls.judge(table(sf_dir, "pages", spark), URL_RULES, [(h, "block") for h in BLOCKED_HOSTS])
+    pages = table(sf_dir, "pages", spark)
+    judged = urls.judge(pages, url_rules(spark, pages))
     return judged.select("page_id", "host", "path", F.when(F.col("layer") == 0, F.col("fit")).alias("rule"), "verdict")
 
 
@@ -90,7 +97,7 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|[.])(adult-x|cheap-pills|spam-farm)[.]example[.](com|net|org)$') THEN 'block'
+  WHEN regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM ruled
 """

@@ -1,31 +1,40 @@
 """URL filters over a sorted digest array.
 
-The rules' keys (host/path prefixes) are held as ascending 64-bit xxhash digests beside their full strings, in files
-that Spark ships to each executor and tasks map into memory, so workers of a machine share one copy. A URL is probed
-with every key that could fit it, by one vectorised binary search for a whole batch, and a digest that is found only
-counts if the stored string equals the probe.
+The rules' keys (host/path prefixes) are held as ascending 64-bit xxhash digests beside their full strings, in shards by
+range of digest. Spark packs the shards, each in one task, and ships their files to each executor, where tasks map them
+into memory, so workers of a machine share one copy and a list of any size costs the driver nothing but file names. A URL
+is probed with every key that could fit it, by one vectorised binary search for a whole batch in each shard, and a digest
+that is found only counts if the stored string equals the probe.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that are shipped as files; a longer list is joined by digest instead.
-MOST_SHIPPED = 2_000_000
+from . import common
+
+#: Keys of a shard, about.
+SHARD_KEYS = 1 << 20
 
 
 def _digests(keys: list[str]) -> np.ndarray:
+    """The digests that Spark's xxhash64 gives."""
     import xxhash
 
-    return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
+    return np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys))
+
+
+def _shard_of(digests: np.ndarray, shards: int) -> np.ndarray:
+    return ((digests >> np.uint64(1)).astype(np.float64) / 2.0**63 * shards).astype(np.int64).clip(0, max(0, shards - 1))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -52,75 +61,124 @@ def _suffixes(host: str) -> list[str]:
 def _probes(host: str, path: str, lengths: list[int]) -> list[str]:
     """Every key that could fit, longest first; a longer host before a longer path."""
     tails = [path[:n] for n in lengths if n <= len(path)]
-    return sorted((h + "/" + t[1:] if t else h for h in _suffixes(host) for t in tails if not t or t[0] == "/"), key=lambda k: (-len(k), k.find("/") if "/" in k else len(k)))
+    return sorted((h + "/" + t[1:] if t else h for h in _suffixes(host) for t in tails if not t or t[0] == "/"), key=lambda k: (-len(k), -(k.find("/") if "/" in k else len(k))))
 
 
-class Index:
-    """The mapped arrays: digests ascending, where each string begins, the strings, and the verdicts."""
+_PARTS = ("digests", "starts", "strings", "kinds")
 
-    def __init__(self, folder: str, name: str):
-        path = lambda part: os.path.join(folder, f"{name}-{part}")
-        self.digests = np.load(path("digests.npy"), mmap_mode="r")
-        self.starts = np.load(path("starts.npy"), mmap_mode="r")
-        self.verdicts = np.load(path("verdicts.npy"), mmap_mode="r")
-        self.strings = np.load(path("strings.npy"), mmap_mode="r")
 
-    def find(self, keys: list[str]) -> np.ndarray:
-        """The place of each key in the array, or -1."""
-        digests = _digests(keys)
-        at = np.searchsorted(self.digests, digests)
-        out = np.full(len(keys), -1)
+def packed(keys: list[str], kinds: list[int]) -> dict[str, np.ndarray]:
+    """A shard: digests ascending, where each string begins, the strings, and kinds (2 * layer, and 1 for block).
+
+    A key that several layers have comes with its kinds ascending, so the first layer's is found first.
+    """
+    digests = _digests(keys)
+    order = np.lexsort((np.array(kinds), digests))
+    raw = [keys[i].encode() for i in order]
+    return {"digests": digests[order], "starts": np.cumsum([0, *map(len, raw)]).astype(np.int64), "strings": np.frombuffer(b"".join(raw), np.uint8), "kinds": np.array([kinds[i] for i in order], np.int16)}
+
+
+def _pack(key, rows):
+    parts = packed(rows.column("key").to_pylist(), rows.column("kind").to_pylist())
+    return pa.table({"shard": rows.column("shard").slice(0, 1), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in parts.items()}})
+
+
+class Shard:
+    """The mapped arrays of a shard in a folder."""
+
+    def __init__(self, folder: str):
+        self.digests, self.starts, self.strings, self.kinds = (np.load(os.path.join(folder, f"{x}.npy"), mmap_mode="r") for x in _PARTS)
+
+    def find(self, keys: list[str], digests: np.ndarray) -> np.ndarray:
+        """The kind of each key, or -1."""
+        at, out = np.searchsorted(self.digests, digests), np.full(len(keys), -1)
         for i in np.flatnonzero(self.digests[np.minimum(at, len(self.digests) - 1)] == digests) if len(self.digests) else ():
             key, j = keys[i].encode(), int(at[i])
             while j < len(self.digests) and self.digests[j] == digests[i]:
                 if self.strings[self.starts[j] : self.starts[j + 1]].tobytes() == key:
-                    out[i] = j
-                    break
+                    out[i] = self.kinds[j] if out[i] < 0 else min(out[i], self.kinds[j])
                 j += 1
         return out
 
 
-def _save(rules: list[tuple[str, str]], folder: str) -> str:
-    rules = sorted(dict(rules).items())
-    digests = _digests([k for k, _ in rules])
-    order = np.argsort(digests, kind="stable")
-    keys = [rules[i][0].encode() for i in order]
-    name = uuid.uuid4().hex
-    parts = {"digests": digests[order], "starts": np.cumsum([0, *map(len, keys)]), "strings": np.frombuffer(b"".join(keys), np.uint8), "verdicts": np.array([rules[i][1] == "block" for i in order], bool)}
-    for part, values in parts.items():
-        np.save(os.path.join(folder, f"{name}-{part}.npy"), values)
-    return name
+def _mapped(file: str) -> dict[int, str]:
+    """The folders with the arrays of a shipped file's shards; the first worker of a machine that asks unpacks them."""
+    folder = f"{file}.arrays"
+    if not os.path.isdir(folder):
+        new = tempfile.mkdtemp(dir=os.path.dirname(file))
+        table = pq.read_table(file)
+        for row in range(table.num_rows):
+            own = os.path.join(new, str(table.column("shard")[row].as_py()))
+            os.mkdir(own)
+            for part, kind in zip(_PARTS, (np.uint64, np.int64, np.uint8, np.int16)):
+                np.save(os.path.join(own, f"{part}.npy"), np.frombuffer(table.column(part)[row].as_py(), kind))
+        try:
+            os.rename(new, folder)
+        except OSError:  # another worker was first
+            shutil.rmtree(new)
+    return {int(x): os.path.join(folder, x) for x in os.listdir(folder)}
 
 
-def ship(spark: SparkSession, rules: list[tuple[str, str]]) -> str:
-    """Write the index and have Spark hand its files to every executor, also to those that join later."""
-    folder = tempfile.mkdtemp(prefix="url-index-")
-    name = _save(rules, folder)
-    for part in ("digests", "starts", "strings", "verdicts"):
-        spark.sparkContext.addFile(os.path.join(folder, f"{name}-{part}.npy"))
-    return name
+class Index:
+    """All shards of an index by the files that Spark ships; a shard is opened when a probe falls into it."""
 
+    def __init__(self, files: list[str], shards: int):
+        self.files, self.shards, self.folders, self.opened = files, shards, None, {}
 
-def _lengths(rules: list[tuple[str, str]]) -> list[int]:
-    return sorted({len(k) - k.find("/") if "/" in k else 0 for k, _ in rules})
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The kind of each key, or -1."""
+        out = np.full(len(keys), -1)
+        if not self.shards or not keys:
+            return out
+        if self.folders is None:
+            self.folders = {k: v for x in self.files for k, v in _mapped(SparkFiles.get(x)).items()}
+        digests = _digests(keys)
+        shard = _shard_of(digests, self.shards)
+        for k in np.unique(shard).tolist():
+            if k in self.folders:
+                mine = np.flatnonzero(shard == k)
+                self.opened.setdefault(k, None)
+                self.opened[k] = self.opened[k] or Shard(self.folders[k])
+                out[mine] = self.opened[k].find([keys[i] for i in mine], digests[mine])
+        return out
 
 
-def _judged(layers: list[tuple[str, list[int]]]):
+def ship(rules: DataFrame) -> tuple[Index, list[int]]:
+    """Pack rules (layer, key, verdict) into shards and have Spark hand their files to every executor, also to those that
+    join later; and the distinct lengths of the rules' paths."""
+    spark = rules.sparkSession
+    once = rules.where("key is not null").groupBy("layer", "key").agg(F.max("verdict").alias("verdict"))
+    once = common.written(once.withColumn("kind", (2 * F.col("layer") + F.when(F.col("verdict") == "block", 1).otherwise(0)).cast("int")))
+    slash = F.instr("key", "/")
+    lengths = sorted(r[0] for r in once.select(F.when(slash > 0, F.length("key") - slash + 1).otherwise(0).alias("n")).distinct().collect())
+    shards = -(-once.count() // SHARD_KEYS)
+    if not shards:
+        return Index([], 0), lengths
+    part = F.floor(F.shiftrightunsigned(F.xxhash64("key"), 1) / F.lit(2.0**63) * shards)
+    placed = once.select(F.least(part, F.lit(shards - 1)).cast("int").alias("shard"), "key", "kind")
+    table = common.written(placed.groupBy("shard").applyInArrow(_pack, "shard int, digests binary, starts binary, strings binary, kinds binary"), "none")
+    common.dropped(once)
+    files = sorted(table.select("_metadata.file_path").distinct().toPandas()["file_path"])
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return Index([os.path.basename(x) for x in files], shards), lengths
+
+
+def _judged(index: Index, lengths: list[int]):
     def judged(batches):
-        opened = [(Index(SparkFiles.getRootDirectory(), name), lengths) for name, lengths in layers]
         for batch in batches:
             parts = [split_url(u) for u in batch.column("url").to_pylist()]
-            fit, verdict, layer = [None] * len(parts), ["allow"] * len(parts), [None] * len(parts)
-            for n, (index, lengths) in enumerate(opened):
-                left = [i for i, x in enumerate(layer) if x is None]
-                probes = [_probes(*parts[i], lengths) for i in left]
-                flat = [k for x in probes for k in x]
-                found, at = index.find(flat), 0
-                for i, x in zip(left, probes):
-                    hit = next((j for j in range(at, at + len(x)) if found[j] >= 0), -1)
-                    if hit >= 0:
-                        fit[i], verdict[i], layer[i] = flat[hit], "block" if index.verdicts[found[hit]] else "allow", n
-                    at += len(x)
+            probes = [_probes(*x, lengths) for x in parts]
+            flat = [k for x in probes for k in x]
+            kinds, at = index.find(flat), 0
+            fit, verdict, layer = [], [], []
+            for x in probes:
+                found = [(int(k) // 2, j) for j, k in enumerate(kinds[at : at + len(x)]) if k >= 0]
+                first = min(found, default=None)  # the earliest layer, in it the longest key
+                fit.append(first and x[first[1]])
+                layer.append(first and first[0])
+                verdict.append("block" if first and kinds[at + first[1]] % 2 else "allow")
+                at += len(x)
             hosts, paths = zip(*parts) if parts else ((), ())
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
             new = [pa.array(x, pa.string()) for x in (hosts, paths, fit, verdict)]
@@ -129,46 +187,33 @@ def _judged(layers: list[tuple[str, list[int]]]):
     return judged
 
 
-def judge(pages: DataFrame, *layers: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """The verdict on each url: a row (key, host, path, fit, verdict, layer) for each row of pages.
 
-    A layer is a list of rules (host/path prefix or bare host, allow or block); a later layer only judges what no rule
-    of an earlier one fits. A rule fits its host and all subdomains if the path starts with the rule's; a bare host
-    fits every path. The longest key that fits wins (of equal ones that with the longer host); fit is that key and
-    layer its list's number, or both are null and the verdict is allow. Host: after the first :// up to / ? # or the
-    end, A-Z lower-cased; path: from there up to ? # or the end; null urls and urls without :// have neither and are
-    allowed. Repeated rows and null keys are like any others; other columns are ignored. One pass, no shuffle.
-    Layers of over `MOST_SHIPPED` rules go to `judge_by_join` instead.
+    rules: (layer, key, verdict), of any number: a host/path prefix or a bare host, allow or block, in layers from 0 on;
+    a later layer only judges what no rule of an earlier one fits. A rule fits its host and all subdomains if the path
+    starts with the rule's; a bare host fits every path. The longest key that fits wins (of equal ones that with the
+    longer host); a key with several verdicts in a layer blocks; a null key is no rule. fit is that key and layer its
+    number, or both are null and the verdict is allow. Host: after the first :// up to / ? # or the end, A-Z
+    lower-cased; path: from there up to ? # or the end; null urls, empty ones and urls without :// have neither and are
+    allowed. A very long url costs a probe for each label of its host and length of a rule's path. Repeated rows and
+    null keys are like any others; other columns are ignored, also such that bear the result's names; an empty table of
+    pages gives an empty result, one of rules allows all. One pass over pages, no shuffle of them.
     """
-    if any(len(rules) > MOST_SHIPPED for rules in layers):
-        raise ValueError(f"more than {MOST_SHIPPED} rules in a list: write them as a table and use judge_by_join")
+    common.bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("did"), F.col(url).alias("url"))
     kind = dict(rows.dtypes)["did"]
-    shipped = [(ship(pages.sparkSession, rules), _lengths(rules)) for rules in layers]
-    out = rows.mapInArrow(_judged(shipped), f"did {kind}, host string, path string, fit string, verdict string, layer int")
+    out = rows.mapInArrow(_judged(*ship(rules)), f"did {kind}, host string, path string, fit string, verdict string, layer int")
     return out.withColumnRenamed("did", key)
 
 
-def judge_by_join(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """As `judge`, for rules (key, verdict) of any number: probes meet the rules in a shuffle by digest.
+def host_of(url: str = "url") -> F.Column:
+    """The host of a url as a column: lower-cased after the first ://, or null."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(F.nullif(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), upper, upper.lower())
 
-    The rules' path lengths are gathered, of which there are as many as there are distinct lengths. A key that has
-    several verdicts blocks.
-    """
-    slash = F.instr("key", "/")
-    rules = rules.groupBy("key").agg(F.max("verdict").alias("verdict")).withColumn("digest", F.xxhash64("key"))
-    lengths = sorted(r[0] for r in rules.select(F.when(slash > 0, F.length("key") - slash + 1).otherwise(0).alias("n")).distinct().collect())
 
-    def probed(batches):
-        for batch in batches:
-            parts = [split_url(u) for u in batch.column("url").to_pylist()]
-            hosts, paths = zip(*parts) if parts else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array([_probes(h, p, lengths) for h, p in parts], pa.list_(pa.string()))], ["url", "host", "path", "keys"])
-
-    urls = pages.select(F.col(url).alias("url")).distinct().mapInArrow(probed, "url string, host string, path string, keys array<string>")
-    probes = urls.select("url", "host", "path", F.posexplode_outer("keys").alias("place", "key")).withColumn("digest", F.xxhash64("key"))
-    hit = probes.join(rules, ["digest", "key"], "left")
-    best = hit.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.min(F.when(F.col("verdict").isNotNull(), F.struct("place", "key", "verdict"))).alias("best"))
-    rows = pages.select(F.col(key).alias("did"), F.col(url).alias("url"))
-    joined = rows.alias("p").join(best.alias("b"), F.col("p.url").eqNullSafe(F.col("b.url")))
-    return joined.select(F.col("did").alias(key), "host", "path", F.col("best.key").alias("fit"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+def hosts_named(pages: DataFrame, names, url: str = "url") -> DataFrame:
+    """(key, verdict): the hosts among the urls of pages that bear one of the names as a part between dots or hyphens."""
+    host = pages.select(host_of(url).alias("key")).where(F.col("key").rlike(f"(^|[.-])({'|'.join(names)})([.-]|$)"))
+    return host.distinct().withColumn("verdict", F.lit("block"))

@@ -343,18 +343,41 @@ def test_broken_keys_are_none(change):
 def test_urls(spark):
     rows = [(1, "https://A.Example.NET/en/x"), (2, "http://net/"), (3, "http://x.org/fr/"), (4, "http://notexample.com/de/"), (5, "ftp://w.example.com/de/1?q"), (6, None), (7, "no url"), (8, "http://bad.host"), (8, "http://bad.host"), (None, "http://sub.bad.host/p"), (9, "://"), (10, "http://.net/"), (11, "http://x.org?/fr/")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
-    block = [("bad.host", "block")]
-    got = {(r.page_id, r.host, r.path, r.fit, r.verdict, r.layer) for r in urls.judge(df, queries.URL_RULES, block).collect()}
+    made = lambda *layers: spark.createDataFrame([(n, *x) for n, rules in enumerate(layers) for x in rules], "layer int, key string, verdict string")
+    block = [("bad.host", "block"), ("bad.host", "allow"), ("net/", "allow"), (None, "block")]
+    got = {(r.page_id, r.host, r.path, r.fit, r.verdict, r.layer) for r in urls.judge(df, made(queries.URL_RULES, block)).collect()}
     assert got == {
         (1, "a.example.net", "/en/x", "example.net/en/", "allow", 0), (2, "net", "/", "net/", "block", 0), (3, "x.org", "/fr/", "org/fr/", "allow", 0), (4, "notexample.com", "/de/", None, "allow", None),
         (5, "w.example.com", "/de/1", "example.com/de/", "block", 0), (6, "", "", None, "allow", None), (7, "", "", None, "allow", None), (8, "bad.host", "", "bad.host", "block", 1), (None, "sub.bad.host", "/p", "bad.host", "block", 1),
         (9, "", "", None, "allow", None), (10, ".net", "/", "net/", "block", 0), (11, "x.org", "", None, "allow", None),
     }
-    flat = urls.judge(df, [*queries.URL_RULES, *block])
-    joined = urls.judge_by_join(df, spark.createDataFrame([*queries.URL_RULES, *block], "key string, verdict string"))
-    same = ("page_id", "host", "path", "fit", "verdict")
-    assert listed(flat, *same) == listed(joined, *same)
-    assert urls.judge(df.limit(0), queries.URL_RULES).count() == 0 and urls.judge(df, []).where("verdict = 'block'").count() == 0
+    assert urls.judge(df.limit(0), made(queries.URL_RULES)).count() == 0 and urls.judge(df, made([])).where("verdict = 'block'").count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 500 + "bad.host/" + "x" * 100_000), (2, "http://" + "b" * 100_000)], "page_id long, url string")
+    assert listed(urls.judge(long, made(block)), "page_id", "verdict") == [(1, "block"), (2, "allow")]
+
+
+def test_urls_shards(spark, monkeypatch):
+    """A list over many shards judges as plain lookups do."""
+    monkeypatch.setattr(urls, "SHARD_KEYS", 50)
+    r = random.Random(6)
+    label = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 3)))
+    host = lambda: ".".join(label() for _ in range(r.randint(1, 3)))
+    rules = [(r.randrange(2), host() + r.choice(["", "/", "/p/", "/p/q"]), r.choice(["allow", "block"])) for _ in range(600)]
+    pages = [(i, f"http://{host()}{r.choice(['', '/', '/p/x', '/p/q/r', '?p'])}") for i in range(500)]
+    held: dict = {}
+    for n, k, v in rules:
+        held[n, k] = max(v, held.get((n, k), ""))
+    want = []
+    for i, url in pages:
+        h, p = urls.split_url(url)
+        fits = [(n, -len(k), -len(kh), k) for n, k in held if (h == (kh := k.partition("/")[0]) or h.endswith("." + kh)) and p.startswith(k[len(kh) :])]
+        best = min(fits, default=None)
+        want.append((i, best and best[3], held[best[0], best[3]] if best else "allow", best and best[0]))
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    table = spark.createDataFrame(rules, "layer int, key string, verdict string")
+    index, _ = urls.ship(table)
+    assert index.shards > 4
+    assert listed(urls.judge(df, table), "page_id", "fit", "verdict", "layer") == sorted(want, key=str)
 
 
 def test_url_digest_collisions(tmp_path, monkeypatch):
@@ -362,10 +385,10 @@ def test_url_digest_collisions(tmp_path, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(urls, "_digests", lambda keys: np.full(len(keys), 7, np.uint64))
-    name = urls._save([("a", "block"), ("b", "allow"), ("c/d", "block")], str(tmp_path))
-    index = urls.Index(str(tmp_path), name)
-    found = index.find(["c/d", "b", "zz", "a"])
-    assert [None if i < 0 else bool(index.verdicts[i]) for i in found] == [True, False, None, True]
+    for part, values in urls.packed(["a", "b", "c/d", "b"], [1, 2, 3, 0]).items():
+        np.save(tmp_path / f"{part}.npy", values)
+    keys = ["c/d", "b", "zz", "a"]
+    assert urls.Shard(str(tmp_path)).find(keys, urls._digests(keys)).tolist() == [3, 0, -1, 1]
 
 
 def test_mixing(corpus, empty):
