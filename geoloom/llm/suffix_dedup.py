@@ -62,7 +62,7 @@ def _sampled(length: int, buckets: int):
                 pos = [grid[: np.searchsorted(grid, n - depth + 1)] for n in at[rows + 1] - at[rows]]
                 doc = np.repeat(np.arange(len(rows)), [len(x) for x in pos])
                 pos = np.concatenate(pos)
-                prints = windows.fingerprints(data[at[i] : at[j]], depth, pos + at[rows][doc] - at[i])
+                prints = windows.both(data[at[i] : at[j]], depth, pos + at[rows][doc] - at[i])
                 yield from windows.as_batches(windows.rows_for_buckets(prints, doc, pos, tid[rows], tid[rows], buckets, "repeat"))
 
     return sample
@@ -77,7 +77,8 @@ def _candidates(length: int, buckets: int):
             found = batch.column("pos")
             for i, j in windows.chunks(batch, CANDIDATE_BYTES):
                 doc, pos = [], []
-                for k in range(i, j):
+                _, once = np.unique(tid[i:j], return_index=True)  # rows that repeat count once
+                for k in (np.sort(once) + i).tolist():
                     n, hits = int(at[k + 1] - at[k]) - length + 1, found[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
                     reach = np.zeros(n + 1, np.int32)
                     np.add.at(reach, np.clip(hits - v + 1, 0, n), 1)
@@ -87,7 +88,7 @@ def _candidates(length: int, buckets: int):
                     doc.append(np.full(len(p), k - i))
                 doc, pos = np.concatenate(doc), np.concatenate(pos)
                 if len(pos):
-                    prints = windows.fingerprints(data[at[i] : at[j]], length, pos + at[i:j][doc] - at[i])
+                    prints = windows.both(data[at[i] : at[j]], length, pos + at[i:j][doc] - at[i])
                     yield from windows.as_batches(windows.rows_for_buckets(prints, doc, pos, tid[i:j], tid[i:j], buckets, "repeat"))
 
     return suffixes
@@ -124,19 +125,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     Returns a row for each row of docs: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
     spans (array of [start, end) in bytes). A null or empty text has no bytes and keeps nothing. Rows that repeat,
     also with the same or a null key, are documents of their own: copies of `length` bytes or more go whole. Other
-    columns are ignored; an empty table gives an empty result. Texts are told apart by a 64-bit hash.
+    columns are ignored; an empty table gives an empty result. Texts are told apart by their SHA-256. key holds whole
+    numbers (or text that reads as such).
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("did"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("tid", F.xxhash64("text"))
-    small = common.written(rows.select("did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
-    texts = small.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first"))
+    rows, small = common.told_apart(rows, lambda df: df.select("did", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
+    texts = common.written(small.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first")))
     buckets = windows.buckets(spark)
 
     sample = common.written(windows.repeated(rows.select("tid", "text").mapInArrow(_sampled(length, buckets), windows.PACKED), "repeat"))
-    wanted = texts.join(sample, "tid")
-    reached = common.written(rows.join(wanted, "tid").where((F.col("n") == 1) | F.col("did").eqNullSafe(F.col("first"))).select("tid", "n", "text", "pos"))
+    wanted = texts.join(sample, "tid").withColumnRenamed("tid", "wtid")
+    # one row of each text: by text and key, so that the copies of a text are dealt out
+    reached = rows.join(wanted, (F.col("tid") == F.col("wtid")) & F.col("did").eqNullSafe(F.col("first"))).select("tid", "n", "text", "pos")
+    reached = common.written(reached)
     common.dropped(sample)
     starts = windows.repeated(reached.select("tid", "text", "pos").mapInArrow(_candidates(length, buckets), windows.PACKED), "repeat").withColumnRenamed("pos", "starts")
     starts = common.written(starts)
@@ -144,9 +147,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     common.dropped(starts)
     common.dropped(reached)
 
+    many = texts.where("n > 1").select("tid", "n")
+    flagged = small.join(common.hot(many, "n", small.count()).withColumnRenamed("n", "hot"), "tid", "left")
+    rest = flagged.where("hot is null").drop("hot").join(many, "tid", "left").join(cut, "tid", "left")
+    none = {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<struct<start:long,end:long>>"}
+    crowd = flagged.where("hot is not null").withColumnRenamed("hot", "n").withColumns({k: F.lit(None).cast(v) for k, v in none.items()})
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= length)
     nothing = F.array().cast("array<struct<start:long,end:long>>")
-    return small.join(texts.where("n > 1").select("tid", "n"), "tid", "left").join(cut, "tid", "left").select(
+    return rest.unionByName(crowd).select(
         F.col("did").alias(key),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

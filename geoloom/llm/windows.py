@@ -2,8 +2,9 @@
 
 A round sends (fingerprint, text id, position) of chosen windows to buckets of fingerprints, packed as
 binary columns; a bucket is sorted by itself, and the positions whose fingerprint repeats go back by text id.
-Fingerprints are 64 bits of a polynomial over random values, so equal windows always meet and two unequal
-ones of n meet with probability n*n/2**65.
+A fingerprint is 64 bits of a polynomial over random values and a second polynomial, with other values and another base,
+of which 16 bits are sent and the rest choose the bucket. Equal windows always meet; two unequal ones of n are taken for
+equal with probability n * n / (2**81 * buckets): for 2e13 windows in 3e6 buckets that is 6e-5.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 _SEGMENT = 1 << 16
-_BASE = 6364136223846793005
+#: The bases of the two polynomials.
+_BASES = (6364136223846793005, 2862933555777941757)
 #: Bytes of text that one packed chunk covers at most (a longer text is a chunk of its own).
 CHUNK_BYTES = 16 << 20
 
@@ -27,32 +29,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A fixed random 64-bit value for each byte.
-BYTE_VALUES = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+#: Two fixed random 64-bit values for each byte.
+BYTE_VALUES = tuple(_mixed(_mixed(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) for k in range(2))
 
 
 class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    held = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
 
     @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    def to(cls, n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.held[which][0]) < n:
+            base = _BASES[which]
+            up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
-            cls.up, cls.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        return cls.up, cls.down
+            cls.held[which] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        return cls.held[which]
 
 
-def fingerprints(values: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+def fingerprints(values: np.ndarray, length: int, at: np.ndarray, which: int = 0) -> np.ndarray:
     """Fingerprints of values[p : p + length] for ascending p in `at`; values are uint64, or bytes."""
     out = np.empty(len(at), np.uint64)
-    up, down = _Powers.to(_SEGMENT + length + 1)
+    up, down = _Powers.to(_SEGMENT + length + 1, which)
     edges = np.searchsorted(at, np.arange(0, len(values) + _SEGMENT, _SEGMENT))
     for k in np.flatnonzero(np.diff(edges)):
         lo, hi, i = edges[k], edges[k + 1], k * _SEGMENT
         v = values[i : i + _SEGMENT + length]
-        v = BYTE_VALUES[v] if v.dtype == np.uint8 else v
+        v = BYTE_VALUES[which][v] if v.dtype == np.uint8 else _mixed(v) if which else v
         total = np.zeros(len(v) + 1, np.uint64)
         np.cumsum(v * up[: len(v)], out=total[1:])
         p = at[lo:hi] - i
@@ -60,6 +62,21 @@ def fingerprints(values: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
     return _mixed(out)
 
 
+def both(values: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints, and those of the second polynomial."""
+    return fingerprints(values, length, at), fingerprints(values, length, at, 1)
+
+
+def _sorted(prints: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by fingerprint and check, and where each distinct one begins in it."""
+    order = np.argsort(prints, kind="stable")
+    s, c = prints[order], checks[order]
+    if ((s[1:] == s[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, prints))
+        s, c = prints[order], checks[order]
+    return order, np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])]) if len(s) else np.zeros(0, np.int64)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Small non-negative numbers as compressed byte planes."""
     import zstandard
@@ -90,20 +107,21 @@ def _positions(counts: np.ndarray, data: bytes) -> np.ndarray:
     return total - np.repeat(before, counts)
 
 
-PACKED = "bucket int, tid binary, did binary, counts binary, steps binary, prints binary, known binary, ktid binary, kcounts binary, ksteps binary"
+PACKED = "bucket int, tid binary, did binary, counts binary, steps binary, prints binary, checks binary, known binary, ktid binary, kcounts binary, ksteps binary"
 
 
-def rows_for_buckets(prints, doc, pos, tids, dids, buckets: int, mode: str):
+def rows_for_buckets(both, doc, pos, tids, dids, buckets: int, mode: str):
     """Pack one chunk's windows into a row for each bucket.
 
     mode: "repeat" (any two places), "shared" (two texts) or "later" (a text with a smaller did has it).
     What the chunk alone already decides is pre-aggregated: such windows are sent once, as known, and the
     positions travel without fingerprints.
     """
+    prints, checks = both
     n = len(prints)
-    order = np.argsort(prints, kind="stable")
-    s = prints[order]
-    start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if n else np.zeros(0, np.int64)
+    to = ((checks >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+    checks = checks.astype(np.uint16)
+    order, start = _sorted(prints, checks)
     size = np.diff(np.r_[start, n])
     settled, sent, known = np.zeros(n, bool), np.ones(n, bool), np.zeros(n, bool)
     if mode == "repeat":
@@ -120,7 +138,6 @@ def rows_for_buckets(prints, doc, pos, tids, dids, buckets: int, mode: str):
         witness = order[start[many]]
         sent = ~settled
         sent[witness] = known[witness] = True
-    to = (prints % np.uint64(buckets)).astype(np.int32)
     parts = {}
     for name, chosen in (("sent", np.flatnonzero(sent)), ("settled", np.flatnonzero(settled))):
         chosen = chosen[np.argsort(to[chosen], kind="stable")]
@@ -131,10 +148,10 @@ def rows_for_buckets(prints, doc, pos, tids, dids, buckets: int, mode: str):
         if len(mine) or len(settled_here):
             d, counts, steps = _steps(doc[mine], pos[mine])
             kd, kcounts, ksteps = _steps(doc[settled_here], pos[settled_here])
-            yield (b, tids[d].tobytes(), dids[d].tobytes(), counts.astype(np.uint32).tobytes(), steps, prints[mine].tobytes(), np.packbits(known[mine]).tobytes(), tids[kd].tobytes(), kcounts.astype(np.uint32).tobytes(), ksteps)
+            yield (b, tids[d].tobytes(), dids[d].tobytes(), counts.astype(np.uint32).tobytes(), steps, prints[mine].tobytes(), checks[mine].tobytes(), np.packbits(known[mine]).tobytes(), tids[kd].tobytes(), kcounts.astype(np.uint32).tobytes(), ksteps)
 
 
-_ARROW = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in ("tid", "did", "counts", "steps", "prints", "known", "ktid", "kcounts", "ksteps")])
+_ARROW = pa.schema([("bucket", pa.int32())] + [(x, pa.binary()) for x in ("tid", "did", "counts", "steps", "prints", "checks", "known", "ktid", "kcounts", "ksteps")])
 
 
 def as_batches(rows, most: int = 4096):
@@ -165,26 +182,25 @@ def _found(mode: str, parts: int):
     """The repeated windows of a bucket, packed into a row for each part of the texts."""
 
     def bucket(key, rows):
-        tid, did, pos, prints, known, ktid, kpos = [], [], [], [], [], [], []
-        for r in rows.select(["tid", "did", "counts", "steps", "prints", "known", "ktid", "kcounts", "ksteps"]).to_batches():
+        tid, did, pos, prints, checks, known, ktid, kpos = [], [], [], [], [], [], [], []
+        for r in rows.select(["tid", "did", "counts", "steps", "prints", "checks", "known", "ktid", "kcounts", "ksteps"]).to_batches():
             for row in zip(*r.columns):
-                t, d, c, s, p, k, kt, kc, ks = (x.as_py() for x in row)
+                t, d, c, s, p, h, k, kt, kc, ks = (x.as_py() for x in row)
                 c, kc = np.frombuffer(c, np.uint32).astype(np.int64), np.frombuffer(kc, np.uint32).astype(np.int64)
                 tid.append(np.repeat(np.frombuffer(t, np.int64), c))
                 if mode == "later":
                     did.append(np.repeat(np.frombuffer(d, np.int64), c))
                 pos.append(_positions(c, s).astype(np.int32))
                 prints.append(np.frombuffer(p, np.uint64))
+                checks.append(np.frombuffer(h, np.uint16))
                 known.append(np.unpackbits(np.frombuffer(k, np.uint8), count=int(c.sum())).astype(bool))
                 ktid.append(np.repeat(np.frombuffer(kt, np.int64), kc))
                 kpos.append(_positions(kc, ks).astype(np.int32))
-        tid, pos, prints, known, ktid, kpos = map(np.concatenate, (tid, pos, prints, known, ktid, kpos))
-        order = np.argsort(prints, kind="stable")
-        s = prints[order]
-        del prints
-        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[start, len(s)])
-        if not len(s):
+        tid, pos, prints, checks, known, ktid, kpos = map(np.concatenate, (tid, pos, prints, checks, known, ktid, kpos))
+        order, start = _sorted(prints, checks)
+        del prints, checks
+        size = np.diff(np.r_[start, len(order)])
+        if not len(order):
             hit = np.zeros(0, bool)
         elif mode == "later":
             did = np.concatenate(did)

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm import components, decontaminate, jaccard_join, language, licenses, mixing, quality, queries, secrets, substring_dedup, suffix_dedup, urls
+from geoloom.llm import common, components, decontaminate, jaccard_join, language, licenses, mixing, quality, queries, secrets, substring_dedup, suffix_dedup, urls, windows
 from tests.compare import SF, compare
 from tests.llm import brute
 
@@ -96,6 +96,38 @@ def test_substring_dedup_repeated_rows(spark):
         assert got == sorted(brute.seen_before(rows, 13), key=str)
 
 
+@pytest.mark.parametrize("shortest", [1, 2, 13])
+def test_substring_levels(corpus, shortest):
+    """The result does not depend on the length that doubling starts from."""
+    rows, df = corpus
+    got = listed(substring_dedup.remove_seen(df, shortest=shortest), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.seen_before(rows, 13), key=str)
+
+
+def test_levels():
+    assert substring_dedup.levels(13) == [4, 7, 13] and substring_dedup.levels(13, 1) == [1, 2, 4, 7, 13] and substring_dedup.levels(3) == [3]
+
+
+def test_clashing_text_hashes(corpus, monkeypatch):
+    """Texts that share a hash are still told apart, in both operators that go by it."""
+    rows, df = corpus
+    monkeypatch.setattr(common, "text_hash", lambda: F.pmod(F.xxhash64("text"), F.lit(7)))
+    got = listed(suffix_dedup.remove_repeats(df, 120), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.repeats(rows, 120), key=str)
+    got = listed(substring_dedup.remove_seen(df), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.seen_before(rows, 13), key=str)
+
+
+def test_windows_checks(monkeypatch):
+    """Windows of one fingerprint are told apart by the second one."""
+    import numpy as np
+
+    prints, checks = np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint16)
+    order, start = windows._sorted(prints, checks)
+    groups = [sorted(order[a:b].tolist()) for a, b in zip(start, [*start[1:], 5])]
+    assert groups == [[0, 2], [1, 4], [3]]
+
+
 def test_substring_lengths(spark):
     w = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(["x"] + w[20:80] + ["y"])), (3, "nothing shared")], "doc_id long, text string")
