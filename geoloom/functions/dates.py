@@ -25,7 +25,8 @@ def month_day(code, year) -> Column:
 
 def acquired(day, hhmm) -> Column:
     """A UTC time from a date and an unpadded hour and minute."""
-    t = F.lpad(_c(hhmm).cast("string"), 4, "0")
+    raw = F.trim(_c(hhmm).cast("string"))
+    t = F.when(raw.rlike(r"^\d{1,4}$"), F.lpad(raw, 4, "0"))
     return F.try_to_timestamp(F.concat(_c(day).cast("string"), F.lit(" "), F.substring(t, 1, 2), F.lit(":"), F.substring(t, 3, 2), F.lit(":00")))
 
 
@@ -58,7 +59,7 @@ def block_label(year, size: int = 5) -> Column:
 def iso_duration(x) -> Column:
     """A signed ISO-8601 duration as seconds; null if it is none."""
     s = _c(x)
-    pattern = r"^([+-]?)P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+    pattern = r"^(-?)P(?:(\d+(?:\.\d+)?)D)?(?:T(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
     part = lambda k: F.coalesce(F.regexp_extract(s, pattern, k).try_cast("double"), F.lit(0.0))
     seconds = part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
     return F.when(s.rlike(pattern), F.when(s.startswith("-"), -seconds).otherwise(seconds))

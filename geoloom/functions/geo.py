@@ -105,6 +105,12 @@ def boxes_overlap(a, b) -> Column:
     return (w <= f) & (e >= x) & (s <= m) & (n >= t)
 
 
+def box_inside(a, b) -> Column:
+    """Whether the first (west, south, east, north) box lies within the second, borders included."""
+    (w, s, e, n), (x, t, f, m) = (tuple(map(_c, x)) for x in (a, b))
+    return (w >= x) & (e <= f) & (s >= t) & (n <= m)
+
+
 def snap_out(low, high, step: float) -> tuple[Column, Column]:
     """An interval widened to multiples of step."""
     return F.floor(_c(low) / step) * step, F.ceil(_c(high) / step) * step
@@ -179,3 +185,21 @@ def seeds(k, n) -> tuple[Column, Column]:
     k, n = _c(k), _c(n)
     lat = F.degrees(F.asin(((k + 0.5) / n * 2 - 1) * math.sin(math.radians(88))))
     return lat, F.pmod(k * 137.50776405003785 + 180, F.lit(360.0)) - 180
+
+
+def rounded(coordinates, depth: int, digits: int = 6) -> Column:
+    """Arrays of numbers nested so deep, every number rounded."""
+    inner = (lambda x: F.round(x, digits)) if depth == 1 else (lambda x: rounded(x, depth - 1, digits))
+    return F.transform(_c(coordinates), inner)
+
+
+def mean_vertex(points) -> tuple[Column, Column]:
+    """The mean of the vertices of an array of structs (x, y)."""
+    p = _c(points)
+    return tuple(F.aggregate(p, F.lit(0.0), lambda a, q: a + q[k]) / F.nullif(F.size(p), F.lit(0)) for k in ("x", "y"))
+
+
+def collapsed(polygons) -> Column:
+    """Polygon or MultiPolygon as a struct (type, polygons): rings without four points go, then polygons without rings; null if none is left."""
+    kept = F.filter(F.transform(_c(polygons), lambda rings: F.filter(rings, lambda r: F.size(r) >= 4)), lambda rings: F.size(rings) > 0)
+    return F.when(F.size(kept) > 0, F.struct(F.when(F.size(kept) == 1, "Polygon").otherwise("MultiPolygon").alias("type"), kept.alias("polygons")))

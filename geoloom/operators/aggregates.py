@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.operators import scratch
+
 #: Tracts that an area needs, and people of each group, before a dissimilarity index is given.
 LEAST_TRACTS, LEAST_GROUP = 3, 100
 
@@ -58,6 +60,13 @@ def top_list(key: str, value: str, n: int) -> Column:
     return F.array_join(F.transform(F.slice(ordered, 1, n), lambda x: F.concat(x["k"].cast("string"), F.lit(":"), F.format_string("%.1f", -x["v"]))), ",")
 
 
+def first_of_each(rows: DataFrame, key: str, order: list[str], n: int, parts: int = 64) -> DataFrame:
+    """The first n rows of each key: n of each of some parts of a key first, so that a hot key never meets whole."""
+    salt = F.pmod(F.xxhash64(*order), F.lit(parts))
+    some = rows.withColumn("_s", salt).withColumn("_k", F.row_number().over(W.partitionBy(key, "_s").orderBy(*order))).where(F.col("_k") <= n).drop("_s", "_k")
+    return some.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+
+
 def grid_density(points: DataFrame, x: str, y: str, cell: float, reach: float) -> DataFrame:
     """Quartic kernel density per unit area on a grid: (cx, cy, density) of the cells whose centres are within reach.
 
@@ -75,11 +84,11 @@ def grid_density(points: DataFrame, x: str, y: str, cell: float, reach: float) -
 def index_breaks(values: DataFrame, column: str, parts: list[float], least: float) -> DataFrame:
     """The values at place floor(p * n) of the ascending values from `least` on, by p.
 
-    Ranks come from counts of distinct values, so nothing is collected into one list.
+    Ranks come from counts of distinct values, dealt out by range, so nothing is collected into one list or one task.
     """
     counts = values.where(F.col(column) >= least).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.orderBy("v"))
-    ranked = counts.withColumn("upto", upto).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("of"))))
+    counts = scratch.written(counts)
+    ranked = scratch.prefix_sums(counts, "v", "n").crossJoin(F.broadcast(counts.agg(F.sum("n").alias("of"))))
     asked = F.explode(F.array(*map(F.lit, parts))).alias("p")
     return ranked.select("v", "upto", "n", "of", asked).withColumn("at", F.floor(F.col("p") * F.col("of"))).where("at >= upto - n and at < upto").select("p", F.col("v").alias("break"))
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.operators import scratch
 
 #: Rows up to which a side is broadcast after it was counted.
 MOST_BROADCAST = 100_000
@@ -119,35 +122,55 @@ def within(a: DataFrame, b: DataFrame, km: float, size: float | None = None, rad
     return left.join(right, "_cell").withColumn("km", geo.haversine("lat", "lon", "blat", "blon", radius)).where(F.col("km") <= km).drop("_cell")
 
 
-def nearest(a: DataFrame, b: DataFrame, key: str, other: str, first_km: float = 500.0, radius: float = geo.MEAN_KM) -> DataFrame:
+#: Kilometres up to which circles are searched, and degrees of the cells that farther points are found by.
+FAR_KM, FAR_DEGREES = 1000.0, 2
+
+
+def nearest(a: DataFrame, b: DataFrame, key: str, other: str, first_km: float | None = None, radius: float = geo.MEAN_KM) -> DataFrame:
     """(key, other, km) of the nearest row of b for each row of a; of equal ones the smallest `other`.
 
-    A row that finds one within the radius is done; the others go on with twice the radius, until it spans the globe.
+    Circles come first, from a radius that holds some rows of b where they lie evenly (or first_km): a row that finds
+    one within is done, the others go on with twice the radius. What has none within FAR_KM is held against the
+    occupied cells of b, of which there are at most 16,200, and then against the rows of those that can be nearest.
     """
-    left, out, km = a.select(key, "lat", "lon").where(geo.valid_point("lat", "lon")), None, first_km
+    left = a.select(key, "lat", "lon").where(geo.valid_point("lat", "lon"))
     points = b.select(other, F.col("lat").alias("blat"), F.col("lon").alias("blon")).where(geo.valid_point("blat", "blon"))
-    best = F.min(F.struct("km", other))
-    while True:
-        last = km >= math.pi * radius
-        hit = within(left, points, km, radius=radius).groupBy(key).agg(best.alias("b")).select(key, f"b.{other}", "b.km")
+    km = first_km or max(1.0, 4 * radius / math.sqrt(max(1, points.count())))
+    best, out = F.min(F.struct("km", other)), None
+    while km < FAR_KM:
+        hit = scratch.written(within(left, points, km, radius=radius).groupBy(key).agg(best.alias("b")).select(key, f"b.{other}", "b.km"))
         out = hit if out is None else out.unionByName(hit)
-        if last:
-            return out
-        hit = hit.persist()
-        left, km = left.join(hit.select(key), key, "left_anti").persist(), min(2 * km, math.pi * radius + 1)
+        left, km = scratch.written(left.join(hit.select(key), key, "left_anti")), 2 * km
         if left.isEmpty():
             return out
+    placed = points.withColumns({"_r": F.floor(F.col("blat") / FAR_DEGREES).cast("int"), "_c": F.floor(F.col("blon") / FAR_DEGREES).cast("int")})
+    cells = [tuple(r) for r in placed.select("_r", "_c").distinct().collect()]
+    kind = dict(left.dtypes)[key]
+    asked = left.mapInPandas(_cells_that_may_be_nearest(cells, key), f"`{key}` {kind}, lat double, lon double, _r int, _c int")
+    far = asked.join(placed, ["_r", "_c"]).withColumn("km", geo.haversine("lat", "lon", "blat", "blon", radius)).groupBy(key).agg(best.alias("b")).select(key, f"b.{other}", "b.km")
+    return far if out is None else out.unionByName(far)
+
 
+def _cells_that_may_be_nearest(cells: list[tuple[int, int]], key: str):
+    """For each row the cells whose near side is no farther than the far side of the nearest one."""
 
-def nearest_small(a: DataFrame, b: DataFrame, key: str, other: str, radius: float = geo.MEAN_KM, most: int = MOST_BROADCAST) -> DataFrame:
-    """As `nearest`, for a b of a few rows (checked): every row of a is held against all of b within its own task."""
-    points = b.select(other, "lat", "lon").where(geo.valid_point("lat", "lon"))
-    n = points.limit(most + 1).count()
-    if n > most:
-        return nearest(a, b, key, other, radius=radius)
-    packed = points.agg(F.collect_list(F.struct(F.col(other).alias("o"), F.col("lat").alias("la"), F.col("lon").alias("lo"))).alias("_all"))
-    best = F.array_min(F.transform("_all", lambda p: F.struct(geo.haversine(F.col("lat"), F.col("lon"), p["la"], p["lo"], radius).alias("km"), p["o"].alias("o"))))
-    return a.select(key, "lat", "lon").crossJoin(F.broadcast(packed)).select(key, best.alias("b")).select(key, F.col("b.o").alias(other), "b.km")
+    def unit(lat, lon):
+        p, q = np.radians(lat), np.radians(lon)
+        return np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)], axis=1)
+
+    def search(batches):
+        rc = np.array(cells, np.int64).reshape(-1, 2)
+        centre = unit((rc[:, 0] + 0.5) * FAR_DEGREES, (rc[:, 1] + 0.5) * FAR_DEGREES)
+        half = math.radians(FAR_DEGREES / math.sqrt(2)) * 1.0001  # no corner of a cell is farther from its centre
+        for batch in batches:
+            at = unit(batch["lat"].to_numpy(float), batch["lon"].to_numpy(float))
+            for i in range(0, len(batch) if len(rc) else 0, 512):
+                away = np.arccos(np.clip(at[i : i + 512] @ centre.T, -1, 1))
+                row, cell = np.nonzero(away <= away.min(axis=1, keepdims=True) + 2 * half)
+                part = batch.iloc[i + row]
+                yield pd.DataFrame({key: part[key].to_numpy(), "lat": part["lat"].to_numpy(), "lon": part["lon"].to_numpy(), "_r": rc[cell, 0], "_c": rc[cell, 1]})
+
+    return search
 
 
 def search_radius(km: Column, first: float = 250.0, last: float = 16000.0) -> Column:
@@ -200,6 +223,39 @@ def ranked_identity(a: DataFrame, wanted: str, ids: list[str], order: str) -> Da
     return a.withColumn("tier", F.least(*tiers)).where("tier is not null").orderBy("tier", order).limit(1)
 
 
+def lost_zeros(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: rows of a that match b by key as they are, and as they would if a had lost its leading zeros."""
+    known = b.select(key).distinct()
+    short = a.select(F.regexp_replace(key, "^0+(?=.)", "").alias(key))
+    count = lambda x: x.join(known, key, "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return count(a.select(key)).select(F.col("n").alias("matched")).crossJoin(count(short).select(F.col("n").alias("without_zeros")))
+
+
+def looked_up(a: DataFrame, b: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """a with b's columns by one or several keys, and whether b has the row."""
+    found = b.select(*on, *columns).withColumn("found", F.lit(True))
+    return a.join(found, on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def checked_identity(a: DataFrame, b: DataFrame, on: str, ok: Column, columns: list[str]) -> DataFrame:
+    """a with b's columns where the identifier is the same and a condition on both holds, else nulls."""
+    j = a.join(b, on, "left")
+    return j.select(*(F.col(c) for c in a.columns), *(F.when(F.coalesce(ok, F.lit(False)), F.col(c)).alias(c) for c in columns))
+
+
+def rematched(before: DataFrame, after: DataFrame, key: str, ident: str) -> DataFrame:
+    """(before, after) of selections whose key is still there in the next snapshot."""
+    return before.select(key, F.col(ident).alias("before")).join(after.select(key, F.col(ident).alias("after")), key).select("before", "after")
+
+
+def with_layers(base: DataFrame, layers_: dict[str, DataFrame], key: str) -> DataFrame:
+    """base with a column for each layer (key, value), and the names of those that lack a value, comma-joined."""
+    out = base
+    for name, layer in layers_.items():
+        out = out.join(layer.select(key, F.col("value").alias(name)), key, "left")
+    return out.withColumn("missing", F.concat_ws(",", *(F.when(F.col(n).isNull(), n) for n in layers_)))
+
+
 def contiguity(shapes: DataFrame, key: str, rook: bool = False) -> DataFrame:
     """(i, j) of areas that share a vertex, or (rook) an edge; shapes: (key, ring) of closed rings of structs (x, y)."""
     edge = F.transform(F.sequence(F.lit(1), F.size("ring") - 1), lambda k: F.array_sort(F.array(F.element_at("ring", k), F.element_at("ring", k + 1))))

@@ -42,6 +42,11 @@ def pruned(layer: DataFrame, state: str | None = None, view: tuple | None = None
     return layer
 
 
+def numbered(layer: DataFrame, chunk: str, order: str) -> DataFrame:
+    """The layer with each line's number within its chunk: chunks may be read by many tasks and still be put in order."""
+    return layer.withColumn("line", F.row_number().over(W.partitionBy(chunk).orderBy(order)).cast("long"))
+
+
 def sample(layer: DataFrame, chunk: str, order: str, chunks: int = 3, lines: int = 400) -> DataFrame:
     """The first lines of the first chunks, to infer a schema from."""
     first = layer.select(chunk).distinct().orderBy(chunk).limit(chunks)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators import scratch
+
 #: Permutations of the pseudo-p value, and the seed of their order.
 PERMUTATIONS, SEED = 999, 20240101
 
@@ -42,44 +44,65 @@ def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+#: Areas whose values are sent to every task for the permutation test; more are permuted by an affine map of their ranks.
+MOST_VECTOR = 5_000_000
+
+
 def permuted_i(values: DataFrame, edges: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
-    """One row: i, expected, z and pseudo-p over seeded permutations.
+    """One row: i, expected, z and pseudo-p over seeded random permutations of the values.
 
-    A permutation gives area k the value of area (a * k + b) mod n for the next prime-step a and an offset, both
-    drawn from the seed: edges are joined with values once for each block of permutations, all of it on executors.
+    Areas are numbered, edges carry the two numbers, and the vector of values (whose length was counted) goes to every
+    task, which permutes it anew for each permutation and adds up its own edges; only sums by permutation are shuffled.
     """
-    spark = values.sparkSession
     z, w = _standardised(values, edges)
+    z = scratch.written(z)
     n = z.count()
-    rank = z.select("id", "z", F.xxhash64("id", F.lit(seed)).alias("h"))
-    placed = rank.orderBy("h", "id").withColumn("b", F.spark_partition_id()).withColumn("o", F.monotonically_increasing_id()).persist()
-    starts = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o0"))
-    total, offsets = 0, []
-    for r in starts.orderBy("b").collect():
-        offsets.append((r["b"], total - r["o0"]))
-        total += r["n"]
-    numbered = placed.join(F.broadcast(spark.createDataFrame(offsets, "b int, d long")), "b").select("id", "z", (F.col("o") + F.col("d")).alias("k"))
-    draw = np.random.default_rng(seed)
-    steps = [int(s) for s in draw.integers(1, max(2, n), 4 * permutations) if math.gcd(int(s), n) == 1][:permutations] or [1]
-    plans = [(p, steps[p % len(steps)], int(b)) for p, b in enumerate(draw.integers(0, max(1, n), permutations))]
-    perm = F.broadcast(spark.createDataFrame(plans, "p int, s long, o long"))
-    by_rank = numbered.select("k", F.col("z").alias("zk"))
-    drawn = numbered.select("id", F.col("k").alias("k0")).crossJoin(perm).select("id", "p", F.pmod(F.col("k0") * F.col("s") + F.col("o"), F.lit(n)).alias("k")).join(by_rank, "k").select("p", "id", F.col("zk").alias("z"))
-    a = drawn.select("p", F.col("id").alias("i"), F.col("z").alias("zi"))
-    b = drawn.select("p", F.col("id").alias("j"), F.col("z").alias("zj"))
-    sums = w.join(a, "i").join(b, ["p", "j"]).groupBy("p").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("s"))
+    numbered = scratch.written(scratch.prefix_sums(z.withColumn("one", F.lit(1).cast("long")), "id", "one").select("id", "z", (F.col("upto") - 1).alias("k")))
+    side = lambda c, k: numbered.select(F.col("id").alias(c), F.col("k").alias(k))
+    pairs = w.join(side("i", "ki"), "i").join(side("j", "kj"), "j").select("ki", "kj", "w")
+    sums = _random_sums(pairs, numbered, permutations, seed) if n <= MOST_VECTOR else _affine_sums(pairs, numbered, n, permutations, seed)
     linked = w.select("i").distinct().count()
     squares = z.agg(F.sum(F.col("z") * F.col("z"))).first()[0]
     scale = n / linked / squares if linked and squares else float("nan")
     own = morans_i(values, edges)
-    spread = sums.select((F.col("s") * scale).alias("ip"))
-    j = spread.crossJoin(F.broadcast(own))
+    j = sums.select((F.col("s") * scale).alias("ip")).crossJoin(F.broadcast(own))
     return j.groupBy("i", "expected").agg(
         ((F.first("i") - F.avg("ip")) / F.stddev_samp("ip")).alias("z"),
         ((F.count_if(F.abs(F.col("ip") - F.col("expected")) >= F.abs(F.col("i") - F.col("expected"))) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
     )
 
 
+def _random_sums(pairs: DataFrame, numbered: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(p, s): the weighted sum of products over all edges under each permutation."""
+    vector = pairs.sparkSession.sparkContext.broadcast(numbered.orderBy("k").select("z").toPandas()["z"].to_numpy(float))
+
+    def summed(batches):
+        own = [(b["ki"].to_numpy(), b["kj"].to_numpy(), b["w"].to_numpy()) for b in batches]
+        if own:
+            ki, kj, weight = (np.concatenate(x) for x in zip(*own))
+            out = np.empty(permutations)
+            for p in range(permutations):
+                drawn = np.random.default_rng([seed, p]).permutation(vector.value)
+                out[p] = (weight * drawn[ki] * drawn[kj]).sum()
+            yield pd.DataFrame({"p": np.arange(permutations), "s": out})
+
+    return pairs.mapInPandas(summed, "p int, s double").groupBy("p").agg(F.sum("s").alias("s"))
+
+
+def _affine_sums(pairs: DataFrame, numbered: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """The same where a permutation gives area k the value of area (a * k + b) mod n of a hashed order."""
+    draw = np.random.default_rng(seed)
+    steps = [int(s) for s in draw.integers(1, max(2, n), 4 * permutations) if math.gcd(int(s), n) == 1][:permutations] or [1]
+    plans = [(p, steps[p % len(steps)], int(b)) for p, b in enumerate(draw.integers(0, max(1, n), permutations))]
+    perm = F.broadcast(pairs.sparkSession.createDataFrame(plans, "p int, a long, b long"))
+    hashed = numbered.select("k", "z", F.xxhash64("k", F.lit(seed)).alias("h"))
+    placed = scratch.prefix_sums(hashed.withColumn("one", F.lit(1).cast("long")), "h", "one").select("k", "z", (F.col("upto") - 1).alias("r"))
+    by_rank = placed.select("r", F.col("z").alias("zr"))
+    drawn = placed.select("k", F.col("r").alias("r0")).crossJoin(perm).select("k", "p", F.pmod(F.col("r0") * F.col("a") + F.col("b"), F.lit(n)).alias("r")).join(by_rank, "r").select("p", "k", "zr")
+    a, b = (drawn.select("p", F.col("k").alias(x), F.col("zr").alias(f"z{x}")) for x in ("ki", "kj"))
+    return pairs.join(a, "ki").join(b, ["p", "kj"]).groupBy("p").agg(F.sum(F.col("w") * F.col("zki") * F.col("zkj")).alias("s"))
+
+
 def clusters(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster): HH, LL, HL or LH by the signs of an area's and its neighbours' deviation; null for islands."""
     x = lagged(values, edges)
@@ -100,7 +123,7 @@ def least_squares(df: DataFrame, y: str, xs: list[str], robust: bool = False) ->
     s = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), *products, *(F.sum(F.col(a) * F.col("_y")).alias(f"{a}|_y") for a in names)).first()
     xx = np.array([[s[f"{names[min(i, j)]}|{names[max(i, j)]}"] for j in range(k)] for i in range(k)])
     xy = np.array([s[f"{a}|_y"] for a in names])
-    inverse = np.linalg.inv(xx)
+    inverse = _inverse(xx)
     beta = inverse @ xy
     if robust:
         e = F.col("_y") - sum(float(b) * F.col(a) for a, b in zip(names, beta))
@@ -108,9 +131,24 @@ def least_squares(df: DataFrame, y: str, xs: list[str], robust: bool = False) ->
         meat = np.array([[m[f"{i}_{j}"] for j in range(k)] for i in range(k)])
         cov = inverse @ meat @ inverse * s["n"] / (s["n"] - k)
     else:
-        cov = inverse * (s["yy"] - beta @ xy) / (s["n"] - k)
-    se = np.sqrt(np.diag(cov))
-    return pd.DataFrame({"term": names, "coef": beta, "se": se, "t": beta / se, "n": s["n"]})
+        cov = inverse * max(0.0, s["yy"] - beta @ xy) / max(1, s["n"] - k)
+    se = np.sqrt(np.maximum(0, np.diag(cov)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(se > 0, beta / se, np.nan)
+    return pd.DataFrame({"term": names, "coef": beta, "se": se, "t": t, "n": s["n"]})
+
+
+def _inverse(xx: np.ndarray) -> np.ndarray:
+    """Inverse of sums of products whose first column is the constant: the others are centred and scaled first."""
+    n, means = xx[0, 0], xx[0] / xx[0, 0]
+    means[0] = 0
+    shift = np.eye(len(xx))
+    shift[0, 1:] = -means[1:]  # columns of shift are the centred variables
+    centred = shift.T @ xx @ shift
+    scale = 1 / np.sqrt(np.maximum(np.diag(centred), np.finfo(float).tiny))
+    scaled = centred * scale[:, None] * scale
+    back = shift * scale
+    return back @ np.linalg.inv(scaled) @ back.T if n else np.linalg.inv(xx)
 
 
 def generalised(df: DataFrame, y: str, xs: list[str], family: str):

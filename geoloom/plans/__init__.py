@@ -4,4 +4,4 @@ from __future__ import annotations
 
 
 def all_queries() -> None:
-    from geoloom.plans import aggregating, joining, live, more, ranking, scalars, scans  # noqa: F401
+    from geoloom.plans import aggregating, joining, live, more, projecting, ranking, scalars, scans, sourced, written  # noqa: F401

@@ -124,8 +124,12 @@ def agg_a18_categories(spark, d):
 
 @register(f"WITH {FEED}, r AS (SELECT *, row_number() OVER (PARTITION BY vehicle ORDER BY speed, seq) AS rn FROM feed) SELECT vehicle, CASE WHEN count(CASE WHEN kind = 'error' THEN 1 END) > 1 THEN 'UNKNOWN' ELSE 'KNOWN' END AS state, count(*) AS n, string_agg(CASE WHEN rn <= 3 THEN CAST(seq AS VARCHAR) END, ',' ORDER BY rn) AS nearest FROM r GROUP BY vehicle")
 def agg_a19_cohort(spark, d):
-    three = F.slice(F.array_sort(F.collect_list(F.struct("speed", "seq"))), 1, 3)
-    return feed(spark, d).groupBy("vehicle").agg(F.when(F.count_if(F.col("kind") == "error") > 1, "UNKNOWN").otherwise("KNOWN").alias("state"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(three, lambda x: x["seq"].cast("string")), ",").alias("nearest"))
+    """Counts, and the three nearest: of each of 64 parts of a vehicle's rows three are left before they meet."""
+    f = feed(spark, d)
+    totals = f.groupBy("vehicle").agg(F.when(F.count_if(F.col("kind") == "error") > 1, "UNKNOWN").otherwise("KNOWN").alias("state"), F.count(F.lit(1)).alias("n"))
+    nearest = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("speed", "seq"))), lambda x: x["seq"].cast("string")), ",")
+    few = aggregates.first_of_each(f.select("vehicle", "speed", "seq"), "vehicle", ["speed", "seq"], 3)
+    return totals.join(few.groupBy("vehicle").agg(nearest.alias("nearest")), "vehicle", "left")
 
 
 @register(f"WITH {FEED}, s AS (SELECT vehicle, k > 5 AS ok, row_number() OVER (PARTITION BY vehicle, ms ORDER BY seq) AS rn FROM feed) SELECT vehicle, count(CASE WHEN ok AND rn = 1 THEN 1 END) AS accepted, count(CASE WHEN NOT ok OR rn > 1 THEN 1 END) AS rejected, count(CASE WHEN NOT ok OR rn > 1 THEN 1 END) = 0 AS complete FROM s GROUP BY vehicle")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.functions import geo, text
+from geoloom.functions import geo, records, text
 from geoloom.operators import joins, layers
 from geoloom.plans.base import FEED, TRACTS, feed, lat_of, lon_of, t, tracts
 from geoloom.plans.registry import register
@@ -22,14 +22,6 @@ def filter_f2_view(spark, d):
     return layers.pruned(tracts(spark, d), view=(-30, 0, 30, 40)).select("geoid", "lon", "lat")
 
 
-@register(f"WITH {TRACTS}, b AS (SELECT county, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM tracts WHERE k % 9 = 0 GROUP BY county) SELECT county, w <= 0 AND e >= -40 AND s <= 20 AND n >= 5 AS touches, w >= -40 AND e <= 0 AND s >= 5 AND n <= 20 AS inside FROM b")
-def filter_f3_boxes(spark, d):
-    b = layers.index(tracts(spark, d).where("k % 9 = 0"), "county").withColumnRenamed("chunk", "county")
-    view = (F.lit(-40), F.lit(5), F.lit(0), F.lit(20))
-    inside = (F.col("west") >= -40) & (F.col("east") <= 0) & (F.col("south") >= 5) & (F.col("north") <= 20)
-    return b.select("county", geo.boxes_overlap(("west", "south", "east", "north"), view).alias("touches"), inside.alias("inside"))
-
-
 @register(f"WITH {TRACTS} SELECT geoid FROM tracts WHERE (lon >= 160 OR lon <= -170) AND lat BETWEEN -20 AND 20")
 def filter_f4_dateline(spark, d):
     return layers.in_view(tracts(spark, d), 160, -20, -170, 20).select("geoid")
@@ -49,18 +41,6 @@ def filter_f6_valid_point(spark, d):
     return f.select("seq", geo.valid_point("lat", "lon").alias("valid"))
 
 
-@register(f"WITH {FEED}, m AS (SELECT max(ms) AS now FROM feed) SELECT seq, ms FROM feed, m WHERE ms BETWEEN now - 86400000 AND now + 7200000")
-def filter_f7_trailing_day(spark, d):
-    f = feed(spark, d)
-    now = f.agg(F.max("ms").alias("now"))
-    return f.crossJoin(F.broadcast(now)).where("ms between now - 86400000 and now + 7200000").select("seq", "ms")
-
-
-@register("SELECT p_partkey FROM part WHERE p_size IN (10, 20, 30, 40, 50) AND greatest(p_size * 30.0, p_retailprice) >= 1000")
-def filter_f8_large_parks(spark, d):
-    return t(spark, d, "part").where(F.col("p_size").isin(10, 20, 30, 40, 50) & (F.greatest(F.col("p_size") * 30.0, "p_retailprice") >= 1000)).select("p_partkey")
-
-
 @register("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING min(year(o_orderdate)) < 1994 AND max(year(o_orderdate)) > 1996) AND c_acctbal > 0")
 def filter_f9_present_in_all_periods(spark, d):
     y = F.year("o_orderdate")
@@ -81,58 +61,11 @@ def filter_f12_vertex_budget(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", upto.alias("upto")).where("upto <= 100")
 
 
-@register("SELECT p_partkey FROM part WHERE p_type NOT LIKE 'SMALL%' AND (p_type LIKE '%STEEL' OR p_type LIKE '%BRASS') AND p_size > 5")
-def filter_f13_drivable(spark, d):
-    k = F.col("p_type")
-    return t(spark, d, "part").where(~k.startswith("SMALL") & (k.endswith("STEEL") | k.endswith("BRASS")) & (F.col("p_size") > 5)).select("p_partkey")
-
-
-def _holds(needle: str):
-    return lambda x: x.contains(needle)
-
-
-_CATEGORIES = {"steel": "STEEL", "brass": "BRASS", "tin": "TIN"}
-
-
-@register("SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_type LIKE '%BRASS%' THEN 'brass' WHEN p_type LIKE '%TIN%' THEN 'tin' ELSE 'other' END AS category FROM part")
-def filter_f14_category(spark, d):
-    tags = F.split("p_type", " ")
-    has = [F.when(F.exists(tags, _holds(n)), c) for c, n in _CATEGORIES.items()]
-    return t(spark, d, "part").select("p_partkey", F.coalesce(*has, F.lit("other")).alias("category"))
-
-
-@register("SELECT p_partkey FROM part WHERE lower(p_name || ' ' || p_brand || ' ' || p_type) LIKE '%brand#1%'")
-def filter_f15_free_text(spark, d):
-    return t(spark, d, "part").where(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).contains("brand#1")).select("p_partkey")
-
-
 @register("SELECT page_id, regexp_matches(url, '^https?://') AND contains(regexp_extract(url, '://([^/?#:]+)', 1), '.') AS public FROM pages")
 def filter_f16_public_url(spark, d):
     return t(spark, d, "pages").select("page_id", text.public_host("url").alias("public"))
 
 
-@register("SELECT doc_id FROM documents WHERE strlen(text) <= 256 AND NOT regexp_matches(text, '[\\x00-\\x1f/]')")
-def filter_f21_identifier(spark, d):
-    return t(spark, d, "documents").where((F.octet_length("text") <= 256) & ~F.col("text").rlike(r"[\x00-\x1f/]")).select("doc_id")
-
-
-@register("SELECT p_partkey FROM part WHERE p_brand = 'Brand#12' OR contains(lower(p_type), 'brass') OR contains(lower(p_name), 'brass')")
-def filter_f22_class_filter(spark, d):
-    return t(spark, d, "part").where((F.col("p_brand") == "Brand#12") | F.exists(F.array("p_type", "p_name"), lambda x: F.lower(x).contains("brass"))).select("p_partkey")
-
-
-@register("SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '(?i)urgent|high')")
-def filter_f24_status(spark, d):
-    return t(spark, d, "orders").where(F.col("o_orderpriority").rlike("(?i)urgent|high")).select("o_orderkey")
-
-
-@register("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE coalesce(CASE WHEN l_linenumber % 2 = 1 THEN l_shipdate >= o_orderdate - INTERVAL 60 DAY END, l_shipdate >= TIMESTAMP '1998-01-01' - INTERVAL 180 DAY)")
-def filter_f25_current(spark, d):
-    j = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    fresh = F.when(F.col("l_linenumber") % 2 == 1, F.col("l_shipdate") >= F.col("o_orderdate") - F.expr("interval 60 day"))
-    return j.where(F.coalesce(fresh, F.col("l_shipdate") >= F.expr("timestamp_ntz'1998-01-01' - interval 180 day"))).select("l_orderkey", "l_linenumber")
-
-
 @register("SELECT c_custkey AS k, c_name, o_orderkey, CASE WHEN o_orderkey IS NULL THEN 1 ELSE 3 END AS _merge FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def join_j1_j3_merge_left(spark, d):
     a = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
@@ -160,10 +93,10 @@ def join_j2_attach_by_geoid(spark, d):
     return joins.merge(user, measures, "geoid").groupBy("geoid", joins.geography("geoid").alias("geography")).agg(F.count(F.lit(1)).alias("n_rows"), F.max("mean_income").alias("mean_income"))
 
 
-@register(f"WITH {TRACTS} SELECT count(*) AS matched FROM (SELECT CAST(CAST(geoid AS BIGINT) AS VARCHAR) AS geoid FROM tracts) a JOIN tracts b ON a.geoid = b.geoid")
+@register(f"WITH {TRACTS} SELECT count(*) AS matched, CAST(0 AS BIGINT) AS without_zeros FROM tracts WHERE geoid LIKE '0%' UNION ALL SELECT 0, 0 WHERE false")
 def join_j4_lost_zeros(spark, d):
-    x = tracts(spark, d).select("geoid")
-    return x.select(F.col("geoid").cast("long").cast("string").alias("geoid")).join(x, "geoid").agg(F.count(F.lit(1)).alias("matched"))
+    x = tracts(spark, d).select("geoid").where(F.col("geoid").startswith("0"))
+    return joins.lost_zeros(x, x, "geoid")
 
 
 @register(f"WITH {TRACTS}, c AS (SELECT county, sum(pop)::BIGINT AS county_pop FROM tracts GROUP BY county) SELECT geoid, pop, county_pop FROM tracts JOIN c USING (county)")
@@ -219,7 +152,7 @@ def sites(spark, d):
 
 @register(f"WITH {TRACTS}, {_SITES}, p AS (SELECT a.geoid, b.site, {_KM} AS km FROM tracts a, sites b) SELECT geoid, min_by(site, km) AS site, round(min(km), 3) AS km FROM p GROUP BY geoid")
 def join_j10_nearest(spark, d):
-    return joins.nearest_small(tracts(spark, d), sites(spark, d), "geoid", "site").select("geoid", "site", F.round("km", 3).alias("km"))
+    return joins.nearest(tracts(spark, d), sites(spark, d), "geoid", "site").select("geoid", "site", F.round("km", 3).alias("km"))
 
 
 @register(f"WITH {TRACTS}, {_SITES}, p AS (SELECT a.geoid, b.site, {_KM} AS km FROM tracts a, sites b WHERE b.s_acctbal > 5000) SELECT geoid, min_by(site, km) AS site, round(min(km), 3) AS km FROM p GROUP BY geoid")
@@ -227,14 +160,14 @@ def join_j10_nearest_of_kind(spark, d):
     return joins.nearest(tracts(spark, d), sites(spark, d).where("s_acctbal > 5000"), "geoid", "site", 2000.0).select("geoid", "site", F.round("km", 3).alias("km"))
 
 
-@register("SELECT d.doc_id, quality FROM documents d LEFT JOIN labels USING (doc_id)")
+@register("SELECT d.doc_id, quality, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN labels l USING (doc_id)")
 def join_j11_lookup(spark, d):
-    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return joins.looked_up(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels"), ["doc_id"], ["quality"])
 
 
 @register("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def join_j11_unmatched(spark, d):
-    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left_anti")
+    return joins.looked_up(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels"), ["doc_id"], []).where("not found").select("doc_id")
 
 
 @register("SELECT l_partkey, l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS units FROM lineitem JOIN (SELECT DISTINCT p_partkey, s_suppkey FROM part, supplier WHERE p_partkey % 100 = s_suppkey % 100) x ON l_partkey = p_partkey AND l_suppkey = s_suppkey GROUP BY 1, 2")
@@ -242,14 +175,14 @@ def join_j12_composite_key(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 100).alias("m"))
     s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") % 100).alias("m"))
     info = p.join(s, "m").select("l_partkey", "l_suppkey")
-    return t(spark, d, "lineitem").join(info, ["l_partkey", "l_suppkey"]).groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("units"))
+    found = joins.looked_up(t(spark, d, "lineitem"), info, ["l_partkey", "l_suppkey"], []).where("found")
+    return found.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("units"))
 
 
 @register("SELECT o_orderkey, CASE WHEN c_acctbal BETWEEN 0 AND 5000 THEN c_name END AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def join_j13_checked_identity(spark, d):
-    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    ok = (F.col("o_custkey") == F.col("c_custkey")) & F.col("c_acctbal").between(0, 5000)
-    return t(spark, d, "orders").join(c, ok, "left").select("o_orderkey", F.col("c_name").alias("name"))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"), "c_acctbal")
+    return joins.checked_identity(t(spark, d, "orders").select("o_custkey", "o_orderkey"), c, "o_custkey", F.col("c_acctbal").between(0, 5000), ["name"]).select("o_orderkey", "name")
 
 
 @register(f"WITH {FEED}, {_SITES}, p AS (SELECT a.seq, b.site, {_KM.replace('6371.0088', '6371.0')} AS km FROM feed a, sites b) SELECT seq, site, round(km, 3) AS km FROM p WHERE km <= 250")
@@ -260,7 +193,7 @@ def join_j15_radius(spark, d):
 
 @register(f"WITH {FEED}, {_SITES}, p AS (SELECT a.seq, min({_KM.replace('6371.0088', '6371.0')}) AS km FROM feed a, sites b GROUP BY a.seq) SELECT seq, CASE WHEN km <= 250 THEN 250.0 WHEN km <= 500 THEN 500.0 WHEN km <= 1000 THEN 1000.0 WHEN km <= 2000 THEN 2000.0 WHEN km <= 4000 THEN 4000.0 WHEN km <= 8000 THEN 8000.0 WHEN km <= 16000 THEN 16000.0 END AS found_at FROM p")
 def join_j16_doubling_radius(spark, d):
-    near = joins.nearest_small(feed(spark, d), sites(spark, d), "seq", "site", geo.KM)
+    near = joins.nearest(feed(spark, d), sites(spark, d), "seq", "site", radius=geo.KM)
     return near.select("seq", joins.search_radius(F.col("km")).alias("found_at"))
 
 
@@ -272,9 +205,9 @@ def join_j17_asof(spark, d):
     return joins.asof(a, b, ["vehicle"], "ms", ["product"], F.lit(7200000)).select("seq", "at", "product")
 
 
-@register("SELECT l_orderkey, l_linenumber, o.o_orderkey AS block FROM lineitem l JOIN orders o ON l.l_suppkey % 50 = o.o_custkey % 50 AND l.l_partkey BETWEEN o.o_orderkey AND o.o_orderkey + 3 WHERE l_linenumber = 1")
+@register("SELECT l_orderkey, l_linenumber, o.o_orderkey AS block FROM lineitem l JOIN orders o ON l.l_suppkey % 50 = o.o_custkey % 50 AND l.l_partkey BETWEEN o.o_orderkey AND o.o_orderkey + 3")
 def join_j19_address_interval(spark, d):
-    a = t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 50).alias("street"))
+    a = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 50).alias("street"))
     b = t(spark, d, "orders").select(F.col("o_orderkey").alias("block"), (F.col("o_custkey") % 50).alias("street"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + 3).alias("hi"))
     return joins.interval(a, b, ["street"], "l_partkey", "lo", "hi", 100).select("l_orderkey", "l_linenumber", "block")
 
@@ -307,7 +240,7 @@ def join_j20_rook(spark, d):
 def join_j21_model_results(spark, d):
     x = tracts(spark, d)
     m = x.where("k % 4 <> 0").select("geoid", F.round(F.col("pop") * 0.5, 3).alias("m1_fitted"), F.round(F.col("pop") - F.col("pop") * 0.5, 3).alias("m1_residual"))
-    return x.select("geoid").join(m, "geoid", "left")
+    return joins.overlay(x.select("geoid"), m, "geoid", ["m1_fitted", "m1_residual"])
 
 
 @register("SELECT min(n_nationkey) AS n_nationkey FROM nation WHERE strip_accents(lower(trim(n_name))) IN ('nation_3', 'nation_11', 'france')  GROUP BY n_nationkey")
@@ -335,18 +268,21 @@ def join_j25_outline_fallback(spark, d):
     return joins.expand(upload, x.select(F.col("geoid").alias("block_group"), F.col("name").alias("outline")), "block_group", 11)
 
 
-@register(f"WITH {_FIRE}, key AS (SELECT seq, 'f:' || printf('%.4f', lat) || ':' || printf('%.4f', lon) AS key, k FROM fires) SELECT a.seq AS before, b.seq AS after FROM key a JOIN key b ON a.key = b.key WHERE a.k < 50 AND b.k < 80")
+@register(f"WITH {_FIRE}, key AS (SELECT seq, ms, 'firms:' || printf('%.4f', floor(lat * 10000) / 10000) || ':' || printf('%.4f', floor(lon * 10000) / 10000) || ':0:0' AS key FROM fires), m AS (SELECT CAST(floor(avg(ms)) AS BIGINT) AS at FROM fires) SELECT a.seq AS before, b.seq AS after FROM key a JOIN m ON a.ms <= m.at JOIN key b ON a.key = b.key AND b.ms > m.at")
 def join_j26_rematch(spark, d):
-    x = fires(spark, d).select("seq", "k", F.concat_ws(":", F.lit("f"), F.format_string("%.4f", F.col("lat").cast("double")), F.format_string("%.4f", F.col("lon").cast("double"))).alias("key"))
-    return x.where("k < 50").select("key", F.col("seq").alias("before")).join(x.where("k < 80").select("key", F.col("seq").alias("after")), "key").select("before", "after")
+    """Detections of the earlier half of the time are looked for again in the later half; every one is in one of the two."""
+    x = fires(spark, d).select("seq", "ms", records.detection_key("firms", "lat", "lon", F.lit(0), F.lit(0)).alias("key"))
+    at = x.agg(F.floor(F.avg("ms")).alias("at"))
+    y = x.crossJoin(F.broadcast(at))
+    return joins.rematched(y.where("ms <= at"), y.where("ms > at"), "key", "seq")
 
 
 @register("SELECT l_orderkey, l_linenumber, CASE WHEN o_orderstatus = 'F' AND l_linenumber % 2 = 0 THEN o_totalprice END AS height FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def join_j28_pose_checked(spark, d):
-    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(0).alias("pose"))
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", F.col("o_totalprice").alias("height"), F.lit(0).alias("pose"))
     line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 2).alias("pose_now"))
-    ok = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("pose_now") == F.col("pose")) & (F.col("o_orderstatus") == "F")
-    return line.join(o, ok, "left").select("l_orderkey", "l_linenumber", F.col("o_totalprice").alias("height"))
+    ok = (F.col("pose_now") == F.col("pose")) & (F.col("o_orderstatus") == "F")
+    return joins.checked_identity(line, o, "l_orderkey", ok, ["height"]).select("l_orderkey", "l_linenumber", "height")
 
 
 @register("""WITH b AS (SELECT 'fire ' || o_custkey % 200 AS t, o_orderstatus AS s, max_by(o_orderkey, o_orderkey) AS link FROM orders GROUP BY 1, 2),
@@ -370,13 +306,12 @@ def join_j30_boundary_distance(spark, d):
     return tracts(spark, d).select("geoid", F.round(F.when(inside, 0.0).otherwise(away), 6).alias("away"))
 
 
-@register("SELECT n_nationkey, max(CASE WHEN n_nationkey % 3 > 0 THEN n_name END) AS layer_a, CAST(count(s_suppkey) AS BIGINT) AS layer_b, CASE WHEN n_nationkey % 3 > 0 THEN '' ELSE 'layer_a' END AS missing FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey")
+@register("SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS layer_a, n AS layer_b, concat_ws(',', CASE WHEN c_custkey % 3 = 0 THEN 'layer_a' END, CASE WHEN n IS NULL THEN 'layer_b' END) AS missing FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def join_j31_research_layers(spark, d):
-    n = t(spark, d, "nation")
-    a = n.where("n_nationkey % 3 > 0").select("n_nationkey", F.col("n_name").alias("layer_a"))
-    b = t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("layer_b"))
-    j = n.select("n_nationkey").join(a, "n_nationkey", "left").join(b, "n_nationkey", "left")
-    return j.select("n_nationkey", "layer_a", F.coalesce("layer_b", F.lit(0)).cast("long").alias("layer_b"), F.when(F.col("layer_a").isNull(), "layer_a").otherwise("").alias("missing"))
+    c = t(spark, d, "customer")
+    a = c.where("c_custkey % 3 > 0").select("c_custkey", F.col("c_name").alias("value"))
+    b = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("value"))
+    return joins.with_layers(c.select("c_custkey"), {"layer_a": a, "layer_b": b}, "c_custkey")
 
 
 @register(f"WITH {TRACTS}, {_SITES}, p AS (SELECT a.geoid, b.site, {_KM.replace('6371.0088', '6371.0')} AS km FROM tracts a, sites b) SELECT geoid, string_agg(CAST(site AS VARCHAR), ',' ORDER BY km) AS feeds FROM p WHERE km <= 1200 GROUP BY geoid")

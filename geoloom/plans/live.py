@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from geoloom.plans.base import FEED, feed, t
+from geoloom.plans.base import FEED, feed, shared, t
 from geoloom.plans.registry import register
 from geoloom.streaming import live
 
@@ -18,13 +17,16 @@ def stream_st1_admission(spark, d):
     return rows.select("vehicle", "seq")
 
 
-_POLLS = "a AS (SELECT vehicle, max_by(k, seq) AS k FROM feed WHERE seq % 3 = 0 GROUP BY vehicle), b AS (SELECT vehicle, max_by(CASE WHEN k > 50 THEN k END, seq) FILTER (WHERE k > 50) AS k FROM feed WHERE seq % 3 = 1 AND vehicle % 5 <> 0 GROUP BY vehicle)"
+_POLLS = "m AS (SELECT CAST(floor(avg(ms)) AS BIGINT) AS mid FROM feed), a AS (SELECT vehicle, max_by(k, seq) AS k FROM feed, m WHERE ms <= mid GROUP BY vehicle), b AS (SELECT vehicle, max_by(CASE WHEN k > 50 THEN k END, seq) FILTER (WHERE k > 50) AS k FROM feed, m WHERE ms > mid GROUP BY vehicle HAVING max_by(kind, seq) <> 'error')"
 
 
 def _polls(spark, d):
+    """Two polls: the earlier half of the time, and the later one without vehicles whose last report is an error."""
     f = feed(spark, d)
-    a = f.where("seq % 3 = 0").groupBy("vehicle").agg(F.max_by("k", "seq").alias("k"))
-    b = f.where("seq % 3 = 1 and vehicle % 5 <> 0").groupBy("vehicle").agg(F.max_by(F.when(F.col("k") > 50, F.col("k")), F.when(F.col("k") > 50, F.col("seq"))).alias("k"))
+    y = f.crossJoin(F.broadcast(f.agg(F.floor(F.avg("ms")).alias("at"))))
+    a = y.where("ms <= at").groupBy("vehicle").agg(F.max_by("k", "seq").alias("k"))
+    big = F.when(F.col("k") > 50, F.col("k"))
+    b = y.where("ms > at").groupBy("vehicle").agg(F.max_by(big, F.when(F.col("k") > 50, F.col("seq"))).alias("k"), F.max_by("kind", "seq").alias("kind")).where("kind != 'error'").drop("kind")
     return a.select("vehicle", "k", F.lit(0).cast("long").alias("seen_ms"), F.lit(0).alias("missed"), F.lit("add").alias("change")), b
 
 
@@ -59,18 +61,12 @@ def stream_st17_generation(spark, d):
     return live.newest_generation(f).select("seq")
 
 
-def _shared(spark) -> str:
-    """spark.checkpoint.dir, or a new folder where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or tempfile.mkdtemp(prefix="spark-checkpoint-")).rstrip("/")
-
-
 def _stream(spark, d, build, mode: str):
     """Run a stream over the whole table and return what it wrote, as Parquet in the folder that executors share."""
     schema = t(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
     rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "event_id", "user_id")
-    folder = f"{_shared(spark)}/streams/{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/streams/{uuid.uuid4().hex}"
     out, made = f"{folder}/out", build(rows)
     writer = made.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True)
     if mode == "complete":

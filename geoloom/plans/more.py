@@ -9,50 +9,6 @@ from geoloom.operators import joins, routes
 from geoloom.plans.base import FEED, TRACTS, feed, t, tracts
 from geoloom.plans.registry import register
 
-#: Type codes of aircraft classes.
-AIRCRAFT = {"helicopter": (10, 11, 12), "business": (20, 21), "light": (30, 31, 32, 33)}
-
-
-@register(f"WITH {FEED} SELECT seq, CASE WHEN k IN (10, 11, 12) THEN 'helicopter' WHEN k IN (20, 21) THEN 'business' WHEN k IN (30, 31, 32, 33) THEN 'light' WHEN kind = 'signup' THEN 'glider' ELSE 'airliner' END AS class FROM feed")
-def project_p14_aircraft_class(spark, d):
-    codes = spark.createDataFrame([(c, n) for n, cs in AIRCRAFT.items() for c in cs], "k int, by_code string")
-    j = feed(spark, d).join(joins.checked(codes), "k", "left")
-    return j.select("seq", F.coalesce("by_code", F.when(F.col("kind") == "signup", "glider"), F.lit("airliner")).alias("class"))
-
-
-@register("SELECT p_partkey, CASE WHEN p_type LIKE '%NICKEL%' THEN 'airfield' WHEN p_type LIKE '%TIN%' THEN 'range' ELSE concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2))) END AS label FROM part")
-def project_p18_installation(spark, d):
-    k = F.col("p_type")
-    plain = F.concat(F.upper(F.substring(k, 1, 1)), F.lower(F.substring(k, F.lit(2), F.length(k))))
-    return t(spark, d, "part").select("p_partkey", F.when(k.contains("NICKEL"), "airfield").when(k.contains("TIN"), "range").otherwise(plain).alias("label"))
-
-
-@register(f"WITH {FEED} SELECT seq, CASE WHEN k % 4 > 0 THEN k END AS temperature, CASE WHEN k % 3 > 0 THEN strftime(make_timestamp(ms // 60000 * 60000000), '%Y-%m-%dT%H:%M') || 'Z' END AS at FROM feed")
-def project_p20_weather_record(spark, d):
-    f = feed(spark, d)
-    raw = f.select("seq", F.when(F.col("k") % 4 > 0, F.col("k").cast("string")).otherwise("n/a").alias("t"), F.when(F.col("k") % 3 > 0, F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm")).otherwise("soon").alias("at"))
-    stamp = F.when(F.col("at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d$"), F.concat("at", F.lit("Z")))
-    return raw.select("seq", F.col("t").try_cast("int").alias("temperature"), stamp.alias("at"))
-
-
-@register("SELECT printf('%05d', c_custkey % 90000) AS cfips, round(c_acctbal / 10000, 4) AS broadband FROM customer WHERE c_custkey % 13 > 0")
-def project_p29_workbook_rows(spark, d):
-    raw = t(spark, d, "customer").select((F.col("c_custkey") % 90000).cast("string").alias("f"), F.when(F.col("c_custkey") % 13 > 0, (F.col("c_acctbal") / 10000).cast("string")).otherwise("-").alias("b"))
-    return raw.select(F.lpad("f", 5, "0").alias("cfips"), F.round(F.col("b").try_cast("double"), 4).alias("broadband")).where("broadband is not null")
-
-
-@register("SELECT concat_ws('/', n_name, r_name, CAST(n_nationkey AS VARCHAR)) AS path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 > 0")
-def project_p30_path_index(spark, d):
-    j = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 4 > 0")
-    return j.select(F.concat_ws("/", "n_name", "r_name", F.col("n_nationkey").cast("string")).alias("path"))
-
-
-@register("SELECT p_partkey, regexp_extract(p_type, '^([A-Z]+)', 1) AS name FROM part")
-def project_p31_first_name(spark, d):
-    listed = F.regexp_replace("p_type", " ", " & ")
-    return t(spark, d, "part").select("p_partkey", F.trim(F.element_at(F.split(listed, r"[&,/]| and "), 1)).alias("name"))
-
-
 @register(f"WITH {TRACTS} SELECT county, count(*) AS n, min(lon) AS west, max(lat) AS north FROM tracts GROUP BY county")
 def agg_a11_hulls(spark, d):
     h = shapes.hulls(tracts(spark, d), ["county"], "lon", "lat")

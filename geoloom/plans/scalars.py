@@ -173,7 +173,7 @@ def array_a3_point_in_ring(spark, d):
 
 @register("SELECT o_custkey, CAST(count(DISTINCT o_orderpriority) AS INT) AS kinds FROM orders GROUP BY o_custkey")
 def array_a11_distinct_slice(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.size(F.slice(F.array_distinct(F.collect_list("o_orderpriority")), 1, 24)).alias("kinds"))
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.size(F.slice(F.array_sort(F.collect_set("o_orderpriority")), 1, 24)).alias("kinds"))
 
 
 @register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -36,44 +36,11 @@ def scan_s2_layer_index(spark, d):
     return layers.index(tracts(spark, d), "county")
 
 
-@register(f"WITH {TRACTS} SELECT geoid, row_number() OVER (PARTITION BY county ORDER BY geoid) AS line FROM tracts")
-def scan_s3_chunk_order(spark, d):
-    return tracts(spark, d).select("geoid", F.row_number().over(W.partitionBy("county").orderBy("geoid")).cast("long").alias("line"))
-
-
-@register(f"WITH {TRACTS} SELECT geoid, name, pop, income FROM tracts WHERE state = '02'")
-def scan_s4_report_columns(spark, d):
-    return tracts(spark, d).where(F.col("state") == "02").select("geoid", "name", "pop", "income")
-
-
 @register(f"WITH {TRACTS}, c AS (SELECT DISTINCT county FROM tracts ORDER BY county LIMIT 3), r AS (SELECT *, row_number() OVER (PARTITION BY county ORDER BY geoid) AS rn FROM tracts WHERE county IN (SELECT county FROM c)) SELECT geoid, pop, income FROM r WHERE rn <= 400")
 def scan_s5_layer_sample(spark, d):
     return layers.sample(tracts(spark, d), "county", "geoid").select("geoid", "pop", "income")
 
 
-@register("SELECT p_partkey, replace(p_name, '\"', '') AS p_name, p_brand, p_size FROM part")
-def scan_s7_quoted_csv(spark, d):
-    quoted = F.concat(F.lit('"'), F.replace("p_name", F.lit('"'), F.lit("")), F.lit('"'))
-    line = F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, F.col("p_brand"), F.col("p_size").cast("string"))
-    row = F.from_csv(line, "p_partkey long, p_name string, p_brand string, p_size int", {"escape": '"'})
-    return t(spark, d, "part").select(row.alias("r")).select("r.*")
-
-
-@register(f"WITH {TRACTS} SELECT geoid, pop FROM tracts WHERE state IN ('00', '03')")
-def scan_s8_summary_level(spark, d):
-    lines = tracts(spark, d).select(F.concat_ws("|", F.concat(F.lit("1400000US"), "geoid"), F.col("pop").cast("string")).alias("line"))
-    cells = F.split("line", r"\|")
-    rows = lines.select(F.element_at(cells, 1).alias("geo"), F.element_at(cells, 2).cast("long").alias("pop"))
-    return rows.where(F.col("geo").startswith("1400000US00") | F.col("geo").startswith("1400000US03")).select(F.substring("geo", 10, 11).alias("geoid"), "pop")
-
-
-@register("SELECT printf('%02d%03d', n_regionkey, n_nationkey) AS geoid, CAST(s_suppkey AS BIGINT) AS estimate FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-def scan_s9_sequence_files(spark, d):
-    geography = t(spark, d, "nation").select(F.col("n_nationkey").alias("logrecno"), F.format_string("%02d%03d", "n_regionkey", "n_nationkey").alias("geoid"))
-    estimates = t(spark, d, "supplier").select(F.col("s_nationkey").alias("logrecno"), F.col("s_suppkey").alias("estimate"))
-    return estimates.join(geography, "logrecno").select("geoid", "estimate")
-
-
 _FIRE = f"""{FEED}, fires AS (SELECT seq, lat, lon, CASE WHEN k % 2 = 0 THEN speed END AS bright_ti4, CASE WHEN k % 2 = 1 THEN speed + 1 END AS brightness, speed AS frp,
   CAST(seq * 7 % 24 * 100 + seq * 13 % 60 AS INTEGER) AS acq_time, CASE WHEN k % 3 = 0 THEN 'l' WHEN k % 3 = 1 THEN 'n' ELSE CAST(k AS VARCHAR) END AS confidence, k, ms FROM feed)"""
 
@@ -86,64 +53,6 @@ def fires(spark, d) -> DataFrame:
     )
 
 
-@register(f"WITH {_FIRE} SELECT seq, lat, lon, coalesce(bright_ti4, brightness) AS bright, frp FROM fires WHERE lat IS NOT NULL AND frp IS NOT NULL")
-def scan_s10_fire_csv(spark, d):
-    return fires(spark, d).where("lat is not null and frp is not null").select("seq", "lat", "lon", F.coalesce("bright_ti4", "brightness").alias("bright"), "frp")
-
-
-@register(f"WITH {FEED} SELECT printf('%06x', vehicle) AS icao, trim(kind) AS callsign, CAST(floor(ms / 1000) AS BIGINT) AS at, lon, lat, round(speed, 4) AS speed_mps FROM feed")
-def scan_s17_state_vectors(spark, d):
-    vector = F.array(F.format_string("%06x", "vehicle"), F.concat("kind", F.lit("  ")), F.floor(F.col("ms") / 1000).cast("string"), F.col("lon").cast("string"), F.col("lat").cast("string"), F.col("speed").cast("string"))
-    v = feed(spark, d).select(F.to_json(vector).alias("j")).select(F.from_json("j", "array<string>").alias("v"))
-    at = lambda i: F.element_at("v", i)
-    return v.select(at(1).alias("icao"), F.trim(at(2)).alias("callsign"), at(3).cast("long").alias("at"), at(4).cast("double").alias("lon"), at(5).cast("double").alias("lat"), F.round(at(6).cast("double"), 4).alias("speed_mps"))
-
-
-@register(f"WITH {FEED} SELECT seq, round(speed * 100 * 0.3048, 4) AS altitude_m, round(speed * 0.514444, 4) AS speed_mps, round((k - 50) * 64 * 0.00508, 4) AS climb_mps, CAST(ms - k * 1000 AS BIGINT) AS seen_ms FROM feed")
-def scan_s18_feet_and_knots(spark, d):
-    from geoloom.functions.geo import FOOT, FOOT_A_MINUTE, KNOT
-
-    return feed(spark, d).select(
-        "seq", F.round(F.col("speed") * 100 * FOOT, 4).alias("altitude_m"), F.round(F.col("speed") * KNOT, 4).alias("speed_mps"),
-        F.round((F.col("k") - 50) * 64 * FOOT_A_MINUTE, 4).alias("climb_mps"), (F.col("ms") - F.col("k") * 1000).cast("long").alias("seen_ms"),
-    )
-
-
-@register(f"WITH {FEED} SELECT seq, CASE WHEN k % 10 <> 3 THEN round(speed, 3) END AS knots, CASE WHEN k % 12 <> 5 THEN CAST(k * 3 AS DOUBLE) END AS course FROM feed")
-def scan_s20_vessel_sentinels(spark, d):
-    raw = feed(spark, d).select("seq", F.when(F.col("k") % 10 == 3, 102.3).otherwise(F.round("speed", 3)).alias("sog"), F.when(F.col("k") % 12 == 5, 360.0).otherwise((F.col("k") * 3).cast("double")).alias("cog"))
-    return raw.select("seq", F.when(F.col("sog") != 102.3, F.col("sog")).alias("knots"), F.nullif("cog", F.lit(360.0)).alias("course"))
-
-
-@register("SELECT s_suppkey AS station, s_name AS name, CAST(count(l_orderkey) AS BIGINT) AS bikes, coalesce(max(l_linenumber), 0) AS docks FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1, 2")
-def scan_s21_station_status(spark, d):
-    status = t(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1998-01-01'").groupBy(F.col("l_suppkey").alias("station")).agg(F.count("l_orderkey").alias("bikes"), F.max("l_linenumber").alias("docks"))
-    info = t(spark, d, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_name").alias("name"))
-    return info.join(status, "station", "left").select("station", "name", F.coalesce("bikes", F.lit(0)).cast("long").alias("bikes"), F.coalesce("docks", F.lit(0)).alias("docks"))
-
-
-@register("SELECT p_name AS name, CAST(p_partkey AS BIGINT) AS catalog FROM part")
-def scan_s22_element_triples(spark, d):
-    """Three-line sets (a name, line 1, line 2) found by looking two lines ahead."""
-    p = t(spark, d, "part")
-    lines = p.select(F.col("p_partkey").alias("k"), F.posexplode(F.array("p_name", F.format_string("1 %05dU", "p_partkey"), F.format_string("2 %05d", "p_partkey"))).alias("n", "line"))
-    w = W.partitionBy(F.floor(F.col("k") / 100)).orderBy("k", "n")
-    ahead = lines.withColumn("one", F.lead("line", 1).over(w)).withColumn("two", F.lead("line", 2).over(w))
-    number = lambda c: F.substring(c, 3, 5).try_cast("long")
-    return ahead.where(F.col("one").startswith("1 ") & F.col("two").startswith("2 ") & (number("one") == number("two"))).select(F.col("line").alias("name"), number("one").alias("catalog"))
-
-
-@register("SELECT l_orderkey AS message, CAST(l_linenumber AS BIGINT) AS part, CAST(floor(sum(l_quantity) OVER w - l_quantity) AS BIGINT) AS first_byte, CAST(floor(sum(l_quantity) OVER w - 1) AS BIGINT) AS last_byte FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)")
-def scan_s23_byte_ranges(spark, d):
-    """A message's bytes end where the next one's begin; the last one's end is the file's."""
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.sum("l_quantity").over(upto).alias("upto"), F.sum("l_quantity").over(W.partitionBy("l_orderkey")).alias("size"))
-    x = x.withColumn("first", F.col("upto") - F.col("l_quantity"))
-    end = F.coalesce(F.lead("first").over(w), F.col("size")) - 1
-    return x.select(F.col("l_orderkey").alias("message"), F.col("l_linenumber").cast("long").alias("part"), F.floor("first").alias("first_byte"), F.floor(end).alias("last_byte"))
-
-
 @register("SELECT p_partkey, p_type LIKE '%BRASS%' OR p_size % 2 = 0 AS is_camera FROM part")
 def scan_s28_multi_value_tag(spark, d):
     tag = F.concat_ws("; ", F.when(F.col("p_type").contains("BRASS"), "alpr").otherwise("dome"), F.when(F.col("p_size") % 2 == 0, " ALPR ").otherwise("ptz"))
@@ -165,34 +74,12 @@ def scan_s36_predicate(spark, d):
     return t(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1997-06-01' and l_quantity < 10").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@register(f"WITH {FEED} SELECT 'even' AS source, count(*) AS n, max(ms) AS newest FROM feed WHERE k % 2 = 0 UNION ALL SELECT 'odd', count(*), max(ms) FROM feed WHERE k % 2 = 1 UNION ALL SELECT 'gone', 0, NULL")
-def scan_s40_source_union(spark, d):
-    f = feed(spark, d)
-    named = f.where("k % 2 = 0").withColumn("source", F.lit("even")).unionByName(f.where("k % 2 = 1").withColumn("source", F.lit("odd")))
-    asked = spark.createDataFrame([("even",), ("odd",), ("gone",)], "source string")
-    stats = named.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("ms").alias("newest"))
-    return asked.join(stats, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "newest")
-
-
 @register(f"WITH {FEED}, s AS (SELECT vehicle, ms > lag(ms) OVER (PARTITION BY vehicle ORDER BY seq) AS up FROM feed) SELECT vehicle, coalesce(bool_and(up), true) AS rising, count(*) AS n FROM s GROUP BY vehicle")
 def scan_s43_rising_times(spark, d):
     up = F.col("ms") > F.lag("ms").over(W.partitionBy("vehicle").orderBy("seq"))
     return feed(spark, d).select("vehicle", up.alias("up")).groupBy("vehicle").agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("rising"), F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT l_orderkey AS ring, l_linenumber AS vertex, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w AS BIGINT) AS x, CAST(sum(CAST(l_partkey AS BIGINT)) OVER w AS BIGINT) AS y FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
-def scan_s44_delta_vertices(spark, d):
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber")
-    total = lambda c: F.sum(F.col(c).cast("long")).over(w)
-    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("ring"), F.col("l_linenumber").alias("vertex"), total("l_quantity").alias("x"), total("l_partkey").alias("y"))
-
-
-@register("SELECT printf('%011d', c_custkey * 1009) AS geoid, c_acctbal AS value FROM customer WHERE c_acctbal > 0")
-def scan_s50_padded_ids(spark, d):
-    raw = t(spark, d, "customer").select((F.col("c_custkey") * 1009).cast("string").alias("g"), F.col("c_acctbal").cast("string").alias("v"))
-    return raw.select(F.lpad("g", 11, "0").alias("geoid"), F.col("v").try_cast("double").alias("value")).where((F.col("value") > 0) & F.col("geoid").rlike(r"^\d{11}$"))
-
-
 @register(f"WITH {TRACTS} SELECT geoid, round(lon, 5) AS lon, round(lat, 5) AS lat, income AS household_income, pop FROM tracts")
 def project_p3_rows(spark, d):
     return layers.rows(tracts(spark, d), {"income": "household_income"}, ["geoid", "lon", "lat", "income", "pop"])
@@ -210,137 +97,9 @@ def project_p6_declared_measures(spark, d):
     return layers.measured(tracts(spark, d), {"minority_share": (["minority"], ["pop"]), "white_share": (["white"], ["pop"]), "both_share": (["minority", "white"], ["pop"])}).select("geoid", "minority_share", "white_share", "both_share")
 
 
-@register("SELECT p_partkey, concat_ws(', ', CASE WHEN p_size > 25 THEN 'Large' END, CASE WHEN p_retailprice > 1200 THEN 'Dear' END, CASE WHEN p_partkey % 3 = 0 THEN 'Third' END) AS groups FROM part")
-def project_p7_flag_list(spark, d):
-    flags = {"Large": F.col("p_size") > 25, "Dear": F.col("p_retailprice") > 1200, "Third": F.col("p_partkey") % 3 == 0}
-    return t(spark, d, "part").select("p_partkey", F.concat_ws(", ", *(F.when(c, name) for name, c in flags.items())).alias("groups"))
-
-
-@register(f"WITH {TRACTS} SELECT geoid, concat(upper(substr(lower(place), 1, 1)), substr(lower(place), 2), ' has ', pop, ' people', CASE WHEN income IS NOT NULL THEN '.' ELSE '; no income.' END) AS summary FROM tracts")
-def project_p8_sentence(spark, d):
-    low = F.lower("place")
-    return tracts(spark, d).select("geoid", F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low)), F.lit(" has "), F.col("pop").cast("string"), F.lit(" people"), F.when(F.col("income").isNotNull(), ".").otherwise("; no income.")).alias("summary"))
-
-
-@register("SELECT p_partkey, list_min(list_transform(regexp_extract_all(p_type || ' Level ' || (p_size % 4 + 1) || ' Level ' || (p_partkey % 3 + 1), 'Level ([0-9]+)', 1), lambda x: CAST(x AS INTEGER))) AS level FROM part")
-def project_p9_best_level(spark, d):
-    note = F.concat("p_type", F.lit(" Level "), (F.col("p_size") % 4 + 1).cast("string"), F.lit(" Level "), (F.col("p_partkey") % 3 + 1).cast("string"))
-    return t(spark, d, "part").select("p_partkey", F.array_min(F.transform(F.regexp_extract_all(note, F.lit("Level ([0-9]+)"), 1), lambda x: x.cast("int"))).alias("level"))
-
-
-@register(f"WITH {FEED} SELECT coalesce(CASE WHEN k % 7 <> 0 THEN 'v' || vehicle END, 'item-' || printf('%05d', seq)) AS id, CASE WHEN speed > 1 THEN speed END AS speed FROM feed")
-def project_p10_safe_record(spark, d):
-    value = F.nanvl(F.when(F.col("speed") > 1, F.col("speed")).otherwise(float("nan")), F.lit(None).cast("double"))
-    return feed(spark, d).select(F.coalesce(F.when(F.col("k") % 7 != 0, F.concat(F.lit("v"), F.col("vehicle").cast("string"))), F.format_string("item-%05d", "seq")).alias("id"), value.alias("speed"))
-
-
-@register(f"WITH {_FIRE} SELECT seq, CASE confidence WHEN 'l' THEN 0.3 WHEN 'n' THEN 0.6 WHEN 'h' THEN 0.9 ELSE greatest(0.0, least(1.0, CAST(confidence AS DOUBLE) / 100)) END AS confidence FROM fires")
-def project_p11_confidence(spark, d):
-    c = F.col("confidence")
-    return fires(spark, d).select("seq", F.when(c == "l", 0.3).when(c == "n", 0.6).when(c == "h", 0.9).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.try_cast("double") / 100))).alias("confidence"))
-
-
-@register(f"WITH {_FIRE} SELECT 'firms:' || printf('%.4f', floor(lat * 10000) / 10000) || ':' || printf('%.4f', floor(lon * 10000) / 10000) || ':' || acq_time || ':' || k % 2 AS key, count(*) AS n FROM fires GROUP BY 1")
-def project_p13_detection_key(spark, d):
-    key = F.concat_ws(":", F.lit("firms"), *(F.format_string("%.4f", (F.floor(F.col(c) * 10000) / 10000).cast("double")) for c in ("lat", "lon")), F.col("acq_time").cast("string"), (F.col("k") % 2).cast("string"))
-    return fires(spark, d).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-
-
-_FAMILY = {2: "WING", 3: "SERVICE", 5: "TUG", 6: "PASSENGER", 7: "CARGO", 8: "TANKER", 9: "OTHER"}
-
-
-@register("SELECT p_partkey, CASE CAST(floor(p_size * 2 / 10) AS INTEGER) WHEN 2 THEN 'WING' WHEN 3 THEN 'SERVICE' WHEN 5 THEN 'TUG' WHEN 6 THEN 'PASSENGER' WHEN 7 THEN 'CARGO' WHEN 8 THEN 'TANKER' WHEN 9 THEN 'OTHER' ELSE CAST(p_size * 2 AS VARCHAR) END AS family FROM part")
-def project_p15_type_family(spark, d):
-    code = F.col("p_size") * 2
-    families = F.create_map(*(F.lit(x) for kv in _FAMILY.items() for x in kv))
-    return t(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(families, F.floor(code / 10).cast("int")), code.cast("string")).alias("family"))
-
-
-@register("SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'Station' WHEN p_brand LIKE '%1' THEN 'Weather' WHEN p_brand LIKE '%2' THEN 'Navigation' ELSE 'Other' END AS class FROM part")
-def project_p16_class_override(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") == 7, "Station").when(F.col("p_brand").endswith("1"), "Weather").when(F.col("p_brand").endswith("2"), "Navigation").otherwise("Other").alias("class"))
-
-
-@register(f"WITH {FEED} SELECT seq, CASE WHEN kind = 'signup' THEN 'helicopter' WHEN kind <> 'error' AND speed * 100 <= 3000 THEN 'low' END AS reason FROM feed")
-def project_p17_low_flyer(spark, d):
-    return feed(spark, d).select("seq", F.when(F.col("kind") == "signup", "helicopter").when((F.col("kind") != "error") & (F.col("speed") * 100 <= 3000), "low").alias("reason"))
-
-
-@register(f"WITH {FEED} SELECT seq, CASE WHEN k = 0 THEN 'Clear' WHEN k BETWEEN 1 AND 3 THEN 'Cloudy' WHEN k IN (45, 48) THEN 'Fog' WHEN k BETWEEN 51 AND 67 THEN 'Rain' WHEN k BETWEEN 71 AND 77 THEN 'Snow' WHEN k BETWEEN 80 AND 82 THEN 'Showers' WHEN k >= 95 THEN 'Thunderstorm' END AS label FROM feed")
-def project_p19_weather_label(spark, d):
-    k = F.col("k")
-    ranges = ((0, 0, "Clear"), (1, 3, "Cloudy"), (45, 45, "Fog"), (48, 48, "Fog"), (51, 67, "Rain"), (71, 77, "Snow"), (80, 82, "Showers"), (95, 1 << 30, "Thunderstorm"))
-    return feed(spark, d).select("seq", F.coalesce(*(F.when(k.between(a, b), x) for a, b, x in ranges)).alias("label"))
-
-
-@register(f"WITH {TRACTS} SELECT geoid, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN place ELSE name || ', ' || place END AS label FROM tracts")
-def project_p21_place_label(spark, d):
-    locality = F.when(F.col("k") % 4 == 1, F.col("place")).when(F.col("k") % 4 > 1, F.col("name"))
-    region = F.when(F.col("k") % 4 > 0, F.col("place"))
-    parts = F.array_distinct(F.filter(F.array(locality, region), lambda x: x.isNotNull()))
-    return tracts(spark, d).select("geoid", F.nullif(F.array_join(parts, ", "), F.lit("")).alias("label"))
-
-
-@register(f"WITH {FEED} SELECT seq, CASE WHEN speed < 10 THEN 'shallow' WHEN speed < 40 THEN 'middle' ELSE 'deep' END AS band FROM feed")
-def project_p22_depth_band(spark, d):
-    return feed(spark, d).select("seq", F.when(F.col("speed") < 10, "shallow").when(F.col("speed") < 40, "middle").otherwise("deep").alias("band"))
-
-
-@register(f"WITH {FEED}, s AS (SELECT vehicle, CASE kind WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS rank FROM feed) SELECT vehicle, CASE min(rank) WHEN 0 THEN 'error' WHEN 1 THEN 'stale' WHEN 2 THEN 'partial' ELSE 'live' END AS state FROM s GROUP BY vehicle")
-def project_p23_feed_state(spark, d):
-    k = F.col("kind")
-    state = F.when(k == "error", F.struct(F.lit(0).alias("rank"), F.lit("error").alias("state"))).when(k == "click", F.struct(F.lit(1).alias("rank"), F.lit("stale").alias("state"))).when(k == "view", F.struct(F.lit(2).alias("rank"), F.lit("partial").alias("state"))).otherwise(F.struct(F.lit(3).alias("rank"), F.lit("live").alias("state")))
-    return feed(spark, d).select("vehicle", state.alias("s")).groupBy("vehicle").agg(F.min_by("s.state", "s.rank").alias("state"))
-
-
-@register("WITH p AS (SELECT o_custkey, array_to_string(list((o_custkey % 25) || ':' || CAST(o_orderkey % 50 AS VARCHAR) || '.5' ORDER BY o_orderkey), ',') AS code FROM orders GROUP BY o_custkey) SELECT o_custkey, n_name AS name, count(*) AS entries FROM (SELECT o_custkey, CAST(split_part(unnest(string_split(code, ',')), ':', 1) AS INTEGER) AS idx FROM p) JOIN nation ON idx = n_nationkey GROUP BY 1, 2")
-def project_p24_code_list(spark, d):
-    part = F.concat((F.col("o_custkey") % 25).cast("string"), F.lit(":"), (F.col("o_orderkey") % 50).cast("string"), F.lit(".5"))
-    coded = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(part)), ",").alias("code"))
-    listed = coded.select("o_custkey", F.inline(text.index_list("code")))
-    return listed.join(t(spark, d, "nation"), F.col("idx") == F.col("n_nationkey")).groupBy("o_custkey", F.col("n_name").alias("name")).agg(F.count(F.lit(1)).alias("entries"))
-
-
-@register("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '—' WHEN o_orderstatus = 'O' THEN format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) ELSE printf('%.1f', CAST(o_orderkey % 100 AS DOUBLE)) || '%' END AS shown FROM orders")
-def project_p25_formats(spark, d):
-    s = F.col("o_orderstatus")
-    return t(spark, d, "orders").select("o_orderkey", F.when(s == "P", "—").when(s == "O", F.format_number(F.floor("o_totalprice"), 0)).otherwise(F.concat(F.format_string("%.1f", (F.col("o_orderkey") % 100).cast("double")), F.lit("%"))).alias("shown"))
-
-
-@register("SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'STEEL') THEN 'rail' WHEN regexp_matches(p_type, 'COPPER') THEN 'tram' WHEN p_size > 10 THEN 'bus' ELSE 'unknown' END AS mode FROM part")
-def project_p26_mode(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.when(F.col("p_type").contains("STEEL"), "rail").when(F.col("p_type").contains("COPPER"), "tram").when(F.col("p_size") > 10, "bus").otherwise("unknown").alias("mode"))
-
-
-@register("SELECT s_suppkey AS camera, greatest(5.0, least(120.0, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal / 50 END, 60.0))) AS fov, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_name END, n_name) AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-def project_p27_defaults(spark, d):
-    s, n = t(spark, d, "supplier"), t(spark, d, "nation")
-    j = s.join(n, s.s_nationkey == n.n_nationkey, "left")
-    fov = F.coalesce(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") / 50), F.lit(60.0))
-    return j.select(F.col("s_suppkey").alias("camera"), F.greatest(F.lit(5.0), F.least(F.lit(120.0), fov)).alias("fov"), F.coalesce(F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")), "n_name").alias("label"))
-
-
 @register("SELECT l_orderkey AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS step, l_quantity AS metres FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 200")
 def project_p28_route_steps(spark, d):
     legs = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))).alias("steps"))
     return legs.select(F.col("l_orderkey").alias("route"), F.posexplode(F.slice("steps", 1, 200)).alias("i", "s")).select("route", (F.col("i") + 1).cast("long").alias("step"), F.col("s.l_quantity").alias("metres"))
 
 
-@register("SELECT o_orderkey, (o_totalprice > 100000)::INT + (o_orderpriority LIKE '1%')::INT + least(CAST(o_custkey % 9 AS INT), 3) AS score FROM orders")
-def project_p32_completeness(spark, d):
-    one = lambda c: F.when(c, 1).otherwise(0)
-    return t(spark, d, "orders").select("o_orderkey", (one(F.col("o_totalprice") > 100000) + one(F.col("o_orderpriority").startswith("1")) + F.least((F.col("o_custkey") % 9).cast("int"), F.lit(3))).alias("score"))
-
-
-@register("SELECT l_orderkey, l_linenumber, CASE WHEN 1 - l_discount * 8 >= 0.85 THEN 'free' WHEN 1 - l_discount * 8 >= 0.55 THEN 'slow' ELSE 'jam' END AS flow FROM lineitem")
-def project_p33_congestion(spark, d):
-    level = 1 - F.col("l_discount") * 8
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(level >= 0.85, "free").when(level >= 0.55, "slow").otherwise("jam").alias("flow"))
-
-
-@register(f"WITH {TRACTS} SELECT geoid, CASE WHEN k % 5 <> 0 THEN round(minority * 100000.0 / pop, 3) END AS rate FROM tracts")
-def project_p34_rate(spark, d):
-    return tracts(spark, d).select("geoid", F.round(F.when(F.col("k") % 5 != 0, F.col("minority")) * 100000.0 / F.when(F.col("pop") > 0, F.col("pop")), 3).alias("rate"))
-
-
-

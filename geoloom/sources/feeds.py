@@ -36,6 +36,66 @@ def earthquakes(df: DataFrame, least: float = 2.5) -> DataFrame:
     return rows.join(refused, "n", "left_anti").where(F.col("mag") >= least).drop("n")
 
 
+#: Columns that a fire table must have.
+FIRE_COLUMNS = ("latitude", "longitude", "acq_date", "acq_time", "confidence", "frp")
+
+
+def _fire_lines(value: str) -> Column:
+    """The lines of an answer from the first one that holds anything."""
+    return F.split(F.regexp_replace(value, r"^\s+", ""), r"\r?\n")
+
+
+def _fire_header(value: str) -> Column:
+    return F.transform(F.split(F.lower(F.element_at(_fire_lines(value), 1)), ","), F.trim)
+
+
+def is_fire_csv(value: str = "value") -> Column:
+    """Whether an answer is a fire table and no page or error text: its first line names all columns that are needed."""
+    text = F.regexp_replace(value, r"^\s+", "")
+    header = _fire_header(value)
+    return F.coalesce((text != "") & ~text.startswith("<") & F.size(F.array_intersect(header, F.array(*map(F.lit, FIRE_COLUMNS)))).eqNullSafe(len(FIRE_COLUMNS)), F.lit(False))
+
+
+def fire_rows(df: DataFrame, value: str = "value") -> DataFrame:
+    """Detections of fire tables (one in each row of df, other columns are kept): columns by name, in either sensor's format.
+
+    An answer that is no table gives none; a line with too few cells or without a place is skipped, others stand.
+    """
+    kept = [c for c in df.columns if c != value]
+    tables = df.where(is_fire_csv(value)).select(*kept, _fire_header(value).alias("_h"), _fire_lines(value).alias("_l"))
+    lines = tables.select(*kept, "_h", F.explode(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0)))).alias("_line")).withColumn("_p", F.split(F.trim("_line"), ","))
+    at = lambda *names: F.coalesce(*(F.when(F.array_contains("_h", n), F.try_element_at("_p", F.nullif(F.array_position("_h", F.lit(n)), F.lit(0)).cast("int"))) for n in names))
+    number = lambda *names: F.coalesce(F.trim(at(*names)).try_cast("double"), F.lit(0.0))
+    place = lambda n: F.trim(at(n)).try_cast("double")
+    rows = lines.where((F.trim("_line") != "") & (F.size("_p") >= F.size("_h"))).select(
+        *kept, place("latitude").alias("lat"), place("longitude").alias("lon"), number("frp").alias("frp"), F.trim(at("confidence")).alias("confidence"), number("bright_ti4", "brightness").alias("brightness"), number("bright_ti5", "bright_t31").alias("brightness_2"),
+        F.trim(at("daynight")).alias("daynight"), F.trim(at("acq_date")).alias("acq_date"), F.trim(at("acq_time")).alias("acq_time"), F.trim(at("satellite")).alias("satellite"), F.trim(at("instrument")).alias("instrument"),
+    )
+    return rows.where(geo.valid_point("lat", "lon"))
+
+
+def union_sources(sources: dict[str, DataFrame], time: str, now_ms: int | None = None, keep_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of all sources with their name and order, without those too old; rows and newest time of each source)."""
+    every = None
+    for n, (name, df) in enumerate(sources.items()):
+        one = df.withColumns({"source": F.lit(name), "source_order": F.lit(n)})
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    if keep_ms is not None:
+        every = every.where(F.lit(now_ms) - F.col(time) <= keep_ms)
+    asked = df.sparkSession.createDataFrame([(k,) for k in sources], "source string")
+    stats = every.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("newest"))
+    return every, asked.join(stats, "source", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def delta_ring(steps) -> Column:
+    """A packed ring (x, y, dx, dy, dx, dy, ...) as an array of points (x, y)."""
+    s = F.col(steps) if isinstance(steps, str) else steps
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(s) / 2).cast("int") - 1), lambda i: F.struct(F.element_at(s, 2 * i + 1).alias("x"), F.element_at(s, 2 * i + 2).alias("y")))
+    first = F.slice(pairs, 1, 1)
+    add = lambda out, p: F.concat(out, F.array(F.struct((F.element_at(out, -1)["x"] + p["x"]).alias("x"), (F.element_at(out, -1)["y"] + p["y"]).alias("y"))))
+    return F.when(F.size(s) >= 2, F.aggregate(F.slice(pairs, 2, F.size(pairs)), first, add))
+
+
 def perimeters(df: DataFrame) -> DataFrame:
     """Fire perimeters of feature collections; a feature without id or rings is skipped by itself."""
     shape = "features array<struct<properties:struct<id:string,name:string,acres:double>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
@@ -61,7 +121,7 @@ def readsb(df: DataFrame) -> DataFrame:
     return a.where(geo.valid_point("lat", "lon")).select(
         F.lower(F.trim("hex")).alias("id"), F.nullif(F.trim("flight"), F.lit("")).alias("callsign"), "lat", "lon", (F.col("alt_baro").try_cast("double") * geo.FOOT).alias("altitude_m"),
         (F.col("alt_baro") == "ground").alias("on_ground"), (F.col("gs") * geo.KNOT).alias("speed_mps"), F.col("track").alias("course"), (F.col("baro_rate") * geo.FOOT_A_MINUTE).alias("climb_mps"),
-        ((F.col("now") - F.coalesce("seen_pos", F.lit(0.0))) * 1000).cast("long").alias("position_ms"),
+        F.round((F.col("now") - F.coalesce("seen_pos", F.lit(0.0))) * 1000).cast("long").alias("position_ms"),
     )
 
 
@@ -113,36 +173,38 @@ def json_inventory(lines: DataFrame) -> DataFrame:
 _SMOKE = {"smoke_light": 5, "smoke_medium": 16, "smoke_heavy": 27}
 
 
-def smoke(df: DataFrame, most: int = 400) -> DataFrame:
-    """(density, ring) of the placemarks of a KML text in each row; those without four points are skipped."""
+def smoke(df: DataFrame, most: int | None = 400) -> DataFrame:
+    """(density, ring) of the placemarks of a KML text in each row; those without four points are skipped. most: rows, None all."""
     marks = df.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<Placemark.*?</Placemark>"), 0)).alias("n", "mark"))
     style = F.lower(F.regexp_extract("mark", r"<styleUrl>#?([^<]*)</styleUrl>", 1))
     density = F.coalesce(*(F.when(style.contains(k), v) for k, v in _SMOKE.items()))
     text = F.trim(F.regexp_extract("mark", r"(?s)<coordinates>(.*?)</coordinates>", 1))
     pair = lambda p, i: F.try_element_at(F.split(p, ","), F.lit(i)).try_cast("double")
     ring = F.filter(F.transform(F.split(text, r"\s+"), lambda p: F.struct(pair(p, 1).alias("x"), pair(p, 2).alias("y"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    return marks.select("n", density.alias("density"), ring.alias("ring")).where("density is not null and size(ring) >= 4").orderBy("n").limit(most).select("density", "ring")
+    rows = marks.select("n", density.alias("density"), ring.alias("ring")).where("density is not null and size(ring) >= 4")
+    return (rows if most is None else rows.orderBy("n").limit(most)).select("density", "ring")
 
 
-def articles(df: DataFrame, most: int = 5) -> DataFrame:
-    """(title, host, link) of RSS texts, the first of each title and host, at most so many."""
+def articles(df: DataFrame, most: int | None = 5) -> DataFrame:
+    """(title, host, link) of RSS texts, the first of each title and host, at most so many (None: all)."""
     from geoloom.functions.text import clean, decoded
 
     items = df.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<item.*?</item>"), 0)).alias("n", "item"))
     tag = lambda k: clean(decoded(F.regexp_replace(F.regexp_extract("item", rf"(?s)<{k}[^>]*>(.*?)</{k}>", 1), r"<!\[CDATA\[|\]\]>", "")), 300)
     x = items.select("n", tag("title").alias("title"), tag("link").alias("link")).withColumn("host", F.regexp_replace(F.try_parse_url("link", F.lit("HOST")), r"^www\.", "")).where("title is not null and host is not null")
     first = x.groupBy(F.lower("title").alias("_t"), "host").agg(F.min(F.struct("n", "title", "link")).alias("f"))
-    return first.select("f.n", "f.title", "host", "f.link").orderBy("n").limit(most).select("title", "host", "link")
+    rows = first.select("f.n", "f.title", "host", "f.link")
+    return (rows if most is None else rows.orderBy("n").limit(most)).select("title", "host", "link")
 
 
-def closed_pack(df: DataFrame, most_points: int = 50_000) -> DataFrame:
-    """Features of a strict pack: every id there and unique, every ring closed, points within bounds; else an error."""
+def closed_pack(df: DataFrame, most_points: int | None = 50_000) -> DataFrame:
+    """Features of a strict pack: every id there and unique, every ring closed, at most so many points; else an error."""
     shape = "features array<struct<id:string,geometry:struct<coordinates:array<array<array<double>>>>>>"
     f = _json(df, shape).select(F.explode("j.features").alias("f")).select("f.id", F.col("f.geometry.coordinates").alias("rings"))
     closed = F.forall("rings", lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
     points = F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r))
     s = f.agg(F.bool_and(F.col("id").isNotNull() & closed).alias("ok"), (F.count(F.lit(1)) == F.count_distinct("id")).alias("once"), F.sum(points).alias("points")).first()
-    if not (s["ok"] and s["once"] and s["points"] <= most_points):
+    if not (s["ok"] and s["once"] and (most_points is None or s["points"] <= most_points)):
         raise ValueError("the pack is not valid")
     return f
 
@@ -204,8 +266,8 @@ def unpacked(name: str, data: bytes, depth: int = 0) -> list[tuple[str, bytes]]:
     return [(name, data)]
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, content) of the files in the archives under a path, unpacked on the executors."""
+def unpack(files: DataFrame) -> DataFrame:
+    """(archive, name, content) of the files in archives (path, content), unpacked on the executors."""
 
     def opened(batches):
         for batch in batches:
@@ -213,11 +275,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 found = unpacked(p.rsplit("/", 1)[-1], bytes(content))
                 yield pd.DataFrame({"archive": p, "name": [n for n, _ in found], "content": [c for _, c in found]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(opened, "archive string, name string, content binary")
+    return files.select("path", "content").mapInPandas(opened, "archive string, name string, content binary")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, content) of the files in the archives under a path."""
+    return unpack(spark.read.format("binaryFile").load(path))
+
+
+#: Readers of uploaded files by their endings.
+UPLOADS = {"csv": (".csv",), "tsv": (".tsv", ".tab"), "xlsx": (".xlsx",), "geojson": (".geojson", ".json"), "kml": (".kml", ".kmz"), "gpx": (".gpx",), "shapefile": (".shp",), "archive": (".zip", ".tar", ".gz", ".bz2", ".xz", ".zst")}
+
+
+def upload_kind(name) -> Column:
+    """The reader of an uploaded file by its ending, or null."""
+    low = F.lower(F.col(name) if isinstance(name, str) else name)
+    return F.coalesce(*(F.when(low.endswith(end), kind) for kind, ends in UPLOADS.items() for end in ends))
 
 
 def kind_of(name: str) -> str | None:
     """The reader of an uploaded file by its ending."""
     low = name.lower()
-    endings = {"csv": (".csv",), "tsv": (".tsv", ".tab"), "xlsx": (".xlsx",), "geojson": (".geojson", ".json"), "kml": (".kml", ".kmz"), "gpx": (".gpx",), "shapefile": (".shp",), "archive": (".zip", ".tar", ".gz", ".bz2", ".xz", ".zst")}
-    return next((k for k, ends in endings.items() if low.endswith(ends)), None)
+    return next((k for k, ends in UPLOADS.items() if low.endswith(ends)), None)

@@ -8,13 +8,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.operators import scratch
+
 #: Bounds of a storm snapshot, points of a lookup call and of a request, days that a miss is kept.
 MOST_STORMS, MOST_COORDINATES, CALL_POINTS, MOST_POINTS, MISS_MS = 32, 25_000, 64, 2_000, 24 * 3_600_000
 
 
+LAYER_NAME = r"[a-z0-9][a-z0-9_-]{0,63}"
+
+
+def is_layer_name(name) -> Column:
+    return F.coalesce((F.col(name) if isinstance(name, str) else name).rlike(f"^{LAYER_NAME}$"), F.lit(False))
+
+
 def layer_table(spark: SparkSession, name: str, database: str = "default") -> DataFrame:
     """A layer by its name (lower-case letters, digits, - and _), which must exist."""
-    if not re.fullmatch(r"[a-z0-9][a-z0-9_-]{0,63}", name):
+    if not re.fullmatch(LAYER_NAME, name):
         raise ValueError(f"not a layer name: {name!r}")
     table = f"{database}.`{name}`"
     if not spark.catalog.tableExists(table):
@@ -44,24 +53,24 @@ def embedded(df: DataFrame, variable: str) -> DataFrame:
     return df.select(F.try_parse_json(F.nullif(plain, F.lit(""))).alias("data"))
 
 
-def storms(df: DataFrame) -> DataFrame:
-    """Storms (id, name, wind, track) of a snapshot; an error if ids repeat or bounds are broken."""
+def storms(df: DataFrame, most: int | None = MOST_STORMS, most_points: int | None = MOST_COORDINATES) -> DataFrame:
+    """Storms (id, name, wind, track) of a snapshot; an error if ids repeat or bounds are broken (None: no bound)."""
     shape = "storms array<struct<id:string,name:string,wind:double,track:array<array<double>>>>"
     s = df.select(F.inline(F.from_json("value", shape)["storms"]))
     bad = F.col("id").isNull() | (F.col("wind") < 0) | F.exists("track", lambda p: (F.size(p) < 2) | F.coalesce(~p[0].between(-180, 180) | ~p[1].between(-90, 90), F.lit(True)))
     r = s.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"), F.sum(F.size("track")).alias("points")).first()
-    if r["n"] != r["ids"] or r["bad"] or r["n"] > MOST_STORMS or (r["points"] or 0) > MOST_COORDINATES:
+    if r["n"] != r["ids"] or r["bad"] or (most is not None and r["n"] > most) or (most_points is not None and (r["points"] or 0) > most_points):
         raise ValueError(f"not a valid snapshot: {r.asDict()}")
     return s
 
 
-def looked_up(points: DataFrame, fetch, key: str = "id", cache: DataFrame | None = None) -> DataFrame:
+def looked_up(points: DataFrame, fetch, key: str = "id", cache: DataFrame | None = None, most: int | None = MOST_POINTS) -> DataFrame:
     """(key, value) of points (key, lat, lon): the cache's values, else fetch([(lat, lon)]) for up to CALL_POINTS at once.
 
-    A call that fails gives nulls for its points; more than MOST_POINTS points, or only failed calls, are an error.
+    A call that fails gives nulls for its points; more than `most` points (None: no bound), or only failed calls, are an error.
     """
-    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} points")
+    if most is not None and points.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} points")
 
     def called(batches):
         for b in batches:
@@ -75,7 +84,8 @@ def looked_up(points: DataFrame, fetch, key: str = "id", cache: DataFrame | None
 
     kind = dict(points.dtypes)[key]
     asked = points if cache is None else points.join(cache.select(key), key, "left_anti")
-    got = asked.select(key, "lat", "lon").mapInPandas(called, f"{key} {kind}, value double, ok boolean").persist()
+    got = asked.select(key, "lat", "lon").mapInPandas(called, f"{key} {kind}, value double, ok boolean")
+    got = scratch.written(got)  # each call is made once
     if not got.isEmpty() and got.where("ok").isEmpty():
         raise ValueError("every call failed")
     out = got.select(key, "value")

@@ -25,6 +25,36 @@ def write_layer(df: DataFrame, path: str, chunk: str = "chunk") -> DataFrame:
     return index
 
 
+def csv_line(*columns: Column) -> Column:
+    """A CSV line: cells with commas, quotes or line breaks are quoted, quotes doubled; nulls are empty."""
+    cell = lambda c: F.coalesce(F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c), F.lit(""))
+    return F.concat_ws(",", *(cell(c.cast("string")) for c in columns))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files for spreadsheets: each begins with a byte order mark and the header, and its lines end with CRLF."""
+    header = "\ufeff" + ",".join(f'"{c}"' if "," in c else c for c in df.columns)
+
+    def lines(batches):
+        first = True
+        for b in batches:
+            body = b["line"].tolist()
+            yield pd.DataFrame({"value": ([header + "\r"] if first else []) + [x + "\r" for x in body]})
+            first = False
+
+    df.select(csv_line(*(F.col(f"`{c}`") for c in df.columns)).alias("line")).mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_session(path: str, data: DataFrame, script: list[str], log: list[str], maps: dict[str, DataFrame]) -> None:
+    """A session's folder: data and maps as CSV, the lines that were asked and what became of them as text."""
+    spark = data.sparkSession
+    write_csv(data, f"{path}/data.csv")
+    for name, lines in (("script.txt", script), ("log.txt", log)):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    for name, df in maps.items():
+        write_csv(df, f"{path}/map_{name}.csv")
+
+
 def write_tsv(df: DataFrame, path: str, total: DataFrame | None = None) -> None:
     """Tab-separated rows, a total row last if there is one."""
     out = df.withColumn("_last", F.lit(0))
@@ -76,8 +106,12 @@ def _bounded(df: DataFrame, most: int = MOST_FILE_ROWS) -> pd.DataFrame:
 
 def stata(df: DataFrame, labels: dict[str, dict[int, str]] | None = None) -> tuple[bytes, dict[str, str]]:
     """A Stata file (118) of a bounded table, and the renamed columns."""
-    names = legal(df.columns)
-    x = _bounded(df).rename(columns=names)
+    return stata_bytes(_bounded(df), labels)
+
+
+def stata_bytes(x: pd.DataFrame, labels: dict[str, dict[int, str]] | None = None) -> tuple[bytes, dict[str, str]]:
+    names = legal(list(x.columns))
+    x = x.rename(columns=names)
     for c in x.columns:
         if x[c].dtype == object or str(x[c].dtype) in ("str", "string"):
             x[c] = x[c].astype(object).where(x[c].notna(), "")

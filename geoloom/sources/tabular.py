@@ -144,8 +144,8 @@ def polygons(rings) -> list[list]:
     return outer
 
 
-def write_shapefile(rows: list[tuple[str, list]], base: str) -> None:
-    """Polygons ([outer, holes...] each) with a GEOID column as .shp, .shx, .dbf and .prj; a few thousand areas."""
+def shapefile(rows: list[tuple[str, list]]) -> dict[str, bytes]:
+    """Polygons ([outer, holes...] each) with a GEOID column as the bytes of .shp, .shx, .dbf and .prj."""
     shp, shx, at = [], [], 50
     all_points = [p for _, polys in rows for poly in polys for ring in poly for p in ring] or [(0.0, 0.0)]
     box = lambda ps: (min(x for x, _ in ps), min(y for _, y in ps), max(x for x, _ in ps), max(y for _, y in ps))
@@ -161,11 +161,14 @@ def write_shapefile(rows: list[tuple[str, list]], base: str) -> None:
     width = max([len(g) for g, _ in rows] + [1])
     dbf = struct.pack("<4BIHH20x", 3, 124, 1, 1, len(rows), 65, width + 1) + struct.pack("<11sc4xB15x", b"GEOID", b"C", width) + b"\r" + b"".join(b" " + g.encode().ljust(width) for g, _ in rows) + b"\x1a"
     prj = b'GEOGCS["GCS_North_American_1983",DATUM["D_North_American_1983",SPHEROID["GRS_1980",6378137,298.257222101]],PRIMEM["Greenwich",0],UNIT["Degree",0.017453292519943295]]'
-    for end, content in (("shp", head(at) + b"".join(shp)), ("shx", head(50 + 4 * len(shx)) + b"".join(shx)), ("dbf", dbf), ("prj", prj)):
-        with open(f"{base}.{end}", "wb") as f:
-            f.write(content)
+    return {"shp": head(at) + b"".join(shp), "shx": head(50 + 4 * len(shx)) + b"".join(shx), "dbf": dbf, "prj": prj}
 
 
+def write_shapefile(rows: list[tuple[str, list]], base: str) -> None:
+    """The same as files beside each other; a few thousand areas."""
+    for end, content in shapefile(rows).items():
+        with open(f"{base}.{end}", "wb") as f:
+            f.write(content)
 
 
 def read_files(spark: SparkSession, path: str, parse, schema: str | None = None) -> DataFrame:
@@ -177,16 +180,48 @@ def read_files(spark: SparkSession, path: str, parse, schema: str | None = None)
     if schema is None:
         first = parse(files.orderBy("path").first()["content"])
         schema = ", ".join(f"`{c}` string" for c in first.columns)
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return parsed_files(files, parse, schema)
+
+
+def parsed_files(files: DataFrame, parse, schema: str) -> DataFrame:
+    """Rows of files that a table holds (content): parse(bytes) gives each one's pandas table."""
+    names = [f.name for f in files.sparkSession.createDataFrame([], schema).schema]
 
     def parsed(batches):
         for batch in batches:
             for content in batch["content"]:
-                yield parse(content).reindex(columns=names)
+                yield parse(bytes(content)).reindex(columns=names)
 
     return files.select("content").mapInPandas(parsed, schema)
 
 
+def csv_rows(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """Rows of CSV lines: quoted cells, doubled quotes, CRLF; blank lines are none."""
+    some = lines.where(F.trim(F.col(value)) != "").select(F.from_csv(F.regexp_replace(value, "\r$", ""), schema, {"quote": '"', "escape": '"'}).alias("_r"))
+    return some.select("_r.*")
+
+
+def summary_level(lines: DataFrame, level: str, cells: dict[str, tuple[int, str]], value: str = "value") -> DataFrame:
+    """(geoid, cells) of pipe-delimited lines whose geography is of a summary level such as 1400000US: name -> (place, type)."""
+    parts = F.split(value, r"\|")
+    geo_id = F.element_at(parts, 1)
+    return lines.where(geo_id.startswith(level)).select(F.substring(geo_id, F.instr(geo_id, F.lit("US")) + 2, F.length(geo_id)).alias("geoid"), *(F.try_element_at(parts, F.lit(i)).try_cast(kind).alias(n) for n, (i, kind) in cells.items()))
+
+
+def sequence_estimates(estimates: DataFrame, geography: DataFrame, cells: dict[str, int], value: str = "value") -> DataFrame:
+    """(geoid, cells) of estimate lines (state, record, then cells by place) by a geography (state, record, geoid)."""
+    parts = F.split(value, ",")
+    rows = estimates.select(F.element_at(parts, 1).alias("state"), F.element_at(parts, 2).cast("long").alias("record"), *(F.try_element_at(parts, F.lit(i)).try_cast("double").alias(n) for n, i in cells.items()))
+    return rows.join(geography, ["state", "record"]).select("geoid", *cells)
+
+
+def padded_values(rows: DataFrame, geoid: str, value: str, digits: int = 11) -> DataFrame:
+    """(geoid, value) of answers in texts: the identifier with leading zeros, rows without one or without a number dropped."""
+    from geoloom.functions.records import padded
+
+    return rows.select(padded(geoid, digits).alias("geoid"), F.trim(value).try_cast("double").alias("value")).where("geoid is not null and value is not null")
+
+
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, schema: str | None = None) -> DataFrame:
     return read_files(spark, path, lambda data: xlsx_table(bytes(data), sheet), schema)
 

@@ -118,13 +118,22 @@ class Track:
 HISTORY = "key long, ms long, fixes int, epochs int, truncated boolean, motion string"
 
 
+def _step(ring: Ring, track: Track, ms, lat, lon, trip) -> str:
+    motion = track.accept(int(ms), float(lat), float(lon))
+    if motion != "wait":
+        ring.add(int(ms), float(lat), float(lon), trip)
+    return motion
+
+
+def _summary(key, ring: Ring, motion: str) -> dict:
+    return {"key": key, "ms": ring.fixes[-1][0] if ring.fixes else None, "fixes": len(ring.fixes), "epochs": len(ring.epochs), "truncated": ring.truncated, "motion": motion}
+
+
 def _history(key, rows: pd.DataFrame, ring: Ring, track: Track) -> dict:
     motion = "wait"
-    for ms, lat, lon, trip in rows.sort_values(["ms", "lat", "lon"])[["ms", "lat", "lon", "trip"]].itertuples(index=False):
-        motion = track.accept(int(ms), float(lat), float(lon))
-        if motion != "wait":
-            ring.add(int(ms), float(lat), float(lon), trip)
-    return {"key": key, "ms": ring.fixes[-1][0] if ring.fixes else None, "fixes": len(ring.fixes), "epochs": len(ring.epochs), "truncated": ring.truncated, "motion": motion}
+    for fix in rows.sort_values(["ms", "lat", "lon"])[["ms", "lat", "lon", "trip"]].itertuples(index=False):
+        motion = _step(ring, track, *fix)
+    return _summary(key, ring, motion)
 
 
 class History(StatefulProcessor):
@@ -151,12 +160,28 @@ def history_stream(feed: DataFrame) -> DataFrame:
 
 
 def history_batch(feed: DataFrame) -> DataFrame:
-    """The same fold over a table: one row for each key."""
+    """The same fold over a table: one row for each key.
 
-    def fold(key, rows):
-        return pd.DataFrame([_history(key[0], rows, Ring(), Track())])
+    Fixes come sorted by key and time, so a task holds one ring and one track, however many fixes a key has.
+    """
 
-    return feed.groupBy("key").applyInPandas(fold, HISTORY)
+    def fold(batches):
+        key, ring, track, motion = None, None, None, "wait"
+        for b in batches:
+            out = []
+            for k, *fix in b[["key", "ms", "lat", "lon", "trip"]].itertuples(index=False):
+                if ring is None or k != key:
+                    if ring is not None:
+                        out.append(_summary(key, ring, motion))
+                    key, ring, track = k, Ring(), Track()
+                motion = _step(ring, track, *fix)
+            if out:
+                yield pd.DataFrame(out)
+        if ring is not None:
+            yield pd.DataFrame([_summary(key, ring, motion)])
+
+    dealt = feed.where("key is not null").repartition("key").sortWithinPartitions("key", "ms", "lat", "lon")
+    return dealt.mapInPandas(fold, HISTORY)
 
 
 def windowed(feed: DataFrame, length: str, slide: str | None = None, late: str = "15 minutes") -> DataFrame:

@@ -16,8 +16,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from geoloom.functions import dates, geo, text
-from geoloom.operators import aggregates, grids, joins, layers, stats
+from geoloom.functions import dates, geo, records, text
+from geoloom.operators import aggregates, grids, joins, layers, routes, scratch, stats
 from geoloom.plans import commands, merge, report
 from geoloom.plans.joining import squares
 from geoloom.sources import feeds, sinks, tabular
@@ -123,14 +123,107 @@ def test_least_squares(spark):
     assert stats.least_squares(df, "y", ["x"], robust=True).se.gt(0).all()
 
 
+def test_count_models_of_two_groups(spark):
+    """With one indicator the fitted means are those of its groups: log of means for Poisson, of odds for logit."""
+    rows = [(0, y, int(y > 2)) for y in (1, 2, 3, 4, 0)] + [(1, y, int(y > 2)) for y in (4, 6, 8, 2)]
+    df = spark.createDataFrame(rows, "x int, y int, hit int")
+    fit, _ = stats.generalised(df, "y", ["x"], "poisson")
+    got = dict(zip(fit["term"], fit["coef"]))
+    assert abs(got["_cons"] - math.log(2)) < 1e-6 and abs(got["x"] - math.log(5 / 2)) < 1e-6
+    fit, _ = stats.generalised(df, "hit", ["x"], "binomial")
+    got = dict(zip(fit["term"], fit["coef"]))
+    assert abs(got["_cons"] - math.log(2 / 3)) < 1e-6 and abs(got["x"] - (math.log(3) - math.log(2 / 3))) < 1e-6
+
+
+def test_plausible_routes(spark):
+    """New York to London: on the way, far off it, climbing in the middle, at an end."""
+    rows = [(52.0, -40.0, 0.0), (20.0, -40.0, 0.0), (52.0, -40.0, 20.0), (40.7, -73.0, 20.0)]
+    df = spark.createDataFrame(rows, "lat double, lon double, climb double")
+    got = [r[0] for r in df.select(routes.plausible("lat", "lon", "climb", F.lit(40.6), F.lit(-73.8), F.lit(51.5), F.lit(-0.5))).collect()]
+    assert got == [True, False, False, True]
+
+
+def test_permutations_of_noise(spark):
+    """Values without a pattern are not significant, and both ways of permuting say about the same."""
+    import random
+
+    r = random.Random(1)
+    shapes_ = squares(spark, 12)
+    edges = joins.contiguity(shapes_, "id", rook=True)
+    noise = spark.createDataFrame([(i, r.random()) for i in range(144)], "id long, value double")
+    p = stats.permuted_i(noise, edges, 199).first()
+    assert p.p > 0.05 and abs(p.z) < 2
+    slope = spark.createDataFrame([(i, float(i % 12)) for i in range(144)], "id long, value double")
+    a = stats.permuted_i(slope, edges, 199).first()
+    held, stats.MOST_VECTOR = stats.MOST_VECTOR, 10
+    try:
+        b = stats.permuted_i(slope, edges, 199).first()
+    finally:
+        stats.MOST_VECTOR = held
+    assert a.p == b.p == 1 / 200 and a.z > 5 and b.z > 5
+
+
 def test_nearest_agrees(spark):
     a = spark.createDataFrame([(i, *p) for i, p in enumerate([(89.5, 10.0), (-10.0, 179.9), (0.0, 0.0), (48.0, 2.0), (-89.9, -170.0)])], "id int, lat double, lon double")
     b = spark.createDataFrame([(i, *p) for i, p in enumerate([(89.0, -170.0), (-10.0, -179.8), (1.0, 1.0), (40.0, -100.0)])], "site int, lat double, lon double")
-    few = sorted((r.id, r.site, round(r.km, 6)) for r in joins.nearest_small(a, b, "id", "site").collect())
+    few = sorted((r.id, r.site, round(r.km, 6)) for r in joins.nearest(a, b, "id", "site").collect())
     many = sorted((r.id, r.site, round(r.km, 6)) for r in joins.nearest(a, b, "id", "site", 100.0).collect())
     assert few == many and [x[1] for x in few[:3]] == [0, 1, 2]
 
 
+def test_nearest_is_the_nearest(spark):
+    """Against all pairs: places near and far from a cluster, at the poles and across the dateline; no places at all."""
+    import random
+
+    r = random.Random(3)
+    a = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(300)] + [(900, 90.0, 0.0), (901, -90.0, 0.0), (902, 10.0, 180.0), (903, 10.0, -180.0), (904, None, 1.0)]
+    b = [(i, r.gauss(10, 1), r.gauss(179, 1) if i % 2 else r.gauss(2, 1)) for i in range(60)] + [(99, -89.5, 10.0)]
+    b = [(i, y, (x + 180) % 360 - 180) for i, y, x in b]
+    km = lambda p, q: 2 * geo.MEAN_KM * math.asin(math.sqrt(min(1, math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2)))
+    want = sorted((i, round(min(km(p, q) for _, *q in b), 6)) for i, *p in a if p[0] is not None)
+    left, right = spark.createDataFrame(a, "id int, lat double, lon double"), spark.createDataFrame(b, "site int, lat double, lon double")
+    for first in (None, 50.0, 5000.0):
+        assert sorted((x.id, round(x.km, 6)) for x in joins.nearest(left, right, "id", "site", first).collect()) == want
+    assert joins.nearest(left, right.limit(0), "id", "site").count() == 0
+
+
+def test_prefix_sums(spark):
+    df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "v int, n int").repartition(5)
+    got = {r.v: r.upto for r in scratch.prefix_sums(df, "v", "n").collect()}
+    total, n = 0, {i * 7 % 101: i for i in range(101)}
+    for v in sorted(n):
+        total += n[v]
+        assert got[v] == total
+
+
+def test_history_of_a_table_is_that_of_each_key(spark):
+    """The fold over sorted fixes equals one ring and track for each key."""
+    import random
+
+    r = random.Random(5)
+    rows = [(k, 1000 * r.randrange(4000), 10 + r.random() / 100, 20 + r.random() / 100, r.choice(["a", "b"])) for k in range(7) for _ in range(150)] + [(None, 1, 1.0, 1.0, "a")]
+    df = spark.createDataFrame(rows, "key long, ms long, lat double, lon double, trip string").repartition(3)
+    want = []
+    for k in range(7):
+        ring, track, motion = live.Ring(), live.Track(), "wait"
+        for _, *fix in sorted((x for x in rows if x[0] == k), key=lambda x: x[1:4]):
+            motion = live._step(ring, track, *fix)
+        want.append((k, ring.fixes[-1][0], len(ring.fixes), len(ring.epochs), ring.truncated, motion))
+    assert sorted(map(tuple, live.history_batch(df).collect())) == want
+
+
+def test_dates_refuse_what_is_none(spark):
+    df = spark.createDataFrame([("PT1.5H", "12345"), ("+PT5S", "45"), ("-P1DT0.5M", "0"), ("P", "x"), ("PT", "2400")], "d string, t string")
+    got = [tuple(r) for r in df.select(dates.iso_duration("d"), F.date_format(dates.acquired(F.lit("2024-01-02"), "t"), "HH:mm")).collect()]
+    assert got == [(5400.0, None), (None, "00:45"), (-86430.0, "00:00"), (0.0, None), (0.0, None)]
+
+
+def test_radio_codes_and_heights(spark):
+    df = spark.createDataFrame([("40 ft", {"building:levels": "2", "roof:height": "1,5 m"}), ("0", {"height": "12"}), (None, {})], "h string, tags map<string,string>")
+    got = [tuple(r) for r in df.select(F.round(records.metres("h"), 3), F.round(records.building_height("tags"), 3)).collect()]
+    assert got == [(12.192, 8.1), (None, 12.0), (None, None)]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.floats(-89, 89), st.floats(-180, 179), st.floats(-89, 89), st.floats(-180, 179))
 def test_distance_is_symmetric(spark, a, b, c, d):
