@@ -68,3 +68,13 @@ def iso_duration(x) -> Column:
 def past_year(x, now: int) -> Column:
     """A year up to now, else null."""
     return F.when(_c(x).between(1, now), _c(x))
+
+
+def decade(x) -> Column:
+    """The first year of a date's decade."""
+    return (F.floor(F.year(_c(x)) / 10) * 10).cast("long")
+
+
+def utc_day(ms) -> Column:
+    """The day of epoch milliseconds in UTC, as text."""
+    return F.date_format(F.date_from_unix_date(F.floor(_c(ms) / 86_400_000).cast("int")), "yyyy-MM-dd")

@@ -203,3 +203,12 @@ def collapsed(polygons) -> Column:
     """Polygon or MultiPolygon as a struct (type, polygons): rings without four points go, then polygons without rings; null if none is left."""
     kept = F.filter(F.transform(_c(polygons), lambda rings: F.filter(rings, lambda r: F.size(r) >= 4)), lambda rings: F.size(rings) > 0)
     return F.when(F.size(kept) > 0, F.struct(F.when(F.size(kept) == 1, "Polygon").otherwise("MultiPolygon").alias("type"), kept.alias("polygons")))
+
+
+#: Boxes (west, south, east, north) around the parts of the United States; Alaska crosses the dateline.
+US_BOXES = {"conus": (-125.0, 24.3, -66.9, 49.5), "alaska": (172.0, 51.0, -129.9, 71.5), "hawaii": (-160.6, 18.8, -154.7, 22.4), "puerto rico": (-68.0, 17.6, -64.5, 18.6)}
+
+
+def us_box(lat, lon) -> Column:
+    """The part of the United States whose box holds a point, or null; the outline itself is a ring join (`points_in_rings`)."""
+    return F.coalesce(*(F.when(in_box(lat, lon, F.lit(w), F.lit(s), F.lit(e), F.lit(n)), name) for name, (w, s, e, n) in US_BOXES.items()))

@@ -135,3 +135,37 @@ def public_host(url) -> Column:
     a, b = F.element_at(octets, 1), F.try_element_at(octets, F.lit(2))
     private = (a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | F.exists(octets, lambda o: o > 255))
     return F.coalesce((host != "") & ~host.isin("localhost") & ~host.rlike(r"\.(local|internal|localhost)$") & F.when(ip, ~private).otherwise(host.contains(".")), F.lit(False))
+
+
+#: Kinds of streets as they are written.
+_STREETS = r"(ST|AVE|AV|BLVD|RD|DR|PL|CT|PKWY|LN)"
+
+
+def street_address(x) -> Column:
+    """(number, dir, name, type) of an address such as 211 W. Polk St.; null if it is none."""
+    s = F.upper(F.trim(F.regexp_replace(_c(x), r"\s+", " ")))
+    pattern = rf"^(\d+) (?:([NSEW])\.? )?(.+?) {_STREETS}\.?$"
+    part = lambda k: F.regexp_extract(s, pattern, k)
+    return F.when(s.rlike(pattern), F.struct(part(1).try_cast("int").alias("number"), F.nullif(part(2), F.lit("")).alias("dir"), part(3).alias("name"), F.when(part(4) == "AV", "AVE").otherwise(part(4)).alias("type")))
+
+
+def street_corner(x) -> Column:
+    """(a, b): the two names of a corner such as 12th & State sts. or 28th St. and Maplewood Av.; null if it is none."""
+    s = F.upper(F.trim(F.regexp_replace(_c(x), r"\s+", " ")))
+    parts = F.split(s, r" (?:&|AND) ")
+    name = lambda p: F.trim(F.regexp_replace(p, rf" {_STREETS}S?\.?$", ""))
+    return F.when((F.size(parts) == 2) & ~s.rlike(r"^\d+ [A-Z]"), F.struct(name(parts[0]).alias("a"), name(parts[1]).alias("b")))
+
+
+def crime_place(x) -> Column:
+    """The place that a case description names as that of the crime: the last address or corner, no residence or station."""
+    place = r"((?:\d+ (?:[NSEW]\. )?[A-Z][\w ]*? (?:St|Av|Ave)\.|\d+\w{2} St\. and [A-Z]\w+ (?:St|Av|Ave)\.))(?! Station)"
+    cleaned = F.regexp_replace(F.regexp_replace(_c(x), r"(?:, )?of \d+ [^,]*,", ","), r"(?:[NSEW]\. )?\d+\w{2} St\. Station", "")
+    return F.try_element_at(F.regexp_extract_all(cleaned, F.lit(place), 1), F.lit(-1))
+
+
+def id_after(x, prefix: str) -> Column:
+    """The number that follows a prefix at the end of a text."""
+    import re
+
+    return F.regexp_extract(_c(x), rf"{re.escape(prefix)}0*([0-9]+)$", 1).try_cast("long")

@@ -97,3 +97,29 @@ def runs(cells: DataFrame, by: list[str], at: str, band: str) -> DataFrame:
     """Neighbouring cells of one band joined: (by, band, first, last)."""
     island = F.col(at) - F.row_number().over(W.partitionBy(*by, band).orderBy(at))
     return cells.withColumn("_i", island).groupBy(*by, band, "_i").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("_i")
+
+
+def in_all_periods(rows: DataFrame, key: str, period: str, needed: list, size: Column | None = None, least: float = 0) -> DataFrame:
+    """(key) of those with a row in every needed period, of at least a size in each if one is given."""
+    some = rows.where(F.col(period).isin(*needed))
+    some = some if size is None else some.where(size >= least)
+    return some.groupBy(key).agg(F.count_distinct(period).alias("_n")).where(F.col("_n") == len(needed)).select(key)
+
+
+def without_stacks(points: DataFrame, place: list[str], address: str, least_points: int = 10, least_addresses: int = 3) -> DataFrame:
+    """points without those of places that are a fallback: many points of several addresses in one spot."""
+    stacked = points.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(F.lower(F.col(address).cast("string"))).alias("_a")).where((F.col("_n") >= least_points) & (F.col("_a") >= least_addresses))
+    return points.join(stacked.select(*place), place, "left_anti")
+
+
+def within_budget(rows: DataFrame, by: list[str], order: list[str], size: str, most: int) -> DataFrame:
+    """The first rows of each group whose sizes add up to the budget at most, with the sum so far as `used`."""
+    used = F.sum(size).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    over = F.max(F.col("used") > most).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("used", used).withColumn("_over", over).where(~F.col("_over")).drop("_over")
+
+
+def rising(rows: DataFrame, key: str, time: str, order: str) -> DataFrame:
+    """(key, rising, n): whether a key's times only rise in their order."""
+    up = F.col(time) > F.lag(time).over(W.partitionBy(key).orderBy(order))
+    return rows.select(key, up.alias("_up")).groupBy(key).agg(F.coalesce(F.bool_and("_up"), F.lit(True)).alias("rising"), F.count(F.lit(1)).alias("n"))

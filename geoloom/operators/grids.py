@@ -28,3 +28,30 @@ def converted(fields: DataFrame) -> DataFrame:
 def same_geometry(a: DataFrame, b: DataFrame) -> bool:
     """Whether two fields have the same cells."""
     return a.select("ix", "iy").exceptAll(b.select("ix", "iy")).isEmpty() and b.select("ix", "iy").exceptAll(a.select("ix", "iy")).isEmpty()
+
+
+def sampled(points: DataFrame, grid: DataFrame, nx: int, ny: int) -> DataFrame:
+    """points (lat, lon) with v of a global field of nx columns from 180 W and ny rows from the south pole, between its four cells."""
+    gx, gy = F.pmod((F.col("lon") + 180) / 360 * nx, F.lit(float(nx))), F.least(F.greatest((F.col("lat") + 90) / 180 * (ny - 1), F.lit(0.0)), F.lit(float(ny - 1)))
+    want = points.withColumns({"_gx": gx, "_gy": gy}).withColumns({"_x0": F.floor("_gx").cast("int"), "_y0": F.floor("_gy").cast("int")})
+    want = want.withColumns({"_x1": ((F.col("_x0") + 1) % nx).cast("int"), "_y1": F.least(F.col("_y0") + 1, F.lit(ny - 1)).cast("int")})
+    for name, i, j in (("_v00", "_x0", "_y0"), ("_v10", "_x1", "_y0"), ("_v01", "_x0", "_y1"), ("_v11", "_x1", "_y1")):
+        want = want.join(grid.select(F.col("ix").cast("int").alias(i), F.col("iy").cast("int").alias(j), F.col("v").alias(name)), [i, j], "left")
+    v = geo.bilinear("_v00", "_v10", "_v01", "_v11", F.col("_gx") - F.col("_x0"), F.col("_gy") - F.col("_y0"))
+    return want.withColumn("v", v).select(*points.columns, "v")
+
+
+def ellipsoid_heights(points: DataFrame, geoid: DataFrame, nx: int, ny: int, height: str = "height") -> DataFrame:
+    """points with their height above the ellipsoid: that above the sea and the geoid's undulation there."""
+    return sampled(points, geoid, nx, ny).withColumn("ellipsoid_height", F.col(height) + F.col("v")).drop("v")
+
+
+def with_companions(main: DataFrame, companions: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
+    """main (ix, iy, v) with the companions that lie on its cells, and the names of those that do not and are left out."""
+    out, left_out = main, []
+    for name, field in companions.items():
+        if same_geometry(main, field):
+            out = out.join(field.select("ix", "iy", F.col("v").alias(name)), ["ix", "iy"])
+        else:
+            left_out.append(name)
+    return out, left_out

@@ -248,6 +248,20 @@ def rematched(before: DataFrame, after: DataFrame, key: str, ident: str) -> Data
     return before.select(key, F.col(ident).alias("before")).join(after.select(key, F.col(ident).alias("after")), key).select("before", "after")
 
 
+def by_code_or_name(rows: DataFrame, areas: DataFrame, code: str, name: Column, area_name: Column, codes: list[str]) -> DataFrame:
+    """Rows of areas with one of some codes: by the code itself, or where it is missing by the normalized name."""
+    wanted = areas.where(F.col(code).isin(*codes))
+    named = wanted.select(area_name.alias("_name")).distinct()
+    coded = rows.where(F.col(code).isin(*codes))
+    return coded.unionByName(rows.where(F.col(code).isNull()).withColumn("_name", name).join(named, "_name", "left_semi").drop("_name"))
+
+
+def with_defaults(rows: DataFrame, seeds: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """rows with columns from seeds by key, else each one's default."""
+    named = seeds.select(key, *(F.col(c).alias(f"_s_{c}") for c in columns))
+    return rows.drop(*columns).join(named, key, "left").select(*(c for c in rows.columns if c not in columns), *(F.coalesce(f"_s_{c}", d).alias(c) for c, d in columns.items()))
+
+
 def with_layers(base: DataFrame, layers_: dict[str, DataFrame], key: str) -> DataFrame:
     """base with a column for each layer (key, value), and the names of those that lack a value, comma-joined."""
     out = base

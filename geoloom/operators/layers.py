@@ -54,6 +54,12 @@ def sample(layer: DataFrame, chunk: str, order: str, chunks: int = 3, lines: int
     return layer.join(first, chunk, "left_semi").withColumn("_rank", rank).where(F.col("_rank") <= lines).drop("_rank")
 
 
+def without(layer: DataFrame, name: Column, excluded: list[str], shape: Column) -> tuple[DataFrame, DataFrame]:
+    """(features of layers that are not excluded, of a shape that is wanted; one row with how many were skipped)."""
+    ok = F.coalesce(~name.isin(*excluded) & shape, F.lit(False))
+    return layer.where(ok), layer.agg(F.count_if(~ok).alias("skipped"))
+
+
 def kinds(df: DataFrame) -> dict[str, str]:
     """numeric or string for each column."""
     return {n: "numeric" if k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal") else "string" for n, k in df.dtypes}

@@ -49,3 +49,18 @@ def plausible(lat, lon, climb, lat1, lon1, lat2, lon2) -> Column:
     c = F.col(climb) if isinstance(climb, str) else climb
     level = F.abs(F.coalesce(c, F.lit(0.0))) < 5
     return near | (along & (level | (F.least(start, end) < 2 * TERMINAL_KM)))
+
+
+def route_steps(routes: DataFrame, most: int | None = 200) -> DataFrame:
+    """(route, step, kind, name, metres) of routes (route, legs: array of arrays of (kind, name, metres)), flattened.
+
+    Leaving a roundabout belongs to the step that enters it: its metres are added and its name is taken.
+    """
+    from pyspark.sql import Window as W
+
+    flat = routes.select("route", F.posexplode(F.flatten("legs")).alias("_at", "s")).select("route", "_at", "s.kind", "s.name", "s.metres")
+    own = W.partitionBy("route").orderBy("_at")
+    exits = (F.col("kind") == "exit roundabout") & F.lag("kind").over(own).isin("roundabout", "rotary")
+    group = F.sum(F.when(exits, 0).otherwise(1)).over(own.rowsBetween(W.unboundedPreceding, 0))
+    joined = flat.withColumn("_x", exits).withColumn("step", group).groupBy("route", "step").agg(F.min_by("kind", "_at").alias("kind"), F.max_by("name", "_at").alias("name"), F.sum("metres").alias("metres"))
+    return joined if most is None else joined.where(F.col("step") <= most)

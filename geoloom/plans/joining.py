@@ -12,11 +12,6 @@ from geoloom.plans.registry import register
 from geoloom.plans.scans import _FIRE, fires
 
 
-@register(f"WITH {TRACTS} SELECT geoid FROM tracts WHERE geoid LIKE '03%'")
-def filter_f1_state(spark, d):
-    return tracts(spark, d).where(F.col("geoid").startswith("03")).select("geoid")
-
-
 @register(f"WITH {TRACTS} SELECT geoid, lon, lat FROM tracts WHERE lon BETWEEN -30 AND 30 AND lat BETWEEN 0 AND 40")
 def filter_f2_view(spark, d):
     return layers.pruned(tracts(spark, d), view=(-30, 0, 30, 40)).select("geoid", "lon", "lat")
@@ -41,26 +36,6 @@ def filter_f6_valid_point(spark, d):
     return f.select("seq", geo.valid_point("lat", "lon").alias("valid"))
 
 
-@register("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING min(year(o_orderdate)) < 1994 AND max(year(o_orderdate)) > 1996) AND c_acctbal > 0")
-def filter_f9_present_in_all_periods(spark, d):
-    y = F.year("o_orderdate")
-    big = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(y).alias("a"), F.max(y).alias("b")).where("a < 1994 and b > 1996")
-    return t(spark, d, "customer").where("c_acctbal > 0").join(big, "c_custkey", "left_semi").select("c_custkey")
-
-
-@register("WITH p AS (SELECT l_suppkey AS point, l_partkey % 40 AS address, l_orderkey, l_linenumber FROM lineitem), s AS (SELECT point FROM p GROUP BY point HAVING count(*) >= 10 AND count(DISTINCT address) >= 30) SELECT l_orderkey, l_linenumber FROM p WHERE point NOT IN (SELECT point FROM s)")
-def filter_f10_stacked_points(spark, d):
-    p = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("point"), (F.col("l_partkey") % 40).alias("address"), "l_orderkey", "l_linenumber")
-    stacked = p.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("address").alias("a")).where("n >= 10 and a >= 30")
-    return p.join(stacked, "point", "left_anti").select("l_orderkey", "l_linenumber")
-
-
-@register("SELECT l_orderkey, l_linenumber, upto FROM (SELECT *, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::BIGINT AS upto FROM lineitem) WHERE upto <= 100")
-def filter_f12_vertex_budget(spark, d):
-    upto = F.sum(F.col("l_quantity").cast("long")).over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", upto.alias("upto")).where("upto <= 100")
-
-
 @register("SELECT page_id, regexp_matches(url, '^https?://') AND contains(regexp_extract(url, '://([^/?#:]+)', 1), '.') AS public FROM pages")
 def filter_f16_public_url(spark, d):
     return t(spark, d, "pages").select("page_id", text.public_host("url").alias("public"))
@@ -255,12 +230,6 @@ def join_j23_identity_tiers(spark, d):
     return joins.ranked_identity(c, "customer#000000042", ["hexid", "c_name"], "c_custkey").select("c_custkey", "tier")
 
 
-@register("SELECT s_suppkey FROM supplier SEMI JOIN nation ON s_nationkey = n_nationkey AND n_regionkey = 2")
-def join_j24_semi(spark, d):
-    n = t(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("s_nationkey"))
-    return t(spark, d, "supplier").join(n, "s_nationkey", "left_semi").select("s_suppkey")
-
-
 @register(f"WITH {TRACTS} SELECT geoid || '1' AS block_group, name AS outline FROM tracts WHERE k % 6 = 1")
 def join_j25_outline_fallback(spark, d):
     x = tracts(spark, d)

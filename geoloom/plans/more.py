@@ -22,18 +22,6 @@ def filter_f17_plausible_route(spark, d):
     return f.select("seq", routes.plausible("lat", "lon", F.col("speed") / 10, *ends).alias("plausible"))
 
 
-@register("SELECT p_partkey FROM part WHERE p_type NOT LIKE 'SMALL%' AND p_size > 3")
-def filter_f23_excluded_layers(spark, d):
-    first = F.element_at(F.split("p_type", " "), 1)
-    return t(spark, d, "part").where(~first.isin("SMALL") & (F.col("p_size") > 3)).select("p_partkey")
-
-
-@register("SELECT s_suppkey, coalesce(CASE WHEN s_nationkey % 2 = 0 THEN n_name END, 'unnamed') AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
-def join_j14_feed_defaults(spark, d):
-    seeds = t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("seed"))
-    return t(spark, d, "supplier").join(seeds, "s_nationkey", "left").select("s_suppkey", F.coalesce("seed", F.lit("unnamed")).alias("label"))
-
-
 @register(f"WITH {FEED}, p AS (SELECT DISTINCT CAST(ms // 3600000 * 3600000 AS BIGINT) AS at FROM feed WHERE kind = 'view'), q AS (SELECT DISTINCT CAST(ms // 1800000 * 1800000 AS BIGINT) AS ms FROM feed) SELECT q.ms, CASE WHEN q.ms - p.at <= 10800000 THEN p.at END AS at FROM q ASOF LEFT JOIN p ON q.ms >= p.at")
 def stream_st14_timeline(spark, d):
     f = feed(spark, d)
@@ -42,8 +30,3 @@ def stream_st14_timeline(spark, d):
     return joins.asof(asked, product, ["one"], "ms", [], F.lit(10800000)).select("ms", "at")
 
 
-@register(f"WITH {TRACTS}, s AS (SELECT geoid, k, county FROM tracts WHERE k % 3 > 0) SELECT c.county, coalesce(max(s.k), -1) AS newest FROM (SELECT DISTINCT county FROM tracts) c LEFT JOIN s ON c.county = s.county GROUP BY c.county")
-def stream_st15_provenance(spark, d):
-    x = tracts(spark, d)
-    newest = x.where("k % 3 > 0").groupBy("county").agg(F.max("k").alias("newest"))
-    return x.select("county").distinct().join(newest, "county", "left").select("county", F.coalesce("newest", F.lit(-1)).cast("long").alias("newest"))

@@ -284,9 +284,9 @@ def geo_x12_clamped_box(spark, d):
     return feed(spark, d).select("seq", *(F.round(x, 6).alias(c) for c, x in (("south", s), ("north", n), ("west", w), ("east", e))))
 
 
-@register(f"WITH {FEED} SELECT seq, round(k * 3 + ((lon - k * 3 + 540 + 720) % 360 - 180) * 0.3137, 6) AS heading FROM feed")
+@register(f"WITH {FEED} SELECT seq, round(k * 3 + ((lon - k * 3 + 540 + 720) % 360 - 180) * 0.31415926535, 6) AS heading FROM feed")
 def geo_x19_lerp_angle(spark, d):
-    return feed(spark, d).select("seq", F.round(records.lerp_angle(F.col("k") * 3, "lon", F.lit(0.3137)), 6).alias("heading"))
+    return feed(spark, d).select("seq", F.round(records.lerp_angle(F.col("k") * 3, "lon", F.lit(0.31415926535)), 6).alias("heading"))
 
 
 @register("SELECT o_orderkey, round(-o_totalprice * 0.6, 4) AS b1, round(-o_totalprice * 0.2, 4) AS b2, round(o_totalprice * 0.2, 4) AS b3, round(o_totalprice * 0.6, 4) AS b4 FROM orders")

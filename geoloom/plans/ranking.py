@@ -58,12 +58,6 @@ def window_w6_trailing_hits(spark, d):
     return feed(spark, d).select("seq", F.count(F.lit(1)).over(W.partitionBy("vehicle").orderBy("ms").rangeBetween(-3600000, 0)).alias("hits"))
 
 
-@register(f"WITH {FEED}, s AS (SELECT *, sum(k) OVER (PARTITION BY vehicle ORDER BY seq) AS used FROM feed), o AS (SELECT vehicle, min(seq) AS stop FROM s WHERE used > 200 GROUP BY vehicle) SELECT seq FROM s LEFT JOIN o USING (vehicle) WHERE stop IS NULL OR seq < stop")
-def window_w7_budget(spark, d):
-    used = F.sum("k").over(W.partitionBy("vehicle").orderBy("seq"))
-    return feed(spark, d).withColumn("used", used).withColumn("over", F.max(F.col("used") > 200).over(W.partitionBy("vehicle").orderBy("seq"))).where("not over").select("seq")
-
-
 @register(f"WITH {FEED}, g AS (SELECT vehicle, CAST(floor(seq / 50) AS BIGINT) AS col, CAST(floor(max(k) / 34) AS BIGINT) AS band FROM feed GROUP BY 1, 2), i AS (SELECT *, col - row_number() OVER (PARTITION BY vehicle, band ORDER BY col) AS isl FROM g) SELECT vehicle, band, min(col) AS first, max(col) AS last FROM i GROUP BY vehicle, band, isl")
 def window_w8_runs(spark, d):
     g = feed(spark, d).groupBy("vehicle", F.floor(F.col("seq") / 50).cast("long").alias("col")).agg(F.floor(F.max("k") / 34).cast("long").alias("band"))
@@ -215,11 +209,6 @@ def set_u5_keep_last(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_orderkey").alias("last"))
 
 
-@register(f"WITH {FEED}, g AS (SELECT DISTINCT CAST(floor(ms / 86400000) AS BIGINT) AS day, kind, vehicle FROM feed) SELECT day, kind, count(*) AS granules FROM g GROUP BY day, kind")
-def set_u6_days(spark, d):
-    return feed(spark, d).select(F.floor(F.col("ms") / 86400000).cast("long").alias("day"), "kind", "vehicle").distinct().groupBy("day", "kind").agg(F.count(F.lit(1)).alias("granules"))
-
-
 @register("SELECT id, min_by(tag, pri) AS tag FROM (SELECT l_partkey AS id, 'r' AS tag, 1 AS pri FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_partkey, 'a', 2 FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT p_partkey, 'p', 3 FROM part) GROUP BY id")
 def set_u7_priority_union(spark, d):
     groups = (("r", t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id"))), ("a", t(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("id"))), ("p", t(spark, d, "part").select(F.col("p_partkey").alias("id"))))

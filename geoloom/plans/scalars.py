@@ -36,11 +36,6 @@ def scalar_s7_slug(spark, d):
     return t(spark, d, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
 
 
-@register("SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM customer")
-def scalar_s8_id_from_text(spark, d):
-    return t(spark, d, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]+)$", 1).cast("long").alias("n"))
-
-
 @register("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title FROM pages")
 def scalar_s10_entities(spark, d):
     return t(spark, d, "pages").select("page_id", text.decoded(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))

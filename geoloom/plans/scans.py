@@ -74,12 +74,6 @@ def scan_s36_predicate(spark, d):
     return t(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1997-06-01' and l_quantity < 10").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@register(f"WITH {FEED}, s AS (SELECT vehicle, ms > lag(ms) OVER (PARTITION BY vehicle ORDER BY seq) AS up FROM feed) SELECT vehicle, coalesce(bool_and(up), true) AS rising, count(*) AS n FROM s GROUP BY vehicle")
-def scan_s43_rising_times(spark, d):
-    up = F.col("ms") > F.lag("ms").over(W.partitionBy("vehicle").orderBy("seq"))
-    return feed(spark, d).select("vehicle", up.alias("up")).groupBy("vehicle").agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("rising"), F.count(F.lit(1)).alias("n"))
-
-
 @register(f"WITH {TRACTS} SELECT geoid, round(lon, 5) AS lon, round(lat, 5) AS lat, income AS household_income, pop FROM tracts")
 def project_p3_rows(spark, d):
     return layers.rows(tracts(spark, d), {"income": "household_income"}, ["geoid", "lon", "lat", "income", "pop"])
@@ -97,9 +91,3 @@ def project_p6_declared_measures(spark, d):
     return layers.measured(tracts(spark, d), {"minority_share": (["minority"], ["pop"]), "white_share": (["white"], ["pop"]), "both_share": (["minority", "white"], ["pop"])}).select("geoid", "minority_share", "white_share", "both_share")
 
 
-@register("SELECT l_orderkey AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS step, l_quantity AS metres FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 200")
-def project_p28_route_steps(spark, d):
-    legs = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))).alias("steps"))
-    return legs.select(F.col("l_orderkey").alias("route"), F.posexplode(F.slice("steps", 1, 200)).alias("i", "s")).select("route", (F.col("i") + 1).cast("long").alias("step"), F.col("s.l_quantity").alias("metres"))
-
-

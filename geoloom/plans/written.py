@@ -8,12 +8,12 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from geoloom.functions import dates, geo, shapes, text
-from geoloom.operators import joins, layers, routes, stats
+from geoloom.functions import dates, geo, records, shapes, text
+from geoloom.operators import aggregates, grids, joins, layers, routes, stats
 from geoloom.plans import commands, merge, report
 from geoloom.plans.base import FEED, TRACTS, feed, shared, t, tracts
 from geoloom.plans.registry import register
-from geoloom.sources import lookups, sinks, tabular
+from geoloom.sources import feeds, lookups, places, sinks, tabular
 from geoloom.streaming import live
 
 #: Rows of a file that a group of rows becomes.
@@ -421,3 +421,171 @@ def report_t1_printed(spark, d):
     header, body = report.table(report.ranked(n, plan, "nation"), plan, {"n": "text", "nation": "text"})
     lines = report.csv(header, body).decode().split("\r\n")[:-1]
     return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@register(f"WITH {TRACTS} SELECT geoid FROM tracts WHERE geoid LIKE '03%'")
+def filter_f1_state(spark, d):
+    return layers.pruned(tracts(spark, d), state="03").select("geoid")
+
+
+@register("SELECT o_custkey FROM orders WHERE year(o_orderdate) IN (1993, 1995, 1997) AND o_totalprice >= 1000 GROUP BY 1 HAVING count(DISTINCT year(o_orderdate)) = 3")
+def filter_f9_present_in_all_periods(spark, d):
+    o = t(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    return aggregates.in_all_periods(o, "o_custkey", "year", [1993, 1995, 1997], F.col("o_totalprice"), 1000)
+
+
+@register("WITH p AS (SELECT l_suppkey AS point, l_partkey % 40 AS address, l_orderkey, l_linenumber FROM lineitem), s AS (SELECT point FROM p GROUP BY point HAVING count(*) >= 10 AND count(DISTINCT address) >= 30) SELECT l_orderkey, l_linenumber FROM p WHERE point NOT IN (SELECT point FROM s)")
+def filter_f10_stacked_points(spark, d):
+    p = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("point"), (F.col("l_partkey") % 40).alias("address"), "l_orderkey", "l_linenumber")
+    return aggregates.without_stacks(p, ["point"], "address", 10, 30).select("l_orderkey", "l_linenumber")
+
+
+@register("SELECT l_orderkey, l_linenumber, upto FROM (SELECT *, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM lineitem) WHERE upto <= 100")
+def filter_f12_vertex_budget(spark, d):
+    rows = t(spark, d, "lineitem").withColumn("points", F.col("l_quantity").cast("long"))
+    return aggregates.within_budget(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "points", 100).select("l_orderkey", "l_linenumber", F.col("used").alias("upto"))
+
+
+@register("SELECT p_partkey FROM part WHERE p_type NOT LIKE 'SMALL%' AND p_size > 3")
+def filter_f23_excluded_layers(spark, d):
+    return layers.without(t(spark, d, "part"), F.element_at(F.split("p_type", " "), 1), ["SMALL"], F.col("p_size") > 3)[0].select("p_partkey")
+
+
+@register(f"WITH {FEED} SELECT seq FROM (SELECT seq, max(used > 200) OVER (PARTITION BY vehicle ORDER BY seq) AS over FROM (SELECT *, sum(k) OVER (PARTITION BY vehicle ORDER BY seq) AS used FROM feed)) WHERE NOT over")
+def window_w7_budget(spark, d):
+    return aggregates.within_budget(feed(spark, d), ["vehicle"], ["seq"], "k", 200).select("seq")
+
+
+@register(f"WITH {FEED} SELECT strftime(make_timestamp(ms // 86400000 * 86400000000), '%Y-%m-%d') AS day, kind, count(DISTINCT vehicle) AS granules FROM feed GROUP BY 1, 2")
+def set_u6_days(spark, d):
+    return feed(spark, d).select(dates.utc_day("ms").alias("day"), "kind", "vehicle").distinct().groupBy("day", "kind").agg(F.count(F.lit(1)).alias("granules"))
+
+
+@register(f"WITH {FEED}, s AS (SELECT vehicle, ms > lag(ms) OVER (PARTITION BY vehicle ORDER BY seq) AS up FROM feed) SELECT vehicle, coalesce(bool_and(up), true) AS rising, count(*) AS n FROM s GROUP BY vehicle")
+def scan_s43_rising_times(spark, d):
+    return aggregates.rising(feed(spark, d), "vehicle", "ms", "seq")
+
+
+@register("SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
+def join_j24_semi(spark, d):
+    """Suppliers of a region, two thirds of them by code and the others by their country's name."""
+    n = t(spark, d, "nation")
+    area = n.select(F.col("n_regionkey").cast("string").alias("code"), F.col("n_name").alias("area"))
+    rows = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 3 > 0, F.col("n_regionkey").cast("string")).alias("code"), F.concat(F.lit(" "), F.upper("n_name")).alias("country"))
+    return joins.by_code_or_name(rows, area, "code", text.folded("country"), text.folded("area"), ["2"]).select("s_suppkey")
+
+
+@register("SELECT s_suppkey, coalesce(CASE WHEN s_nationkey % 2 = 0 THEN n_name END, 'unnamed') AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def join_j14_feed_defaults(spark, d):
+    seeds = t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("label"))
+    return joins.with_defaults(t(spark, d, "supplier"), seeds, "s_nationkey", {"label": F.lit("unnamed")}).select("s_suppkey", "label")
+
+
+_STATES = "['unavailable', 'loading', 'degraded', 'stale', 'fallback', 'partial', 'nominal', 'off']"
+
+
+@register(f"WITH {TRACTS} SELECT county, {_STATES}[min(1 + k % 7)::INT] AS state FROM tracts GROUP BY county")
+def stream_st15_provenance(spark, d):
+    """The worst state of several sources."""
+    state = F.element_at(F.array(*map(F.lit, records.SEVERITY)), (1 + F.col("k") % 7).cast("int"))
+    return tracts(spark, d).select("county", state.alias("state")).groupBy("county").agg(records.worst_state("state").alias("state"))
+
+
+@register("SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM customer")
+def scalar_s8_id_from_text(spark, d):
+    prefix = F.regexp_extract("c_name", "^(.*?)0*[0-9]+$", 1)
+    return t(spark, d, "customer").select("c_custkey", text.id_after(F.concat(F.lit("area-"), F.regexp_extract("c_name", "([0-9]+)$", 1)), "area-").alias("n")).where(prefix.isNotNull())
+
+
+@register("SELECT o_orderkey, CAST(year(o_orderdate) // 10 * 10 AS BIGINT) AS decade FROM orders")
+def scalar_d8_decade(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", dates.decade("o_orderdate").alias("decade"))
+
+
+@register("SELECT c_custkey, c_custkey AS number, CASE WHEN c_custkey % 2 = 0 THEN 'W' END AS dir, upper(c_mktsegment) AS name, CASE WHEN c_custkey % 3 = 0 THEN 'AVE' ELSE 'ST' END AS type, upper(c_mktsegment) AS a, '12TH' AS b FROM customer")
+def scalar_s14_addresses(spark, d):
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, F.when(k % 2 == 0, "Av.").otherwise("Ave")).otherwise("St.")
+    address = text.street_address(F.concat(k.cast("string"), F.lit(" "), F.when(k % 2 == 0, "W. ").otherwise(""), "c_mktsegment", F.lit(" "), kind))
+    corner = text.street_corner(F.concat("c_mktsegment", F.when(k % 2 == 0, " St. and 12th St.").otherwise(" & 12th sts.")))
+    return t(spark, d, "customer").select("c_custkey", address.alias("x"), corner.alias("y")).select("c_custkey", "x.number", "x.dir", "x.name", "x.type", "y.a", "y.b")
+
+
+@register(f"SELECT l_orderkey AS route, l_linenumber - CASE WHEN l_linenumber > 3 AND n > 3 THEN 1 ELSE 0 END AS step, CASE WHEN l_linenumber = 3 AND n > 3 THEN l_quantity + nxt ELSE l_quantity END AS metres FROM (SELECT l_orderkey, l_quantity, row_number() OVER w AS l_linenumber, lead(l_quantity) OVER w AS nxt, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) WHERE l_linenumber <> 4")
+def project_p28_route_steps(spark, d):
+    """Orders as routes of two legs; the third step enters a roundabout that the fourth leaves."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").alias("metres"))
+    steps = F.transform(F.array_sort(F.collect_list(line)), lambda s, i: F.struct(F.when(i == 2, "roundabout").when(i == 3, "exit roundabout").otherwise("turn").alias("kind"), s["l_partkey"].cast("string").alias("name"), s["metres"].alias("metres")))
+    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(steps.alias("s"))
+    legs = F.array(F.slice("s", 1, 2), F.slice("s", 3, F.greatest(F.size("s") - 2, F.lit(0))))
+    return routes.route_steps(lines.select(F.col("l_orderkey").alias("route"), legs.alias("legs")), most=None).select("route", "step", "metres")
+
+
+@register(f"WITH {TRACTS} SELECT state AS chunk, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north, count(*) AS areas FROM tracts GROUP BY state")
+def agg_a12_chunk_boxes(spark, d):
+    return layers.index(tracts(spark, d), "state")
+
+
+def _field(spark, d):
+    """A global field of 36 by 19 cells, from what orders of that many kinds cost on average."""
+    n = F.col("o_orderkey") % 684
+    cells = t(spark, d, "orders").groupBy(n.alias("n")).agg(F.avg("o_totalprice").alias("v"))
+    return spark.range(684).join(cells, F.col("id") == F.col("n"), "left").select((F.col("id") % 36).cast("int").alias("ix"), F.floor(F.col("id") / 36).cast("int").alias("iy"), F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+@register(f"WITH {TRACTS}, c AS (SELECT o_orderkey % 684 AS n, avg(o_totalprice) AS v FROM orders GROUP BY 1), g AS (SELECT CAST(i % 36 AS INTEGER) AS ix, CAST(i // 36 AS INTEGER) AS iy, coalesce(v, 0) AS v FROM (SELECT unnest(range(684)) AS i) LEFT JOIN c ON i = n), p AS (SELECT geoid, pop, (lon + 180) / 10 AS gx, (lat + 90) / 10 AS gy FROM tracts), q AS (SELECT *, CAST(floor(gx) AS INTEGER) AS x0, CAST(floor(gy) AS INTEGER) AS y0, CAST(floor(gx) + 1 AS INTEGER) % 36 AS x1, least(CAST(floor(gy) + 1 AS INTEGER), 18) AS y1 FROM p) SELECT geoid, round(pop + a.v * (1 - (gx - x0)) * (1 - (gy - y0)) + b.v * (gx - x0) * (1 - (gy - y0)) + e.v * (1 - (gx - x0)) * (gy - y0) + f.v * (gx - x0) * (gy - y0), 2) AS height FROM q JOIN g a ON a.ix = x0 AND a.iy = y0 JOIN g b ON b.ix = x1 AND b.iy = y0 JOIN g e ON e.ix = x0 AND e.iy = y1 JOIN g f ON f.ix = x1 AND f.iy = y1")
+def geo_x16_geoid(spark, d):
+    points = tracts(spark, d).select("geoid", "lat", F.col("lon").cast("double").alias("lon"), "pop")
+    return grids.ellipsoid_heights(points, _field(spark, d), 36, 19, "pop").select("geoid", F.round("ellipsoid_height", 2).alias("height"))
+
+
+@register("WITH c AS (SELECT o_orderkey % 684 AS n, avg(o_totalprice) AS v FROM orders GROUP BY 1) SELECT CAST(i % 36 AS INTEGER) AS ix, CAST(i // 36 AS INTEGER) AS iy, coalesce(v, 0) AS v, coalesce(v, 0) * 2 AS gust, 'rain' AS left_out FROM (SELECT unnest(range(684)) AS i) LEFT JOIN c ON i = n")
+def grid_g3_companions(spark, d):
+    """A field with one companion on its cells, and one that is left out because it lacks some."""
+    main = _field(spark, d)
+    whole, out = grids.with_companions(main, {"gust": main.withColumn("v", F.col("v") * 2), "rain": main.where("ix < 30")})
+    return whole.withColumn("left_out", F.lit(",".join(out)))
+
+
+@register(f"WITH {FEED} SELECT seq, CASE WHEN lon BETWEEN -125 AND -66.9 AND lat BETWEEN 24.3 AND 49.5 THEN 'conus' WHEN (lon >= 172 OR lon <= -129.9) AND lat BETWEEN 51 AND 71.5 THEN 'alaska' WHEN lon BETWEEN -160.6 AND -154.7 AND lat BETWEEN 18.8 AND 22.4 THEN 'hawaii' WHEN lon BETWEEN -68 AND -64.5 AND lat BETWEEN 17.6 AND 18.6 THEN 'puerto rico' END AS part FROM feed")
+def scan_s39_us_boxes(spark, d):
+    return feed(spark, d).select("seq", geo.us_box("lat", "lon").alias("part"))
+
+
+@register("SELECT p_partkey, p_name FROM part")
+def scan_s46_first_readable(spark, d):
+    """Today's file is not there, so yesterday's is read."""
+    path, df = feeds.first_readable(spark, [f"{d}/part_of_today.parquet", f"{d}/part.parquet"], "parquet")
+    assert path.endswith("/part.parquet")
+    return df.select("p_partkey", "p_name")
+
+
+@register("SELECT o_custkey % 50 AS query, o_orderkey AS objectid, o_totalprice AS v FROM orders")
+def scan_s32_object_pages(spark, d):
+    """Pages of a hundred objects that overlap; of each object one stays."""
+    o = t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("query"), F.struct(F.col("o_orderkey").alias("objectid"), F.col("o_totalprice").alias("v")).alias("r"))
+    paged = o.withColumn("page", F.explode(F.array(F.floor(F.col("r.objectid") / 100), F.floor(F.col("r.objectid") / 100) + 1)))
+    pages = paged.groupBy("query", "page").agg(F.collect_list("r").alias("rows"), F.lit(True).alias("more"))
+    return places.pages_until_done(pages, "objectid", most=None)
+
+
+@register("SELECT o_orderkey, CAST(o_orderkey % 90 AS DOUBLE) AS west, CAST(o_orderkey % 90 + CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS east FROM orders")
+def array_a13_footprints(spark, d):
+    """Footprints picked from either of two places of an answer: a polygon, else a bounding rectangle."""
+    k = F.col("o_orderkey")
+    x = k % 90
+    corner = lambda dx, dy: F.concat(F.lit('{"Longitude":'), (x + dx).cast("string"), F.lit(f',"Latitude":{dy}}}'))
+    polygon = F.concat(F.lit('"GPolygons":[{"Boundary":{"Points":['), F.concat_ws(",", corner(0, 1), corner(2, 1), corner(2, 3)), F.lit("]}}]"))
+    box = F.concat(F.lit('"BoundingRectangles":[{"WestBoundingCoordinate":'), x.cast("string"), F.lit(',"EastBoundingCoordinate":'), (x + 1).cast("string"), F.lit(',"SouthBoundingCoordinate":1,"NorthBoundingCoordinate":2}]'))
+    item = F.concat(F.lit('{"meta":{"concept-id":"'), k.cast("string"), F.lit('"},"umm":{"TemporalExtent":{"RangeDateTime":{"BeginningDateTime":"2024-01-02T00:00:00Z"}},"SpatialExtent":{"HorizontalSpatialDomain":{"Geometry":{'), F.when(k % 2 == 0, polygon).otherwise(box), F.lit("}}}}}"))
+    pages = t(spark, d, "orders").select(k.alias("search"), F.lit(0).alias("page"), F.lit(None).cast("string").alias("cursor"), F.concat(F.lit('{"hits":1,"items":['), item, F.lit("]}")).alias("value"))
+    found = places.granules(pages)
+    xs = F.transform("ring", lambda p: p["x"])
+    return found.select(F.col("search").alias("o_orderkey"), F.array_min(xs).alias("west"), F.array_max(xs).alias("east"))
+
+
+@register()
+def stream_st6_motion(spark, d):
+    """What became of each vehicle's last fix: on its path, waiting for a second one that agrees, or a path begun anew."""
+    f = feed(spark, d).select(F.col("vehicle").alias("key"), "ms", F.col("lat"), F.col("lon").cast("double").alias("lon"), F.col("kind").alias("trip"))
+    return live.history_batch(f).select("key", "motion")

@@ -209,11 +209,11 @@ def closed_pack(df: DataFrame, most_points: int | None = 50_000) -> DataFrame:
     return f
 
 
-def first_readable(spark: SparkSession, paths: list[str]) -> tuple[str, DataFrame] | None:
-    """The first of some text paths that can be read and is not empty."""
+def first_readable(spark: SparkSession, paths: list[str], kind: str = "text") -> tuple[str, DataFrame] | None:
+    """The first of some paths that can be read (text unless another format is named) and is not empty."""
     for p in paths:
         try:
-            df = spark.read.text(p)
+            df = spark.read.format(kind).load(p)
             if not df.isEmpty():
                 return p, df
         except Exception:  # noqa: BLE001, S112  a path that is missing raises one of several kinds

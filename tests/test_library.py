@@ -218,6 +218,14 @@ def test_dates_refuse_what_is_none(spark):
     assert got == [(5400.0, None), (None, "00:45"), (-86430.0, "00:00"), (0.0, None), (0.0, None)]
 
 
+def test_places_of_cases(spark):
+    texts = ["Anderson, Robert, 18 years old, killed with blow of baseball bat, 211 W. Polk St., by John McQuade, who escaped. W. 12th St. Station.", "Fisher, Peter, 52 yrs., died home 28th St. and Maplewood Av., from assault committed Feb. 11.", "Smith, John, of 5017 Rockwell St., shot dead in saloon, 2449 State St., by a stranger.", "Shot by Officer Black, of 35th St. Station.", "Fatally shot during riot at Kensington."]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    assert [r.p for r in df.select("i", text.crime_place("x").alias("p")).orderBy("i").collect()] == ["211 W. Polk St.", "28th St. and Maplewood Av.", "2449 State St.", None, None]
+    corner = spark.createDataFrame([("12th & State sts.",), ("211 W. Polk St.",)], "x string").select(text.street_corner("x").alias("c"), text.street_address("x").alias("a")).collect()
+    assert tuple(corner[0].c) == ("12TH", "STATE") and corner[0].a is None and corner[1].c is None and tuple(corner[1].a) == (211, "W", "POLK", "ST")
+
+
 def test_radio_codes_and_heights(spark):
     df = spark.createDataFrame([("40 ft", {"building:levels": "2", "roof:height": "1,5 m"}), ("0", {"height": "12"}), (None, {})], "h string, tags map<string,string>")
     got = [tuple(r) for r in df.select(F.round(records.metres("h"), 3), F.round(records.building_height("tags"), 3)).collect()]
