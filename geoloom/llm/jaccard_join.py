@@ -4,7 +4,7 @@ Texts with one n-gram set are a class. Each class gets a signature of min-hashes
 with all classes in one node; a node that is too large to compare splits into children, one for each value of two
 coordinates that the node's path chooses, so classes follow the tokens they share. Nodes that are small enough are
 compared as a whole by signature. A pair at the threshold is lost in one run with a probability that follows from the
-number of coordinates (`lost_in_a_run`); runs are repeated until what is lost is below the target.
+number of coordinates (`lost_in`); runs are repeated until what is lost is below the target.
 
 A large node that does not shrink is a group of near copies: it becomes one candidate group instead of splitting
 on. Every candidate group is then compared exactly, on whole n-gram sets: small ones in one task, large ones block by
@@ -13,6 +13,8 @@ block, with size bounds; no pairs are written, only each class's number of links
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +42,21 @@ def lost_in_a_run(similarity: float) -> float:
     return lost
 
 
+def lost_in(runs: int, similarity: float) -> float:
+    """The chance that a pair of a similarity meets in no small node of any run.
+
+    All runs split on the same coordinates, so a pair that agrees on few of them is lost in each more often: the chance
+    is the expectation over how many agree.
+    """
+    agree = np.arange(SIGNATURE + 1)
+    logs = np.array([math.lgamma(SIGNATURE + 1) - math.lgamma(k + 1) - math.lgamma(SIGNATURE - k + 1) for k in agree.tolist()])
+    chance = np.exp(logs + agree * math.log(similarity) + (SIGNATURE - agree) * math.log1p(-similarity)) if 0 < similarity < 1 else (agree == SIGNATURE).astype(float)
+    return float(sum(c * lost_in_a_run(k / SIGNATURE) ** runs for k, c in zip(agree.tolist(), chance)))
+
+
 def runs_for(similarity: float, lost: float = LOST) -> int:
-    return max(1, int(np.ceil(np.log(lost) / np.log(lost_in_a_run(similarity)))))
+    """Runs until at most such a share of the pairs at the threshold is lost by splitting."""
+    return next(r for r in range(1, 1000) if lost_in(r, similarity) <= lost or r == 999)
 
 
 _RANDOM = windows._mixed(np.arange(1, 2 * SIGNATURE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -134,14 +149,18 @@ def _candidates(reps: DataFrame, similarity: float) -> DataFrame:
     made = []
     while True:
         children = _split(nodes, level)
-        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = common.written(children.join(sizes, "node"))
+        sizes = common.written(children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        # a node that very many classes are in never meets in one task
+        flagged = children.join(common.hot(sizes, "n", sizes.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("n", "hot"), "node", "left")
+        rest = flagged.where("hot is null").drop("hot").join(sizes, "node")
+        sized = common.written(rest.unionByName(flagged.where("hot is not null").withColumnRenamed("hot", "n")))
+        common.dropped(sizes)
         made.append(sized)
         dense = (F.col("n") > SMALL) & ((F.col("of").isNotNull() & (F.col("n") > DENSE * F.col("of"))) | F.lit(level + 1 >= LEVELS))
         here = sized.where(F.col("n") <= SMALL).select("node", "cid")
         small = here if small is None else small.unionByName(here)
         crowd = sized.where(dense).select("node", "cid")
-        center = crowd.groupBy("node").agg(F.min("cid").alias("u"))
+        center = common.small_side(crowd.groupBy("node").agg(F.min("cid").alias("u")), 100_000)  # at most a row for SMALL classes
         star = crowd.join(center, "node").where("u != cid").select("u", F.col("cid").alias("v"))
         links = star if links is None else links.unionByName(star)
         large = sized.where((F.col("n") > SMALL) & ~dense)
@@ -226,7 +245,7 @@ def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "do
     them counted; n_copies the rows with the same set; tid a hash of the text. A text without words (null or empty) is
     linked to nothing and its class is its own key. Rows that repeat, also with one key, are copies of each
     other; a null key never names a class that has another. Other columns are ignored; an empty table gives an empty
-    result. Sets and n-grams are told apart by 64-bit hashes.
+    result. Sets and n-grams are told apart by 64-bit hashes. key holds whole numbers (or text that reads as such).
     """
     return _grouped(docs, n, similarity, key, text).drop("label")
 

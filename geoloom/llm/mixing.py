@@ -119,7 +119,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: int = 3, s
     and empty texts have none), source_size (words of its source), target (its source's, in words; see `targets`),
     repeats (0 to `most`), taken (size * repeats). A null source is a source of its own, the last. Documents of
     equal size are told apart by a seeded hash of the key; rows with the same key and size are as good as each
-    other. A source without words has target 0. An empty table gives an empty result; other columns are ignored.
+    other. A source without words has target 0. An empty table gives an empty result; other columns are ignored. key
+    holds whole numbers (or text that reads as such).
     """
     found = _mixed(docs, weights, share, most, seed, key, text, source, F.lit(None).cast("string"))
     return found.withColumnRenamed("did", key).drop("tag")

@@ -172,6 +172,17 @@ def test_jaccard_join_large_group(spark, monkeypatch):
     assert listed(jaccard_join.similar(df), "doc_id", "class_id", "n_links") == sorted(want, key=str)
 
 
+def test_runs_keep_the_target():
+    """Simulated pairs at the threshold that agree on random coordinates are lost as rarely as is said."""
+    import numpy as np
+
+    runs = jaccard_join.runs_for(0.8)
+    assert jaccard_join.lost_in(runs, 0.8) <= jaccard_join.LOST < jaccard_join.lost_in(runs - 1, 0.8)
+    draw = np.random.default_rng(1).binomial(jaccard_join.SIGNATURE, 0.8, 200_000) / jaccard_join.SIGNATURE
+    loss = {s: jaccard_join.lost_in_a_run(float(s)) for s in np.unique(draw)}
+    assert abs(np.mean([loss[s] ** 2 for s in draw]) - jaccard_join.lost_in(2, 0.8)) < 0.1 * jaccard_join.lost_in(2, 0.8)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (7, 7), (10, 11), (11, 10), (12, 5)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))
