@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common, windows
 
 
+#: Bytes of a passage that documents may share: about 40 words, so that one of more than 50 is as good as never shorter.
+PASSAGE = 250
 #: Bytes of text whose candidate suffixes, which may be all of them, are held at once.
 CANDIDATE_BYTES = 2 << 20
 
@@ -43,6 +45,10 @@ def _cover_for(length: int) -> tuple[int, np.ndarray]:
     return difference_cover(r) if 13 < length else (1, np.zeros(1, np.int64))
 
 
+#: Period and members of the cover at whose positions shared passages are looked for.
+_THIRD = difference_cover(0)
+
+
 def _sampled(length: int, buckets: int):
     def sample(batches):
         v, cover = _cover_for(length)
@@ -68,62 +74,76 @@ def _sampled(length: int, buckets: int):
     return sample
 
 
-def _candidates(length: int, buckets: int):
+def _candidates(length: int, least: int, buckets: int, mode: str):
+    """Suffixes that reach a sample suffix of a shared class; for shared passages only those at positions of a cover."""
+
     def suffixes(batches):
-        v, _ = _cover_for(length)
+        v, _ = _cover_for(least)
+        period, members = _THIRD
         for batch in batches:
             raw, at = common.texts(batch.column("text"))
             data, tid = np.frombuffer(raw, np.uint8), batch.column("tid").to_numpy(zero_copy_only=False)
             found = batch.column("pos")
             for i, j in windows.chunks(batch, CANDIDATE_BYTES):
-                doc, pos = [], []
+                doc, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 _, once = np.unique(tid[i:j], return_index=True)  # rows that repeat count once
                 for k in (np.sort(once) + i).tolist():
                     n, hits = int(at[k + 1] - at[k]) - length + 1, found[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    if n < 1:
+                        continue
                     reach = np.zeros(n + 1, np.int32)
                     np.add.at(reach, np.clip(hits - v + 1, 0, n), 1)
                     np.add.at(reach, np.clip(hits + 1, 0, n), -1)
                     p = np.flatnonzero(np.cumsum(reach[:n]) > 0)
+                    if mode == "shared":
+                        p = p[np.isin(p % period, members)]
                     pos.append(p)
                     doc.append(np.full(len(p), k - i))
                 doc, pos = np.concatenate(doc), np.concatenate(pos)
                 if len(pos):
                     prints = windows.both(data[at[i] : at[j]], length, pos + at[i:j][doc] - at[i])
-                    yield from windows.as_batches(windows.rows_for_buckets(prints, doc, pos, tid[i:j], tid[i:j], buckets, "repeat"))
+                    yield from windows.as_batches(windows.rows_for_buckets(prints, doc, pos, tid[i:j], tid[i:j], buckets, mode))
 
     return suffixes
 
 
-def _cut(length: int):
+def _places(cell) -> np.ndarray:
+    return np.sort(cell.values.to_numpy(zero_copy_only=False)).astype(np.int64) if cell.is_valid else np.zeros(0, np.int64)
+
+
+def _cut(length: int, passage: int):
     def cut(batches):
         for batch in batches:
             raw, at = common.texts(batch.column("text"))
-            tid, found = batch.column("tid"), batch.column("starts")
+            tid, found, shared = batch.column("tid"), batch.column("starts"), batch.column("shared")
             out = []
             for k in range(batch.num_rows):
                 text = raw[at[k] : at[k + 1]]
-                a, b = windows.runs(np.sort(found[k].values.to_numpy(zero_copy_only=False)).astype(np.int64), length)
+                a, b = windows.runs(_places(found[k]), length)
+                c, d = windows.runs(_places(shared[k]), passage)
                 digest, last = hashlib.sha256(), 0
                 for x, y in zip(a.tolist(), b.tolist()):
                     digest.update(text[last:x])
                     last = y
                 digest.update(text[last:])
-                out.append((int((b - a).sum()), len(a), digest.hexdigest(), [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())]))
-            cols = list(zip(*out))
+                out.append((int((b - a).sum()), len(a), digest.hexdigest(), [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())], int((d - c).sum())))
+            cols = list(zip(*out)) if out else [()] * 5
             spans = pa.array(cols[3], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([tid, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), spans], ["tid", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([tid, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), spans, pa.array(cols[4], pa.int64())], ["tid", "n_removed", "n_spans", "kept_sha256", "spans", "n_shared"])
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", passage: int = PASSAGE) -> DataFrame:
     """What is left of each text when every byte in a repeated string of `length` bytes goes.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or in
     another; overlapping repeats count, matches never cross documents, and strings are judged on the input.
 
-    Returns a row for each row of docs: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and
-    spans (array of [start, end) in bytes). A null or empty text has no bytes and keeps nothing. Rows that repeat,
+    Returns a row for each row of docs: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, spans
+    (array of [start, end) in bytes), and n_shared: bytes in strings of `passage` bytes that another document also has,
+    looked for at 4 of 13 positions, so that documents which share `passage` + 12 bytes always have some; nothing is
+    removed for these. A null or empty text has no bytes and keeps nothing. Rows that repeat,
     also with the same or a null key, are documents of their own: copies of `length` bytes or more go whole. Other
     columns are ignored; an empty table gives an empty result. Texts are told apart by their SHA-256. key holds whole
     numbers (or text that reads as such).
@@ -135,22 +155,26 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     texts = common.written(small.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("first")))
     buckets = windows.buckets(spark)
 
-    sample = common.written(windows.repeated(rows.select("tid", "text").mapInArrow(_sampled(length, buckets), windows.PACKED), "repeat"))
+    least = min(length, passage)
+    sample = common.written(windows.repeated(rows.select("tid", "text").mapInArrow(_sampled(least, buckets), windows.PACKED), "repeat"))
     wanted = texts.join(sample, "tid").withColumnRenamed("tid", "wtid")
     # one row of each text: by text and key, so that the copies of a text are dealt out
     reached = rows.join(wanted, (F.col("tid") == F.col("wtid")) & F.col("did").eqNullSafe(F.col("first"))).select("tid", "n", "text", "pos")
     reached = common.written(reached)
     common.dropped(sample)
-    starts = windows.repeated(reached.select("tid", "text", "pos").mapInArrow(_candidates(length, buckets), windows.PACKED), "repeat").withColumnRenamed("pos", "starts")
-    starts = common.written(starts)
-    cut = common.written(reached.where("n = 1").join(starts, "tid").select("tid", "text", "starts").mapInArrow(_cut(length), "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"))
-    common.dropped(starts)
-    common.dropped(reached)
+    found = lambda size, mode: windows.repeated(reached.select("tid", "text", "pos").mapInArrow(_candidates(size, least, buckets, mode), windows.PACKED), mode)
+    shared = common.written(found(passage, "shared").withColumnRenamed("pos", "shared"))
+    starts = common.written(found(length, "repeat").withColumnRenamed("pos", "starts"))
+    both = starts.join(shared, "tid", "full")
+    schema = "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, n_shared long"
+    cut = common.written(reached.where("n = 1").join(both, "tid").select("tid", "text", "starts", "shared").mapInArrow(_cut(length, passage), schema))
+    for x in (starts, shared, reached):
+        common.dropped(x)
 
     many = texts.where("n > 1").select("tid", "n")
     flagged = small.join(common.hot(many, "n", small.count()).withColumnRenamed("n", "hot"), "tid", "left")
     rest = flagged.where("hot is null").drop("hot").join(many, "tid", "left").join(cut, "tid", "left")
-    none = {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<struct<start:long,end:long>>"}
+    none = {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<struct<start:long,end:long>>", "n_shared": "long"}
     crowd = flagged.where("hot is not null").withColumnRenamed("hot", "n").withColumns({k: F.lit(None).cast(v) for k, v in none.items()})
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= length)
     nothing = F.array().cast("array<struct<start:long,end:long>>")
@@ -161,4 +185,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
         F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", nothing)).alias("spans"),
+        F.when((F.col("n") > 1) & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("n_shared", F.lit(0))).cast("long").alias("n_shared"),
     )

@@ -68,6 +68,25 @@ def test_suffix_dedup(corpus, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_shared_passages(spark, corpus):
+    """Documents that share a passage of some length with another always have n_shared; those with n_shared do share one."""
+    rows, df = corpus
+    texts = [(t or "").encode() for _, t in rows]
+    for passage in (250, 60):
+        holders = {}
+        for n in (passage, passage + 12):
+            seen = {}
+            for i, t in enumerate(texts):
+                for k in range(len(t) - n + 1):
+                    seen.setdefault(t[k : k + n], set()).add(i)
+            holders[n] = {i for x in seen.values() if len(x) > 1 for i in x}
+        got = sorted(r.n_shared > 0 for r in suffix_dedup.remove_repeats(df, passage=passage).select("doc_id", "n_bytes", "n_shared").collect())
+        assert len(holders[passage + 12]) <= sum(got) <= len(holders[passage])
+    w = [f"word{i}" for i in range(400)]
+    some = spark.createDataFrame([(1, " ".join(w[:90])), (2, "x " + " ".join(w[20:75]) + " y " + " ".join(w[200:260])), (3, " ".join(w[300:390])), (4, " ".join(w[100:130] * 3))], "doc_id long, text string")
+    assert {r.doc_id: r.n_shared > 0 for r in suffix_dedup.remove_repeats(some).collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
 def test_suffix_dedup_overlapping_runs(spark):
     df = spark.createDataFrame([(1, "a" * 1000), (2, "ab" * 300), (3, "b" * 399)], "doc_id long, text string")
     assert listed(suffix_dedup.remove_repeats(df), "doc_id", "n_removed") == [(1, 1000), (2, 600), (3, 0)]
