@@ -264,7 +264,7 @@ def repeated(packed_rows: DataFrame, mode: str) -> DataFrame:
     the rows hold spreads over the buckets, and comes once from each chunk. What is found goes back packed,
     a row for each bucket and part of the texts, so rows do not grow with texts times buckets.
     """
-    parts = max(1, 2 * common.partitions(packed_rows.sparkSession) // 3)
+    parts = max(1, common.partitions(packed_rows.sparkSession) // 2)
     hits = packed_rows.groupBy("bucket").applyInArrow(_found(mode, parts), PLACED)
     return hits.groupBy("part").applyInArrow(_gathered, "tid long, pos array<int>")
 
