@@ -162,9 +162,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     reached = rows.join(wanted, (F.col("tid") == F.col("wtid")) & F.col("did").eqNullSafe(F.col("first"))).select("tid", "n", "text", "pos")
     reached = common.written(reached)
     common.dropped(sample)
-    found = lambda size, mode: windows.repeated(reached.select("tid", "text", "pos").mapInArrow(_candidates(size, least, buckets, mode), windows.PACKED), mode)
-    shared = common.written(found(passage, "shared").withColumnRenamed("pos", "shared"))
-    starts = common.written(found(length, "repeat").withColumnRenamed("pos", "starts"))
+    found = lambda size, mode, parts: windows.repeated(reached.select("tid", "text", "pos").mapInArrow(_candidates(size, least, buckets, mode), windows.PACKED), mode, parts)
+    shared = common.written(found(passage, "shared", 2).withColumnRenamed("pos", "shared"))
+    starts = common.written(found(length, "repeat", 4).withColumnRenamed("pos", "starts"))
     both = starts.join(shared, "tid", "full")
     schema = "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, n_shared long"
     cut = common.written(reached.where("n = 1").join(both, "tid").select("tid", "text", "starts", "shared").mapInArrow(_cut(length, passage), schema))

@@ -257,14 +257,15 @@ def buckets(spark) -> int:
     return BUCKETS * common.partitions(spark)
 
 
-def repeated(packed_rows: DataFrame, mode: str) -> DataFrame:
+def repeated(packed_rows: DataFrame, mode: str, parts_of_six: int = 4) -> DataFrame:
     """(tid, pos array<int>), one row for each text with repeated windows, from rows of `rows_for_buckets`.
 
     A bucket holds a share of all fingerprints, whatever the documents: a text or passage that a third of
     the rows hold spreads over the buckets, and comes once from each chunk. What is found goes back packed,
-    a row for each bucket and part of the texts, so rows do not grow with texts times buckets.
+    a row for each bucket and part of the texts, so rows do not grow with texts times buckets. parts_of_six: parts for
+    six shuffle partitions; fewer do where few positions come back.
     """
-    parts = max(1, common.partitions(packed_rows.sparkSession) // 2)
+    parts = max(1, parts_of_six * common.partitions(packed_rows.sparkSession) // 6)
     hits = packed_rows.groupBy("bucket").applyInArrow(_found(mode, parts), PLACED)
     return hits.groupBy("part").applyInArrow(_gathered, "tid long, pos array<int>")
 
