@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     reached = common.written(reached)
     common.dropped(sample)
     found = lambda size, mode, parts: windows.repeated(reached.select("tid", "text", "pos").mapInArrow(_candidates(size, least, buckets, mode), windows.PACKED), mode, parts)
-    shared = common.written(found(passage, "shared", 2).withColumnRenamed("pos", "shared"))
+    shared = common.written(found(passage, "shared", 3).withColumnRenamed("pos", "shared"))
     starts = common.written(found(length, "repeat", 4).withColumnRenamed("pos", "starts"))
     both = starts.join(shared, "tid", "full")
     schema = "tid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, n_shared long"
