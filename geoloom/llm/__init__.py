@@ -1 +1 @@
-"""Corpus preparation operators for training data: ten operators, their queries and a pipeline."""
+"""Corpus preparation operators for training data: thirteen operators, their queries and a pipeline."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, licenses, mixing, quality, secrets, substring_dedup, suffix_dedup, urls
+from . import conversations, decontaminate, jaccard_join, language, licenses, mixing, packing, quality, resampling, secrets, substring_dedup, suffix_dedup, urls
 from .common import table
 
 #: The rules of the URL contract.
@@ -76,8 +76,37 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(sf_dir, "documents", spark)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage of conversations, by the CRC-32 of conversation and turn; nulls become one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("kind"))
+    changed = F.when(F.col("kind") == 1, F.lit("")).when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), changed.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(sf_dir, "conversations", spark)
+    found = conversations.audits(conversations.repair(damaged(rows))).withColumnRenamed("conv_id", "own")
+    ids = rows.select("conv_id").distinct()
+    numbers = [F.coalesce(F.col(n), F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("own")), "left").select("conv_id", *numbers, F.coalesce(F.col("audit"), F.lit("")).alias("audit"), F.coalesce(F.col("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(sf_dir, "documents", spark), table(sf_dir, "benchmark", spark)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(sf_dir, "documents", spark), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_ngram_jaccard_join, op4_suffix_dedup, op5_url_filter, op6_language_id, op7_decontamination, op8_secret_scan, op9_substring_dedup, op10_source_mix)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_ngram_jaccard_join, op4_suffix_dedup, op5_url_filter, op6_language_id, op7_decontamination, op8_secret_scan, op9_substring_dedup, op10_source_mix, op11_conversation_repair, op12_importance_resampling, op13_packing)}
 
 
 _URL_SQL = """
