@@ -26,7 +26,17 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table of its own: its plan is cut, and a lost executor costs nothing that was written."""
     path = f"{shared(df.sparkSession)}/scratch/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table that `written` made; nothing for other DataFrames."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def prefix_sums(rows: DataFrame, by: str, n: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,15 +42,37 @@ def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-#: Areas whose values are sent to every task for the permutation test; more are permuted by an affine map of their ranks.
+#: Areas whose values are sent to every task for the permutation test, as 8 bytes each; more are fetched by joins.
 MOST_VECTOR = 5_000_000
 
 
-def permuted_i(values: DataFrame, edges: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
+def shuffled(k: np.ndarray, n: int, seed: int, draw: int) -> np.ndarray:
+    """Where a random permutation of 0..n-1, drawn by seed and number, sends each of k.
+
+    Six rounds of a keyed mixing of the two halves of a number are a permutation of the powers of four; numbers that
+    fall beyond n go round again until they do not. So any task can apply it to any numbers, without an order.
+    """
+    half = np.uint64(max(1, ((max(2, n) - 1).bit_length() + 1) // 2))
+    mask = np.uint64((1 << int(half)) - 1)
+    keys = np.random.default_rng([seed, draw]).integers(0, 2**63, 6, dtype=np.uint64)
+    out, todo = np.array(k, np.uint64), np.arange(len(k))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for key in keys:
+            x = (right + key) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & mask)
+        out[todo] = left << half | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
+
+
+def permuted_i(values: DataFrame, edges: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED, most_vector: int | None = None) -> DataFrame:
     """One row: i, expected, z and pseudo-p over seeded random permutations of the values.
 
-    Areas are numbered, edges carry the two numbers, and the vector of values (whose length was counted) goes to every
-    task, which permutes it anew for each permutation and adds up its own edges; only sums by permutation are shuffled.
+    Areas are numbered, edges carry the two numbers, and each task sends those through each permutation. The vector of
+    values goes to every task if it was counted to fit; else the values come by joins. Both give the same sums, and only
+    sums by permutation are shuffled on. The driver holds the vector while it is sent (40 MB for five million areas).
     """
     z, w = _standardised(values, edges)
     z = scratch.written(z)
@@ -60,7 +80,7 @@ def permuted_i(values: DataFrame, edges: DataFrame, permutations: int = PERMUTAT
     numbered = scratch.written(scratch.prefix_sums(z.withColumn("one", F.lit(1).cast("long")), "id", "one").select("id", "z", (F.col("upto") - 1).alias("k")))
     side = lambda c, k: numbered.select(F.col("id").alias(c), F.col("k").alias(k))
     pairs = w.join(side("i", "ki"), "i").join(side("j", "kj"), "j").select("ki", "kj", "w")
-    sums = _random_sums(pairs, numbered, permutations, seed) if n <= MOST_VECTOR else _affine_sums(pairs, numbered, n, permutations, seed)
+    sums = (_sums_by_vector if n <= (MOST_VECTOR if most_vector is None else most_vector) else _sums_by_joins)(pairs, numbered, n, permutations, seed)
     linked = w.select("i").distinct().count()
     squares = z.agg(F.sum(F.col("z") * F.col("z"))).first()[0]
     scale = n / linked / squares if linked and squares else float("nan")
@@ -72,43 +92,100 @@ def permuted_i(values: DataFrame, edges: DataFrame, permutations: int = PERMUTAT
     )
 
 
-def _random_sums(pairs: DataFrame, numbered: DataFrame, permutations: int, seed: int) -> DataFrame:
+def _sums_by_vector(pairs: DataFrame, numbered: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
     """(p, s): the weighted sum of products over all edges under each permutation."""
     vector = pairs.sparkSession.sparkContext.broadcast(numbered.orderBy("k").select("z").toPandas()["z"].to_numpy(float))
 
     def summed(batches):
-        own = [(b["ki"].to_numpy(), b["kj"].to_numpy(), b["w"].to_numpy()) for b in batches]
-        if own:
-            ki, kj, weight = (np.concatenate(x) for x in zip(*own))
-            out = np.empty(permutations)
+        out = np.zeros(permutations)
+        for b in batches:
+            ki, kj, weight = b["ki"].to_numpy(), b["kj"].to_numpy(), b["w"].to_numpy()
             for p in range(permutations):
-                drawn = np.random.default_rng([seed, p]).permutation(vector.value)
-                out[p] = (weight * drawn[ki] * drawn[kj]).sum()
-            yield pd.DataFrame({"p": np.arange(permutations), "s": out})
+                out[p] += (weight * vector.value[shuffled(ki, n, seed, p)] * vector.value[shuffled(kj, n, seed, p)]).sum()
+        yield pd.DataFrame({"p": np.arange(permutations), "s": out})
 
     return pairs.mapInPandas(summed, "p int, s double").groupBy("p").agg(F.sum("s").alias("s"))
 
 
-def _affine_sums(pairs: DataFrame, numbered: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
-    """The same where a permutation gives area k the value of area (a * k + b) mod n of a hashed order."""
-    draw = np.random.default_rng(seed)
-    steps = [int(s) for s in draw.integers(1, max(2, n), 4 * permutations) if math.gcd(int(s), n) == 1][:permutations] or [1]
-    plans = [(p, steps[p % len(steps)], int(b)) for p, b in enumerate(draw.integers(0, max(1, n), permutations))]
-    perm = F.broadcast(pairs.sparkSession.createDataFrame(plans, "p int, a long, b long"))
-    hashed = numbered.select("k", "z", F.xxhash64("k", F.lit(seed)).alias("h"))
-    placed = scratch.prefix_sums(hashed.withColumn("one", F.lit(1).cast("long")), "h", "one").select("k", "z", (F.col("upto") - 1).alias("r"))
-    by_rank = placed.select("r", F.col("z").alias("zr"))
-    drawn = placed.select("k", F.col("r").alias("r0")).crossJoin(perm).select("k", "p", F.pmod(F.col("r0") * F.col("a") + F.col("b"), F.lit(n)).alias("r")).join(by_rank, "r").select("p", "k", "zr")
-    a, b = (drawn.select("p", F.col("k").alias(x), F.col("zr").alias(f"z{x}")) for x in ("ki", "kj"))
+def _sums_by_joins(pairs: DataFrame, numbered: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """The same with the values of each permutation joined to the edges; they are never in one place."""
+
+    def drawn(batches):
+        for b in batches:
+            for p in range(permutations):
+                yield pd.DataFrame({"p": p, "k": b["k"].to_numpy(), "r": shuffled(b["k"].to_numpy(), n, seed, p)})
+
+    placed = numbered.select("k").mapInPandas(drawn, "p int, k long, r long")
+    value = scratch.written(placed.join(numbered.select(F.col("k").alias("r"), "z"), "r").select("p", "k", "z"))
+    a, b = (value.select("p", F.col("k").alias(x), F.col("z").alias(f"z{x}")) for x in ("ki", "kj"))
     return pairs.join(a, "ki").join(b, ["p", "kj"]).groupBy("p").agg(F.sum(F.col("w") * F.col("zki") * F.col("zkj")).alias("s"))
 
 
+#: Values that local permutations may send to every task: permutations times one more than the most neighbours.
+MOST_DRAWS = 5_000_000
+
+
+def local_morans(values: DataFrame, edges: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
+    """(id, z, lag, i, cluster, p, significant) of each area with a value; islands have only z.
+
+    i is the local Moran statistic. p is two-sided, from permutations that hold an area's own value and draw its
+    neighbours from all others without repeats: the same seeded draws serve all areas, and where a draw holds the area
+    itself its next value takes that place. significant: false discoveries are held to a share alpha over all areas.
+    """
+    x = scratch.written(lagged(values, edges).join(_degrees(values, edges), "id", "left").na.fill(0, ["degree"]))
+    facts = x.agg(F.count(F.lit(1)).alias("n"), F.max("degree").alias("most"), F.avg(F.col("z") * F.col("z")).alias("m2")).first()
+    n, most = facts["n"], min(facts["most"] or 0, max(0, facts["n"] - 1))
+    if permutations * (most + 1) > MOST_DRAWS:
+        raise ValueError(f"{most} neighbours and {permutations} permutations need more than {MOST_DRAWS} values in every task: take fewer permutations")
+    numbered = scratch.written(scratch.prefix_sums(x.withColumn("one", F.lit(1).cast("long")), "id", "one").select("id", "z", "lag", "degree", (F.col("upto") - 1).alias("k")))
+    draws = np.empty((permutations, most + 1), np.int64)
+    for p in range(permutations if n else 0):  # distinct numbers: the first ones of a random permutation
+        draws[p] = shuffled(np.arange(most + 1), n, seed, p)
+    asked = pd.DataFrame({"k": np.unique(draws) if n else np.zeros(0, np.int64)})
+    got = numbered.join(F.broadcast(x.sparkSession.createDataFrame(asked, "k long")), "k").select("k", "z").toPandas() if n else pd.DataFrame({"k": [], "z": []})
+    at = got.sort_values("k")
+    value = at["z"].to_numpy(float)[np.searchsorted(at["k"].to_numpy(), draws)] if n else np.zeros((0, 1))
+    sent = x.sparkSession.sparkContext.broadcast((draws, value))
+
+    def tested(batches):
+        numbers, drawn = sent.value
+        upto = np.cumsum(drawn, axis=1)
+        for b in batches:
+            p = np.full(len(b), np.nan)
+            for i, (k, z, lag, degree) in enumerate(zip(b["k"], b["z"], b["lag"], b["degree"])):
+                if degree > 0:
+                    d = int(degree)
+                    hit = numbers[:, :d] == k
+                    total = upto[:, d - 1] + np.where(hit.any(axis=1), drawn[:, min(d, most)] - z, 0.0)
+                    middle = -z / (n - 1)  # the mean of the others
+                    # what rounding alone tells apart is equal
+                    p[i] = (1 + (np.abs(total / d - middle) >= abs(lag - middle) * (1 - 1e-12)).sum()) / (len(numbers) + 1)
+            yield b.assign(p=p)[["id", "z", "lag", "p"]]
+
+    kind = dict(numbered.dtypes)["id"]
+    out = scratch.written(numbered.mapInPandas(tested, f"id {kind}, z double, lag double, p double").withColumn("p", F.nanvl("p", F.lit(None).cast("double"))))
+    counts = sorted((r["p"], r["n"]) for r in out.where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())  # as many rows as permutations at most
+    areas, rank, cut = sum(c for _, c in counts), 0, -1.0
+    for p, c in counts:
+        rank += c
+        cut = p if p <= alpha * rank / areas else cut
+    kinds = F.when(F.col("lag").isNotNull(), _kind())
+    scale = facts["m2"] or float("nan")
+    return out.select("id", "z", "lag", (F.col("z") * F.col("lag") / F.lit(float(scale))).alias("i"), kinds.alias("cluster"), "p", (F.col("p") <= cut).alias("significant"))
+
+
+def _degrees(values: DataFrame, edges: DataFrame) -> DataFrame:
+    return _standardised(values, edges)[1].groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def _kind():
+    high, around = F.col("z") > 0, F.col("lag") > 0
+    return F.when(high & around, "HH").when(~high & ~around, "LL").when(high, "HL").otherwise("LH")
+
+
 def clusters(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster): HH, LL, HL or LH by the signs of an area's and its neighbours' deviation; null for islands."""
-    x = lagged(values, edges)
-    high, around = F.col("z") > 0, F.col("lag") > 0
-    name = F.when(high & around, "HH").when(~high & ~around, "LL").when(high, "HL").otherwise("LH")
-    return x.select("id", F.when(F.col("lag").isNotNull(), name).alias("cluster"))
+    return lagged(values, edges).select("id", F.when(F.col("lag").isNotNull(), _kind()).alias("cluster"))
 
 
 def least_squares(df: DataFrame, y: str, xs: list[str], robust: bool = False) -> pd.DataFrame:

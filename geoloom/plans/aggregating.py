@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import aggregates, joins, stats
+from geoloom.operators import aggregates, joins, regressions, stats
 from geoloom.plans.base import FEED, TRACTS, feed, t, tracts
 from geoloom.plans.joining import _county_squares
 from geoloom.plans.registry import register
@@ -200,6 +200,16 @@ def stat_a27_clusters(spark, d):
     return stats.clusters(*_cells(spark, d))
 
 
+@register(f"WITH {_MORAN}, m AS (SELECT avg(z * z) AS m2 FROM e) SELECT c * 100 + r AS id, round(z, 6) AS z, round(lag, 6) AS lag, round(z * lag / m2, 6) AS i FROM e, m")
+def stat_a27_local_i(spark, d):
+    return stats.local_morans(*_cells(spark, d), permutations=9).select("id", *(F.round(c, 6).alias(c) for c in ("z", "lag", "i")))
+
+
+@register()
+def stat_a27_local_p(spark, d):
+    return stats.local_morans(*_cells(spark, d)).select("id", "cluster", "p", "significant")
+
+
 @register("SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 4) AS coef, count(*) AS n FROM lineitem UNION ALL SELECT '_cons', round(regr_intercept(l_extendedprice, l_quantity), 4), count(*) FROM lineitem")
 def stat_a28_least_squares(spark, d):
     m = stats.least_squares(t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])
@@ -219,6 +229,58 @@ def stat_a28_logit(spark, d):
     return spark.createDataFrame(m)
 
 
+def _measured_cells(spark, d):
+    """The cells of 20 degrees with measures, and their contiguity."""
+    cell = (F.floor(F.col("lon") / 20) * 100 + F.floor(F.col("lat") / 20)).cast("long").alias("id")
+    v = tracts(spark, d).groupBy(cell).agg((100 * F.sum("minority") / F.sum("pop")).alias("share"), (F.avg("income") / 1000).alias("income"), F.log(F.sum("pop")).alias("people"))
+    return v, joins.contiguity(_county_squares(spark, d), "id", rook=True)
+
+
+def _terms(spark, fit, *columns):
+    names = ["term", *columns]
+    return spark.createDataFrame(fit[names]).select("term", *(F.round(c, 6).alias(c) for c in columns))
+
+
+@register()
+def stat_a28_spatial_lag(spark, d):
+    v, edges = _measured_cells(spark, d)
+    return _terms(spark, regressions.spatial_lag(v, "share", ["income", "people"], edges), "coef", "se", "z", "log_likelihood")
+
+
+@register()
+def stat_a28_spatial_error(spark, d):
+    v, edges = _measured_cells(spark, d)
+    return _terms(spark, regressions.spatial_error(v, "share", ["income", "people"], edges), "coef", "se", "z", "log_likelihood")
+
+
+@register()
+def stat_a28_spatial_lag_probes(spark, d):
+    """The lag model whose log-determinant comes from random probes, as it does for many areas."""
+    v, edges = _measured_cells(spark, d)
+    return _terms(spark, regressions.spatial_lag(v, "share", ["income"], edges, exact=0, probes=8, steps=6), "coef", "se", "log_det_se")
+
+
+@register()
+def stat_a28_spatial_lag_instruments(spark, d):
+    v, edges = _measured_cells(spark, d)
+    return _terms(spark, regressions.spatial_lag_iv(v, "share", ["income", "people"], edges, robust=True), "coef", "se", "z")
+
+
+@register()
+def stat_a28_negative_binomial(spark, d):
+    orders = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("units"), F.avg("l_discount").alias("discount"), F.first("l_suppkey").alias("supplier"))
+    return _terms(spark, regressions.fitted(orders, "units", ["lines", "discount"], "negative binomial"), "coef", "se", "log_likelihood")
+
+
+@register("""WITH r AS (SELECT l_suppkey AS g, CAST(l_quantity AS DOUBLE) - avg(l_quantity) OVER () AS x, CAST(l_extendedprice AS DOUBLE) - avg(l_extendedprice) OVER () AS y FROM lineitem),
+b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*) AS n, count(DISTINCT g) AS m FROM r),
+s AS (SELECT g, sum(x * (y - b * x)) AS s FROM r, b GROUP BY g)
+SELECT 'l_quantity' AS term, round(max(b), 4) AS coef, round(sqrt(sum(s * s) * max(m * 1.0 / (m - 1) * (n - 1) / (n - 2))) / max(xx), 4) AS se, max(n) AS n, max(m) AS clusters FROM s, b""")
+def stat_a28_clustered(spark, d):
+    fit = regressions.fitted(t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], "gaussian", cluster="l_suppkey")
+    return spark.createDataFrame(fit).where("term = 'l_quantity'").select("term", F.round("coef", 4).alias("coef"), F.round("se", 4).alias("se"), F.col("n").cast("long").alias("n"), F.col("clusters").cast("long").alias("clusters"))
+
+
 @register("SELECT count(*) <> count(DISTINCT l_orderkey * 10 + l_linenumber) AS repeated FROM lineitem")
 def agg_a29_distinct_ids(spark, d):
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")

@@ -5,6 +5,8 @@
     correlate income with pop               regress income on pop and minority [robust]
     keep if income is at least 1,000        drop if pop is over 500
     keep valid data only                    top 10 by pop
+    poisson | logit | negative binomial y on x and z [robust | clustered by county]
+    spatial lag | spatial error y on x and z, with the contiguity of the areas (column id)
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators import stats
+from geoloom.operators import regressions, stats
 
 #: How a comparison may be worded, longest first.
 _COMPARE = (
@@ -67,13 +69,16 @@ def condition(text: str, df: DataFrame, labels: dict[str, str] | None = None) ->
     return out
 
 
-def run(df: DataFrame, text: str, labels: dict[str, str] | None = None) -> Result:
-    """Carry out the lines of a text; a line with an error is reported and the next ones go on."""
+def run(df: DataFrame, text: str, labels: dict[str, str] | None = None, edges: DataFrame | None = None) -> Result:
+    """Carry out the lines of a text; a line with an error is reported and the next ones go on.
+
+    Spatial models need edges (i, j) of the areas, which df names in a column id.
+    """
     labels, r = labels or {}, Result(df)
     spark = df.sparkSession
     for line in filter(None, (x.strip().rstrip(".") for x in text.splitlines())):
         try:
-            out = _line(spark, r, line, labels)
+            out = _line(spark, r, line, labels, edges)
             if out is not None:
                 r.tables.append(out)
             r.steps.append((line, True, ""))
@@ -82,7 +87,7 @@ def run(df: DataFrame, text: str, labels: dict[str, str] | None = None) -> Resul
     return r
 
 
-def _line(spark, r: Result, line: str, labels) -> DataFrame | None:
+def _line(spark, r: Result, line: str, labels, edges=None) -> DataFrame | None:
     df, m = r.data, None
 
     def matches(pattern):
@@ -113,12 +118,21 @@ def _line(spark, r: Result, line: str, labels) -> DataFrame | None:
         span = df.agg(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"))
         bin_ = F.least(F.lit(9), F.floor((F.col(c) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 10))
         return df.where(F.col(c).isNotNull()).crossJoin(F.broadcast(span)).groupBy(F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    elif matches(r"regress (.+?) on (.+?)( robust)?"):
-        y, xs = _variable(m[1], df, labels), _variables(m[2], df, labels)
-        return spark.createDataFrame(stats.least_squares(df, y, xs, bool(m[3])))
-    elif matches(r"(poisson|logit) (.+?) on (.+)"):
+    elif matches(r"spatial (lag|error|regression) (?:of )?(.+?) on (.+)"):
+        if edges is None or "id" not in df.columns:
+            raise _Unknown("spatial models need areas with an id and their edges")
+        y, xs = _variable(m[2], df, labels), _variables(m[3], df, labels)
+        fit = regressions.spatial_error if m[1].lower() == "error" else regressions.spatial_lag
+        return spark.createDataFrame(fit(df, y, xs, edges))
+    elif matches(r"(regress|poisson|logit|negative binomial) (?:of )?(.+?) on (.+?)(?:,? (robust)|,? clustered by (.+))?"):
         y, xs = _variable(m[2], df, labels), _variables(m[3], df, labels)
-        return spark.createDataFrame(stats.generalised(df, y, xs, "poisson" if m[1].lower() == "poisson" else "binomial")[0])
+        family = {"regress": "gaussian", "logit": "binomial"}.get(m[1].lower(), m[1].lower())
+        if m[5] or family == "negative binomial" or m[4] and family != "gaussian":
+            fit = regressions.fitted(df, y, xs, family, cluster=_variable(m[5], df, labels) if m[5] else None, robust=bool(m[4]))
+            return spark.createDataFrame(fit.drop(columns=[] if m[5] else ["clusters"]))
+        if family == "gaussian":
+            return spark.createDataFrame(stats.least_squares(df, y, xs, bool(m[4])))
+        return spark.createDataFrame(stats.generalised(df, y, xs, family)[0])
     elif matches(r"top (\d+) by (.+)"):
         c = _variable(m[2], df, labels)
         return df.where(F.col(c).isNotNull()).orderBy(F.desc(c)).limit(int(m[1]))
