@@ -3,7 +3,11 @@
 Encoded candidates (base64, base64url, hex; also wrapped over lines) are decoded first, at every alignment of the run.
 A key must then parse somewhere in what is decoded: DER nests lengths that must end exactly where the outer one ends, an
 OpenSSH blob is a chain of length-prefixed fields behind a magic word, a signed token has a JSON header that names an
-algorithm and a JSON payload. Public keys and certificates parse as well, but are no secrets.
+algorithm and a JSON payload, an encrypted one a header with algorithm and cipher and five parts. Keys between BEGIN and
+END lines may have header lines; where these say that the key is encrypted they must name the cipher, and what is decoded
+must be whole blocks. Public keys and certificates parse as well, but are no secrets.
+
+Texts are scanned in runs that are looked at once: time grows in proportion to a text, however long its runs are.
 """
 
 from __future__ import annotations
@@ -27,8 +31,11 @@ BASE = KINDS[:3]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_PEM_HEADERS = re.compile(r"\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\n]+\n)*)+")
+_SEALED_BY = re.compile(r"DEK-Info:\s*([A-Z0-9-]+)\s*,\s*((?:[0-9A-Fa-f]{2})+)")
+#: A run that dots part; a signed or encrypted token lies within one.
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]{32,}")
 #: Runs of either alphabet, over line breaks between parts of 16 characters and more.
 _KEY64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
 _KEYHEX = re.compile(r"[0-9a-fA-F]{32,}(?:[ \t]*(?:\r?\n|\\n)[ \t]*[0-9a-fA-F]{16,})*(?:[ \t]*(?:\r?\n|\\n)[ \t]*[0-9a-fA-F]+)?")
@@ -66,7 +73,7 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def _der_items(data: bytes) -> list[tuple[int, bytes]] | None:
+def _der_items(data: memoryview) -> list[tuple[int, memoryview]] | None:
     """(tag, content) of the elements that fill data exactly; None if a length does not fit."""
     out, at = [], 0
     while at < len(data):
@@ -95,11 +102,12 @@ def _ssh_end(data: bytes, at: int) -> int | None:
     return at if 0 < keys <= 16 and at <= len(data) else None
 
 
-def is_key(data: bytes | None) -> bool:
+def is_key(data: bytes | memoryview | None) -> bool:
     """Whether decoded bytes are, as a whole, a private key structure: nested DER, or OpenSSH's fields."""
     if not data or len(data) < _LEAST:
         return False
-    if data.startswith(_OPENSSH):
+    data = memoryview(data)
+    if data[: len(_OPENSSH)] == _OPENSSH:
         return _ssh_end(data, 0) == len(data)
     if data[0] != 0x30:
         return False
@@ -110,19 +118,19 @@ def is_key(data: bytes | None) -> bool:
     if not inner or len(inner) < 2:
         return False
     tags = [t for t, _ in inner]
-    if any(_der_items(x) is None for t, x in inner if t in (0x30, 0xA0, 0xA1)):
-        return False
     if tags == [0x30, 0x04]:  # encrypted: an algorithm, named by an identifier, and the sealed key
         named = _der_items(inner[0][1])
-        return bool(named) and named[0][0] == 0x06 and named[0][1].startswith(_SEALED)
+        return bool(named) and named[0][0] == 0x06 and bytes(named[0][1][:16]).startswith(_SEALED)
     if tags[0] != 0x02 or len(inner[0][1]) != 1 or inner[0][1][0] > 1:
         return False  # the others begin with a version
-    return len(inner) >= 6 and set(tags) == {0x02} or 0x04 in tags[1:3]
+    if not (len(inner) >= 6 and set(tags) == {0x02} or 0x04 in tags[1:3]):
+        return False
+    return all(_der_items(x) is not None for t, x in inner if t in (0x30, 0xA0, 0xA1))
 
 
 def _keys_in(data: bytes) -> list[tuple[int, int]]:
     """[begin, end) of the keys within decoded bytes."""
-    out, at = [], 0
+    out, at, whole = [], 0, memoryview(data)
     while m := _BEGINS.search(data, at):
         begin = m.start()
         if m[0] == _OPENSSH:
@@ -130,7 +138,7 @@ def _keys_in(data: bytes) -> list[tuple[int, int]]:
         else:
             found = _element(data, begin, len(data))
             end = found and found[2]
-        if end and is_key(data[begin:end]):
+        if end and is_key(whole[begin:end]):
             out.append((begin, end))
             at = end
         else:
@@ -161,15 +169,83 @@ def _encoded(run: re.Match, hexed: bool) -> list[tuple[int, int]]:
 
 
 def is_token(text: str) -> bool:
-    """Whether text is header.payload.signature with JSON objects in the first two and an algorithm in the header."""
-    parts = text.split(".")
-    objects = []
-    for x in parts[:2]:
+    """Whether text as a whole is a signed token (three parts) or an encrypted one (five)."""
+    return [(0, len(text))] == tokens(text)
+
+
+def _object(part: str) -> dict | None:
+    try:
+        found = json.loads(_decoded64(part) or b"-")
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _header(part: str) -> tuple[int, dict] | None:
+    """Where in a part the first JSON object with an algorithm begins that ends with the part, and the object.
+
+    Each of the four alignments is decoded once; an object begins where a group of four characters does.
+    """
+    if "e" not in part:  # the first six bits of a brace
+        return None
+    begins = []
+    for phase in range(4):
+        data = _decoded64(part[phase:]) or b""
+        if b'"alg"' in data:
+            at = data.find(b"{")
+            while at >= 0:
+                if at % 3 == 0:
+                    begins.append((phase + at // 3 * 4, at, data))
+                at = data.find(b"{", at + 1)
+    for start, at, data in sorted(begins, key=lambda x: x[0]):
         try:
-            objects.append(json.loads(_decoded64(x) or b"-"))
+            found = json.loads(data[at:])
         except (ValueError, RecursionError):
-            return False
-    return all(isinstance(x, dict) for x in objects) and isinstance(objects[0].get("alg"), str)
+            continue
+        if isinstance(found, dict) and isinstance(found.get("alg"), str):
+            return start, found
+    return None
+
+
+def tokens(run: str) -> list[tuple[int, int]]:
+    """[start, end) of the tokens in a run of letters, digits, hyphens, low lines and dots."""
+    parts, places, out = run.split("."), [0], []
+    for p in parts:
+        places.append(places[-1] + len(p) + 1)
+    i = 0
+    while i + 2 < len(parts):
+        found, n = _header(parts[i]) if parts[i + 1] or i + 4 < len(parts) else None, 0
+        if found:
+            if i + 4 < len(parts) and isinstance(found[1].get("enc"), str) and all(parts[i + 2 : i + 5]) and all(_decoded64(p) is not None for p in parts[i + 1 : i + 5]):
+                n = 5
+            elif _object(parts[i + 1]) is not None:
+                n = 3
+        if n:
+            out.append((places[i] + found[0], places[i + n] - 1))
+        i += n or 1
+    return out
+
+
+def _armoured(text: str) -> list[tuple[int, int]]:
+    """[start, end) of private keys between BEGIN and END lines."""
+    out = []
+    for m in _PEM.finditer(text):
+        end = text.find("-----", m.end())
+        closing = f"-----END {m[1]}-----"
+        if end < 0 or not text.startswith(closing, end):
+            continue
+        body = text[m.end() : end].replace("\\r", "").replace("\\n", "\n").replace("\r", "")
+        headers = _PEM_HEADERS.match(body)
+        data = _decoded64(body[headers.end() :] if headers else body)
+        if headers and "ENCRYPTED" in headers[0]:
+            by = _SEALED_BY.search(headers[0])
+            block = len(by[2]) // 2 if by else 0
+            ok = block in (8, 16) and data is not None and len(data) >= _LEAST and len(data) % block == 0
+        else:
+            ok = is_key(data)
+        if ok:
+            out.append((m.start(), end + len(closing)))
+    return out
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -182,11 +258,11 @@ def find(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if max(map(len, text.split()), default=0) >= 32:
         out += [(m.start(), 2, m.end()) for m in _HEX_RUN.finditer(text)]
-        out += [(m.start(), 4, m.end()) for m in _TOKEN.finditer(text) if is_token(m[0])] if "eyJ" in text else []
+        out += [(m.start() + a, 4, m.start() + b) for m in _DOTTED.finditer(text) if m[0].count(".") > 1 for a, b in tokens(m[0])] if "." in text else []
         out += [(a, 5, b) for m in _KEY64.finditer(text) for a, b in _encoded(m, False)]
         out += [(a, 6, b) for m in _KEYHEX.finditer(text) for a, b in _encoded(m, True)]
     if "PRIVATE KEY-----" in text:
-        out += [(m.start(), 3, m.end()) for m in _PEM.finditer(text) if is_key(_decoded64(m[2]))]
+        out += [(a, 3, b) for a, b in _armoured(text)]
     return sorted(out)
 
 
