@@ -8,7 +8,9 @@ number of coordinates (`lost_in`); runs are repeated until what is lost is below
 
 A large node that does not shrink is a group of near copies: it becomes one candidate group instead of splitting
 on. Every candidate group is then compared exactly, on whole n-gram sets: small ones in one task, large ones block by
-block, with size bounds; no pairs are written, only each class's number of links and links to one neighbour.
+block. In a large group each set is held as its difference from the set of one of its classes, which for near copies is
+a few n-grams, and only blocks of neighbouring size bands meet; no text goes into a block. No pairs are written, only
+each class's number of links and links to one neighbour.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ LOST = 1e-4
 ERRORS = 4.0
 #: Classes of a candidate group that one task compares with each other; of a larger group, blocks of so many.
 BLOCK = 1024
+#: Bytes of the texts that large groups are held against, up to which they are sent to every task.
+MOST_CENTRES = 16 << 20
 
 
 def lost_in_a_run(similarity: float) -> float:
@@ -197,6 +201,97 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _differences(n: int):
+    """Each class's n-grams that its group's centre lacks or that it lacks itself, and how many it lacks."""
+
+    def differences(batches):
+        kept, last, centre = windows.Values(), None, None
+        for batch in batches:
+            raw, at = common.texts(batch.column("text"))
+            size, missing, diff = [], [], []
+            for k, text in enumerate(batch.column("centre")):
+                if last is None or text != last:
+                    last, centre = text, shingles(text.as_py().encode(), n, kept)
+                own = shingles(bytes(raw[at[k] : at[k + 1]]), n, kept)
+                apart = np.setxor1d(own, centre, assume_unique=True)
+                size.append(len(own))
+                missing.append((len(centre) + len(apart) - len(own)) // 2)
+                diff.append(apart.tobytes())
+            columns = [batch.column(c) for c in ("label", "cid", "m")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(missing, pa.int64()), pa.array(diff, pa.binary())], ["label", "cid", "m", "n", "missing", "diff"])
+
+    return differences
+
+
+def _blocks(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The classes of large groups, dealt to pairs of blocks: (part, side, cid, m, n, missing, diff).
+
+    A band holds the sizes within a ratio somewhat below the similarity, so similar sets are in one band or in two next
+    to each other. A block is a share of a band by hash; each block meets each of its own and of the next band.
+    """
+    spark = texts.sparkSession
+    first = texts.groupBy("label").agg(F.min("cid").alias("cid"))
+    centres = common.written(texts.select("cid", F.col("text").alias("centre")).join(first, "cid").select("label", "centre"))
+    bytes_ = centres.agg(F.coalesce(F.sum(F.octet_length("centre")), F.lit(0))).first()[0]
+    against = F.broadcast(centres) if bytes_ <= MOST_CENTRES else centres
+    rows = texts.select("label", "cid", "m", "text").join(against, "label")
+    found = common.written(rows.mapInArrow(_differences(n), "label long, cid long, m long, n long, missing long, diff binary"))
+    common.dropped(centres)
+    band = F.floor(F.ln(F.col("n").cast("double")) / -math.log(min(0.99, similarity - 0.01))).cast("int") if similarity > 0.02 else F.lit(0)
+    found = found.withColumn("band", band)
+    sizes = common.written(found.groupBy("label", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    near = lambda step, name: sizes.select("label", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    plan = sizes.join(near(1, "above"), ["label", "band"], "left").join(near(-1, "below"), ["label", "band"], "left")
+    placed = found.join(common.small_side(common.written(plan), 100_000), ["label", "band"])
+    block = F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int")
+    count = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    # own band: (low, high, side); the next one up and down: this block is the left or the right one
+    own = F.transform(count("blocks"), lambda o: F.struct(F.col("band").alias("a"), F.lit(0).alias("step"), F.least("block", o).alias("low"), F.greatest("block", o).alias("high"), F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side")))
+    up = F.transform(count("above"), lambda o: F.struct(F.col("band").alias("a"), F.lit(1).alias("step"), F.col("block").alias("low"), o.alias("high"), F.lit(1).alias("side")))
+    down = F.transform(count("below"), lambda o: F.struct((F.col("band") - 1).alias("a"), F.lit(1).alias("step"), o.alias("low"), F.col("block").alias("high"), F.lit(2).alias("side")))
+    dealt = placed.withColumn("block", block).withColumn("to", F.explode(F.concat(own, up, down)))
+    return dealt.select(F.xxhash64("label", "to.a", "to.step", "to.low", "to.high").alias("part"), "to.side", "cid", "m", "n", "missing", "diff")
+
+
+def _compared_blocks(similarity: float):
+    """Links and groups within a block, or between two, of sets held as differences from one set."""
+
+    def compared(key, rows):
+        cid, m, side, size, missing = (rows.column(x).to_numpy() for x in ("cid", "m", "side", "n", "missing"))
+        diff = [np.frombuffer(b.as_py(), np.uint64) for b in rows.column("diff")]
+        left, right = (np.flatnonzero(side < 2), np.flatnonzero(side == 2)) if (side > 0).any() else (np.arange(len(cid)), None)
+        out = {"cid": [], "label": [], "links": []}
+
+        def add(which, labels, links):
+            out["cid"].append(cid[which])
+            out["label"].append(labels)
+            out["links"].append(links)
+
+        a = [diff[k] for k in left]
+        b = None if right is None else [diff[k] for k in right]
+        other = left if right is None else right
+        if len(left) and len(other):
+            # both lack what they lack of the centre, which counts twice where it is the same
+            centre = size[left[0]] + missing[left[0]] - (len(diff[left[0]]) - missing[left[0]])
+            shared = centre - missing[left][:, None] - missing[other][None, :] + _shared(a, b)
+            alike = _similar(shared, size[left], size[other], similarity)
+            if right is None:
+                np.fill_diagonal(alike, False)
+                add(left, cid[left][_groups(alike)], alike @ m[left])
+            else:
+                links = alike @ m[right], m[left] @ alike
+                whole = np.zeros((len(left) + len(right),) * 2, bool)
+                whole[: len(left), len(left) :] = alike
+                labels = np.r_[cid[left], cid[right]][_groups(whole | whole.T)]
+                add(left, labels[: len(left)], links[0])
+                add(right, labels[len(left) :], links[1])
+        else:
+            add(np.arange(len(cid)), cid, np.zeros(len(cid), np.int64))
+        return pa.table({"cid": np.concatenate(out["cid"]), "label": np.concatenate(out["label"]), "links": np.concatenate(out["links"]).astype(np.int64)})
+
+    return compared
+
+
 def _similar(shared: np.ndarray, sizes, others, similarity: float) -> np.ndarray:
     """Whether shared / union reaches the similarity, in whole numbers."""
     parts = round(similarity * 10**6)
@@ -205,27 +300,20 @@ def _similar(shared: np.ndarray, sizes, others, similarity: float) -> np.ndarray
 
 
 def _compared(n: int, similarity: float):
-    """Links and groups within each part of a bin: a whole candidate group, or two blocks of one."""
+    """Links and groups within each candidate group of a bin."""
 
     def compared(key, rows):
-        part, cid, m, side = (rows.column(x).to_numpy() for x in ("part", "cid", "m", "side"))
+        part, cid, m = (rows.column(x).to_numpy() for x in ("part", "cid", "m"))
         raw, at = common.texts(rows.column("text"))
         kept = windows.Values()
-        order = np.lexsort((side, part))
+        order = np.argsort(part, kind="stable")
         edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
         out_cid, out_label, out_links = [], [], []
         for lo, hi in zip(edge[:-1], edge[1:]):
             mine = order[lo:hi]
             sets = [shingles(bytes(raw[at[k] : at[k + 1]]), n, kept) for k in mine]
             sizes, weight = np.array([len(s) for s in sets]), m[mine]
-            left = int((side[mine] < 2).sum())
-            if side[mine[0]] == 0:  # a block or group with itself
-                alike = _similar(_shared(sets, None), sizes, sizes, similarity)
-            else:
-                alike = np.zeros((len(sets), len(sets)), bool)
-                if 0 < left < len(sets) and sizes[:left].max() >= similarity * sizes[left:].min() and sizes[left:].max() >= similarity * sizes[:left].min():
-                    alike[:left, left:] = _similar(_shared(sets[:left], sets[left:]), sizes[:left], sizes[left:], similarity)
-                    alike |= alike.T
+            alike = _similar(_shared(sets, None), sizes, sizes, similarity)
             np.fill_diagonal(alike, False)
             labels = _groups(alike)
             out_cid.append(cid[mine])
@@ -264,28 +352,23 @@ def _grouped(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
 
     of = group.groupBy("label").agg(F.count(F.lit(1)).alias("of"))
     member = group.withColumnRenamed("node", "cid").join(of, "label").join(reps.select("cid", "m", "n", "tid"), "cid")
-    blocks = F.ceil(F.col("of") / BLOCK).cast("int")
-    member = common.written(member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int")))
+    member = common.written(member)
     # a text of each class: the rows whose text the class is represented by, one of them if copies are alike
     first = signed.where("cid is not null").join(member.select("cid", F.col("tid").alias("mtid")), "cid").where("did.tid = mtid").groupBy("cid").agg(F.min("did.did").alias("did"), F.first("mtid").alias("tid"))
     with_tid = rows.withColumn("tid", F.xxhash64("text"))
     chosen = with_tid.join(first.select("tid", F.col("did").alias("fdid")), "tid").where(F.col("did").eqNullSafe(F.col("fdid"))).select("tid", "text")
-    texts = member.join(chosen, "tid").select("cid", "label", "of", "m", "blocks", "block", "text")
+    texts = member.join(chosen, "tid").select("cid", "label", "of", "m", "text")
     texts = common.written(texts.dropDuplicates(["cid"]))  # rows may repeat with key and text
     return _linked(spark, signed, reps, texts, n, similarity, key)
 
 
 def _linked(spark, signed, reps, texts, n, similarity, key):
     out = "cid long, label long, links long"
-    within = texts.where("blocks = 1").select(F.col("label").alias("part"), "cid", "m", F.lit(0).alias("side"), "text")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    across = texts.where("blocks > 1").withColumn("other", other)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    across = across.select(F.xxhash64("label", low, high).alias("part"), "cid", "m", F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2).alias("side"), "text")
+    within = texts.where(F.col("of") <= BLOCK).select(F.col("label").alias("part"), "cid", "m", "text")
     bins = max(common.partitions(spark), texts.count() // 1000)
-    deal = lambda df, by: df.groupBy(by.alias("bin")).applyInArrow(_compared(n, similarity), out)
-    alone = deal(within, F.pmod(F.xxhash64("part"), F.lit(bins)))
-    blocked = common.written(deal(across, F.col("part")))
+    alone = within.groupBy(F.pmod(F.xxhash64("part"), F.lit(bins)).alias("bin")).applyInArrow(_compared(n, similarity), out)
+    across = _blocks(texts.where(F.col("of") > BLOCK).select("label", "cid", "m", "text"), n, similarity)
+    blocked = common.written(across.groupBy("part").applyInArrow(_compared_blocks(similarity), out))
     joined = components.components(blocked.select(F.col("cid").alias("u"), F.col("label").alias("v")))
     links = blocked.groupBy("cid").agg(F.sum("links").alias("links"))
     found = alone.unionByName(joined.withColumnRenamed("node", "cid").join(links, "cid").select("cid", "label", "links"))

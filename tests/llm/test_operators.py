@@ -623,3 +623,23 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert len(set(texts)) == len(texts)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, every.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_jaccard_blocks_hold_no_texts(spark, monkeypatch):
+    """A large group is compared by differences from one class: few n-grams a class, bands of sizes, exact counts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(150):
+        w = base[: r.choice([70, 80, 92, 104, 120])]
+        w[r.randrange(len(w))] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    got = [(x.class_id, x.n_links) for x in jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == brute.similar(rows, 5, 0.8)
+    texts = spark.createDataFrame([(7, k, 1, t) for k, t in rows], "label long, cid long, m long, text string")
+    blocks = jaccard_join._blocks(texts, 5, 0.8)
+    assert set(blocks.columns) == {"part", "side", "cid", "m", "n", "missing", "diff"}
+    assert blocks.groupBy("part", "side").count().agg(F.max("count")).first()[0] <= 3 * 16
+    assert blocks.agg(F.max(F.length("diff"))).first()[0] <= 8 * 80
