@@ -10,8 +10,6 @@ from .common import table
 
 #: The rules of the URL contract.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Names of trades whose hosts the URL filter lists as blocked, for what no rule fits.
-BLOCKED_NAMES = ("adult", "ads", "bets", "casino", "pills", "spam")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +30,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(sf_dir, "documents", spark)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
-def url_rules(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """The contract's rules, and after them the list of hosts that Spark derives from the pages."""
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rules, and after them the list that is learned from labelled documents and contents of pages."""
     rules = spark.createDataFrame([(0, *x) for x in URL_RULES], "layer int, key string, verdict string")
-    return rules.unionByName(urls.hosts_named(pages, BLOCKED_NAMES).withColumn("layer", F.lit(1)))
+    markers = urls.marker_words(table(sf_dir, "documents", spark), table(sf_dir, "labels", spark))
+    return rules.unionByName(urls.listed_pages(table(sf_dir, "pages", spark), markers).withColumn("layer", F.lit(1)))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(sf_dir, "pages", spark)
-    judged = urls.judge(pages, url_rules(spark, pages))
+    judged = urls.judge(table(sf_dir, "pages", spark), url_rules(spark, sf_dir))
     return judged.select("page_id", "host", "path", F.when(F.col("layer") == 0, F.col("fit")).alias("rule"), "verdict")
 
 
@@ -109,13 +107,29 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_ngram_jaccard_join, op4_suffix_dedup, op5_url_filter, op6_language_id, op7_decontamination, op8_secret_scan, op9_substring_dedup, op10_source_mix, op11_conversation_repair, op12_importance_resampling, op13_packing)}
 
 
-_URL_SQL = """
-WITH parts AS (
+_URL_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, toxic FROM labels
+  WHERE CAST('0x' || substr(sha256('url:' || doc_id), 1, 8) AS UBIGINT) < (8000 * 4294967296) // (SELECT greatest(1, count(*)) FROM labels)),
+held AS (
+  SELECT toxic = 1 AS marked, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM documents JOIN drawn USING (doc_id)),
+markers AS (
+  SELECT list(word) AS m FROM (SELECT word FROM (SELECT marked, unnest(w) AS word FROM held) GROUP BY word
+    HAVING count(*) FILTER (WHERE marked) >= 8 AND count(*) FILTER (WHERE marked) >= 0.9 * count(*))),
+parts AS (
   SELECT page_id,
     CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path,
+    html
   FROM pages),
-full_parts AS (SELECT page_id, coalesce(host, '') AS host, CASE WHEN starts_with(coalesce(path, ''), '/') THEN path ELSE '' END AS path FROM parts),
+full_parts AS (SELECT page_id, coalesce(host, '') AS host, CASE WHEN starts_with(coalesce(path, ''), '/') THEN path ELSE '' END AS path, html FROM parts),
+listed AS (
+  SELECT DISTINCT host, path FROM full_parts, markers
+  WHERE host <> '' AND list_has_any(regexp_extract_all(translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), m)),
+crowded AS (
+  SELECT f.host FROM full_parts f LEFT JOIN listed l ON f.host = l.host AND f.path = l.path
+  WHERE f.host <> '' GROUP BY f.host HAVING count(*) >= 20 AND count(l.host) >= 0.5 * count(*)),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
@@ -126,7 +140,8 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') THEN 'block'
+  WHEN EXISTS (SELECT 1 FROM listed l WHERE l.host = ruled.host AND l.path = ruled.path) THEN 'block'
+  WHEN EXISTS (SELECT 1 FROM crowded c WHERE c.host = ruled.host OR ruled.host LIKE '%.' || c.host) THEN 'block'
   ELSE 'allow' END AS verdict
 FROM ruled
 """

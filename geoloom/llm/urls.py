@@ -24,6 +24,11 @@ from . import common
 
 #: Keys of a shard, about.
 SHARD_KEYS = 1 << 20
+#: Ends a key that fits the whole path before it only, and no longer one.
+WHOLE = "\0"
+#: Labelled texts that marker words are learned from, about; texts of the marked kind that hold a marker at least, and
+#: their least share among all that hold it; pages of a host, and their share, from which the whole host is listed.
+LEARNED_FROM, LEAST_TEXTS, LEAST_SHARE, HOST_PAGES, HOST_SHARE = 8000, 8, 0.9, 20, 0.5
 
 
 def _digests(keys: list[str]) -> np.ndarray:
@@ -60,8 +65,9 @@ def _suffixes(host: str) -> list[str]:
 
 def _probes(host: str, path: str, lengths: list[int]) -> list[str]:
     """Every key that could fit, longest first; a longer host before a longer path."""
-    tails = [path[:n] for n in lengths if n <= len(path)]
-    return sorted((h + "/" + t[1:] if t else h for h in _suffixes(host) for t in tails if not t or t[0] == "/"), key=lambda k: (-len(k), -(k.find("/") if "/" in k else len(k))))
+    tails = [path[:n] for n in lengths if 0 <= n <= len(path)]
+    out = sorted((h + "/" + t[1:] if t else h for h in _suffixes(host) for t in tails if not t or t[0] == "/"), key=lambda k: (-len(k), -(k.find("/") if "/" in k else len(k))))
+    return [host + path + WHOLE, *out] if lengths and lengths[0] < 0 and host else out
 
 
 _PARTS = ("digests", "starts", "strings", "kinds")
@@ -150,7 +156,8 @@ def ship(rules: DataFrame) -> tuple[Index, list[int]]:
     once = rules.where("key is not null").groupBy("layer", "key").agg(F.max("verdict").alias("verdict"))
     once = common.written(once.withColumn("kind", (2 * F.col("layer") + F.when(F.col("verdict") == "block", 1).otherwise(0)).cast("int")))
     slash = F.instr("key", "/")
-    lengths = sorted(r[0] for r in once.select(F.when(slash > 0, F.length("key") - slash + 1).otherwise(0).alias("n")).distinct().collect())
+    length = F.when(F.col("key").endswith(WHOLE), -1).when(slash > 0, F.length("key") - slash + 1).otherwise(0)
+    lengths = sorted(r[0] for r in once.select(length.alias("n")).distinct().collect())
     shards = -(-once.count() // SHARD_KEYS)
     if not shards:
         return Index([], 0), lengths
@@ -192,7 +199,8 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
 
     rules: (layer, key, verdict), of any number: a host/path prefix or a bare host, allow or block, in layers from 0 on;
     a later layer only judges what no rule of an earlier one fits. A rule fits its host and all subdomains if the path
-    starts with the rule's; a bare host fits every path. The longest key that fits wins (of equal ones that with the
+    starts with the rule's; a bare host fits every path; a key that ends in `WHOLE` fits its own host and the path before
+    that, both whole. The longest key that fits wins (of equal ones that with the
     longer host); a key with several verdicts in a layer blocks; a null key is no rule. fit is that key and layer its
     number, or both are null and the verdict is allow. Host: after the first :// up to / ? # or the end, A-Z
     lower-cased; path: from there up to ? # or the end; null urls, empty ones and urls without :// have neither and are
@@ -213,7 +221,44 @@ def host_of(url: str = "url") -> F.Column:
     return F.translate(F.nullif(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), upper, upper.lower())
 
 
-def hosts_named(pages: DataFrame, names, url: str = "url") -> DataFrame:
-    """(key, verdict): the hosts among the urls of pages that bear one of the names as a part between dots or hyphens."""
-    host = pages.select(host_of(url).alias("key")).where(F.col("key").rlike(f"(^|[.-])({'|'.join(names)})([.-]|$)"))
-    return host.distinct().withColumn("verdict", F.lit("block"))
+def path_of(url: str = "url") -> F.Column:
+    """The path of a url as a column: after the host, up to ? or #; empty without one."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+
+
+def words_of(text: str) -> F.Column:
+    """The distinct words of a text, A to Z lower-cased; null for a null text."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
+
+
+def marker_words(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", learned_from: int = LEARNED_FROM, least: int = LEAST_TEXTS, share: float = LEAST_SHARE) -> DataFrame:
+    """(word): the words that texts of a labelled kind hold and hardly any other text does.
+
+    About `learned_from` labelled rows are drawn by a hash of the key, whatever the table; a marker is in at least
+    `least` of the labelled texts, and at least `share` of the drawn texts that hold it have the label. Null texts hold
+    nothing.
+    """
+    n = max(1, labels.count())
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit("url:"), F.col(key).cast("string")), 256), 1, 8), 16, 10).cast("long")
+    some = labels.where(h < (learned_from << 32) // n).select(F.col(key).alias("id"), (F.col(label) == 1).alias("marked"))
+    held = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(common.small_side(some, 4 * learned_from), "id")
+    counts = held.select("marked", F.explode(words_of("text")).alias("word")).groupBy("word").agg(F.count_if("marked").alias("a"), F.count(F.lit(1)).alias("n"))
+    return counts.where((F.col("a") >= least) & (F.col("a") >= share * F.col("n"))).select("word")
+
+
+def listed_pages(pages: DataFrame, markers: DataFrame, url: str = "url", html: str = "html", host_pages: int = HOST_PAGES, host_share: float = HOST_SHARE) -> DataFrame:
+    """(key, verdict): what the contents of pages say is to be blocked.
+
+    A page with a marker word lists its own host and path, whole; a host of at least `host_pages` pages, of which at
+    least `host_share` are listed, is listed itself. Pages without a host list nothing.
+    """
+    rows = pages.select(host_of(url).alias("host"), path_of(url).alias("path"), F.col(html).alias("html")).where("host is not null")
+    words = rows.select("host", "path", F.explode(words_of("html")).alias("word"))
+    hit = words.join(common.small_side(common.written(markers), 100_000), "word", "left_semi").select("host", "path").distinct()
+    hit = common.written(hit)
+    own = hit.select(F.concat("host", "path", F.lit(WHOLE)).alias("key"))
+    each = rows.select("host", "path").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).join(hit.withColumn("hit", F.lit(True)), ["host", "path"], "left")
+    hosts = each.groupBy("host").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("hits"))
+    whole = hosts.where((F.col("n") >= host_pages) & (F.col("hits") >= host_share * F.col("n"))).select(F.col("host").alias("key"))
+    return own.unionByName(whole).withColumn("verdict", F.lit("block"))
