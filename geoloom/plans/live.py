@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geoloom.plans.base import FEED, feed, shared, t
 from geoloom.plans.registry import register
-from geoloom.streaming import live
+from geoloom.streaming import keyed, live
 
 
 @register(f"WITH {FEED} SELECT vehicle, min(seq) AS seq FROM feed WHERE k > 3 GROUP BY vehicle")
@@ -106,3 +106,45 @@ def stream_st7_playback(spark, d):
     f = feed(spark, d).groupBy("vehicle", "ms").agg(F.max("k").cast("double").alias("lat")).withColumn("lon", F.col("lat"))
     asked = f.select("vehicle").distinct().withColumn("ms", F.lit(1705000000000))
     return live.interpolated(f, asked, "vehicle", "ms").select("vehicle", F.round("lat", 4).alias("lat"), "motion")
+
+
+_SIX = "b AS (SELECT min(ms) AS low, max(ms) AS high FROM feed), p AS (SELECT vehicle, least(5, (ms - low) * 6 // (high - low + 1)) AS poll, max_by(CASE WHEN k > 50 THEN k END, seq) FILTER (WHERE k > 50) AS k FROM feed, b GROUP BY 1, 2 HAVING max_by(kind, seq) <> 'error')"
+
+
+@register(f"""WITH {FEED}, {_SIX}, r AS (SELECT *, poll - row_number() OVER (PARTITION BY vehicle ORDER BY poll) AS run FROM p),
+c AS (SELECT vehicle, poll, run, last_value(k IGNORE NULLS) OVER (PARTITION BY vehicle, run ORDER BY poll ROWS UNBOUNDED PRECEDING) AS k, row_number() OVER (PARTITION BY vehicle, run ORDER BY poll) AS n, count(*) OVER (PARTITION BY vehicle, run) AS most FROM r)
+SELECT vehicle, CAST(poll AS BIGINT) AS poll, k, CASE WHEN n = 1 THEN 'add' ELSE 'update' END AS change FROM c
+UNION ALL SELECT vehicle, CAST(poll + 1 AS BIGINT), k, 'remove' FROM c WHERE n = most AND poll + 1 IN (SELECT poll FROM p)""")
+def stream_st2_keyed(spark, d):
+    """Six complete polls of the whole table, one micro-batch each, reconciled by keyed state and timers.
+
+    A poll holds the vehicles of a sixth of the time, less those whose last report in it is an error.
+    """
+    f = feed(spark, d)
+    span = f.agg(F.min("ms").alias("low"), F.max("ms").alias("high"))
+    poll = F.least(F.lit(5), F.floor((F.col("ms") - F.col("low")) * 6 / (F.col("high") - F.col("low") + 1)).cast("long"))
+    big = F.when(F.col("k") > 50, F.col("k"))
+    rows = f.crossJoin(F.broadcast(span)).groupBy("vehicle", poll.cast("long").alias("poll")).agg(F.max_by(big, F.when(F.col("k") > 50, F.col("seq"))).alias("k"), F.max_by("kind", "seq").alias("kind")).where("kind != 'error'")
+    folder = f"{shared(spark)}/streams/{uuid.uuid4().hex}"
+    rows = rows.select("vehicle", "k", (F.col("poll") * 60_000).alias("poll_ms"), F.lit(True).alias("complete"))
+    for n in range(6):  # a write a poll, so that the files are found in order; each a file, so that a poll is a micro-batch
+        rows.where(F.col("poll_ms") == n * 60_000).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    polls = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = keyed.reconciled_stream(polls, "vehicle", ["k"])
+    q = out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/n={n}")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select("vehicle", F.floor(F.col("poll_ms") / 60_000).alias("poll"), "k", "change")
+
+
+@register(f"""WITH {FEED}, m AS (SELECT *, CASE WHEN k <= 30 THEN true WHEN k > 50 THEN false END AS mark FROM feed), a AS (SELECT vehicle, seq, coalesce(last_value(mark IGNORE NULLS) OVER w, false) AS active FROM m WINDOW w AS (PARTITION BY vehicle ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT vehicle, seq, active FROM (SELECT *, coalesce(lag(active) OVER (PARTITION BY vehicle ORDER BY seq), false) AS before FROM a) WHERE active <> before""")
+def stream_st16_keyed(spark, d):
+    """When vehicles come near and go away, as streaming state of each vehicle over the whole table."""
+    folder = f"{shared(spark)}/streams/{uuid.uuid4().hex}"
+    rows = feed(spark, d).select("vehicle", "seq", F.col("k").cast("double").alias("km"))
+    rows.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    out = keyed.proximity_stream(stream, "vehicle", "km", 30, 20, "seq")
+    out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/n={n}")).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select("vehicle", "seq", "active")

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from geoloom.functions import dates, geo, records, shapes, text
-from geoloom.operators import aggregates, grids, joins, layers, routes, stats
+from geoloom.operators import aggregates, grids, joins, layers, routes, scratch, stats
 from geoloom.plans import commands, merge, report
 from geoloom.plans.base import FEED, TRACTS, feed, shared, t, tracts
 from geoloom.plans.registry import register
-from geoloom.sources import feeds, lookups, places, sinks, tabular
+from geoloom.sources import feeds, lookups, paged, places, sinks, tabular
 from geoloom.streaming import live
 
 #: Rows of a file that a group of rows becomes.
@@ -569,6 +569,21 @@ def scan_s32_object_pages(spark, d):
     return places.pages_until_done(pages, "objectid", most=None)
 
 
+@register("SELECT o_orderkey AS objectid, o_totalprice AS v FROM orders")
+def scan_s32_paged_reader(spark, d):
+    """Orders as the answers of a paged service, a folder a page, read again by one task a page."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("objectid"), F.col("o_totalprice").alias("v"), F.lit(1).cast("long").alias("one"))
+    placed = scratch.written(scratch.prefix_sums(o, "objectid", "one").withColumn("at", F.col("upto") - 1))
+    size = 1000
+    row = F.struct("at", F.to_json(F.struct("objectid", "v")).alias("j"))
+    answers = placed.groupBy((F.floor(F.col("at") / size) * size).alias("offset")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    body = F.concat(F.lit('{"features":['), F.array_join(F.transform("r", lambda x: F.concat(F.lit('{"attributes":'), x["j"], F.lit("}"))), ","), F.lit("]}"))
+    folder = f"{shared(spark)}/pages/{uuid.uuid4().hex}"
+    answers.select("offset", body.alias("value")).write.partitionBy("offset").text(folder)
+    uri = folder if "://" in folder else folder.replace("file:", "file://") if folder.startswith("file:") else f"file://{folder}"
+    return paged.objects(spark, uri + "/offset={offset}", "objectid long, v double", "objectid", count=placed.count(), page=size)
+
+
 @register("SELECT o_orderkey, CAST(o_orderkey % 90 AS DOUBLE) AS west, CAST(o_orderkey % 90 + CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS east FROM orders")
 def array_a13_footprints(spark, d):
     """Footprints picked from either of two places of an answer: a polygon, else a bounding rectangle."""
