@@ -155,6 +155,13 @@ def in_ring(x, y, ring) -> Column:
     return F.aggregate(crosses, F.lit(False), lambda a, c: a != F.coalesce(c, F.lit(False)))
 
 
+def crossed_oddly(x, y, edges) -> Column:
+    """Whether an odd number of edges (structs px, py, qx, qy) lies right of a point; `in_ring` for a part of a ring."""
+    x, y = _c(x), _c(y)
+    crosses = lambda e: ((e["py"] > y) != (e["qy"] > y)) & (x < (e["qx"] - e["px"]) * (y - e["py"]) / F.nullif(e["qy"] - e["py"], F.lit(0.0)) + e["px"])
+    return F.aggregate(_c(edges), F.lit(False), lambda a, e: a != F.coalesce(crosses(e), F.lit(False)))
+
+
 def ring_centroid(ring) -> tuple[Column, Column]:
     """Centroid by area; the mean vertex where the area is 0."""
     r = _c(ring)

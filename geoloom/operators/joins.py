@@ -93,66 +93,131 @@ def fuzzy(a: DataFrame, b: DataFrame, names_a: Column, names_b: Column, equal: l
     return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_name")
 
 
-def _columns(size: float) -> int:
-    """Whole cells around the globe, of at least a size."""
-    return max(1, math.floor(360 / size))
+def _columns(row: Column, size: float) -> Column:
+    """Whole cells around the globe in a row of cells, none narrower than a cell is high; few near the poles."""
+    edge = F.greatest(F.abs(row * size), F.abs((row + 1) * size))
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(F.least(edge, F.lit(90.0)))) * (360 / size))).cast("long")
 
 
 def _cells(lat: Column, lon: Column, km: float, size: float) -> Column:
     """The grid cells that a circle's box touches."""
     up = F.lit(km / _DEGREE_KM)
-    reach, columns = F.abs(lat) + up, _columns(size)
-    wide = F.when(reach >= 89.9, 180.0).otherwise(F.least(F.lit(180.0), up / F.cos(F.radians(reach))))
-    step = 360 / columns
-    rows = F.sequence(F.floor((lat - up) / size), F.floor((lat + up) / size))
-    cols = F.transform(F.sequence(F.floor((lon - wide + 180) / step), F.floor((lon + wide + 180) / step)), lambda c: F.pmod(c, F.lit(columns)))
-    return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("r"), c.alias("c"))))))
+    reach = F.abs(lat) + up
+    # the meridians that touch the circle; all of them where it holds a pole
+    wide = F.when(reach >= 89.999999, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(up)) / F.cos(F.radians(lat))))) * (1 + 1e-9) + 1e-9)
+    low, high = F.greatest(lat - up, F.lit(-90.0)), F.least(lat + up, F.lit(90.0))
+    rows = F.sequence(F.floor(low / size), F.floor(high / size))
+
+    def across(r):
+        n = _columns(r, size)
+        step = F.lit(360.0) / n
+        first, last = F.floor((lon - wide + 180) / step), F.floor((lon + wide + 180) / step)
+        return F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.struct(r.alias("r"), F.pmod(c, n).alias("c")))
+
+    return F.flatten(F.transform(rows, across))
 
 
 def within(a: DataFrame, b: DataFrame, km: float, size: float | None = None, radius: float = geo.KM) -> DataFrame:
     """Rows of a (lat, lon) with the rows of b (blat, blon) up to a distance, and that distance as km.
 
-    a is copied to the cells of degrees that its circle touches and joined on the cell: work follows density, and no
-    side needs to fit anywhere.
+    a is copied to the cells that its circle touches and joined on the cell. Cells are as high as a circle is wide and
+    nowhere narrower, so a circle touches a few at any latitude and distance, and a pair that meets is not far apart.
     """
-    size = size or max(0.5, 2 * km / _DEGREE_KM)
-    columns = _columns(size)
+    size = size or min(45.0, max(1e-5, 2 * km / _DEGREE_KM))
     left = a.withColumn("_cell", F.explode(_cells(F.col("lat"), F.col("lon"), km, size)))
-    right = b.withColumn("_cell", F.struct(F.floor(F.col("blat") / size).alias("r"), F.pmod(F.floor((F.col("blon") + 180) / (360 / columns)), F.lit(columns)).alias("c")))
+    row = F.floor(F.col("blat") / size)
+    n = _columns(row, size)
+    right = b.withColumn("_cell", F.struct(row.alias("r"), F.pmod(F.floor((F.col("blon") + 180) / (F.lit(360.0) / n)), n).alias("c")))
     return left.join(right, "_cell").withColumn("km", geo.haversine("lat", "lon", "blat", "blon", radius)).where(F.col("km") <= km).drop("_cell")
 
 
-#: Kilometres up to which circles are searched, and degrees of the cells that farther points are found by.
-FAR_KM, FAR_DEGREES = 1000.0, 2
+#: Degrees of the largest cells of the tree over b's places, into how many each is split along a side, how often at most
+#: (the smallest are 3 metres high), and the places of a cell that is not split.
+TREE_DEGREES, TREE_SPLIT, TREE_LEVELS, LEAF = 2, 4, 8, 32
+
+
+def _cell(level: int, lat: str, lon: str) -> Column:
+    """The cell of a level that holds a place: (r, c), counted from the south pole and the date line."""
+    per = TREE_SPLIT**level / TREE_DEGREES
+    rows, columns = round(180 * per), round(360 * per)
+    r = F.least(F.floor((F.col(lat) + 90) * per), F.lit(rows - 1))
+    c = F.pmod(F.floor((F.col(lon) + 180) * per), F.lit(columns))
+    return F.struct(r.cast("long").alias("r"), c.cast("long").alias("c"))
+
+
+def _tree(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cells of the tree (level, cell, n, leaf), and all places with the level and cell of their leaf.
+
+    Places are counted in their cells of all levels at once; a cell is in the tree if the one that it is part of is
+    crowded, and a leaf if it is not crowded itself or of the last level.
+    """
+    every = F.array(*(F.struct(F.lit(k).alias("level"), _cell(k, "blat", "blon").alias("cell")) for k in range(TREE_LEVELS + 1)))
+    placed = places.select(*places.columns, F.inline(every))
+    counts = scratch.written(placed.groupBy("level", "cell").agg(F.count(F.lit(1)).alias("n")))
+    crowded = counts.where((F.col("n") > LEAF) & (F.col("level") < TREE_LEVELS)).select((F.col("level") + 1).alias("level"), F.col("cell").alias("parent"))
+    parent = F.struct(F.floor(F.col("cell.r") / TREE_SPLIT).alias("r"), F.floor(F.col("cell.c") / TREE_SPLIT).alias("c"))
+    below = counts.withColumn("parent", parent).join(crowded, ["level", "parent"], "left_semi")
+    nodes = counts.where("level = 0").unionByName(below.drop("parent")).withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == TREE_LEVELS))
+    nodes = scratch.written(nodes)
+    return nodes, placed.join(checked(nodes.where("leaf").select("level", "cell")), ["level", "cell"])
+
+
+def _bounds(level: int, radius: float) -> tuple[Column, Column]:
+    """The least and the greatest distance that a place of a cell can have from (lat, lon)."""
+    size = TREE_DEGREES / TREE_SPLIT**level
+    south = F.col("cell.r") * size - 90
+    nearest_equator = F.when(south >= 0, south).when(south + size <= 0, -(south + size)).otherwise(0.0)
+    half = radius * math.radians(size) / 2 * F.sqrt(1 + F.pow(F.cos(F.radians(nearest_equator)), 2)) * 1.01
+    away = geo.haversine("lat", "lon", south + size / 2, F.col("cell.c") * size - 180 + size / 2, radius)
+    return away - half, away + half
+
+
+def _possible(rows: DataFrame, level: int, radius: float, key: str) -> DataFrame:
+    """rows (key, lat, lon, cell, ..., high) less the cells that cannot hold what is nearest; high is the new bound."""
+    low, high = _bounds(level, radius)
+    bounded = rows.withColumn("_low", low).withColumn("_high", high)
+    best = F.least(F.min("_high").over(W.partitionBy(key)), F.col("high"))
+    return bounded.withColumn("high", best).where(F.col("_low") <= F.col("high")).drop("_low", "_high")
 
 
 def nearest(a: DataFrame, b: DataFrame, key: str, other: str, first_km: float | None = None, radius: float = geo.MEAN_KM) -> DataFrame:
     """(key, other, km) of the nearest row of b for each row of a; of equal ones the smallest `other`.
 
-    Circles come first, from a radius that holds some rows of b where they lie evenly (or first_km): a row that finds
-    one within is done, the others go on with twice the radius. What has none within FAR_KM is held against the
-    occupied cells of b, of which there are at most 16,200, and then against the rows of those that can be nearest.
+    b's distinct places form a tree of cells that are split where they are crowded. Each row of a goes down the tree with
+    the cells that may still hold its nearest place, by bounds on the distance to any place in a cell: first against the
+    occupied cells of two degrees (16,200 at most, in the driver), then level by level in joins with the children, and is
+    held against the few places of the leaves that are left. So work for a row does not depend on how b is spread. Keys of
+    a are distinct; rows without a valid place take no part. first_km, a radius to begin from, is no longer needed and
+    changes nothing.
     """
     left = a.select(key, "lat", "lon").where(geo.valid_point("lat", "lon"))
-    points = b.select(other, F.col("lat").alias("blat"), F.col("lon").alias("blon")).where(geo.valid_point("blat", "blon"))
-    km = first_km or max(1.0, 4 * radius / math.sqrt(max(1, points.count())))
-    best, out = F.min(F.struct("km", other)), None
-    while km < FAR_KM:
-        hit = scratch.written(within(left, points, km, radius=radius).groupBy(key).agg(best.alias("b")).select(key, f"b.{other}", "b.km"))
-        out = hit if out is None else out.unionByName(hit)
-        left, km = scratch.written(left.join(hit.select(key), key, "left_anti")), 2 * km
-        if left.isEmpty():
-            return out
-    placed = points.withColumns({"_r": F.floor(F.col("blat") / FAR_DEGREES).cast("int"), "_c": F.floor(F.col("blon") / FAR_DEGREES).cast("int")})
-    cells = [tuple(r) for r in placed.select("_r", "_c").distinct().collect()]
+    points = b.select(other, F.col("lat").cast("double").alias("blat"), F.col("lon").cast("double").alias("blon")).where(geo.valid_point("blat", "blon"))
+    tree, leaves = _tree(scratch.written(points.groupBy("blat", "blon").agg(F.min(other).alias(other))))
+    cells = [tuple(r) for r in tree.where("level = 0").select("cell.r", "cell.c").collect()]
+    deepest = tree.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
     kind = dict(left.dtypes)[key]
-    asked = left.mapInPandas(_cells_that_may_be_nearest(cells, key), f"`{key}` {kind}, lat double, lon double, _r int, _c int")
-    far = asked.join(placed, ["_r", "_c"]).withColumn("km", geo.haversine("lat", "lon", "blat", "blon", radius)).groupBy(key).agg(best.alias("b")).select(key, f"b.{other}", "b.km")
-    return far if out is None else out.unionByName(far)
+    asked = left.mapInPandas(_cells_that_may_be_nearest(cells, key), f"`{key}` {kind}, lat double, lon double, r long, c long")
+    rows = asked.select(key, "lat", "lon", F.struct("r", "c").alias("cell"), F.lit(float("inf")).alias("high"))
+    found = None
+    for level in range(deepest + 1):
+        nodes = tree.where(F.col("level") == level)
+        if level:
+            parent = F.struct(F.floor(F.col("cell.r") / TREE_SPLIT).alias("r"), F.floor(F.col("cell.c") / TREE_SPLIT).alias("c"))
+            below = nodes.groupBy(parent.alias("cell")).agg(F.collect_list(F.struct("cell", "leaf")).alias("children"))  # TREE_SPLIT squared at most
+            rows = rows.join(below, "cell").select(key, "lat", "lon", "high", F.inline("children"))
+        else:
+            rows = rows.join(F.broadcast(nodes.select("cell", "leaf")), "cell")
+        rows = scratch.written(_possible(rows, level, radius, key))
+        mine = rows.where("leaf").select(key, "lat", "lon", "high", F.lit(level).alias("level"), "cell")
+        found = mine if found is None else found.unionByName(mine)
+        rows = rows.where("not leaf").drop("leaf")
+    best = F.min(F.struct("km", other))
+    held = found.join(leaves, ["level", "cell"]).withColumn("km", geo.haversine("lat", "lon", "blat", "blon", radius))
+    return held.groupBy(key).agg(best.alias("b")).select(key, f"b.{other}", "b.km")
 
 
 def _cells_that_may_be_nearest(cells: list[tuple[int, int]], key: str):
-    """For each row the cells whose near side is no farther than the far side of the nearest one."""
+    """For each row the largest cells whose near side is no farther than the far side of the nearest one."""
 
     def unit(lat, lon):
         p, q = np.radians(lat), np.radians(lon)
@@ -160,15 +225,15 @@ def _cells_that_may_be_nearest(cells: list[tuple[int, int]], key: str):
 
     def search(batches):
         rc = np.array(cells, np.int64).reshape(-1, 2)
-        centre = unit((rc[:, 0] + 0.5) * FAR_DEGREES, (rc[:, 1] + 0.5) * FAR_DEGREES)
-        half = math.radians(FAR_DEGREES / math.sqrt(2)) * 1.0001  # no corner of a cell is farther from its centre
+        centre = unit((rc[:, 0] + 0.5) * TREE_DEGREES - 90, (rc[:, 1] + 0.5) * TREE_DEGREES - 180)
+        half = math.radians(TREE_DEGREES / math.sqrt(2)) * 1.01  # no corner of a cell is farther from its centre
         for batch in batches:
             at = unit(batch["lat"].to_numpy(float), batch["lon"].to_numpy(float))
             for i in range(0, len(batch) if len(rc) else 0, 512):
                 away = np.arccos(np.clip(at[i : i + 512] @ centre.T, -1, 1))
                 row, cell = np.nonzero(away <= away.min(axis=1, keepdims=True) + 2 * half)
                 part = batch.iloc[i + row]
-                yield pd.DataFrame({key: part[key].to_numpy(), "lat": part["lat"].to_numpy(), "lon": part["lon"].to_numpy(), "_r": rc[cell, 0], "_c": rc[cell, 1]})
+                yield pd.DataFrame({key: part[key].to_numpy(), "lat": part["lat"].to_numpy(), "lon": part["lon"].to_numpy(), "r": rc[cell, 0], "c": rc[cell, 1]})
 
     return search
 
@@ -201,16 +266,94 @@ def interval(a: DataFrame, b: DataFrame, equal: list[str], value: str, low: str,
     return x.join(y, [*equal, "_block"]).where(F.col(value).between(F.col(low), F.col(high))).drop("_block")
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, key: str, size: float = 0.5) -> DataFrame:
+#: Cells along the longer side of a ring's box: the root of its vertices, within these.
+COVER_LEAST, COVER_MOST = 4, 128
+
+
+def ring_cover(rings: DataFrame, key: str, size: float | None = None) -> DataFrame:
+    """The cells of each ring: (key, part, hole, level, cx, cy, inner, edges).
+
+    A cell is 2**level wide, so that a ring of n vertices spans about the root of n of them (or of a given size for all,
+    at level 0). Cells that the ring does not pass but holds are inner ones. A cell that it passes carries the edges that
+    share its row and do not end left of it, which is what the crossings right of a point in it are counted from; no cell
+    gets the whole ring. rings: (key, part, hole, ring), ring an array of structs (x, y), of at least three.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in rings.schema.fields}
+    given = size
+
+    def covered(batches):
+        for batch in batches:
+            out = []
+            for k, part, hole, ring in zip(batch[key], batch["part"], batch["hole"], batch["ring"]):
+                x, y = (np.array([p[c] for p in ring], float) for c in ("x", "y")) if ring is not None and len(ring) else (np.zeros(0), np.zeros(0))
+                if len(x) < 3 or not (np.isfinite(x).all() and np.isfinite(y).all()):
+                    continue
+                span = max(np.ptp(x), np.ptp(y))
+                cells = min(COVER_MOST, max(COVER_LEAST, math.sqrt(len(x))))
+                level = 0 if given or not span else math.ceil(math.log2(span / cells))
+                out += [(k, part, hole, level, *c) for c in _cover(x, y, given or 2.0**level)]
+            yield pd.DataFrame(out, columns=[key, "part", "hole", "level", "cx", "cy", "inner", "edges"])
+
+    schema = f"`{key}` {fields[key]}, part {fields['part']}, hole boolean, level int, cx long, cy long, inner boolean, edges array<struct<px:double,py:double,qx:double,qy:double>>"
+    return rings.select(key, "part", "hole", "ring").mapInPandas(covered, schema)
+
+
+def _cover(x: np.ndarray, y: np.ndarray, size: float):
+    """(cx, cy, inner, edges) of the cells of a ring."""
+    px, py, qx, qy = x, y, np.r_[x[1:], x[:1]], np.r_[y[1:], y[:1]]
+    keep = (px != qx) | (py != qy)
+    px, py, qx, qy = px[keep], py[keep], qx[keep], qy[keep]
+    if not len(px):
+        return
+    low, high = np.minimum(py, qy), np.maximum(py, qy)
+    first, last = np.floor(low / size).astype(np.int64), np.floor(high / size).astype(np.int64)
+    edge = np.repeat(np.arange(len(px)), last - first + 1)
+    row = np.arange(len(edge)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + np.repeat(first, last - first + 1)
+    order = np.argsort(row, kind="stable")
+    edge, row = edge[order], row[order]
+    # where an edge is within its row, with a margin for rounding
+    a, b = (np.clip(v * size, low[edge], high[edge]) for v in (row, row + 1))
+    tall = np.where(qy[edge] != py[edge], qy[edge] - py[edge], 1.0)
+    at = lambda v: np.where(qy[edge] != py[edge], px[edge] + (qx[edge] - px[edge]) * (v - py[edge]) / tall, px[edge])
+    ends = np.stack([at(a), at(b), np.where(qy[edge] == py[edge], qx[edge], at(b))])
+    margin = 1e-9 * (1 + np.abs(ends).max(axis=0))
+    left, right = np.floor((ends.min(axis=0) - margin) / size).astype(np.int64), np.floor((ends.max(axis=0) + margin) / size).astype(np.int64)
+    for i, j in zip(*(lambda e: (e[:-1], e[1:]))(np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]))):
+        r, mine = int(row[i]), edge[i:j]
+        passed = np.zeros(int(right[i:j].max() - left[i:j].min()) + 2, np.int64)  # how many edges pass each column
+        base = int(left[i:j].min())
+        np.add.at(passed, left[i:j] - base, 1)
+        np.add.at(passed, right[i:j] - base + 1, -1)
+        passed = np.cumsum(passed)[:-1]
+        middle = (r + 0.5) * size
+        e = mine[(py[mine] > middle) != (qy[mine] > middle)]
+        crossings = np.sort((qx[e] - px[e]) * (middle - py[e]) / (qy[e] - py[e]) + px[e])
+        centres = (base + np.arange(len(passed)) + 0.5) * size
+        inside = (len(crossings) - np.searchsorted(crossings, centres, side="right")) % 2 == 1
+        for c in np.flatnonzero((passed > 0) | inside).tolist():
+            if passed[c]:
+                some = mine[right[i:j] >= base + c]
+                yield base + c, r, False, [{"px": a, "py": b, "qx": c_, "qy": d} for a, b, c_, d in zip(px[some].tolist(), py[some].tolist(), qx[some].tolist(), qy[some].tolist())]
+            else:
+                yield base + c, r, True, None
+
+
+def points_in_rings(points: DataFrame, rings: DataFrame, key: str, size: float | None = None) -> DataFrame:
     """Points (x, y) with the key of each ring area that holds them: inside an outer ring and in none of its holes.
 
-    rings: (key, part, hole, ring), ring an array of structs (x, y). The cells of a ring's box meet the points' cells.
+    rings: (key, part, hole, ring), ring an array of structs (x, y). A point meets the cells of `ring_cover` that hold it,
+    one for each level in use: inner ones hold it as they are, in the others its crossings with the cell's edges count.
     """
-    span = lambda k, f: F.floor(f(F.transform("ring", lambda p: p[k])) / size)
-    cells = F.explode(F.sequence(span("x", F.array_min), span("x", F.array_max)))
-    placed = rings.withColumn("_cx", cells).withColumn("_cy", F.explode(F.sequence(span("y", F.array_min), span("y", F.array_max))))
-    p = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
-    j = p.join(placed, ["_cx", "_cy"]).where(geo.in_ring("x", "y", "ring")).drop("_cx", "_cy", "ring")
+    cover = scratch.written(ring_cover(rings, key, size))
+    levels = sorted(r[0] for r in cover.select("level").distinct().collect())  # a few: sizes of rings by powers of two
+    wide = [(v, size or 2.0**v) for v in levels]
+    if not wide:
+        return points.join(cover.select(key).distinct(), F.lit(False), "inner").select(*points.columns, key)
+    at = F.array(*(F.struct(F.lit(v).alias("level"), F.floor(F.col("x") / w).cast("long").alias("cx"), F.floor(F.col("y") / w).cast("long").alias("cy")) for v, w in wide))
+    p = points.select(*points.columns, F.inline(at).alias("level", "cx", "cy"))
+    edges = cover.agg(F.coalesce(F.sum(F.when(F.col("edges").isNotNull(), F.size("edges")).otherwise(1)), F.lit(0))).first()[0]
+    side = F.broadcast(cover) if edges <= 10 * MOST_BROADCAST else cover
+    j = p.join(side, ["level", "cx", "cy"]).where(F.col("inner") | geo.crossed_oddly("x", "y", "edges"))
     part = j.groupBy(*points.columns, key, "part").agg(F.max("hole").alias("_in_hole"))
     return part.where(~F.col("_in_hole")).select(*points.columns, key).distinct()
 

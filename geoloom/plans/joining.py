@@ -132,7 +132,7 @@ def join_j10_nearest(spark, d):
 
 @register(f"WITH {TRACTS}, {_SITES}, p AS (SELECT a.geoid, b.site, {_KM} AS km FROM tracts a, sites b WHERE b.s_acctbal > 5000) SELECT geoid, min_by(site, km) AS site, round(min(km), 3) AS km FROM p GROUP BY geoid")
 def join_j10_nearest_of_kind(spark, d):
-    return joins.nearest(tracts(spark, d), sites(spark, d).where("s_acctbal > 5000"), "geoid", "site", 2000.0).select("geoid", "site", F.round("km", 3).alias("km"))
+    return joins.nearest(tracts(spark, d), sites(spark, d).where("s_acctbal > 5000"), "geoid", "site").select("geoid", "site", F.round("km", 3).alias("km"))
 
 
 @register("SELECT d.doc_id, quality, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN labels l USING (doc_id)")
