@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo, text
@@ -61,9 +61,9 @@ def detection_key(source: str, lat, lon, acquired, kind) -> Column:
 AIRCRAFT = {
     "fastjet": "F15 F16 F18 F22 F35 A10 EUFI RFAL TOR T38 HAWK",
     "uav": "Q4 Q9 HRON",
-    "helicopter": "A109 A139 AS50 AS65 B06 B407 B412 B429 EC35 EC45 H60 R22 R44 R66 S76 S92",
-    "quadjet": "A124 A342 A343 A345 A346 A388 B741 B742 B743 B744 B748 C17 C5M",
-    "widebody": "A306 A310 A332 A333 A338 A339 A359 A35K B762 B763 B764 B772 B77L B77W B788 B789 B78X MD11",
+    "helicopter": "A109 A119 A139 A169 A189 AC AS32 AS50 AS55 AS65 B06 B06T B105 B212 B214 B222 B407 B412 B427 B429 B430 B505 EC20 EC25 EC30 EC35 EC45 EC55 EXEC EXPL GAZL H47 H500 H60 H64 LYNX MD52 MD60 NH90 PUMA R22 R44 R66 S61 S64 S76 S92 SCAV UH1",
+    "quadjet": "A124 A342 A343 A345 A346 A388 B741 B742 B743 B744 B748 C5M",
+    "widebody": "A306 A310 A332 A333 A338 A339 A359 A35K B762 B763 B764 B772 B77L B77W B788 B789 B78X C17 K35R MD11",
     "turboprop": "AT43 AT45 AT72 AT75 AT76 B190 BE20 BE9L C208 C130 DH8A DH8B DH8C DH8D PC12 SF34 TBM9",
     "glider": "ASK21 DG1T GLID LS8",
     "bizjet": "C25A C25B C560 C56X C68A C700 C750 CL30 CL35 CL60 E50P E55P F2TH F900 FA7X GL5T GLEX GLF4 GLF5 GLF6 H25B LJ45 LJ60",
@@ -83,6 +83,16 @@ def aircraft_class(code, category, codes: dict[str, str] | None = None) -> Colum
     return F.when(c != "", F.coalesce(_looked_up(known, c), F.lit("airliner"))).otherwise(F.coalesce(_looked_up(EMITTERS, e), F.lit("airliner")))
 
 
+def classified(rows: DataFrame, types: DataFrame, code: str, category: str) -> DataFrame:
+    """rows with `class`: by a dimension table of designators (code, class), else as `aircraft_class` says.
+
+    A table of any size serves where AIRCRAFT is too short; of a designator that it repeats the first class by name counts.
+    """
+    table = types.groupBy(F.upper(F.trim("code")).alias("_code")).agg(F.min("class").alias("_class"))
+    j = rows.join(table, F.upper(F.trim(F.col(code))) == F.col("_code"), "left")
+    return j.withColumn("class", F.coalesce("_class", aircraft_class(code, category))).drop("_code", "_class")
+
+
 #: The feet below which an airborne aircraft flies low.
 LOW_FEET = 3000
 

@@ -123,3 +123,13 @@ def rising(rows: DataFrame, key: str, time: str, order: str) -> DataFrame:
     """(key, rising, n): whether a key's times only rise in their order."""
     up = F.col(time) > F.lag(time).over(W.partitionBy(key).orderBy(order))
     return rows.select(key, up.alias("_up")).groupBy(key).agg(F.coalesce(F.bool_and("_up"), F.lit(True)).alias("rising"), F.count(F.lit(1)).alias("n"))
+
+
+def grade_shares(areas: DataFrame, by: str, grade: str, grades: list[str], area: str) -> DataFrame:
+    """(by, areas, a share in percent for each grade) of what is graded; rows of other grades and null ones are left out.
+
+    A grade that a group lacks has a null share, as has a group without graded area.
+    """
+    some = areas.where(F.col(grade).isin(*grades))
+    of = lambda g: F.sum(F.when(F.col(grade) == g, F.col(area)))
+    return some.groupBy(by).agg(F.count(F.lit(1)).alias("areas"), *((100 * of(g) / F.nullif(F.sum(area), F.lit(0))).alias(g) for g in grades))

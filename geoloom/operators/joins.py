@@ -432,3 +432,12 @@ def linked_title(a: DataFrame, b: DataFrame, name: Column, title: Column, state:
     alone = newest.groupBy("_t").agg(F.when(F.count(F.lit(1)) == 1, F.first("link")).alias("_only"))
     j = x.join(newest.withColumnRenamed("_s", state), ["_t", state], "left").join(alone, "_t", "left")
     return j.withColumn("link", F.when(F.col(state).isNotNull(), F.col("link")).otherwise(F.col("_only"))).drop("_t", "_only")
+
+
+def priority_union(groups: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """(key, tag): the rows of groups in order, each key once with the tag of the first group that has it."""
+    marked = [df.select(key, F.lit(k).alias("_k"), F.lit(tag).alias("tag")) for k, (tag, df) in enumerate(groups)]
+    out = marked[0]
+    for more in marked[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(key).agg(F.min_by("tag", "_k").alias("tag"))

@@ -98,3 +98,13 @@ def measured(layer: DataFrame, measures: dict[str, tuple[list[str], list[str]]])
 
 def in_view(layer: DataFrame, west, south, east, north) -> DataFrame:
     return layer.where(geo.in_box("lat", "lon", west, south, east, north))
+
+
+def fair_share(rows: DataFrame, pack: str, order: str, most: int) -> DataFrame:
+    """At most `most` rows, dealt round-robin over the packs: each one's first, each one's second, and so on, as `turn`.
+
+    A pack with fewer rows leaves its share to the others. A pack can give no more than `most` rows, so it is first cut to
+    its first ones, by partial top-k; ties of a turn go by the pack's name.
+    """
+    turn = F.row_number().over(W.partitionBy(pack).orderBy(order)).cast("long")
+    return rows.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", pack).limit(most)

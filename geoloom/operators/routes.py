@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
@@ -56,11 +57,22 @@ def route_steps(routes: DataFrame, most: int | None = 200) -> DataFrame:
 
     Leaving a roundabout belongs to the step that enters it: its metres are added and its name is taken.
     """
-    from pyspark.sql import Window as W
-
     flat = routes.select("route", F.posexplode(F.flatten("legs")).alias("_at", "s")).select("route", "_at", "s.kind", "s.name", "s.metres")
     own = W.partitionBy("route").orderBy("_at")
     exits = (F.col("kind") == "exit roundabout") & F.lag("kind").over(own).isin("roundabout", "rotary")
     group = F.sum(F.when(exits, 0).otherwise(1)).over(own.rowsBetween(W.unboundedPreceding, 0))
     joined = flat.withColumn("_x", exits).withColumn("step", group).groupBy("route", "step").agg(F.min_by("kind", "_at").alias("kind"), F.max_by("name", "_at").alias("name"), F.sum("metres").alias("metres"))
     return joined if most is None else joined.where(F.col("step") <= most)
+
+
+def along_line(segments: DataFrame, line: str, order: list[str], length: str, at) -> DataFrame:
+    """(line, segment, fraction): the segment of each line, counted from 1, that holds a distance, and how far along it.
+
+    Lines that are shorter have no row; a distance where two segments meet is at the end of the first one.
+    """
+    w = W.partitionBy(line).orderBy(*order)
+    upto = F.sum(length).over(w.rowsBetween(W.unboundedPreceding, 0))
+    at = at if isinstance(at, Column) else F.lit(at)
+    s = segments.withColumns({"_upto": upto, "_segment": F.row_number().over(w).cast("long")}).where(F.col("_upto") >= at)
+    inside = (at - F.col("_upto") + F.col(length)) / F.nullif(F.col(length), F.lit(0))
+    return s.groupBy(line).agg(F.min("_segment").alias("segment"), F.min_by(F.coalesce(inside, F.lit(0.0)), "_segment").alias("fraction"))

@@ -11,6 +11,7 @@ from geoloom.plans.base import FEED, TRACTS, feed, t, tracts
 from geoloom.plans.joining import _county_squares
 from geoloom.plans.registry import register
 from geoloom.plans.scans import _FIRE, fires
+from geoloom.streaming import live
 
 
 @register("SELECT n_nationkey, count(s_suppkey) AS n, round(count(s_suppkey) * 100000.0 / (n_nationkey * 1000 + 5000), 4) AS rate FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey")
@@ -81,9 +82,8 @@ def agg_a9_development(spark, d):
 
 @register("SELECT l_suppkey, round(100 * sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END) / sum(l_quantity), 6) AS a, round(100 * sum(CASE WHEN l_returnflag = 'N' THEN l_quantity END) / sum(l_quantity), 6) AS n, round(100 * sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) / sum(l_quantity), 6) AS r FROM lineitem GROUP BY l_suppkey")
 def agg_a10_grade_shares(spark, d):
-    p = t(spark, d, "lineitem").groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity"))
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in "NR"), F.coalesce(F.col("A"), F.lit(0.0)))
-    return p.select("l_suppkey", *(F.round(100 * F.col(c) / total, 6).alias(c.lower()) for c in "ANR"))
+    p = aggregates.grade_shares(t(spark, d, "lineitem"), "l_suppkey", "l_returnflag", ["A", "N", "R"], "l_quantity")
+    return p.select("l_suppkey", *(F.round(c, 6).alias(c.lower()) for c in "ANR"))
 
 
 @register("SELECT CAST(floor(year(o_orderdate) / 10) * 10 AS BIGINT) AS decade, year(o_orderdate) AS year, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1, 2, 3")
@@ -134,9 +134,7 @@ def agg_a19_cohort(spark, d):
 
 @register(f"WITH {FEED}, s AS (SELECT vehicle, k > 5 AS ok, row_number() OVER (PARTITION BY vehicle, ms ORDER BY seq) AS rn FROM feed) SELECT vehicle, count(CASE WHEN ok AND rn = 1 THEN 1 END) AS accepted, count(CASE WHEN NOT ok OR rn > 1 THEN 1 END) AS rejected, count(CASE WHEN NOT ok OR rn > 1 THEN 1 END) = 0 AS complete FROM s GROUP BY vehicle")
 def agg_a20_admission(spark, d):
-    rn = F.row_number().over(W.partitionBy("vehicle", "ms").orderBy("seq"))
-    ok = (F.col("k") > 5) & (F.col("rn") == 1)
-    return feed(spark, d).withColumn("rn", rn).groupBy("vehicle").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), (F.count_if(~ok) == 0).alias("complete"))
+    return live.admission(feed(spark, d), "vehicle", "ms", F.col("k") > 5, "seq")
 
 
 @register(f"WITH {FEED} SELECT kind, max(ms) AS newest FROM feed GROUP BY kind")

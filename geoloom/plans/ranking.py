@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.operators import aggregates
+from geoloom.operators import aggregates, joins, layers, routes
 from geoloom.plans import report
 from geoloom.plans.base import FEED, TRACTS, feed, t, tracts
 from geoloom.plans.joining import _SITES, sites
@@ -71,8 +71,7 @@ def window_w9_not_rising(spark, d):
 
 @register("WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part) SELECT p_partkey, turn FROM r ORDER BY turn, p_brand LIMIT 60")
 def window_w10_fair_share(spark, d):
-    turn = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")).cast("long")
-    return t(spark, d, "part").select("p_partkey", "p_brand", turn.alias("turn")).orderBy("turn", "p_brand").limit(60).select("p_partkey", "turn")
+    return layers.fair_share(t(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 60).select("p_partkey", "turn")
 
 
 @register("SELECT l_orderkey AS shot, l_linenumber AS segment, round(sum(l_quantity) OVER w - l_quantity, 4) AS begins, round(sum(l_quantity) OVER w, 4) AS ends FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)")
@@ -90,10 +89,8 @@ def window_w12_grid_thinning(spark, d):
 
 @register("WITH s AS (SELECT l_orderkey, row_number() OVER w AS line, sum(l_quantity) OVER w AS upto, l_quantity FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)) SELECT l_orderkey, min(line) AS segment, round(min_by((40 - upto + l_quantity) / l_quantity, line), 8) AS fraction FROM s WHERE upto >= 40 GROUP BY l_orderkey")
 def window_w13_along_line(spark, d):
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    upto = F.sum("l_quantity").over(w.rowsBetween(W.unboundedPreceding, 0))
-    s = t(spark, d, "lineitem").withColumns({"upto": upto, "line": F.row_number().over(w).cast("long")}).where("upto >= 40")
-    return s.groupBy("l_orderkey").agg(F.min("line").alias("segment"), F.round(F.min_by((40 - F.col("upto") + F.col("l_quantity")) / F.col("l_quantity"), "line"), 8).alias("fraction"))
+    found = routes.along_line(t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", 40)
+    return found.select("l_orderkey", "segment", F.round("fraction", 8).alias("fraction"))
 
 
 @register(f"WITH {TRACTS} SELECT geoid, pop FROM tracts ORDER BY pop DESC, geoid LIMIT 96")
@@ -211,9 +208,6 @@ def set_u5_keep_last(spark, d):
 
 @register("SELECT id, min_by(tag, pri) AS tag FROM (SELECT l_partkey AS id, 'r' AS tag, 1 AS pri FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_partkey, 'a', 2 FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT p_partkey, 'p', 3 FROM part) GROUP BY id")
 def set_u7_priority_union(spark, d):
-    groups = (("r", t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id"))), ("a", t(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("id"))), ("p", t(spark, d, "part").select(F.col("p_partkey").alias("id"))))
-    out = None
-    for pri, (tag, ids) in enumerate(groups):
-        x = ids.select("id", F.lit(tag).alias("tag"), F.lit(pri).alias("pri"))
-        out = x if out is None else out.unionByName(x)
-    return out.groupBy("id").agg(F.min_by("tag", "pri").alias("tag"))
+    lines = t(spark, d, "lineitem")
+    of = lambda flag: lines.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("id"))
+    return joins.priority_union([("r", of("R")), ("a", of("A")), ("p", t(spark, d, "part").select(F.col("p_partkey").alias("id")))], "id")

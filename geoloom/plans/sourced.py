@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from geoloom.operators import layers
-from geoloom.plans.base import FEED, TRACTS, feed, t, tracts
+from geoloom.plans.base import FEED, TRACTS, feed, lat_of, lon_of, t, tracts
 from geoloom.plans.registry import register
 from geoloom.plans.scans import _FIRE, _lines, fires
-from geoloom.sources import feeds, lookups, places, sinks, tabular
+from geoloom.sources import feeds, lookups, places, sinks, tabular, uploads
 
 #: Records that one text of a feed holds.
 TOGETHER = 20
@@ -260,6 +260,41 @@ def scan_s33_upload_kinds(spark, d):
     return t(spark, d, "part").select("p_partkey", feeds.upload_kind(name).alias("kind"))
 
 
+def _uploaded(batches):
+    """A file for each row of (n, rows): CSV, GeoJSON, GPX, KML, a workbook or a zipped table by its number."""
+    import gzip
+    import json
+
+    def made(n, rows):
+        places = [(int(r["id"]), float(r["lon"]), float(r["lat"])) for r in rows]
+        if n % 6 == 0:
+            return "csv", "".join(["id,lat,lon\r\n", *(f"{i},{y!r},{x!r}\r\n" for i, x, y in places)]).encode()
+        if n % 6 == 1:
+            return "geojson", json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": i}, "geometry": {"type": "Point", "coordinates": [x, y]}} for i, x, y in places]}).encode()
+        if n % 6 == 2:
+            return "gpx", ("<gpx>" + "".join(f'<wpt lat="{y!r}" lon="{x!r}"><name>{i}</name></wpt>' for i, x, y in places) + "</gpx>").encode()
+        if n % 6 == 3:
+            return "kml", ("<kml>" + "".join(f"<Placemark><name>{i}</name><Point><coordinates>{x!r},{y!r}</coordinates></Point></Placemark>" for i, x, y in places) + "</kml>").encode()
+        if n % 6 == 4:
+            return "xlsx", sinks.workbook({"places": pd.DataFrame(places, columns=["id", "lon", "lat"])})
+        return "tsv.gz", gzip.compress("".join(["id\tlat\tlon\n", *(f"{i}\t{y!r}\t{x!r}\n" for i, x, y in places)]).encode())
+
+    for b in batches:
+        files = [made(int(n), rows) for n, rows in zip(b["n"], b["rows"])]
+        yield pd.DataFrame({"path": [f"/x/{n}.{end}" for n, (end, _) in zip(b["n"], files)], "content": [c for _, c in files]})
+
+
+@register(f"SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey // 100 % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'geojson' WHEN 2 THEN 'gpx' WHEN 3 THEN 'kml' WHEN 4 THEN 'xlsx' ELSE 'tsv' END AS kind, {lon_of('c_custkey')} AS lon, {lat_of('c_custkey')} AS lat FROM customer")
+def scan_s33_uploads(spark, d):
+    """Customers as uploads of a hundred places each, of six kinds, read again by their endings."""
+    place = F.struct(F.col("c_custkey").alias("id"), F.expr(lon_of("c_custkey")).cast("double").alias("lon"), F.expr(lat_of("c_custkey")).cast("double").alias("lat"))
+    files = t(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).cast("long").alias("n")).agg(F.collect_list(place).alias("rows")).mapInPandas(_uploaded, "path string, content binary")
+    rows = uploads.read_uploads(files)
+    p = F.col("properties")
+    at = F.from_json("geometry", "coordinates array<double>")["coordinates"]
+    return rows.select(F.coalesce(p["id"], p["name"]).cast("long").alias("id"), "kind", at[0].alias("lon"), at[1].alias("lat"))
+
+
 def _archived(batches):
     import bz2
     import gzip

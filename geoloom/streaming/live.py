@@ -23,6 +23,16 @@ def admitted(df: DataFrame, key: str, valid: Column, order: str) -> tuple[DataFr
     return first, n.select("accepted", (F.col("n") - F.col("accepted")).alias("rejected"), (F.col("n") == F.col("accepted")).alias("complete"))
 
 
+def admission(df: DataFrame, source: str, key: str, valid: Column, order: str) -> DataFrame:
+    """(source, accepted, rejected, complete) of each source's snapshot: of each key its first row counts, if it is valid.
+
+    Counts are combined before each shuffle; rows without a key are rejected.
+    """
+    first = df.groupBy(source, key).agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.min_by(valid, order), F.lit(False)).alias("_ok"))
+    accepted = F.count_if(F.col("_ok") & F.col(key).isNotNull())
+    return first.groupBy(source).agg(accepted.alias("accepted"), (F.sum("_n") - accepted).alias("rejected"), (F.sum("_n") == accepted).alias("complete"))
+
+
 def freshness(at_ms: Column, now_ms: Column, stale_s: int = STALE_S) -> Column:
     """unknown without a time, stale beyond a number of seconds, else live."""
     return F.when(at_ms.isNull(), "unknown").when((now_ms - at_ms) > stale_s * 1000, "stale").otherwise("live")
