@@ -4,6 +4,11 @@ A template is aligned with a stretch of text: words that occur once in either ar
 subsequence of their places is kept, and the gaps between kept anchors are aligned the same way until nothing unique
 is left; equal words right before and after a match belong to it. Coverage is the share of the template's words so
 matched; the words that identify a license must all be among them.
+
+A match is narrowed to a stretch of which it fills a good part, so that two notices side by side are two. It does not
+count if a word that names a sibling stands beside an identifying one (Library in a GNU license, the 0 of MIT-0), or if
+what comes right before it says that it does not apply. Where an identifier line is found, all licenses of its
+expression are listed, each if it is written out as it is known.
 """
 
 from __future__ import annotations
@@ -24,6 +29,16 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the [Apache] License, Version [2.0].",
     "Apache-2.0 notice": "Licensed under the [Apache] License, Version [2.0] (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "Apache-2.0 short notice": "Licensed under the [Apache] License, Version [2.0] (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "Apache-2.0 head": "[Apache] License Version [2.0], January 2004 http://www.apache.org/licenses/ [TERMS] AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "BSL-1.0": "Distributed under the [Boost] Software License, Version [1.0].",
+    "BSL-1.0 text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, [execute], and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "CC0-1.0": "To the extent possible under law, the author has [waived] all copyright and related or neighboring rights to this work.",
+    "CC0-1.0 short": "Released under [CC0] [1.0].",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the [Eclipse] Public License [2.0] which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "EPL-2.0 short": "Released under the [Eclipse] Public License, version [2.0].",
+    "GPL short name": "Licensed under [GPL] [{v}].",
+    "LGPL short name": "Licensed under [LGPL] [{v}].",
+    "AGPL short name": "Licensed under [AGPL] [{v}].",
     "BSD": "Released under the [BSD] License.",
     "BSD-2-Clause": "Released under the [BSD] [2]-[Clause] License.",
     "BSD-3-Clause": "Released under the [BSD] [3]-[Clause] License.",
@@ -59,7 +74,8 @@ def templates() -> dict[str, str]:
         license, _, wording = name.partition(" ")
         for v in GNU_VERSIONS.get(license, ("",)):
             full = f"{license}-{v if '.' in v else v + '.0'}" if v else license
-            out[f"{full} {wording}".strip()] = text.format(v=v) if v else text
+            short = v if "." in v or wording != "short name" else f"{v}.0"
+            out[f"{full} {wording}".strip()] = text.format(v=short) if v else text
     marked = lambda words: " ".join(f"[{w}]" for w in re.split(r"[ -]", words))
     for kind, words in CC_KINDS.items():
         for v in CC_VERSIONS:
@@ -70,6 +86,14 @@ def templates() -> dict[str, str]:
     return out
 
 
+#: Words that make another license of a name beside them, and words that take a notice back.
+SIBLINGS = (b"library", b"lesser", b"affero", b"gnu", b"apache", b"mozilla", b"eclipse", b"boost", b"mit", b"bsd", b"isc", b"sharealike", b"noncommercial", b"noderivatives", b"sa", b"nc", b"nd")
+DENIALS = (b"not", b"never", b"neither", b"isn", b"aren", b"wasn")
+#: Words of a stretch that a match fills at least.
+DENSE = 0.6
+_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]+)")
+_ID = re.compile(rb"[a-z0-9.+-]+")
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+(?:\.[0-9]+)*")
 _MARKED = re.compile(rb"\[([0-9a-z\x80-\xff]+(?:\.[0-9]+)*)\]|([0-9a-z\x80-\xff]+(?:\.[0-9]+)*)")
 
@@ -135,6 +159,7 @@ class Templates:
                 words.append(found)
                 needed.append({i for i, m in enumerate(_MARKED.finditer(text.lower().encode())) if m[1]})
         self.names = names
+        self.ids = {n.split(" ")[0].lower().encode(): n.split(" ")[0] for n in names}
         self.numbers = {w: n for n, w in enumerate(sorted({w for ws in words for w in ws}), 1)}
         self.words = [[self.numbers[w] for w in ws] for ws in words]
         self.needed = needed
@@ -172,34 +197,114 @@ def _within(matches: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return matches[-best[1] : -best[1] + best[0]]
 
 
+def _dense(matches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The matches without those beyond the widest gaps, until they fill a good part of their stretch."""
+    while len(matches) > 1 and len(matches) < DENSE * (matches[-1][0] - matches[0][0] + 1):
+        gap = max(range(1, len(matches)), key=lambda k: matches[k][0] - matches[k - 1][0])
+        matches = max(matches[:gap], matches[gap:], key=len)
+    return matches
+
+
+class _Words:
+    """The words of a text with their places, looked at only where something was found."""
+
+    def __init__(self, text: bytes):
+        self.text, self._spans = text, None
+
+    @property
+    def spans(self) -> list[tuple[int, int]]:
+        if self._spans is None:
+            self._spans = [m.span() for m in _WORD.finditer(self.text)]
+        return self._spans
+
+    def word(self, k: int) -> bytes:
+        return self.text[slice(*self.spans[k])]
+
+    def sibling(self, k: int, own: set[bytes]) -> bool:
+        """Whether a word right beside word k makes another license of it."""
+        for q in (k - 1, k + 1):
+            if 0 <= q < len(self.spans):
+                between = self.text[self.spans[min(k, q)][1] : self.spans[max(k, q)][0]]
+                w = self.word(q)
+                if w not in own and (w in SIBLINGS and between in (b" ", b"-", b"/", b"+") or w.isdigit() and between == b"-"):
+                    return True
+        return False
+
+    def denied(self, k: int) -> bool:
+        """Whether one of the two words before word k takes back what follows."""
+        return any(self.word(q) in DENIALS and b"." not in self.text[self.spans[q][1] : self.spans[k][0]] for q in range(max(0, k - 2), k))
+
+
+def expressions(text: bytes, ids: dict[bytes, str]) -> list[tuple[str, int, int]]:
+    """(license, start, end) in bytes of the known licenses in identifier lines; what is not known is not listed.
+
+    Names may end in -only, -or-later or +; the words between names are or, and, with, and what follows `with` is an
+    exception of the license before it.
+    """
+    out = []
+    for line in _EXPRESSION.finditer(text):
+        skip, expect = False, True
+        for m in _ID.finditer(line[1]):
+            word = m[0]
+            if word in (b"or", b"and", b"with"):
+                skip, expect = word == b"with", True
+                continue
+            if not expect:
+                break  # the expression is over
+            expect = False
+            known = ids.get(re.sub(rb"(-only|-or-later|\+)$", b"", word))
+            if known and not skip:
+                out.append((known, line.start(1) + m.start(), line.start(1) + m.end()))
+            skip = False
+    return out
+
+
 def scan_text(text: bytes, templates: Templates, least: float) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) in words of each stretch of text that covers a template well enough."""
     get = templates.numbers.get
     ids = np.array([get(w, 0) for w in _WORD.findall(text)], np.int64)
     present = set(np.unique(ids).tolist())
-    every = []
+    every, words = [], _Words(text)
     for name, template, held, needed, marks in zip(templates.names, templates.words, templates.held, templates.needed, templates.marks):
         if not marks <= present:
             continue
+        own = {w for w, n in templates.numbers.items() if n in set(template)} if needed else set()
         found = []
         for a, b in _stretches(ids, template, held, least):
             part = ids[a:b].tolist()
-            todo = [(0, len(part))]
+            todo, seen = [(0, len(part))], set()
             while todo:
                 lo, hi = todo.pop()
-                matches = _within(align(part[lo:hi], template), len(template))
+                if (lo, hi) in seen:
+                    continue
+                seen.add((lo, hi))
+                wide = _within(align(part[lo:hi], template), len(template))
+                matches = _dense(wide)
                 if len(matches) >= least * len(template) and needed <= {j for _, j in matches}:
                     s, e = lo + matches[0][0], lo + matches[-1][0] + 1
-                    found.append((len(matches), len(matches) / len(template), a + s, a + e))
+                    # an identifier line names its first license right behind the mark; the others come with the expression
+                    apart = name.endswith(" identifier") and e - s > len(matches) or any(words.sibling(a + lo + i, own) for i, j in matches if j in needed)
+                    if not apart and not words.denied(a + s):
+                        found.append((len(matches), len(matches) / len(template), a + s, a + e))
                     todo += [(lo, s), (e, hi)]
+                elif len(wide) > max(1, len(matches)) and len(wide) >= least * len(template):
+                    # words of two notices: look on both sides of the widest gap, each without the other's words
+                    gap = max(range(1, len(wide)), key=lambda k: wide[k][0] - wide[k - 1][0])
+                    todo += [(lo, lo + wide[gap][0]), (lo + wide[gap - 1][0] + 1, hi)]
                 elif hi - lo > 2 * len(template):
                     step = len(template)  # repeated copies hide each other's unique words: look closer
                     todo += [(x, min(hi, x + 2 * step)) for x in range(lo, hi - step, step)]
-        every += [(-n, -c, name, x, y) for n, c, x, y in set(found)]
+        every += [(-n, y - x, -c, name, x, y) for n, c, x, y in set(found)]
     out: list[tuple[str, float, int, int]] = []
-    for _, c, name, x, y in sorted(every):  # the template with most words in a place takes it
+    for _, _, c, name, x, y in sorted(every):  # the template with most words in a place takes it, in the least room
         if all(y <= s or e <= x for _, _, s, e in out):
             out.append((name.split(" ")[0], -c, x, y))
+    if b"spdx-license-identifier:" in text:
+        starts = [s for s, _ in words.spans]
+        for license, x, y in expressions(text, templates.ids):
+            i, j = bisect_left(starts, x), bisect_left(starts, y)
+            if all(j <= s or e <= i for _, _, s, e in out):
+                out.append((license, 1.0, i, j))
     return out
 
 
