@@ -51,8 +51,8 @@ def suggested_key(a: DataFrame, b: DataFrame) -> tuple[str, str] | None:
     same = sorted(set(a.columns) & set(b.columns), key=lambda c: (not c.endswith(("id", "key", "code")), -len(c)))
     if same:
         return same[0], same[0]
-    x = {c: set(r[0] for r in a.select(F.col(c).cast("string")).limit(200).collect()) for c in a.columns}
-    y = {c: set(r[0] for r in b.select(F.col(c).cast("string")).limit(200).collect()) for c in b.columns}
+    sampled = lambda df: df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns)).limit(200).collect()
+    x, y = ({c: {r[k] for r in rows} for k, c in enumerate(df.columns)} for df, rows in ((a, sampled(a)), (b, sampled(b))))
     best = max(((len(p & q) / max(1, len(p)), c, e) for c, p in x.items() for e, q in y.items()), default=(0, None, None))
     return (best[1], best[2]) if best[0] > 0.5 else None
 

@@ -131,9 +131,10 @@ def stream_st2_keyed(spark, d):
         rows.where(F.col("poll_ms") == n * 60_000).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     polls = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     out = keyed.reconciled_stream(polls, "vehicle", ["k"])
-    q = out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/n={n}")).start()
-    q.processAllAvailable()
-    q.stop()
+    with keyed.state_store(spark):
+        q = out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/n={n}")).start()
+        q.processAllAvailable()
+        q.stop()
     return spark.read.schema(out.schema).parquet(f"{folder}/out").select("vehicle", F.floor(F.col("poll_ms") / 60_000).alias("poll"), "k", "change")
 
 
@@ -146,5 +147,6 @@ def stream_st16_keyed(spark, d):
     rows.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     out = keyed.proximity_stream(stream, "vehicle", "km", 30, 20, "seq")
-    out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/n={n}")).start().awaitTermination()
+    with keyed.state_store(spark):
+        out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/n={n}")).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out").select("vehicle", "seq", "active")

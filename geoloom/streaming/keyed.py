@@ -8,6 +8,7 @@ complete poll. An empty poll brings no row, moves no watermark and changes nothi
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 
@@ -20,6 +21,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from geoloom.streaming.live import PARTIAL_MS, SELECTED_MISSES
 
 
+#: Setting and value of the state store that keyed state needs.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def state_store(spark):
+    """The session with the store that keyed state needs, for streams that start within; its own setting comes back."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before) if before is not None else spark.conf.unset(_STORE)
+
+
 def poll_time(ms, complete):
     """The event time of a poll: its milliseconds, even for a partial poll and odd for a complete one."""
     return F.timestamp_millis(ms - F.pmod(ms, F.lit(2)) + F.when(complete, 1).otherwise(0))
