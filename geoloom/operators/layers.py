@@ -108,3 +108,54 @@ def fair_share(rows: DataFrame, pack: str, order: str, most: int) -> DataFrame:
     """
     turn = F.row_number().over(W.partitionBy(pack).orderBy(order)).cast("long")
     return rows.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", pack).limit(most)
+
+
+#: Bits of each coordinate in a place along the curve.
+_CURVE_BITS = 16
+
+
+def curve(lon: str = "lon", lat: str = "lat") -> Column:
+    """A place along a Z-shaped curve through the globe: places near each other are mostly near along it; null without one."""
+
+    def spread(c: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return c
+
+    most = (1 << _CURVE_BITS) - 1
+    scaled = lambda c, low, span: F.least(F.lit(most), F.greatest(F.lit(0), F.floor((F.col(c) - low) / span * (most + 1)))).cast("long")
+    return spread(scaled(lon, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(scaled(lat, -90.0, 180.0)), 1))
+
+
+def write_clustered(layer: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """Write a layer (lon, lat) so that a view reads few files, with an index of their boxes; the index.
+
+    Rows are dealt by ranges of their place along the curve, one file a range (`files`, or as many as shuffle partitions),
+    and sorted by it within, so row groups are clustered as well. Rows without a place are in the first range. The index
+    (file, areas, west, south, east, north) lies below the layer, where scans of the layer do not look.
+    """
+    spark = layer.sparkSession
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = layer.withColumn("_curve", curve())
+    # of rows at one place on the curve a range may hold a hot one: the second key lets it be dealt to several files
+    dealt = placed.repartitionByRange(n, F.col("_curve").asc_nulls_first(), F.xxhash64(*layer.columns)).sortWithinPartitions("_curve")
+    dealt.drop("_curve").write.parquet(path)
+    boxes = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("areas"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+    boxes.coalesce(1).write.parquet(f"{path}/_boxes")
+    return spark.read.parquet(f"{path}/_boxes")
+
+
+def read_view(spark, path: str, west: float, south: float, east: float, north: float) -> DataFrame:
+    """The rows of a clustered layer in a view, borders included, from the files whose boxes meet it.
+
+    A view whose west is beyond its east crosses the date line. The driver gets the names of those files alone.
+    """
+    boxes = spark.read.parquet(f"{path}/_boxes")
+    across = west > east
+    meets = (F.col("south") <= north) & (F.col("north") >= south)
+    meets &= ((F.col("east") >= west) | (F.col("west") <= east)) if across else ((F.col("east") >= west) & (F.col("west") <= east))
+    found = sorted(r.file for r in boxes.where(meets).select("file").collect())
+    whole = spark.read.parquet(path)
+    some = spark.read.schema(whole.schema).parquet(*found) if found else whole.limit(0)
+    lon = (F.col("lon") >= west) | (F.col("lon") <= east) if across else F.col("lon").between(west, east)
+    return some.where(lon & F.col("lat").between(south, north))

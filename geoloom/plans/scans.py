@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import text
 from geoloom.operators import layers
-from geoloom.plans.base import FEED, TRACTS, feed, t, tracts
+from geoloom.plans.base import FEED, TRACTS, feed, shared, t, tracts
 from geoloom.plans.registry import register
 
 
@@ -31,6 +33,14 @@ def scan_s2_layer_pruned(spark, d):
     return layers.pruned(tracts(spark, d), state="01", view=(-90, -45, 60, 50)).select("geoid", "county", "pop", "lon", "lat")
 
 
+@register(f"WITH {TRACTS} SELECT geoid, pop, lon, lat FROM tracts WHERE (lon >= 150 OR lon <= -120) AND lat BETWEEN -30 AND 60")
+def scan_s2_clustered_view(spark, d):
+    """The tracts written along a curve, and a view over the date line read from the files that meet it."""
+    path = f"{shared(spark)}/layers/{uuid.uuid4().hex}"
+    layers.write_clustered(tracts(spark, d).select("geoid", "pop", "lon", "lat"), path, 16)
+    return layers.read_view(spark, path, 150.0, -30.0, -120.0, 60.0)
+
+
 @register(f"WITH {TRACTS} SELECT county AS chunk, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north, count(*) AS areas FROM tracts GROUP BY county")
 def scan_s2_layer_index(spark, d):
     return layers.index(tracts(spark, d), "county")
