@@ -12,7 +12,7 @@ from geoloom.operators import layers
 from geoloom.plans.base import FEED, TRACTS, feed, lat_of, lon_of, t, tracts
 from geoloom.plans.registry import register
 from geoloom.plans.scans import _FIRE, _lines, fires
-from geoloom.sources import feeds, lookups, places, sinks, tabular, uploads
+from geoloom.sources import feeds, lookups, places, sinks, tabular, uploads, vectortiles
 
 #: Records that one text of a feed holds.
 TOGETHER = 20
@@ -260,6 +260,45 @@ def scan_s33_upload_kinds(spark, d):
     return t(spark, d, "part").select("p_partkey", feeds.upload_kind(name).alias("kind"))
 
 
+def _tiled(batches):
+    """A vector tile for each row of (x, y, rows): a layer of points with their people."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    field = lambda number, value: varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+    def tile(rows) -> bytes:
+        values = sorted({int(r["pop"]) for r in rows})
+        at = {v: k for k, v in enumerate(values)}
+        points = [field(2, field(1, int(r["k"])) + field(2, varint(0) + varint(at[int(r["pop"])])) + field(3, 1) + field(4, varint(9) + varint(2 * int(r["px"])) + varint(2 * int(r["py"])))) for r in rows]
+        return field(3, field(15, 2) + field(1, b"tracts") + b"".join(points) + field(3, b"pop") + b"".join(field(4, field(5, v)) for v in values) + field(5, 4096))
+
+    for b in batches:
+        yield pd.DataFrame({"z": 6, "x": b["x"], "y": b["y"], "content": [tile(rows) for rows in b["rows"]]})
+
+
+_FX, _FY = "(lon + 180) / 360 * 64", "(1 - ln(tan(radians(lat)) + sqrt(tan(radians(lat)) * tan(radians(lat)) + 1)) / pi()) / 2 * 64"
+
+
+@register(f"""WITH {TRACTS}, p AS (SELECT k, pop, {_FX} AS fx, {_FY} AS fy FROM tracts WHERE abs(lat) <= 85),
+q AS (SELECT k, pop, CAST(floor(fx) AS BIGINT) AS x, CAST(floor(fy) AS BIGINT) AS y, floor((fx - floor(fx)) * 4096) / 4096 AS px, floor((fy - floor(fy)) * 4096) / 4096 AS py FROM p)
+SELECT CAST(k AS BIGINT) AS id, x, y, pop, round((x + px) / 64 * 360 - 180, 6) AS lon, round(degrees(atan((exp(pi() * (1 - 2 * (y + py) / 64)) - exp(-pi() * (1 - 2 * (y + py) / 64))) / 2)), 6) AS lat FROM q""")
+def scan_s25_vector_tiles(spark, d):
+    """Tracts as vector tiles of the sixth level, decoded again."""
+    p = tracts(spark, d).where("abs(lat) <= 85").selectExpr("k", "pop", f"{_FX} AS fx", f"{_FY} AS fy")
+    unit = lambda c: F.floor((F.col(c) - F.floor(c)) * 4096).cast("long")
+    rows = p.select(F.floor("fx").cast("long").alias("x"), F.floor("fy").cast("long").alias("y"), F.struct("k", "pop", unit("fx").alias("px"), unit("fy").alias("py")).alias("r"))
+    # a tile's content is one value, so a tile is bounded by what it may hold: a part for each thousand of its points
+    tiles = rows.groupBy("x", "y", F.floor(F.col("r.k") / 1000).alias("part")).agg(F.collect_list("r").alias("rows")).mapInPandas(_tiled, "z int, x long, y long, content binary")
+    found = vectortiles.features(tiles)
+    at = F.col("parts")[0][0]
+    return found.select("id", "x", "y", F.col("properties")["pop"].cast("long").alias("pop"), F.round(at["lon"], 6).alias("lon"), F.round(at["lat"], 6).alias("lat"))
+
+
 def _uploaded(batches):
     """A file for each row of (n, rows): CSV, GeoJSON, GPX, KML, a workbook or a zipped table by its number."""
     import gzip
