@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.operators.joins import _cells, cell_of
 
 #: Metres and degrees that a flow may be off a road, and the share of a road's samples that must match.
 NEAR_M, TURN, LEAST_SHARE = 35.0, 30.0, 0.5
@@ -27,19 +28,20 @@ def matched_flows(roads: DataFrame, flows: DataFrame, cell: float = 0.001) -> Da
     """(road, level, closed) of roads (road, oneway, coords) that flows (level, closure, coords) run along.
 
     Samples of both meet in cells; a flow sample counts for a road sample within NEAR_M whose heading agrees (either way
-    unless the road is one-way). A road needs half of its samples matched; its level is the median of theirs.
+    unless the road is one-way). A road needs half of its samples matched; its level is the median of theirs. A road's
+    sample is copied to the cells that its reach touches, at any latitude. All joins are shuffled: the lines' sizes on
+    disk say nothing of the number of their samples, so neither side may be sent to the driver on that ground.
     """
     r = samples(roads, "road").withColumn("_s", F.monotonically_increasing_id())
     f = samples(flows, "flow").select("level", "closure", F.col("lon").alias("flon"), F.col("lat").alias("flat"), F.col("heading").alias("fheading"))
-    around = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("lat") / cell) + k)
-    placed = r.withColumn("_r", F.explode(around)).withColumn("_c", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("lon") / cell) + k)))
-    f = f.withColumn("_r", F.floor(F.col("flat") / cell)).withColumn("_c", F.floor(F.col("flon") / cell))
+    placed = r.withColumn("_cell", F.explode(_cells(F.col("lat"), F.col("lon"), 1.03 * NEAR_M / 1000, cell)))
+    f = f.withColumn("_cell", cell_of(F.col("flat"), F.col("flon"), cell))
     turn = F.abs(F.pmod(F.col("heading") - F.col("fheading") + 180, F.lit(360.0)) - 180)
     ok = (geo.flat_distance("lat", "lon", "flat", "flon") <= NEAR_M) & ((turn <= TURN) | ((turn >= 180 - TURN) & ~F.coalesce("oneway", F.lit(False))))
-    hit = placed.join(f, ["_r", "_c"]).where(ok).groupBy("road", "_s").agg(F.median("level").alias("level"), F.max("closure").alias("closed"))
+    hit = placed.join(f.hint("merge"), "_cell").where(ok).groupBy("road", "_s").agg(F.median("level").alias("level"), F.max("closure").alias("closed"))
     total = r.groupBy("road").agg(F.count(F.lit(1)).alias("of"))
     found = hit.groupBy("road").agg(F.median("level").alias("level"), F.max("closed").alias("closed"), F.count(F.lit(1)).alias("n"))
-    return found.join(total, "road").where(F.col("n") >= LEAST_SHARE * F.col("of")).select("road", "level", "closed")
+    return found.join(total.hint("merge"), "road").where(F.col("n") >= LEAST_SHARE * F.col("of")).select("road", "level", "closed")
 
 
 def plausible(lat, lon, climb, lat1, lon1, lat2, lon2) -> Column:
