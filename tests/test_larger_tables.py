@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import routes
+from geoloom.functions import geo
+from geoloom.operators import joins, routes
+from geoloom.plans import sourced
+from geoloom.sources import feeds
 
 
 def test_flows_meet_roads_without_the_driver(spark):
@@ -16,3 +19,41 @@ def test_flows_meet_roads_without_the_driver(spark):
     got = routes.matched_flows(roads, flows)
     assert [tuple(r) for r in got.collect()] == [(1, 0.25, False)]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calm_air(spark):
+    """atan2 of zeros with signs, as IEEE and DuckDB have it."""
+    rows = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, -0.0), (3, 0.0, 5.0), (4, 1.0, 0.0), (5, None, 0.0)], "n int, u double, v double")
+    _, way = geo.wind("u", "v")
+    assert [r[0] for r in rows.orderBy("n").select(way).collect()] == [180.0, 0.0, 180.0, 270.0, None]
+
+
+def test_fuzzy_ties_go_to_the_smallest(spark):
+    a = spark.createDataFrame([(1, 100.0)], "id int, size double")
+    b = spark.createDataFrame([(9, 90.0), (4, 110.0), (7, 110.0), (3, 110.00000001)], "other int, other_size double")
+    town = F.array(F.lit("town"))
+    got = lambda **k: joins.fuzzy(a.withColumn("n", F.lit(0)), b.withColumn("n", F.lit(0)), town, town, ["n"], "size", "other_size", ["id"], **k).select("other", "away").first()
+    assert tuple(got(digits=9, first=["other"])) == (3, 0.1)
+    assert got(first=["other"])["other"] == 4
+
+
+def test_a_reading_that_equals_a_sentinel(spark, tmp_path):
+    texts = [("1", "1", "2", "a", "70", "+102.3", "+360", ""), ("2", "1", "2", "a", "70", "102.3", "360.0", "511"), ("3", "1", "2", "a", "70", "-1.5", "", "")]
+    df = spark.createDataFrame(texts, "mmsi string, lat string, lon string, name string, type string, speed string, course string, heading string")
+    got = feeds.vessels(df, signed=True).orderBy("mmsi").select("speed", "course").collect()
+    assert [tuple(r) for r in got] == [(102.3, 360.0), (None, None), (-1.5, None)]
+    assert feeds.vessels(df).where("mmsi = '1'").first()["speed"] is None
+    spark.sql("SELECT event_id, timestamp '2024-01-01' AS ts, 7L AS user_id, 'x' AS event_type, value, concat('{\"k\": ', k, '}') AS props FROM VALUES (1L, 102.3D, 14), (2L, 102.3D, 3), (3L, 1.0E-5D, 1) AS t(event_id, value, k)").write.parquet(f"{tmp_path}/events.parquet")
+    speeds = sourced.scan_s20_vessel_sentinels(spark, str(tmp_path)).collect()
+    assert sorted((r["knots"] is None, r["knots"]) for r in speeds if r["knots"] is not None) == [(False, 1e-5), (False, 102.3)]
+    assert len(speeds) == 3
+
+
+def test_catalog_numbers_of_more_than_five_columns(spark, tmp_path):
+    lines = ["A", "1 1234567U 24001A", "2 1234567  51.6", "B", "1 1234567U 24001A", "2 1234568  51.6", "C", "1 Z9999U 24001A", "2 Z9999  51.6", "D", "1 12345U 24001A", "2 123456  51.6"]
+    got = feeds.element_sets(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, n int, line string")).select("name", "catalog")
+    assert sorted(map(tuple, got.collect())) == [("A", 1234567), ("C", 339999)]
+    keys = [99_999, 100_001, 100_004, 239_995, 240_000, 339_999, 340_001, 1_200_001, 6_999_999]
+    spark.createDataFrame([(k, f"part {k}") for k in keys], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sourced.scan_s22_element_triples(spark, str(tmp_path)).collect()
+    assert sorted(r["catalog"] for r in got) == sorted(100_000 + k if k % 5 == 0 else k for k in keys if k % 7)
