@@ -66,3 +66,22 @@ def test_pairs_that_lines_ask_for(spark, tmp_path):
     spark.sql("SELECT * FROM VALUES (1L, 1L, 2.5D), (1L, 1L, 1.5D), (1L, 3L, 9D), (101L, 201L, 4D), (301L, 1L, 7D), (2L, 2L, 7D) AS t(l_partkey, l_suppkey, l_quantity)").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = joining.join_j12_composite_key(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 4.0), (101, 201, 1, 4.0)]
+
+
+def test_lists_of_what_is_near(spark):
+    """Lists are made without a shuffle of pairs: across the date line and over a pole, ties by the smaller key, none left out."""
+    a = spark.createDataFrame([("line", 0.0, 179.9), ("pole", 89.9, 10.0), ("none", -50.0, 0.0)], "geoid string, lat double, lon double")
+    b = spark.createDataFrame([(5, 0.0, -179.9), (4, 0.0, 179.0), (2, 0.1, 179.9), (1, -0.1, 179.9), (7, 89.9, -170.0), (8, 88.0, 10.0)], "site long, blat double, blon double")
+    got = joins.listed_within(a, b, "geoid", "site", 300.0)
+    assert {r["geoid"]: r["others"] for r in got.collect()} == {"line": [1, 2, 5, 4], "pole": [7, 8]}
+    many = a.where("geoid = 'line'").crossJoin(spark.range(3 * joins.LIST_ROWS)).select("id", "lat", "lon")
+    assert joins.listed_within(many, b, "id", "site", 300.0).where("others = array(1L, 2L, 5L, 4L)").count() == 3 * joins.LIST_ROWS
+
+
+def test_pairs_within_a_distance_are_spread(spark):
+    """A table of one file is dealt out before it meets more rows than it has."""
+    a = spark.range(4000).coalesce(1).select("id", F.lit(10.0).alias("lat"), (F.col("id") % 360 - 180.0).alias("lon"))
+    b = spark.range(3).select(F.col("id").alias("site"), F.lit(10.0).alias("blat"), F.col("id").cast("double").alias("blon"))
+    got = joins.within(a, b, 150.0)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    assert got.count() == sum(abs(i % 360 - 180 - s) <= 1 for i in range(4000) for s in range(3))
