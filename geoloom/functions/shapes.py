@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
@@ -42,27 +44,52 @@ def simplified(points: list[tuple[float, float]], tolerance: float, infinite: bo
     """Douglas-Peucker: the points that are further than the tolerance from the segment (or infinite line) of those kept."""
     if len(points) < 3:
         return points
-    a = np.array(points)
-    keep = np.zeros(len(a), bool)
-    keep[[0, -1]] = True
+    a = points if len(points) <= FEW else np.array(points)
+    keep = {0, len(a) - 1}
     todo = [(0, len(a) - 1)]
     while todo:
         i, j = todo.pop()
         if j - i < 2:
             continue
-        d, q = a[j] - a[i], a[i + 1 : j] - a[i]
-        n = float(d @ d)
-        if n == 0:
-            away = np.hypot(q[:, 0], q[:, 1])
-        else:
-            along = q @ d / n
-            along = along if infinite else np.clip(along, 0, 1)
-            away = np.hypot(*(q - along[:, None] * d).T)
-        k = int(away.argmax())
-        if away[k] > tolerance:
-            keep[i + 1 + k] = True
-            todo += [(i, i + 1 + k), (i + 1 + k, j)]
-    return [tuple(x) for x in a[keep].tolist()]
+        k, away = (_furthest if len(points) <= FEW else _furthest_of_many)(a, i, j, infinite)
+        if away > tolerance:
+            keep.add(k)
+            todo += [(i, k), (k, j)]
+    return [points[k] for k in sorted(keep)]
+
+
+#: Points up to which a line is walked without arrays, which cost more than they save there.
+FEW = 64
+
+
+def _furthest(a, i: int, j: int, infinite: bool) -> tuple[int, float]:
+    """Which point between two of a short line is furthest from what joins them, and how far."""
+    (x, y), (u, v) = a[i], a[j]
+    dx, dy = u - x, v - y
+    n = dx * dx + dy * dy
+    best, most = i + 1, -1.0
+    for k in range(i + 1, j):
+        px, py = a[k][0] - x, a[k][1] - y
+        if n:
+            along = (px * dx + py * dy) / n
+            along = along if infinite else min(max(along, 0.0), 1.0)
+            px, py = px - along * dx, py - along * dy
+        away = math.hypot(px, py)
+        if away > most:
+            best, most = k, away
+    return best, most
+
+
+def _furthest_of_many(a: np.ndarray, i: int, j: int, infinite: bool) -> tuple[int, float]:
+    d, q = a[j] - a[i], a[i + 1 : j] - a[i]
+    n = float(d @ d)
+    if n:
+        along = q @ d / n
+        along = along if infinite else np.clip(along, 0, 1)
+        q = q - along[:, None] * d
+    away = np.hypot(*q.T)
+    k = int(away.argmax())
+    return i + 1 + k, float(away[k])
 
 
 def clipped(line: list[tuple[float, float]], west: float, south: float, east: float, north: float) -> list[list[tuple[float, float]]]:
@@ -109,10 +136,18 @@ def clean_udf(ring: Column) -> Column:
 
 
 def _mapped(f):
-    def mapped(s: pd.Series) -> pd.Series:
-        return s.map(lambda r: _ring(f(_points(r))))
-
-    return F.pandas_udf(mapped, _RING)
+    def mapped(rings: pa.Array) -> pa.Array:
+        flat = rings.flatten()
+        x, y = flat.field("x").to_pylist(), flat.field("y").to_pylist()
+        ends, points, at = [0], [], 0
+        for n in pc.list_value_length(rings).to_pylist():
+            points += f(list(zip(x[at : at + (n or 0)], y[at : at + (n or 0)])))
+            ends.append(len(points))
+            at += n or 0
+        xy = [pa.array([p[k] for p in points], pa.float64()) for k in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(xy, ["x", "y"]))
+
+    return F.arrow_udf(mapped, _RING)
 
 
 def hulls(points: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:

@@ -39,6 +39,11 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out evenly for costly work on each row: a table of few bytes is read by few tasks, however many rows it has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def prefix_sums(rows: DataFrame, by: str, n: str) -> DataFrame:
     """rows with `upto`: the sum of n over all rows up to each one in the order of `by`, whose values are distinct.
 

@@ -366,7 +366,7 @@ def _ring(*points):
 @register(f"WITH {TRACTS} SELECT geoid, 4 AS corners, round(lon, 5) AS x FROM tracts")
 def array_a4_hull(spark, d):
     """Hull of a square with points inside and on its sides."""
-    h = tracts(spark, d).select("geoid", shapes.hull_udf(_ring((0, 0), (2, 0), (1, 1), (2, 2), (0, 2), (1, 0), (0.5, 1.5))).alias("h"))
+    h = scratch.dealt(tracts(spark, d).select("geoid", "lon", "lat")).select("geoid", shapes.hull_udf(_ring((0, 0), (2, 0), (1, 1), (2, 2), (0, 2), (1, 0), (0.5, 1.5))).alias("h"))
     return h.select("geoid", F.size("h").alias("corners"), F.round(F.col("h")[0]["x"], 5).alias("x"))
 
 
@@ -374,14 +374,14 @@ def array_a4_hull(spark, d):
 def array_a5_simplified(spark, d):
     """A bend stays; a point within the tolerance goes."""
     line = _ring((0, 0), (1, 0.01), (2, 0), (3, 1))
-    s = tracts(spark, d).select("geoid", shapes.simplify_udf(line, 0.1).alias("a"), shapes.simplify_udf(line, 0.1, True).alias("b"))
+    s = scratch.dealt(tracts(spark, d).select("geoid", "lon", "lat")).select("geoid", shapes.simplify_udf(line, 0.1).alias("a"), shapes.simplify_udf(line, 0.1, True).alias("b"))
     return s.select("geoid", F.size("a").alias("segment"), F.size("b").alias("infinite"))
 
 
 @register(f"WITH {TRACTS} SELECT geoid, CASE WHEN k % 2 = 0 THEN 4 ELSE 0 END AS points FROM tracts")
 def array_a6_cleaned(spark, d):
     ring = F.when(F.col("k") % 2 == 0, _ring((0, 0), (0, 0), (1, 0), (1, 1), (1, 1))).otherwise(_ring((0, 0), (1, 1), (0, 0)))
-    return tracts(spark, d).select("geoid", F.size(shapes.clean_udf(ring)).alias("points"))
+    return scratch.dealt(tracts(spark, d).select("geoid", "k", "lon", "lat")).select("geoid", F.size(shapes.clean_udf(ring)).alias("points"))
 
 
 @register(f"WITH {TRACTS} SELECT geoid, round(lon + 1, 5) AS x, round(lat + 0.5, 5) AS y FROM tracts")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.functions import geo
+from geoloom.functions import geo, shapes
 from geoloom.operators import joins, routes
-from geoloom.plans import joining, sourced
+from geoloom.plans import joining, sourced, written
 from geoloom.sources import feeds
 
 
@@ -85,3 +85,18 @@ def test_pairs_within_a_distance_are_spread(spark):
     got = joins.within(a, b, 150.0)
     assert got.select(F.spark_partition_id()).distinct().count() > 1
     assert got.count() == sum(abs(i % 360 - 180 - s) <= 1 for i in range(4000) for s in range(3))
+
+
+def test_short_and_long_lines_are_simplified_alike(spark, tmp_path):
+    bend = [(float(i), float(i % 7 * (i % 11))) for i in range(shapes.FEW + 30)]
+    for some in (bend[: shapes.FEW], [*bend[: shapes.FEW - 1], bend[0]]):
+        for infinite in (False, True):
+            doubled = [p for a, b in zip(some, some[1:]) for p in (a, ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2))] + [some[-1]]
+            assert shapes.simplified(some, 3.0, infinite) == [p for p in shapes.simplified(doubled, 3.0, infinite)]
+    rings = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.01), (2.0, 0.0), (2.0, 2.0)]), (2, None), (3, [])], "n int, r array<struct<x:double,y:double>>")
+    got = rings.orderBy("n").select(shapes.simplify_udf(F.col("r"), 0.1)).collect()
+    assert [[tuple(p) for p in r[0]] for r in got] == [[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0)], [], []]
+    spark.range(2000).selectExpr("id AS c_custkey", "id % 3 AS c_nationkey", "'n' AS c_name", "1.0D AS c_acctbal", "'m' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3).selectExpr("id AS n_nationkey", "'n' AS n_name", "0L AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    for q in (written.array_a4_hull, written.array_a5_simplified, written.array_a6_cleaned):
+        assert q(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
