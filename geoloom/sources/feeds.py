@@ -10,6 +10,7 @@ import tarfile
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -276,16 +277,39 @@ def unpacked(name: str, data: bytes, depth: int = 0) -> list[tuple[str, bytes]]:
     return [(name, data)]
 
 
-def unpack(files: DataFrame) -> DataFrame:
-    """(archive, name, content) of the files in archives (path, content), unpacked on the executors."""
+#: Bytes of content that a task collects before it hands rows on.
+TOGETHER_BYTES = 4 << 20
+
+
+def in_turn(make, fields: list[tuple[str, pa.DataType]]):
+    """A function for mapInArrow: the rows, tuples, that make(row as a dict) gives, for one row after the other.
+
+    Of a batch only the row in hand is unpacked to objects, and rows go on by TOGETHER_BYTES of texts and binaries (maps
+    count by their entries), so what a task holds does not follow the number of rows in a batch.
+    """
+    schema = pa.schema(fields)
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)], schema=schema)
 
-    def opened(batches):
+    def run(batches):
+        rows, held = [], 0
         for batch in batches:
-            for p, content in zip(batch["path"], batch["content"]):
-                found = unpacked(p.rsplit("/", 1)[-1], bytes(content))
-                yield pd.DataFrame({"archive": p, "name": [n for n, _ in found], "content": [c for _, c in found]})
+            for i in range(batch.num_rows):
+                for r in make({name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}):
+                    rows.append(r)
+                    held += 100 + sum(len(v) * (1 if isinstance(v, (str, bytes)) else 100) for v in r if isinstance(v, (str, bytes, list)))
+                    if held >= TOGETHER_BYTES:
+                        yield table(rows)
+                        rows, held = [], 0
+        if rows:
+            yield table(rows)
+
+    return run
+
 
-    return files.select("path", "content").mapInPandas(opened, "archive string, name string, content binary")
+def unpack(files: DataFrame) -> DataFrame:
+    """(archive, name, content) of the files in archives (path, content), unpacked on the executors."""
+    opened = in_turn(lambda r: ((r["path"], n, c) for n, c in unpacked(r["path"].rsplit("/", 1)[-1], r["content"])), [("archive", pa.string()), ("name", pa.string()), ("content", pa.binary())])
+    return files.select("path", "content").mapInArrow(opened, "archive string, name string, content binary")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo, shapes
@@ -100,3 +101,16 @@ def test_short_and_long_lines_are_simplified_alike(spark, tmp_path):
     spark.range(3).selectExpr("id AS n_nationkey", "'n' AS n_name", "0L AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
     for q in (written.array_a4_hull, written.array_a5_simplified, written.array_a6_cleaned):
         assert q(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_files_are_handed_on_in_turn():
+    """Of a batch of many large rows few are held at once, and rows go on before the batch is done."""
+    made = []
+
+    def make(r):
+        made.append(r["n"])
+        yield r["n"], b"x" * (feeds.TOGETHER_BYTES // 4)
+
+    out = feeds.in_turn(make, [("n", pa.int64()), ("content", pa.binary())])(iter([pa.RecordBatch.from_pydict({"n": list(range(100))})]))
+    assert next(out).num_rows <= 4 and len(made) <= 4
+    assert sum(b.num_rows for b in out) + 4 >= 100 and made == list(range(100))
