@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from geoloom.operators import scratch
 from geoloom.plans.base import FEED, feed, shared, t
 from geoloom.plans.registry import register
 from geoloom.streaming import keyed, live
@@ -126,7 +127,7 @@ def stream_st2_keyed(spark, d):
     big = F.when(F.col("k") > 50, F.col("k"))
     rows = f.crossJoin(F.broadcast(span)).groupBy("vehicle", poll.cast("long").alias("poll")).agg(F.max_by(big, F.when(F.col("k") > 50, F.col("seq"))).alias("k"), F.max_by("kind", "seq").alias("kind")).where("kind != 'error'")
     folder = f"{shared(spark)}/streams/{uuid.uuid4().hex}"
-    rows = rows.select("vehicle", "k", (F.col("poll") * 60_000).alias("poll_ms"), F.lit(True).alias("complete"))
+    rows = scratch.written(rows.select("vehicle", "k", (F.col("poll") * 60_000).alias("poll_ms"), F.lit(True).alias("complete")))  # once, by all tasks; the polls are parts of it
     for n in range(6):  # a write a poll, so that the files are found in order; each a file, so that a poll is a micro-batch
         rows.where(F.col("poll_ms") == n * 60_000).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     polls = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
