@@ -571,7 +571,7 @@ def scan_s32_object_pages(spark, d):
 
 @register("SELECT o_orderkey AS objectid, o_totalprice AS v FROM orders")
 def scan_s32_paged_reader(spark, d):
-    """Orders as the answers of a paged service, a folder a page, read again by one task a page."""
+    """Orders as the answers of a paged service, a folder a page, read again by as many tasks as shuffles have, page by page."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("objectid"), F.col("o_totalprice").alias("v"), F.lit(1).cast("long").alias("one"))
     placed = scratch.written(scratch.prefix_sums(o, "objectid", "one").withColumn("at", F.col("upto") - 1))
     size = 1000
@@ -581,7 +581,7 @@ def scan_s32_paged_reader(spark, d):
     folder = f"{shared(spark)}/pages/{uuid.uuid4().hex}"
     answers.select("offset", body.alias("value")).write.partitionBy("offset").text(folder)
     uri = folder if "://" in folder else folder.replace("file:", "file://") if folder.startswith("file:") else f"file://{folder}"
-    return paged.objects(spark, uri + "/offset={offset}", "objectid long, v double", "objectid", count=placed.count(), page=size)
+    return paged.objects(spark, uri + "/offset={offset}", "objectid long, v double", "objectid", count=placed.count(), page=size, at_once=spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 @register("SELECT o_orderkey, CAST(o_orderkey % 90 AS DOUBLE) AS west, CAST(o_orderkey % 90 + CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS east FROM orders")

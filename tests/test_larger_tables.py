@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo, shapes
 from geoloom.operators import joins, routes, scratch
 from geoloom.plans import joining, sourced, written
-from geoloom.sources import feeds
+from geoloom.sources import feeds, paged
 
 
 def test_flows_meet_roads_without_the_driver(spark):
@@ -142,3 +142,16 @@ def test_regions_go_down_to_what_is_nearest(spark, monkeypatch):
             sizes.clear()
             joins.nearest(a, b.where("site < 's00020'"), "id", "site").count()
             assert max(sizes) <= len(rows)
+
+
+def test_pages_are_read_by_no_more_tasks_than_shuffles_have(spark, tmp_path, monkeypatch):
+    """More pages make no more tasks, and every page is read, the last short one too."""
+    objects, asked = paged.objects, []
+    monkeypatch.setattr(paged, "objects", lambda *a, **options: (asked.append(options), objects(*a, **options))[1])
+    spark.range(20_300).selectExpr("id * 3 AS o_orderkey", "id / 4.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    got = written.scan_s32_paged_reader(spark, str(tmp_path))
+    assert got.count() == 20_300 and got.where("v = objectid / 12.0D").count() == 20_300
+    options = {k: str(v) for k, v in asked[0].items()}
+    spans = paged._spans(0, asked[0]["count"], options)
+    assert 1 < len(spans) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [x.first for x in spans[1:]] == [x.end for x in spans[:-1]] and (spans[0].first, spans[-1].end) == (0, 20_300)
