@@ -105,28 +105,36 @@ def granules(pages: DataFrame, most: int | None = 2000) -> DataFrame:
 
     pages: (search, page, cursor, value). Pages are read in order until one has no cursor. A granule without a start is
     dropped; its ring is its first polygon, else its bounding rectangle. Of a search at most `most` granules are given
-    (None: all), and truncated says whether it has more hits than were given.
+    (None: all), and truncated says whether it has more hits than were given. Pages without a search take no part.
     """
     from pyspark.sql import Window as W
 
-    before = W.partitionBy("search").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    reached = F.coalesce(F.bool_and(F.col("cursor").isNotNull()).over(before), F.lit(True))
-    j = pages.withColumn("_reached", reached).where("_reached").select("search", "page", F.from_json("value", _GRANULES).alias("j"))
-    items = j.select("search", "page", "j.hits", F.posexplode("j.items").alias("at", "i"))
-    span, geometry = "i.umm.TemporalExtent.RangeDateTime", "i.umm.SpatialExtent.HorizontalSpatialDomain.Geometry"
-    time = lambda c: F.try_to_timestamp(c)
-    cloud = F.try_element_at(F.try_element_at(F.filter("i.umm.AdditionalAttributes", lambda a: a["Name"] == "CLOUD_COVERAGE"), F.lit(1))["Values"], F.lit(1)).try_cast("double")
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    polygon = F.transform(F.try_element_at(f"{geometry}.GPolygons", F.lit(1))["Boundary"]["Points"], lambda p: corner(p["Longitude"], p["Latitude"]))
-    box = F.try_element_at(f"{geometry}.BoundingRectangles", F.lit(1))
-    w, s, e, n = (box[f"{x}BoundingCoordinate"] for x in ("West", "South", "East", "North"))
-    ring = F.coalesce(F.when(F.size(polygon) >= 3, polygon), F.when(w.isNotNull() & s.isNotNull() & e.isNotNull() & n.isNotNull(), F.array(corner(w, s), corner(e, s), corner(e, n), corner(w, n))))
-    rows = items.select("search", "page", "at", "hits", F.coalesce("i.meta.`concept-id`", "i.umm.GranuleUR", "i.meta.`native-id`", F.lit("")).alias("id"), time(f"{span}.BeginningDateTime").alias("started"), time(f"{span}.EndingDateTime").alias("_ended"), cloud.alias("cloud"), ring.alias("ring"))
-    rows = rows.where("started is not null").withColumn("ended", F.coalesce("_ended", "started"))
+
+    def item(i):
+        span, geometry = i["umm"]["TemporalExtent"]["RangeDateTime"], i["umm"]["SpatialExtent"]["HorizontalSpatialDomain"]["Geometry"]
+        cloud = F.try_element_at(F.try_element_at(F.filter(i["umm"]["AdditionalAttributes"], lambda a: a["Name"] == "CLOUD_COVERAGE"), F.lit(1))["Values"], F.lit(1)).try_cast("double")
+        points, box = F.try_element_at(geometry["GPolygons"], F.lit(1))["Boundary"]["Points"], F.try_element_at(geometry["BoundingRectangles"], F.lit(1))
+        polygon = F.transform(points, lambda p: corner(p["Longitude"], p["Latitude"]))
+        w, s, e, n = (box[f"{x}BoundingCoordinate"] for x in ("West", "South", "East", "North"))
+        ring = F.coalesce(F.when(F.size(points) >= 3, polygon), F.when(w.isNotNull() & s.isNotNull() & e.isNotNull() & n.isNotNull(), F.array(corner(w, s), corner(e, s), corner(e, n), corner(w, n))))
+        ident = F.coalesce(i["meta"]["concept-id"], i["umm"]["GranuleUR"], i["meta"]["native-id"], F.lit(""))
+        started, ended = (F.try_to_timestamp(span[f"{x}DateTime"]) for x in ("Beginning", "Ending"))
+        return F.struct(ident.alias("id"), started.alias("started"), F.coalesce(ended, started).alias("ended"), cloud.alias("cloud"), ring.alias("ring"))
+
+    # answers are parsed once, where they are read, and only what is kept of them is shuffled and sorted, once
+    parsed = pages.where("search is not null").select("search", "page", F.col("cursor").isNotNull().alias("_more"), F.inline_outer(F.array(F.from_json("value", _GRANULES))))
+    kept = F.filter(F.transform("items", item), lambda i: i["started"].isNotNull())
+    kept = parsed.select("search", "page", "_more", "hits", kept.alias("_items")).withColumn("_n", F.coalesce(F.size("_items"), F.lit(0)))
+    whole = W.partitionBy("search")
+    before = whole.orderBy("page").rowsBetween(W.unboundedPreceding, -1)
+    reached = kept.withColumn("_reached", F.coalesce(F.bool_and("_more").over(before), F.lit(True)))
+    count = F.when(F.col("_reached"), F.col("_n")).otherwise(0)
+    rows = reached.withColumn("_ahead", F.coalesce(F.sum(count).over(before), F.lit(0))).withColumn("_given", F.sum(count).over(whole)).where("_reached and _n > 0")
     if most is not None:
-        rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("search").orderBy("page", "at"))).where(F.col("_k") <= most)
-    given = rows.groupBy("search").agg(F.count(F.lit(1)).alias("_given"))
-    return rows.join(given, "search").select("search", "id", "started", "ended", "cloud", "ring", (F.coalesce("hits", F.lit(0)) > F.col("_given")).alias("truncated"))
+        left = F.least(F.col("_n"), F.greatest(F.lit(most) - F.col("_ahead"), F.lit(0))).cast("int")
+        rows = rows.withColumn("_items", F.slice("_items", F.lit(1), left)).withColumn("_given", F.least("_given", F.lit(most)))
+    return rows.select("search", (F.coalesce("hits", F.lit(0)) > F.col("_given")).alias("truncated"), F.inline("_items")).select("search", "id", "started", "ended", "cloud", "ring", "truncated")
 
 
 def pages_until_done(pages: DataFrame, key: str, most: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo, shapes
 from geoloom.operators import joins, routes, scratch
 from geoloom.plans import joining, sourced, written
-from geoloom.sources import feeds, paged
+from geoloom.sources import feeds, paged, places
 
 
 def test_flows_meet_roads_without_the_driver(spark):
@@ -155,3 +157,20 @@ def test_pages_are_read_by_no_more_tasks_than_shuffles_have(spark, tmp_path, mon
     spans = paged._spans(0, asked[0]["count"], options)
     assert 1 < len(spans) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [x.first for x in spans[1:]] == [x.end for x in spans[:-1]] and (spans[0].first, spans[-1].end) == (0, 20_300)
+
+
+def test_granules_are_sorted_once(spark):
+    """A task holds one sort of what is kept of the answers; pages after the last, rows past the most and those without a start go."""
+    start = {"TemporalExtent": {"RangeDateTime": {"BeginningDateTime": "2024-01-02T00:00:00Z"}}}
+    box = {"SpatialExtent": {"HorizontalSpatialDomain": {"Geometry": {"GPolygons": [{"Boundary": {"Points": [{"Longitude": 1, "Latitude": 1}]}}], "BoundingRectangles": [{f"{x}BoundingCoordinate": k for k, x in enumerate(("West", "South", "East", "North"))}]}}}}
+    answer = lambda hits, *ids: json.dumps({"hits": hits, "items": [{"meta": {"concept-id": i}, "umm": ({} if i == "late" else start) | (box if i == "b" else {})} for i in ids]})
+    rows = [(1, 0, "c", answer(5, "a", "late", "b")), (1, 1, "c", None), (1, 2, None, answer(5, "c", "d")), (1, 3, "c", answer(5, "e")), (2, 0, None, answer(1, "f")), (3, 0, None, answer(9)), (None, 0, None, answer(1, "g"))]
+    pages = spark.createDataFrame(rows, "search long, page int, cursor string, value string").repartition(3)
+    got = lambda most: sorted((r["search"], r["id"], r["truncated"]) for r in places.granules(pages, most).collect())
+    assert got(None) == got(4) == [(1, "a", True), (1, "b", True), (1, "c", True), (1, "d", True), (2, "f", False)]
+    assert got(3) == [(1, "a", True), (1, "b", True), (1, "c", True), (2, "f", False)]
+    assert got(1) == [(1, "a", True), (2, "f", False)]
+    found = places.granules(pages)
+    assert {r["id"]: r["ring"] and [tuple(p) for p in r["ring"]] for r in found.collect()}["b"] == [(0, 1), (2, 1), (2, 3), (0, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Sort [") == 1 and "Join" not in plan
