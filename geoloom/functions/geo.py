@@ -25,6 +25,13 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = KM) -> Column:
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def half_up(number, digits: int) -> Column:
+    """A number from 0 to 1e15 / 10**digits to so many digits, halves up, as DuckDB does; F.round makes a decimal of each."""
+    scaled = _c(number) * 10.0**digits
+    whole = F.floor(scaled).cast("double")
+    return F.when(scaled - whole >= 0.5, whole + 1).otherwise(whole) / 10.0**digits
+
+
 def flat_distance(lat1, lon1, lat2, lon2, radius: float = ROUND_M) -> Column:
     """Equirectangular distance, for short ones."""
     x = F.radians(_c(lon2) - _c(lon1)) * F.cos(F.radians((_c(lat1) + _c(lat2)) / 2))

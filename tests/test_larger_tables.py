@@ -174,3 +174,29 @@ def test_granules_are_sorted_once(spark):
     assert {r["id"]: r["ring"] and [tuple(p) for p in r["ring"]] for r in found.collect()}["b"] == [(0, 1), (2, 1), (2, 3), (0, 3)]
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Sort [") == 1 and "Join" not in plan
+
+
+def test_crowded_cells_are_met_in_parts(spark, tmp_path, monkeypatch):
+    """Pairs of a crowded cell go to many tasks with the same result, and equal distances of a task lie together."""
+    a = spark.range(3000).select("id", (F.col("id") % 7 / 10).alias("lat"), (F.col("id") / 3000).alias("lon"))
+    b = spark.range(40).select(F.col("id").alias("site"), F.lit(0.3).alias("blat"), (F.col("id") / 20 - 0.5).alias("blon"))
+    met = lambda: {(r["id"], r["site"]): r["km"] for r in joins.within(a, b, 60.0).collect()}
+    p, q = np.radians([[i % 7 / 10, i / 3000] for i in range(3000)]), np.radians([[0.3, i / 20 - 0.5] for i in range(40)])
+    h = np.sin((p[:, None, 0] - q[:, 0]) / 2) ** 2 + np.cos(p[:, None, 0]) * np.cos(q[:, 0]) * np.sin((p[:, None, 1] - q[:, 1]) / 2) ** 2
+    away = 2 * geo.KM * np.arcsin(np.sqrt(h))
+    whole = met()
+    assert set(whole) == {(int(i), int(j)) for i, j in np.argwhere(away <= 60.0)} and all(abs(v - away[k]) < 1e-9 for k, v in whole.items())
+    monkeypatch.setattr(joins, "PART_PAIRS", 2000)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 4000)
+    assert met() == whole
+    got = joins.within(a, b, 60.0)
+    assert got.rdd.getNumPartitions() >= 15 and got.select(F.spark_partition_id()).distinct().count() > 8
+    spark.sql("SELECT id AS event_id, timestamp '2024-01-01' AS ts, 7L AS user_id, 'x' AS event_type, 1.0D AS value, '{}' AS props FROM range(500)").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT id AS s_suppkey, 1.0D AS s_acctbal FROM range(50)").write.parquet(f"{tmp_path}/supplier.parquet")
+    parts = [[r["km"] for r in p] for p in joining.join_j15_radius(spark, str(tmp_path)).rdd.glom().collect()]
+    assert all(p == sorted(p) for p in parts) and sum(map(len, parts)) > 100
+
+
+def test_halves_are_rounded_up(spark):
+    rows = spark.createDataFrame([(0.0005,), (0.0004999,), (249.9995,), (1.0005,), (0.0,), (20015.086,), (None,)], "v double")
+    assert [r[0] for r in rows.select(geo.half_up("v", 3)).collect()] == [0.001, 0.0, 250.0, 1.001, 0.0, 20015.086, None]
