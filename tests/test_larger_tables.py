@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -200,3 +201,18 @@ def test_crowded_cells_are_met_in_parts(spark, tmp_path, monkeypatch):
 def test_halves_are_rounded_up(spark):
     rows = spark.createDataFrame([(0.0005,), (0.0004999,), (249.9995,), (1.0005,), (0.0,), (20015.086,), (None,)], "v double")
     assert [r[0] for r in rows.select(geo.half_up("v", 3)).collect()] == [0.001, 0.0, 250.0, 1.001, 0.0, 20015.086, None]
+
+
+def test_lists_do_not_take_a_side_through_the_driver(spark, tmp_path, monkeypatch):
+    """Files of few bytes hold many places, and each is copied to many cells: neither side is broadcast, however small its file."""
+    spark.range(300).selectExpr("concat('g', id) AS geoid", "id % 9 / 10.0D AS lat", "id / 300.0D AS lon").write.parquet(f"{tmp_path}/a")
+    spark.range(60).selectExpr("id AS site", "0.4D AS blat", "id / 40.0D AS blon").write.parquet(f"{tmp_path}/b")
+    a, b = (spark.read.parquet(f"{tmp_path}/{x}") for x in "ab")
+    lists = lambda: joins.listed_within(a, b, "geoid", "site", 70.0)
+    whole = {r["geoid"]: r["others"] for r in lists().collect()}
+    assert len(whole) == 300 and max(map(len, whole.values())) < 60
+    monkeypatch.setattr(joins, "LIST_PAIRS", 600)
+    got = lists()
+    assert {r["geoid"]: r["others"] for r in got.collect()} == whole
+    sent = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].split("BroadcastExchange")[1:]
+    assert sent and all(re.search(r"FileScan parquet \[(\w+)#", x)[1] == "_cell" for x in sent)
